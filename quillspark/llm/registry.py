@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .language_id import op6_language_id
 from .mixing import OP5_SQL, op5_mixing
+from .packing import op2_packing
 from .sharding import op9_sharding
+from .substring_dedup import op7_substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_packing": op2_packing,
         "op5_mixing": op5_mixing,
+        "op6_language_id": op6_language_id,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
     }
