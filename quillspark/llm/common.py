@@ -69,6 +69,28 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+# ---------------------------------------------------------------- membership by a bitmap of fixed size
+
+
+def position(bits: int, *keys: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(bits))
+
+
+def bitmap_of(slots: DataFrame, slot: Column) -> DataFrame:
+    """The positions in use, as one row of 4 KiB for each 32,768 of them; written once to the shared folder."""
+    slots = slots.select(slot.alias(f"{P}slot"))
+    bits = slots.groupBy(F.bitmap_bucket_number(f"{P}slot").alias(f"{P}bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(f"{P}slot")).alias(f"{P}bits"))
+    return stored(bits, "bitmap")
+
+
+def in_bitmap(rows: DataFrame, slot: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: is the row's position in use? The bitmap's size is bounded, so it is broadcast."""
+    rows = rows.withColumn(f"{P}slot", slot).withColumn(f"{P}bucket", F.bitmap_bucket_number(f"{P}slot")).join(F.broadcast(bitmap), f"{P}bucket", "left")
+    byte = F.conv(F.hex(F.expr(f"substring({P}bits, cast(bitmap_bit_position({P}slot) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position({P}slot) % 8 as int))")) != 0
+    return rows.withColumn(name, F.coalesce(bit, F.lit(False))).drop(f"{P}slot", f"{P}bucket", f"{P}bits")
+
+
 #: Runs of anything but space, tab, LF, VT, FF and CR. ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op6_language_id
 from .mixing import OP5_SQL, op5_mixing
+from .ngram_join import op10_ngram_join
 from .packing import op2_packing
 from .sharding import op9_sharding
 from .substring_dedup import op7_substring_dedup
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op7_substring_dedup": op7_substring_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
