@@ -9,10 +9,12 @@ from .ngram_join import op10_ngram_join
 from .packing import op2_packing
 from .sharding import op9_sharding
 from .substring_dedup import op7_substring_dedup
+from .topk_search import OP1_SQL, op1_topk_search
 
 
 def queries() -> dict:
     return {
+        "op1_topk_search": op1_topk_search,
         "op2_packing": op2_packing,
         "op5_mixing": op5_mixing,
         "op6_language_id": op6_language_id,
@@ -24,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op5_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
