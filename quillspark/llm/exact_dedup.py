@@ -3,8 +3,9 @@
 Rows are grouped by text length, then by a hash of a short prefix, then by the digest of the whole text; the whole
 text is read only for rows whose (length, prefix) group has at least two members.
 
-No text is shuffled. The surviving groups come back to the scan as a bitmap of fixed size (2**22 hashed positions,
-512 KiB at most), so the broadcast does not grow with the data; a false hit only costs one digest.
+No text is shuffled. The surviving lengths, then the surviving (length, prefix) groups, come back to the scan as
+bitmaps of fixed size (2**22 hashed positions, 512 KiB at most), written once to the shared folder, so the broadcast
+does not grow with the data; a false hit only costs one digest.
 A group may hold a third of all rows: every grouping is a count or a maximum with map-side combine, and the join
 back is a plain equi-join of narrow rows whose skewed partitions adaptive execution splits.
 
@@ -17,49 +18,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, text_or_empty
+from .common import P, bitmap_of, in_bitmap, position, text_or_empty
 
 PREFIX_CHARS = 64
 BITS = 1 << 22
-_BUCKET = 8 * 4096  # positions in one bitmap of bitmap_construct_agg
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(BITS))
-
-
-def _bitmap(slots: DataFrame) -> DataFrame:
-    """One row for each used bucket of positions: at most BITS / 32768 rows of 4 KiB."""
-    at = F.col(f"{P}slot")
-    return slots.groupBy((F.bitmap_bucket_number(at)).alias(f"{P}bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(f"{P}bits"))
+def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Bitmap of the key groups with two rows or more."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias(f"{P}n")).filter(F.col(f"{P}n") > 1)
+    return bitmap_of(groups, position(BITS, *keys))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: id, ``carry`` columns, keep_id, group_size, kept."""
     text = text_or_empty(F.col(f"{P}text"))
-    base = docs.select(F.col(id_col).alias(f"{P}id"), F.col(text_col).alias(f"{P}text"), *[F.col(c).alias(f"{P}c{i}") for i, c in enumerate(carry)])
     keep = [F.col(f"{P}c{i}") for i in range(len(carry))]
-    base = base.withColumns({f"{P}len": F.octet_length(text), f"{P}pre": F.xxhash64(F.substring(text, 1, PREFIX_CHARS))})
-
-    lengths = base.groupBy(f"{P}len").agg(F.count("*").alias(f"{P}n")).filter(F.col(f"{P}n") > 1).select(f"{P}len")
-    second = base.select(f"{P}len", f"{P}pre").groupBy(f"{P}len", f"{P}pre").agg(F.count("*").alias(f"{P}n")).filter(F.col(f"{P}n") > 1)
-    alive = second.join(lengths, f"{P}len", "left_semi").select(_slot(F.col(f"{P}len"), F.col(f"{P}pre")).alias(f"{P}slot"))
+    base = docs.select(F.col(id_col).alias(f"{P}id"), F.col(text_col).alias(f"{P}text"), *[F.col(c).alias(f"{P}c{i}") for i, c in enumerate(carry)])
+    base = base.withColumn(f"{P}len", F.octet_length(text))
 
-    at = _slot(F.col(f"{P}len"), F.col(f"{P}pre"))
-    marked = base.withColumn(f"{P}slot", at).withColumn(f"{P}bucket", F.bitmap_bucket_number(f"{P}slot"))
-    marked = marked.join(F.broadcast(_bitmap(alive)), f"{P}bucket", "left")
-    byte = F.conv(F.hex(F.expr(f"substring({P}bits, cast(bitmap_bit_position({P}slot) div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position({P}slot) % 8 as int))")) != 0, F.lit(False))
+    sized = in_bitmap(base, position(BITS, f"{P}len"), _repeated(base, [f"{P}len"]), f"{P}h1")
+    prefix = F.when(F.col(f"{P}h1"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)))
+    sized = sized.withColumn(f"{P}pre", prefix)
+    both = [f"{P}len", f"{P}pre"]
+    marked = in_bitmap(sized, position(BITS, *both), _repeated(sized.filter(f"{P}h1"), both), f"{P}h2")
+    hit = F.col(f"{P}h1") & F.col(f"{P}h2")
 
     alone = marked.filter(~hit).select(
         F.col(f"{P}id"), *keep, F.col(f"{P}id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
     rows = marked.filter(hit).select(f"{P}id", *keep, f"{P}len", F.unhex(F.sha2(text, 256)).alias(f"{P}sha"))
     groups = rows.groupBy(f"{P}len", f"{P}sha").agg(F.max(f"{P}id").alias("keep_id"), F.count("*").alias("group_size"))
-    again = Window.partitionBy(f"{P}sha", f"{P}id").orderBy(f"{P}len")
+    again = Window.partitionBy(f"{P}len", f"{P}sha", f"{P}id").orderBy(F.lit(1))
     joined = rows.join(groups, [f"{P}len", f"{P}sha"]).withColumn("kept", F.col(f"{P}id").eqNullSafe(F.col("keep_id")))
     joined = joined.withColumn("kept", F.col("kept") & (F.row_number().over(again) == 1))
     out = alone.unionByName(joined.select(f"{P}id", *keep, "keep_id", "group_size", "kept"))
