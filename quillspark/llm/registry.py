@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .html_extract import op4_html_extract
 from .language_id import op6_language_id
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import op10_ngram_join
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_topk_search": op1_topk_search,
         "op2_packing": op2_packing,
+        "op4_html_extract": op4_html_extract,
         "op5_mixing": op5_mixing,
         "op6_language_id": op6_language_id,
         "op7_substring_dedup": op7_substring_dedup,
