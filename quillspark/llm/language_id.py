@@ -12,7 +12,8 @@ then keeps the distinct words of that sample. ``sample_chars`` is the documented
 Prediction never sees lang, source or id. Defined results: null text, or one without a letter: ``und``, score 0;
 no labelled row at all: every text is ``und``; ties go to the language whose sample has
 the words at better frequency ranks, then to the smaller name; repeated rows get equal results;
-extra columns pass through :func:`predict`.
+extra columns pass through
+:func:`predict` untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import P
@@ -170,28 +171,25 @@ class CrossParser:
         return self._names[order[0]], max(0.0, min(1.0, 1.0 - best / rival if rival else 0.0)), min(1.0, best / chars)
 
 
-def _predictor(shared, text: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def predictor(words: dict[str, list[str]]) -> Callable[[Column], Column]:
+    """A column function: text -> struct of lang_pred, score, phrase_rate. Other columns never leave the JVM."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(words)
+
+    @F.pandas_udf("lang_pred string, score double, phrase_rate double")
+    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parser = CrossParser(shared.value)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                got = [parser.predict(t) for t in part[text]]
-                yield part.drop(columns=[text]).assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got], phrase_rate=[g[2] for g in got])
+        for texts in batches:
+            yield pd.DataFrame([parser.predict(t) for t in texts], columns=["lang_pred", "score", "phrase_rate"])
 
-    return run
+    return guess
 
 
-def predict(docs: DataFrame, words: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """id, lang_pred, score, phrase_rate for every row."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(_predictor(spark.sparkContext.broadcast(words), "text"), "id string, lang_pred string, score double, phrase_rate double")
-    return out.select(F.col("id").cast(kind).alias(id_col), "lang_pred", "score", "phrase_rate")
+def predict(docs: DataFrame, words: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+    """The input rows with a struct column ``__qs_lang``: lang_pred, score, phrase_rate."""
+    return docs.withColumn(f"{P}lang", predictor(words)(F.col(text_col)))
 
 
-def held_out(id_col) -> F.Column:
+def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
@@ -202,4 +200,4 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     """Every row of ``documents``: doc_id, held_out, lang_pred, score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return predict(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), f"{P}lang.lang_pred", f"{P}lang.score")

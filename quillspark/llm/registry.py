@@ -10,6 +10,7 @@ from .ngram_join import op10_ngram_join
 from .packing import op2_packing
 from .sharding import op9_sharding
 from .substring_dedup import op7_substring_dedup
+from .suffix_dedup import op3_suffix_dedup
 from .topk_search import OP1_SQL, op1_topk_search
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_topk_search": op1_topk_search,
         "op2_packing": op2_packing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_html_extract": op4_html_extract,
         "op5_mixing": op5_mixing,
         "op6_language_id": op6_language_id,
