@@ -5,12 +5,13 @@ its windows (the smallest hash among a window's GRAM-word runs; equal windows ha
 mostly share one, so about 7 % as many entries as windows). Partition sketches merge by cell range; the merged cells
 that were hit by two documents or more become a bitmap. A window's count is at most its minimizer's count, which is
 at most the sketch's estimate, so windows estimated unique are unique: none is lost.
-Pass two hashes (128 bits) only the windows estimated repeated and groups those exactly.
+Pass two hashes only the windows estimated repeated and groups those exactly, by minimizer and window hash (64 bits
+each). It deals windows in a row with one minimizer as one row, so one shuffle carries 8 bytes a window.
 
 Scale: the sketch has DEPTH * cells bits, sized from the input and never above DEPTH * MAX_CELLS bits (64 MiB),
-whatever the input; a fuller sketch only lets more windows into the exact pass. The exact pass is a minimum per
-window hash with map-side combine, joined back as an equi-join whose skew adaptive execution splits; a passage held
-by a third of all documents never meets in one task before its minimum is one row per task.
+whatever the input; a fuller sketch only lets more windows into the exact pass. Runs
+that a task has met in a smaller document are settled there, so a passage held by a third of all documents is dealt
+once per task; the exact grouping is a window and an aggregate in the JVM, which spill.
 
 Defined results: words are runs of non-blank bytes, unchanged; a document below WINDOW words loses nothing; null or
 empty text has no words and keeps the empty text; windows repeated only inside their own document stay; documents
@@ -24,18 +25,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, mix, stored, text_or_empty
+from .common import WordHashes, gram_hashes, mix, shuffles, text_or_empty
 
 WINDOW = 50
 GRAM = 25
 DEPTH = 2
 MAX_CELLS = 1 << 28
 CHUNK = 1 << 16
-#: Documents handled together in a worker.
+#: Documents handled together in a worker, windows in one row, and runs a task remembers.
 BLOCK = 400
+RUN = 60
+SEEN = 200_000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -97,8 +100,10 @@ class PartitionSketch:
         """(chunk, cells hit once, cells hit more): offsets in a chunk as 16-bit numbers."""
         self._fold()
         for r, (at, n) in enumerate(self._held):
+            if not len(at):
+                continue
             chunks = (at // np.uint64(CHUNK)).astype(np.int64)
-            cuts = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]]) if len(at) else []
+            cuts = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]])
             for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
                 off = (at[lo:hi] % np.uint64(CHUNK)).astype("<u2")
                 more = n[lo:hi] > 1
@@ -152,36 +157,61 @@ def estimated_repeated(values: np.ndarray, bits: np.ndarray, cells: int) -> np.n
 
 
 def _windows(window: int, gram: int, cells: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """id, pos, count, g, hashes: windows in a row with one minimizer g, at most RUN of them. Null hashes mark windows
+    that are repeated for certain: this task has met all of them, in the same order, in a document with a smaller id."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, bits = WordHashes(), np.frombuffer(shared.value, np.uint8)
+        words_of, bits, seen = WordHashes(), np.frombuffer(shared.value, np.uint8), {}
         for pdf in batches:
+            order = dict(zip(pdf["id"], pd.to_numeric(pdf["id"], errors="coerce"), strict=True))
             for lo in range(0, len(pdf), BLOCK):
-                part, found = pdf.iloc[lo : lo + BLOCK], []
+                part, out = pdf.iloc[lo : lo + BLOCK], []
                 for doc, t in zip(part["id"], part["text"], strict=True):
                     words = t.encode().split()
                     if len(words) < window:
                         continue
-                    h = hashes.of(words)
-                    at = np.flatnonzero(estimated_repeated(minimizers(h, window, gram), bits, cells))
-                    if len(at):
-                        found.append((doc, at, gram_hashes(h, window, seed=2)[at], gram_hashes(h, window, seed=3)[at]))
-                if found:
-                    yield pd.DataFrame({"id": np.repeat(np.array([f[0] for f in found], object), [len(f[1]) for f in found]), "pos": np.concatenate([f[1] for f in found]).astype(np.int32), "h1": np.concatenate([f[2] for f in found]).view(np.int64), "h2": np.concatenate([f[3] for f in found]).view(np.int64)})
+                    h = words_of.of(words)
+                    low = minimizers(h, window, gram)
+                    ok = estimated_repeated(low, bits, cells)
+                    if not ok.any():
+                        continue
+                    full = gram_hashes(h, window, seed=2).view(np.int64)
+                    first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1])])
+                    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(low)], strict=True):
+                        if not ok[a]:
+                            continue
+                        g = int(low[a : a + 1].view(np.int64)[0])
+                        for at in range(a, b, RUN):
+                            hashes = full[at : min(b, at + RUN)]
+                            key, mine = (g, hashes.tobytes()), order[doc]
+                            known = seen.get(key)
+                            if known is not None and known < mine:
+                                out.append((doc, at, len(hashes), g, None))
+                                continue
+                            if known is None and len(seen) >= SEEN:
+                                seen.clear()
+                            if mine == mine:
+                                seen[key] = mine
+                            out.append((doc, at, len(hashes), g, hashes))
+                if out:
+                    yield pd.DataFrame(out, columns=["id", "pos", "count", "g", "hashes"])
 
     return run
 
 
 def _strip(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bit = np.arange(RUN)
         for pdf in batches:
             for lo in range(0, len(pdf), BLOCK):
                 part, out = pdf.iloc[lo : lo + BLOCK], []
-                for doc, t, starts in zip(part["id"], part["text"], part["starts"], strict=True):
+                for doc, t, at, masks in zip(part["id"], part["text"], part["at"], part["masks"], strict=True):
                     words = t.encode().split()
                     n = len(words)
-                    if starts is not None and len(starts):
+                    if at is not None and len(at):
+                        on = (np.asarray(masks, np.int64)[:, None] >> bit) & 1 > 0
+                        s = (np.asarray(at, np.int64)[:, None] + bit)[on]
                         edge = np.zeros(n + 1, np.int32)
-                        s = np.asarray(starts)
                         np.add.at(edge, s, 1)
                         np.add.at(edge, np.minimum(s + window, n), -1)
                         keep = np.cumsum(edge[:n]) == 0
@@ -193,26 +223,31 @@ def _strip(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
 
 
 def repeated_windows(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
-    """id and starts (array<int>) of the windows that also start in a document with a smaller id. docs: id, text."""
+    """id, at, masks: bit i of a mask says that the window at + i also starts in a document with a smaller id. docs: id, text."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     cells = CHUNK
     while cells < MAX_CELLS and cells < size // 12:  # about 10 cells for each minimizer
         cells *= 2
     shared = spark.sparkContext.broadcast(repeated_cells(docs, window, gram, cells).tobytes())
-    rows = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_windows(window, gram, cells, shared), "id string, pos int, h1 long, h2 long")
-    rows = stored(rows.withColumn("id", F.col("id").cast(kind)), "windows")
-    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    hit = rows.join(first, ["h1", "h2"]).filter("id > first").select("id", "pos")
-    return hit.groupBy("id").agg(F.collect_list("pos").alias("starts"))
+    rows = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_windows(window, gram, cells, shared), "id string, pos int, count int, g long, hashes array<long>")
+    rows = rows.withColumn("id", F.col("id").cast(kind)).withColumn("deal", F.when(F.col("hashes").isNotNull(), F.col("g")).otherwise(F.xxhash64("id", "pos")))
+    # one shuffle: both groupings below include the deal column, so its partitioning serves them
+    dealt = rows.repartition(max(8, shuffles(spark)), "deal")
+    each = dealt.select("deal", "id", "pos", "count", F.posexplode_outer("hashes").alias("i", "h"))
+    first = F.min("id").over(Window.partitionBy("deal", "h"))
+    hit = each.withColumn("first", first).filter(F.col("h").isNull() | (F.col("id") > F.col("first")))
+    bit = F.when(F.col("h").isNull(), F.expr("shiftleft(1L, count) - 1")).otherwise(F.expr("shiftleft(1L, i)"))
+    masks = hit.groupBy("deal", "id", "pos").agg(F.bit_or(bit).alias("mask"))
+    return masks.groupBy("id").agg(F.collect_list(F.struct("pos", "mask")).alias("x")).select("id", F.col("x.pos").alias("at"), F.col("x.mask").alias("masks"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    starts = repeated_windows(base, kind, window, gram)
-    joined = base.join(starts, "id", "left").select(F.col("id").cast("string").alias("id"), "text", "starts")
+    found = repeated_windows(base, kind, window, gram)
+    joined = base.join(found, "id", "left").select(F.col("id").cast("string").alias("id"), "text", "at", "masks")
     out = joined.mapInPandas(_strip(window), "id string, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept")
 
