@@ -18,6 +18,7 @@ nulls first; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -34,7 +35,7 @@ DIMS, BITS = 4, 10
 #: Tokens in one range of the curve: what a single task packs.
 RANGE = 1 << 21
 END = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 def word_bpe_path() -> str:
@@ -47,33 +48,82 @@ def word_bpe_path() -> str:
 
 
 class CachedTokenizer:
-    """Ids of whole texts through a cache of whitespace-free chunks.
+    """Ids of whole texts through caches of whitespace-free chunks and of the words in them.
 
     The tokenizer's pattern never matches across white space, and its special strings hold none, so a text's ids are
-    the ids of its chunks in order. The cache is bounded and starts anew when full.
+    the ids of its chunks in order. A chunk of letters with ASCII punctuation behind is in turn the ids of its
+    lower-cased letters, then of the punctuation. Unknown words are encoded many at a time between a separator whose
+    single id no word has. The caches are bounded and start anew when full.
     """
 
+    SEPARATOR = " ~ "
+
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tok, self._limit, self._cache = Tokenizer.from_file(path), limit, {}
+        self._tok, self._limit, self._chunks, self._words = Tokenizer.from_file(path), limit, {}, {}
+        mark = self._raw("~")
+        self._mark = mark[0] if len(mark) == 1 and self._raw("a ~ b") == [*self._raw("a"), mark[0], *self._raw("b")] else None
+
+    def _raw(self, text: str) -> list[int]:
+        return self._tok.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        known = self._words
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            if self._mark is None:
+                known.update({w: np.array(self._raw(w.decode()), "<u4").tobytes() for w in part})
+                continue
+            ids = np.array(self._raw(self.SEPARATOR.join([w.decode() for w in part])), "<u4")
+            cuts = (np.flatnonzero(ids == self._mark) * 4).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, cut in zip(part, [*cuts, len(raw)], strict=True):
+                known[w] = raw[at:cut]
+                at = cut + 4
+
+    def _add(self, chunks: list[bytes]) -> None:
+        if len(self._words) > self._limit:
+            self._words = {}
+        split, odd = {}, []
+        for c in chunks:
+            m = _LETTERS.match(c)
+            if m is None or not (m[1].isascii() or m[1].decode().isalpha()):
+                odd.append(c)
+            else:
+                split[c] = m[1].lower(), m[2]
+        words = self._words
+        self._learn([w for w in {p for pair in split.values() for p in pair if p} if w not in words])
+        chunk = self._chunks
+        for c, (w, tail) in split.items():
+            chunk[c] = words[w] + words[tail] if tail else words[w]
+        for c in odd:
+            chunk[c] = np.array(self._raw(c.decode()), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.encode("utf-8").split() for t in texts]
+        split = [t.encode("utf-8").split() for t in texts]
         new: set[bytes] = set()
-        for w in words:
+        for w in split:
             new.update(w)
-        if len(self._cache) > self._limit:
-            self._cache = {}
-        cache = self._cache
-        new = [w for w in new if w not in cache]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self._tok.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            cache.update({w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(part, got, strict=True)})
-        return [b"".join([cache[x] for x in w]) for w in words]
+        if len(self._chunks) > self._limit:
+            self._chunks = {}
+        known = self._chunks
+        self._add([w for w in new if w not in known])
+        return [b"".join([known[x] for x in w]) for w in split]
+
+
+#: Letters (any byte above ASCII for now), then ASCII punctuation without the separator.
+_LETTERS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-}]*)\Z")
+_tokenizers: dict[str, CachedTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> CachedTokenizer:
+    """One per worker process, kept between tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = CachedTokenizer(path)
+    return _tokenizers[path]
 
 
 # ------------------------------------------------------------------ the curve
@@ -115,12 +165,11 @@ def projection(vocab: int, dims: int = DIMS) -> np.ndarray:
 def curve_keys(ids: list[np.ndarray], table: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Hilbert key of each document: the mean projection of its tokens, scaled to unit direction, on a grid."""
     out = np.zeros((len(ids), table.shape[1]))
-    for i, x in enumerate(ids):
-        if len(x):
-            counts = np.bincount(x % len(table))
-            used = np.flatnonzero(counts)
-            v = np.sqrt(counts[used]) @ table[used]
-            out[i] = v / max(1e-9, float(np.linalg.norm(v)))
+    full = [i for i, x in enumerate(ids) if len(x)]
+    if full:
+        flat = np.concatenate([ids[i] for i in full]) % len(table)
+        sums = np.add.reduceat(table[flat], np.r_[0, np.cumsum([len(ids[i]) for i in full])[:-1]], axis=0)
+        out[full] = sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))
     grid = np.clip(((out + 1) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
     return hilbert(grid, bits)
 
@@ -196,7 +245,7 @@ def running_crcs(data: bytes, step: int = STEP) -> np.ndarray:
 
 def _measure(path: str, end: int, step: int, dims: int, bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = CachedTokenizer(path)
+        tok = worker_tokenizer(path)
         table = projection(1 << 16, dims)
         tail = np.array([end], dtype="<u4").tobytes()
         for pdf in batches:
@@ -257,7 +306,7 @@ def sequences(pieces: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
     path = tokenizer or word_bpe_path()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = CachedTokenizer(path)
+        tok = worker_tokenizer(path)
         for pdf in batches:
             data = tok.encode(pdf["text"].tolist())
             yield pd.DataFrame({"id": pdf["id"], "ids": [[*np.frombuffer(d, "<u4").tolist(), end] for d in data]})
