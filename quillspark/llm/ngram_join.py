@@ -11,13 +11,17 @@ class). Linked sets differ in at most H shingles, so with p = H + 1 + E classes
 and one of those is not empty unless a set has more than E empty classes, which then get a list of their own. No
 linked pair is lost, and a common passage fills a whole class only in documents that consist of it.
 
-Work inside a list never squares. Equal sets are one node from the start (one per task before the shuffle). Each list
-is first a star around one member; verified links give components; only lists that still hold several components are
-looked at again, with other centres, and in the end the untested pairs between different components, which is the
-exact way for what is left. Links inside a component need no test: the result is components.
-
-Scale: texts are read twice and never shuffled (candidates come back to the second scan as a bitmap of 8 MiB at
-most); (list key, id) pairs are shuffled once; sets move only for documents that share a list with another.
+Work inside a list never squares. Equal sets are one node from the start (one per task before the shuffle). Each node
+is first held against one centre of its lists; verified links give components; only lists that still hold several
+components are looked at again, with other centres, and in the end the untested pairs between different components,
+which is the exact way for what is left: long lists are compared there block against block by sketch, and only pairs
+that may be linked leave the task. Links inside a component need no test: the result is components.
+
+Scale: texts are read three times and never shuffled. A first pass counts list keys in a count-min sketch (64 MiB at
+most), so keys that one set alone has are never dealt; candidates come back to the last scan as a bitmap of 8 MiB at
+most; (list key, id) pairs are shuffled once. A pair is first held against sizes
+and 256-byte sketches, whose differing bytes bound the difference of the sets from below, so whole sets move only for
+pairs that can be linked.
 
 Defined results: null text, empty text and text without words are empty sets, linked with nothing; fewer words than
 a shingle make one shingle; repeated rows are equal sets and share a component; an empty table gives an empty result;
@@ -35,14 +39,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap_of, gram_hashes, in_bitmap, mix, position, stored, text_or_empty
+from .common import WordHashes, bitmap_of, gram_hashes, in_bitmap, mix, position, shuffles, stored, text_or_empty
 from .components import components
+from .substring_dedup import CHUNK, MAX_CELLS, PartitionSketch, estimated_repeated, repeated_cells
 
 SCAN = 4
 SPARE = 2
 #: Lists with at most so many pairs a row on average are tested pair by pair at once.
 STAR = 8
 ROUNDS = 3
+PARTS = 256
+#: Lists up to SMALL are paired by a join; longer ones in blocks of CELL members.
+SMALL, CELL = 16, 512
 BITS = 1 << 26
 BLOCK = 300
 
@@ -158,24 +166,68 @@ def list_keys(sets: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def _first_pass(k: int, num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def sketch(s: np.ndarray) -> bytes:
+    """One byte for each of PARTS hash classes: a sum over the class's shingles. Sets whose sketches differ in d bytes
+    differ in d shingles at least, so the count of differing bytes rules pairs out and never a linked one."""
+    m = mix(s ^ np.uint64(0x2545F4914F6CDD1D))
+    out = np.zeros(PARTS, np.uint8)
+    np.add.at(out, (m % np.uint64(PARTS)).astype(np.int64), ((m >> np.uint64(32)) | np.uint64(1)).astype(np.uint8))
+    return out.tobytes()
+
+
+def _differing(x: pd.Series, y: pd.Series) -> pd.Series:
+    if not len(x):
+        return pd.Series([], dtype="int64")
+    a = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), PARTS)
+    return pd.Series((a != np.frombuffer(b"".join(y), np.uint8).reshape(len(y), PARTS)).sum(axis=1))
+
+
+def _new_sets(texts, k: int, hashes: WordHashes, seen: set) -> tuple[list[np.ndarray], list[tuple[int, int]], list[int]]:
+    """Shingle sets, their 128-bit marks, and which of them this task has not met before."""
+    sets = [shingles(t, k, hashes) for t in texts]
+    marks = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64))) for s in sets]
+    new = []
+    for i, m in enumerate(marks):
+        if len(sets[i]) and m not in seen:
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.add(m)
+            new.append(i)
+    return sets, marks, new
+
+
+def _sketch_keys(k: int, num: int, den: int, cells: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan, hashes, seen, counts = Plan(num, den), WordHashes(), set(), PartitionSketch(cells)
+        for pdf in batches:
+            for lo in range(0, len(pdf), BLOCK):
+                sets, _, new = _new_sets(pdf["text"].iloc[lo : lo + BLOCK], k, hashes, seen)
+                for keys in list_keys([sets[i] for i in new], plan):
+                    counts.add(keys)
+        rows = list(counts.rows())
+        for lo in range(0, len(rows), 2000):
+            yield pd.DataFrame(rows[lo : lo + 2000], columns=["chunk", "once", "more"])
+
+    return run
+
+
+def _first_pass(k: int, num: int, den: int, cells: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """id, n, marks, list keys that another set may have too, sketch."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, hashes, seen = Plan(num, den), WordHashes(), set()
+        plan, hashes, seen, bits = Plan(num, den), WordHashes(), set(), np.frombuffer(shared.value, np.uint8)
         for pdf in batches:
             for lo in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[lo : lo + BLOCK]
-                sets = [shingles(t, k, hashes) for t in part["text"]]
-                marks = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64))) for s in sets]
-                new = []
-                for i, m in enumerate(marks):
-                    if len(sets[i]) and m not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add(m)
-                        new.append(i)
-                keys = dict(zip(new, list_keys([sets[i] for i in new], plan), strict=True))
+                sets, marks, new = _new_sets(part["text"], k, hashes, seen)
+                keys, sketches = {}, {}
+                for i, x in zip(new, list_keys([sets[i] for i in new], plan), strict=True):
+                    x = x[estimated_repeated(x, bits, cells)]
+                    if len(x):
+                        keys[i], sketches[i] = x.view(np.int64), sketch(sets[i])
                 s = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
-                yield pd.DataFrame({"id": part["id"], "n": [len(x) for x in sets], "s1": s[:, 0], "s2": s[:, 1], "keys": [keys[i].view(np.int64) if i in keys else None for i in range(len(sets))]})
+                at = range(len(sets))
+                yield pd.DataFrame({"id": part["id"], "n": [len(x) for x in sets], "s1": s[:, 0], "s2": s[:, 1], "keys": [keys.get(i) for i in at], "sketch": [sketches.get(i) for i in at]})
 
     return run
 
@@ -194,6 +246,15 @@ def _sets(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
 # ------------------------------------------------------------------ the join
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that sizes and sketches don't rule out. sketches: node, n, sketch."""
+    one = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    differ = F.pandas_udf(_differing, "long")
+    return both.filter(differ("x", "y") * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b) with den * |A n B| >= num * |A u B|."""
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
@@ -202,16 +263,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "a").join(two, "b").withColumn("c", both).filter(F.col("c") * (den + num) >= num * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _compare(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows by (key, i, j): two blocks of one list. Gives the pairs across labels that sizes and sketches leave."""
+
+    def close(rows: list[tuple]) -> pd.DataFrame:
+        part = pd.DataFrame(rows, columns=["block", "i", "j", "node", "label", "n", "sketch"])
+        sides = [part[part["block"] == b] for b in (part["i"].iloc[0], part["j"].iloc[0])]
+        bits = [np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), PARTS) for x in sides]
+        n = [x["n"].to_numpy(np.int64) for x in sides]
+        names = [x["node"].to_numpy() for x in sides]
+        labels = [pd.factorize(pd.concat([sides[0]["label"], sides[1]["label"]]))[0]]
+        la, lb = labels[0][: len(n[0])], labels[0][len(n[0]) :]
+        out = []
+        for x in range(len(n[0])):
+            differ = (bits[1] != bits[0][x]).sum(axis=1)
+            ok = (differ * (den + num) <= (n[1] + n[0][x]) * (den - num)) & (lb != la[x])
+            ok &= np.minimum(n[1], n[0][x]) * den >= np.maximum(n[1], n[0][x]) * num
+            out += [(names[0][x], y) for y in names[1][ok]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for pdf in batches:
+            for row in zip(pdf["key"].tolist(), pdf["i"].tolist(), pdf["j"].tolist(), pdf["block"].tolist(), pdf["node"], pdf["label"], pdf["n"].tolist(), pdf["sketch"], strict=True):
+                if row[:3] != at:
+                    if held:
+                        yield close(held)
+                    at, held = row[:3], []
+                held.append((row[3], row[1], row[2], *row[4:]))
+        if held:
+            yield close(held)
+
+    return run
+
+
+def _large_lists(rows: DataFrame, kind: str, num: int, den: int, cell: int) -> DataFrame:
+    """Pairs (a, b) of long lists that may be linked. rows: key, node, label, m, n, sketch.
+
+    A list is cut into blocks of about ``cell`` members and each pair of blocks is compared in one place, by sketch;
+    only pairs that pass leave it, so what moves grows with members times blocks and not with pairs.
+    """
+    blocks = F.ceil(F.col("m") / cell).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    cells = rows.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", F.col("node").cast("string").alias("node"), F.col("label").cast("string").alias("label"), "n", "sketch")
+    cells = cells.repartition(max(8, shuffles(rows.sparkSession)), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    out = cells.mapInPandas(_compare(num, den), "a string, b string")
+    return out.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+
+
 def _pairs(rows: DataFrame, one: Column, two: Column) -> DataFrame:
     return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).filter("a < b").distinct()
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, small: int = SMALL, cell: int = CELL) -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable over links of Jaccard >= num / den."""
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     as_text = base.withColumn("id", F.col("id").cast("string"))
-    first = as_text.mapInPandas(_first_pass(k, num, den), "id string, n long, s1 long, s2 long, keys array<long>")
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cells = CHUNK
+    while cells < MAX_CELLS and cells < size // 3:
+        cells *= 2
+    counted = as_text.mapInPandas(_sketch_keys(k, num, den, cells), "chunk long, once binary, more binary")
+    shared = spark.sparkContext.broadcast(repeated_cells(counted, cells).tobytes())
+    first = as_text.mapInPandas(_first_pass(k, num, den, cells, shared), "id string, n long, s1 long, s2 long, keys array<long>, sketch binary")
     first = stored(first.withColumn("id", F.col("id").cast(kind)), "sets")
 
     equal = first.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"))
@@ -223,45 +340,54 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = lists.withColumn("m", F.count("*").over(on_list)).filter("m > 1").select("key", "id")
     to_node = nodes.filter("n > 0").select("id", "node").distinct()
     lists = stored(lists.join(to_node, "id").select("key", "node").distinct(), "lists")
-    lists = stored(lists.withColumn("m", F.count("*").over(on_list)).filter("m > 1").select("key", "node"), "lists")
+    shared = lists.withColumn("m", F.count("*").over(on_list)).filter("m > 1").select("key", "node")
+    left = stored(shared.groupBy("node").agg(F.collect_list("key").alias("keys")), "lists")
 
-    marked = in_bitmap(base, position(BITS, "id"), bitmap_of(lists.select("node").distinct(), position(BITS, "node")), "wanted")
+    wanted = left.select("node")
+    sketches = first.filter("sketch is not null").select(F.col("id").alias("node"), "n", "sketch").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sketches = stored(sketches, "sketches")
+    marked = in_bitmap(base, position(BITS, "id"), bitmap_of(wanted, position(BITS, "node")), "wanted")
     sets = marked.filter("wanted").select(F.col("id").cast("string").alias("id"), "text").mapInPandas(_sets(k), "id string, set array<long>")
-    sets = stored(sets.withColumn("id", F.col("id").cast(kind)).join(lists.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "shingles")
+    sets = stored(sets.withColumn("id", F.col("id").cast(kind)).join(wanted.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "shingles")
 
-    links, labels, tested, left = None, None, None, lists
+    links, labels, tested = None, None, None
     for t in range(ROUNDS + 1):
-        if labels is None:
-            open_ = left.withColumn("label", F.col("node"))
-        else:
-            named = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = named.withColumn("lo", F.min("label").over(on_list)).withColumn("hi", F.max("label").over(on_list)).filter("lo < hi").select("key", "node", "label")
-            open_ = stored(open_, "open")
-            if not open_.limit(1).count():
-                break
-            left = open_.select("key", "node")
+        named = left.withColumn("label", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = named.select("node", "label", F.explode("keys").alias("key"))
+        if labels is not None:
+            open_ = open_.withColumn("lo", F.min("label").over(on_list)).withColumn("hi", F.max("label").over(on_list)).filter("lo < hi").select("node", "label", "key")
+        open_ = stored(open_, "open")
         size = F.count("*").over(on_list)
         cost = open_.select(((size - 1) / 2).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0.0)), F.count("*")).first()
+        if not cost[1]:
+            break
         last = t == ROUNDS or cost[0] <= STAR * cost[1]
         if not last:
+            # first, one centre for each node, the smallest on any of its lists; later, one for each list, another each time
             order = F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node").alias("node"), F.col("label").alias("label")) if t else F.struct("node", "label")
             star = open_.withColumn("c", F.min(order).over(on_list)).filter(F.col("label") != F.col("c.label"))
+            if not t:
+                star = star.groupBy("node").agg(F.min("c").alias("c"))
             pairs = _pairs(star, F.col("node"), F.col("c.node"))
         else:
-            other = open_.select("key", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            pairs = _pairs(open_.join(other, "key").filter("label < label2"), F.col("node"), F.col("node2"))
+            sized = open_.withColumn("m", size)
+            few = sized.filter(F.col("m") <= small).drop("m")
+            other = few.select("key", F.col("node").alias("node2"), F.col("label").alias("label2"))
+            pairs = _pairs(few.join(other, "key").filter("label < label2"), F.col("node"), F.col("node2"))
+            many = _large_lists(sized.filter(F.col("m") > small).join(sketches, "node"), kind, num, den, cell)
+            pairs = pairs.union(_pairs(many, F.col("a"), F.col("b"))).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_verified(pairs, sets, num, den), "links")
-        links = found if links is None else links.union(found)
+        found = stored(_verified(_possible(pairs, sketches, num, den), sets, num, den), "links")
+        more = found.limit(1).count() > 0
+        if more:
+            links = found if links is None else links.union(found)
+            labels = components(links)
         if last:
-            labels = components(links).select("node", "label") if found.limit(1).count() else labels
             break
-        if t and not found.limit(1).count():
-            continue
-        labels = components(links).select("node", "label")
+        left = open_.groupBy("node").agg(F.collect_list("key").alias("keys"))
     out = nodes if labels is None else nodes.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("component_id"))
 

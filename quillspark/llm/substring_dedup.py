@@ -135,9 +135,9 @@ def _merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(count > 1, bitorder="little").tobytes()]})
 
 
-def repeated_cells(docs: DataFrame, window: int, gram: int, cells: int) -> np.ndarray:
-    """Bitmap of the sketch's cells with a count of two or more: DEPTH * cells / 8 bytes."""
-    merged = docs.select("text").mapInPandas(_sketch(window, gram, cells), "chunk long, once binary, more binary").groupBy("chunk").applyInPandas(_merge, "chunk long, bits binary")
+def repeated_cells(sketches: DataFrame, cells: int) -> np.ndarray:
+    """Bitmap of the cells with a count of two or more over all partition sketches: DEPTH * cells / 8 bytes."""
+    merged = sketches.groupBy("chunk").applyInPandas(_merge, "chunk long, bits binary")
     out = np.zeros(DEPTH * cells // 8, np.uint8)
     step = CHUNK // 8
     for r in merged.toLocalIterator():
@@ -229,7 +229,8 @@ def repeated_windows(docs: DataFrame, kind: str, window: int, gram: int) -> Data
     cells = CHUNK
     while cells < MAX_CELLS and cells < size // 12:  # about 10 cells for each minimizer
         cells *= 2
-    shared = spark.sparkContext.broadcast(repeated_cells(docs, window, gram, cells).tobytes())
+    sketches = docs.select("text").mapInPandas(_sketch(window, gram, cells), "chunk long, once binary, more binary")
+    shared = spark.sparkContext.broadcast(repeated_cells(sketches, cells).tobytes())
     rows = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_windows(window, gram, cells, shared), "id string, pos int, count int, g long, hashes array<long>")
     rows = rows.withColumn("id", F.col("id").cast(kind)).withColumn("deal", F.when(F.col("hashes").isNotNull(), F.col("g")).otherwise(F.xxhash64("id", "pos")))
     # one shuffle: both groupings below include the deal column, so its partitioning serves them

@@ -191,10 +191,32 @@ def test_ngram_join_chain_of_near_copies(spark):
     """A hot list whose members link along a chain only: stars, later rounds and the exact rest must find every link."""
     words = [f"v{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(80)]
-    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=90).collect()
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=90, small=2, cell=8).collect()
     assert {r.component_id for r in got} == {0}
 
 
+def test_ngram_join_long_list_without_links(spark):
+    """Many copies of one text, each with edits of its own: no links at 0.9, and two more that do link."""
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for p in rng.sample(range(200), 8):
+            w[p] = f"x{i}_{p}"
+        rows.append((i, " ".join(w)))
+    rows += [(60, rows[7][1] + " tail"), (61, rows[9][1] + " end")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=90, small=2, cell=8).collect()
+    label = {r.doc_id: r.component_id for r in got}
+    assert label[60] == label[7] and label[61] == label[9]
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows}
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                assert label[a] == label[b]
+    assert len(set(label.values())) > 30
+
+
 def test_top_k(spark):
     rng = random.Random(8)
     vecs = [[rng.uniform(-1, 1) for _ in range(8)] for _ in range(300)] + [[0.5] * 8] * 40 + [[], [1.0, 2.0], [0.0] * 8, None, [None, 1.0], [float("nan")] * 8, [float("inf")]]
