@@ -361,7 +361,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         cost = open_.select(((size - 1) / 2).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0.0)), F.count("*")).first()
         if not cost[1]:
             break
-        last = t == ROUNDS or cost[0] <= STAR * cost[1]
+        # links inside a component are many and need no test, so a round around centres always comes first
+        last = t == ROUNDS or (t > 0 and cost[0] <= STAR * cost[1])
         if not last:
             # first, one centre for each node, the smallest on any of its lists; later, one for each list, another each time
             order = F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node").alias("node"), F.col("label").alias("label")) if t else F.struct("node", "label")

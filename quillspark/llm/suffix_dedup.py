@@ -30,15 +30,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shuffles, text_or_empty
+from .common import bitmap_of, in_bitmap, mix, position, shuffles, stored, text_or_empty
 from .substring_dedup import CHUNK, DEPTH, MAX_CELLS, PartitionSketch, _merge, estimated_repeated, sliding_min
 from .suffix_array import permuted_lcp, suffix_array
 
 WINDOW = 50
-GRAM = 25
+GRAM = 16
 BLOCK_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 20
 SEEN = 400_000
+#: Positions in the bitmap of documents that lose bytes: 8 MiB at most.
+BITS = 1 << 26
 
 
 def byte_minimizers(t: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -311,8 +313,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes, n_removed, spans (array of [start, end) removed, maximal), kept (binary)."""
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    joined = base.join(repeated_ranges(base, kind, window, gram), "id", "left").select(F.col("id").cast("string").alias("id"), "text", "ranges")
-    out = joined.mapInPandas(_cut(), "id string, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    ranges = stored(repeated_ranges(base, kind, window, gram), "ranges")
+    # only documents that may lose bytes meet their ranges in a shuffle; the others pass straight through
+    marked = in_bitmap(base, position(BITS, "id"), bitmap_of(ranges, position(BITS, "id")), "hit")
+    losing = marked.filter("hit").join(ranges, "id", "left").select("id", "text", "ranges")
+    whole = marked.filter("NOT hit").select("id", "text", F.lit(None).cast("array<bigint>").alias("ranges"))
+    out = losing.unionByName(whole).withColumn("id", F.col("id").cast("string")).mapInPandas(_cut(), "id string, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "spans", "kept")
 
 
