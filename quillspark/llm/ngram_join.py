@@ -52,7 +52,7 @@ PARTS = 256
 #: Lists up to SMALL are paired by a join; longer ones in blocks of CELL members.
 SMALL, CELL = 16, 512
 BITS = 1 << 26
-BLOCK = 300
+BLOCK = 150
 
 
 class Plan:
@@ -324,7 +324,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     as_text = base.withColumn("id", F.col("id").cast("string"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     cells = CHUNK
-    while cells < MAX_CELLS and cells < size // 3:
+    while cells < MAX_CELLS and cells < size // 6:
         cells *= 2
     counted = as_text.mapInPandas(_sketch_keys(k, num, den, cells), "chunk long, once binary, more binary")
     shared = spark.sparkContext.broadcast(repeated_cells(counted, cells).tobytes())

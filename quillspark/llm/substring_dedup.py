@@ -73,7 +73,7 @@ class PartitionSketch:
     def add(self, values: np.ndarray) -> None:
         self._new.append(values)
         self._size += len(values)
-        if self._size > 2_000_000:
+        if self._size > 1_000_000:
             self._fold()
 
     def _fold(self) -> None:
