@@ -47,7 +47,7 @@ SCAN = 4
 SPARE = 2
 #: Lists with at most so many pairs a row on average are tested pair by pair at once.
 STAR = 8
-ROUNDS = 3
+ROUNDS = 5
 PARTS = 256
 #: Lists up to SMALL are paired by a join; longer ones in blocks of CELL members.
 SMALL, CELL = 16, 512
@@ -364,11 +364,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # links inside a component are many and need no test, so a round around centres always comes first
         last = t == ROUNDS or (t > 0 and cost[0] <= STAR * cost[1])
         if not last:
-            # first, one centre for each node, the smallest on any of its lists; later, one for each list, another each time
+            # one centre for each node and round, the least on any of its lists in an order that changes by round: a round
+            # tests no more pairs than there are nodes
             order = F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node").alias("node"), F.col("label").alias("label")) if t else F.struct("node", "label")
             star = open_.withColumn("c", F.min(order).over(on_list)).filter(F.col("label") != F.col("c.label"))
-            if not t:
-                star = star.groupBy("node").agg(F.min("c").alias("c"))
+            star = star.groupBy("node").agg(F.min("c").alias("c"))
             pairs = _pairs(star, F.col("node"), F.col("c.node"))
         else:
             sized = open_.withColumn("m", size)
