@@ -344,7 +344,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left = stored(shared.groupBy("node").agg(F.collect_list("key").alias("keys")), "lists")
 
     wanted = left.select("node")
-    sketches = first.filter("sketch is not null").select(F.col("id").alias("node"), "n", "sketch").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    # a sketch is with the first row of its set in a task, often not the one that names the node
+    sketched = first.filter("sketch is not null").select("id", "n", "sketch")
+    source = sketched.select("id").join(to_node, "id").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi")
+    sketches = sketched.join(source, "id").dropDuplicates(["id", "node"]).select("node", "n", "sketch")
     sketches = stored(sketches, "sketches")
     marked = in_bitmap(base, position(BITS, "id"), bitmap_of(wanted, position(BITS, "node")), "wanted")
     sets = marked.filter("wanted").select(F.col("id").cast("string").alias("id"), "text").mapInPandas(_sets(k), "id string, set array<long>")

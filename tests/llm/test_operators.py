@@ -195,6 +195,18 @@ def test_ngram_join_chain_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_ngram_join_copies_in_descending_order(spark):
+    """The row that names a set of equal copies is the last its task meets."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        w = [f"g{g}x{rng.randrange(10**6)}" for _ in range((5, 12, 40, 90, 150, 300)[g])]
+        rows += [(100 * g + 9, " ".join(w)), (100 * g + 5, " \n".join(w).upper()), (100 * g + 2, " ".join(w)), (100 * g + 40, " ".join([*w, "end"]))]
+    table = spark.createDataFrame(sorted(rows, reverse=True), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(table, k=1, num=80, den=100).collect()}
+    assert got == {i: i // 100 * 100 + 2 for i, _ in rows}
+
+
 def test_ngram_join_long_list_without_links(spark):
     """Many copies of one text, each with edits of its own: no links at 0.9, and two more that do link."""
     rng = random.Random(9)
