@@ -3,9 +3,10 @@
 Markup is stripped to lines, one per block element. Each line weighs the characters it has outside links, or nothing
 where an ancestor is page furniture (navigation, page header, footer, aside, form, dialog, or a class or id that says
 so) or hidden. Weights are summed over a sliding window of lines; text surges where a window's sum passes a threshold
-and dives where the sum falls to it again, and the lines between a surge and its dive are the text. If the page marks
-its article (``article``, ``main`` or role=main), only lines inside weigh anything, and every such line is kept, short
-ones too; without such a mark, stretches between surge and dive with at least a third of the longest one's weight are.
+and dives where the sum falls to it again, and the lines between a surge and its dive are the text, of stretches with
+at least a third of the longest one's weight. Where the page marks its article, the mark is a weight: a line inside
+``article`` surges by itself, short ones too, and so does one inside ``main`` or role=main that has text outside links.
+Text outside the mark is kept if it surges by itself.
 
 One pass over each page, row by row in Arrow batches: no shuffle, and memory is one batch.
 
@@ -56,19 +57,19 @@ WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Page:
-    """Lines of one page: text, weight, whether it may be kept at all, whether it lies in the marked article."""
+    """Lines of one page: text, weight, whether it may be kept at all, the mark it lies in: 2 article, 1 main, 0 none."""
 
     def __init__(self, source: str):
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
         self._parts: list[str] = []
         self._linked = 0
         self._link_depth = 0
-        self._stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
+        self._stack: list[tuple[str, bool, int]] = []  # name, furniture, article
         self._parse(source)
         self._flush()
 
-    def _state(self) -> tuple[bool, bool]:
-        return self._stack[-1][1:] if self._stack else (False, False)
+    def _state(self) -> tuple[bool, int]:
+        return self._stack[-1][1:] if self._stack else (False, 0)
 
     def _flush(self) -> None:
         if self._parts:
@@ -150,7 +151,8 @@ class Page:
             return at
         furniture, article = self._state()
         marked = name in ARTICLE or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs, re.I) is not None
-        self._stack.append((name, furniture or self._furniture(name, attrs, article or marked), article or marked))
+        article = max(article, 2 if name == "article" else int(marked))
+        self._stack.append((name, furniture or self._furniture(name, attrs, article > 0), article))
         return at
 
     def _close(self, name: str) -> None:
@@ -162,12 +164,15 @@ class Page:
 
 
 def main_lines(page: Page, window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    lines = page.lines
-    if any(article and allowed for _, _, allowed, article in lines):
-        return [text for text, _, allowed, article in lines if allowed and article]
+    lines, half = page.lines, window // 2
     weights = [w for _, w, _, _ in lines]
-    sums = [sum(weights[max(0, i - window // 2) : i + window // 2 + 1]) for i in range(len(lines))]
-    limit = min(surge, max(sums, default=0) // 2)
+    marked = [allowed and article > 0 for _, _, allowed, article in lines]
+    strong = [m and (line[3] > 1 or line[1] > 0) for m, line in zip(marked, lines, strict=True)]
+    # text outside the mark has to surge by itself: its windows pass over what is marked
+    plain = [0 if m else w for m, w in zip(marked, weights, strict=True)]
+    sums = [sum(plain[max(0, i - half) : i + half + 1]) for i in range(len(lines))]
+    limit = surge if any(strong) else min(surge, max(sums, default=0) // 2)
+    sums = [limit + 1 if held else x for held, x in zip(strong, sums, strict=True)]
     stretches, start = [], None
     for i, x in enumerate([*sums, 0]):
         if start is None and x > limit:  # surge
@@ -179,8 +184,8 @@ def main_lines(page: Page, window: int = WINDOW, surge: int = SURGE) -> list[str
     most = max(totals, default=0)
     out = []
     for (a, b), total in zip(stretches, totals, strict=True):
-        if total and total >= most * SHARE:
-            held = [i for i in range(a, b) if weights[i]]
+        if total and total >= most * SHARE or any(strong[a:b]):
+            held = [i for i in range(a, b) if weights[i] or strong[i]]
             out += [lines[i][0] for i in range(held[0], held[-1] + 1) if lines[i][2]]
     return out
 

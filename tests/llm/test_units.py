@@ -149,3 +149,12 @@ def test_html_structures():
     assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == main_text("<script>never closed") == ""
     bare = "<div class=menu><a href=x>Home</a></div><p>" + "word " * 40 + "</p><p>short</p><p>" + "more " * 30 + "</p><div><a href=z>link one</a></div><p>© 2020</p>"
     assert main_text(bare) == "\n".join([("word " * 40).strip(), "short", ("more " * 30).strip()])
+
+
+def test_html_surge_and_dive_beside_a_marked_article():
+    body = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    plain = "<body><div class=nav><a href=x>Home</a></div>" + "".join(f"<div><p>{x}</div>" for x in body) + "<article><h3>Teaser</h3></article><div>short line</div></body>"
+    assert main_text(plain) == "\n".join([*body, "Teaser"])
+    links = "".join(f"<li><a href={i}>Link number {i}</a>" for i in range(9))
+    assert main_text(f"<main><h1>Head</h1><p>{body[0]}</p><ul>{links}</ul></main>") == "Head\n" + body[0]
+    assert main_text(f"<main><article><h1><a href=x>Head</a></h1><p>{body[0]}</p><p>end</p></article></main>") == f"Head\n{body[0]}\nend"
