@@ -2,9 +2,11 @@
 
 Markup is stripped to lines, one per block element. Each line weighs the characters it has outside links, or nothing
 where an ancestor is page furniture (navigation, page header, footer, aside, form, dialog, or a class or id that says
-so) or hidden. Weights are summed over a sliding window of lines; text surges where a window's sum passes a threshold
-and dives where the sum falls to it again, and the lines between a surge and its dive are the text, of stretches with
-at least a third of the longest one's weight. Where the page marks its article, the mark is a weight: a line inside
+so) or hidden. A class or id says so by its last word (``main-sidebar``), or by its first where only words of
+layout follow (``nav-list``); ``has-sidebar`` and ``social-policy`` don't, and a form around a marked article is no
+furniture. Weights are summed over a sliding window of lines; text surges where a window's sum passes a threshold
+and dives where the sum falls to it again. The text is every line from the first surge to the last dive that is no
+furniture, however short. Where the page marks its article, the mark is a weight: a line inside
 ``article`` surges by itself, short ones too, and so does one inside ``main`` or role=main that has text outside links.
 Text outside the mark is kept if it surges by itself.
 
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 60
-SHARE = 1 / 3
 
 # Element names of HTML by role.
 RAW = frozenset("script style title textarea noscript iframe template svg math object audio video canvas select button noembed noframes".split())
@@ -45,8 +46,17 @@ FURNITURE_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments reply replies respond disqus form search pagination pager skip toolbar "
     "copyright disclaimer".split()
 )
+#: Words of layout: after a word of furniture they leave it furniture.
+LAYOUT_WORDS = frozenset(
+    "active area bar block body bottom box btn button buttons center col column container content contents count group head heading hidden icon icons "
+    "inline inner item items left link links list main outer panel primary right row secondary section slot thread title top unit widget widgets wrap wrapper".split()
+)
+#: A name that begins with one of these speaks of the page's state.
+STATE_WORDS = frozenset("has have with without no not is hide show".split())
 PAGE_HEADER_WORDS = frozenset("header masthead topbar".split())
 ARTICLE = frozenset("article main".split())
+#: Furniture that a marked article inside ends.
+FORM = 1
 #: A start tag of these ends an open p.
 CLOSES_P = BLOCK - {"option", "caption", "tbody", "tfoot", "thead", "tr", "legend"}
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "option": ()}
@@ -56,6 +66,19 @@ ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
+def named(value: str, words: frozenset[str]) -> bool:
+    """Whether a class or id attribute has a name that means one of ``words`` rather than merely containing it."""
+    for name in value.split():
+        parts = [w.lower() for w in WORDS.findall(name) if len(w) > 1]
+        if not parts or parts[0] in STATE_WORDS:
+            continue
+        while len(parts) > 1 and parts[-1] in LAYOUT_WORDS and parts[-1] not in words:
+            parts.pop()
+        if parts[-1] in words or (parts[0] in words and all(w in LAYOUT_WORDS for w in parts[1:])):
+            return True
+    return False
+
+
 class Page:
     """Lines of one page: text, weight, whether it may be kept at all, the mark it lies in: 2 article, 1 main, 0 none."""
 
@@ -64,12 +87,12 @@ class Page:
         self._parts: list[str] = []
         self._linked = 0
         self._link_depth = 0
-        self._stack: list[tuple[str, bool, int]] = []  # name, furniture, article
+        self._stack: list[tuple[str, int, int]] = []  # name, furniture (0: none), mark
         self._parse(source)
         self._flush()
 
-    def _state(self) -> tuple[bool, int]:
-        return self._stack[-1][1:] if self._stack else (False, 0)
+    def _state(self) -> tuple[int, int]:
+        return self._stack[-1][1:] if self._stack else (0, 0)
 
     def _flush(self) -> None:
         if self._parts:
@@ -102,8 +125,7 @@ class Page:
             if key == "role" and value.strip().lower() in FURNITURE_ROLES:
                 return True
             if key in ("class", "id"):
-                words = {w.lower() for w in WORDS.findall(value)}
-                if words & FURNITURE_WORDS or (not inside and words & PAGE_HEADER_WORDS):
+                if named(value, FURNITURE_WORDS) or (not inside and named(value, PAGE_HEADER_WORDS)):
                     return True
         return False
 
@@ -152,7 +174,11 @@ class Page:
         furniture, article = self._state()
         marked = name in ARTICLE or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs, re.I) is not None
         article = max(article, 2 if name == "article" else int(marked))
-        self._stack.append((name, furniture or self._furniture(name, attrs, article > 0), article))
+        if marked and furniture == FORM:
+            furniture = 0
+        if self._furniture(name, attrs, article > 0):
+            furniture = max(furniture, FORM if name == "form" else FORM + 1)
+        self._stack.append((name, furniture, article))
         return at
 
     def _close(self, name: str) -> None:
@@ -173,21 +199,10 @@ def main_lines(page: Page, window: int = WINDOW, surge: int = SURGE) -> list[str
     sums = [sum(plain[max(0, i - half) : i + half + 1]) for i in range(len(lines))]
     limit = surge if any(strong) else min(surge, max(sums, default=0) // 2)
     sums = [limit + 1 if held else x for held, x in zip(strong, sums, strict=True)]
-    stretches, start = [], None
-    for i, x in enumerate([*sums, 0]):
-        if start is None and x > limit:  # surge
-            start = i
-        elif start is not None and x <= limit:  # dive
-            stretches.append((start, i))
-            start = None
-    totals = [sum(weights[a:b]) for a, b in stretches]
-    most = max(totals, default=0)
-    out = []
-    for (a, b), total in zip(stretches, totals, strict=True):
-        if total and total >= most * SHARE or any(strong[a:b]):
-            held = [i for i in range(a, b) if weights[i] or strong[i]]
-            out += [lines[i][0] for i in range(held[0], held[-1] + 1) if lines[i][2]]
-    return out
+    up = [i for i, x in enumerate(sums) if x > limit and (weights[i] or strong[i])]
+    if not up:
+        return []
+    return [text for text, _, allowed, _ in lines[up[0] : up[-1] + 1] if allowed]  # first surge to last dive
 
 
 def main_text(source: str | None) -> str:

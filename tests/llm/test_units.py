@@ -158,3 +158,15 @@ def test_html_surge_and_dive_beside_a_marked_article():
     links = "".join(f"<li><a href={i}>Link number {i}</a>" for i in range(9))
     assert main_text(f"<main><h1>Head</h1><p>{body[0]}</p><ul>{links}</ul></main>") == "Head\n" + body[0]
     assert main_text(f"<main><article><h1><a href=x>Head</a></h1><p>{body[0]}</p><p>end</p></article></main>") == f"Head\n{body[0]}\nend"
+
+
+def test_html_keeps_all_that_is_no_furniture():
+    text = [" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("abc", (900, 60, 60), strict=True)]
+    for name in ("layout has-sidebar", "social-policy", "form-page"):
+        assert main_text(f"<div class='{name}'><article><p>{text[1]}</p></article></div>") == main_text(f"<div class='{name}'><p>{text[1]}</p></div>") == text[1]
+    assert main_text(f"<form action=x><main><p>{text[1]}</p></main></form>") == text[1]
+    for name in ("main-sidebar", "siteNav", "nav__item--active", "comment-list", "ad-slot-3", "page-header"):
+        assert main_text(f"<div id='{name}'><p>{text[1]}</p></div><p>{text[2]}</p>") == text[2]
+    items = [f"item {i}" for i in range(12)]
+    listed = "".join(f"<li>{x}" for x in items)
+    assert main_text(f"<p>{text[0]}</p><ul>{listed}</ul><p>{text[1]}</p>") == "\n".join([text[0], *items, text[1]])
