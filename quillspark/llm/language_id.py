@@ -6,8 +6,9 @@ low cross entropy between text and language. Matching runs over lower-cased lett
 ends, so a phrase never crosses a word boundary and a word's phrase counts can be remembered between texts.
 
 Training rows are a bounded sample: per label, rows in hash order until ``sample_chars`` characters; each language
-then keeps the distinct words of that sample. ``sample_chars`` is the documented bound (300,000 characters), and
-``languages`` (64, the most frequent) bounds the number of automata; every row is predicted, over its whole text.
+then keeps the distinct words of that sample. ``sample_chars`` is the documented bound (300,000 characters). Every label is
+learned: ``total_chars`` (19,200,000, so 64 full samples) is shared out evenly where there are more, and bounds the
+automata together; every row is predicted, over its whole text.
 
 Prediction never sees lang, source or id. Defined results: null text, or one without a letter: ``und``, score 0;
 no labelled row at all: every text is ``und``; ties go to the language whose sample has
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import P
 
 SAMPLE_CHARS = 300_000
-LANGUAGES = 64
+TOTAL_CHARS = 64 * SAMPLE_CHARS
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -93,8 +94,8 @@ class SuffixAutomaton:
         return count + (state != 0)
 
 
-def training_words(rows: DataFrame, text: str, label: str, id_col: str, sample_chars: int, languages: int) -> dict[str, list[str]]:
-    """Distinct words of each label's sample, collected: at most languages * sample_chars characters.
+def training_words(rows: DataFrame, text: str, label: str, id_col: str, sample_chars: int, total_chars: int) -> dict[str, list[str]]:
+    """Distinct words of each label's sample, collected: at most total_chars characters, but a word a label at least.
 
     Rows are ranked by a hash of their id inside hashed cells, so no task sorts a whole label; a first look at the
     (label, cell) lengths picks the cells that fill the sample.
@@ -103,18 +104,20 @@ def training_words(rows: DataFrame, text: str, label: str, id_col: str, sample_c
     base = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(cells)).alias("cell")
     )
-    sizes = base.groupBy("label", "cell").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("k"))
-    top = sizes.groupBy("label").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "label").limit(languages)
-    before = Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = sizes.join(top.select("label"), "label").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < sample_chars)
-    last = {r["label"]: r["cell"] for r in chosen.groupBy("label").agg(F.max("cell").alias("cell")).collect()}
+    labels = base.select("label").distinct().count()
     out: dict[str, list[str]] = {}
-    if not last:
+    if not labels:
         return out
-    limit = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in last.items()], F.lit(-1))
-    piece = base.filter(F.col("cell") <= limit).select("label", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(1, 40))
+    chars = min(sample_chars, total_chars // labels)
+    sizes = base.groupBy("label", "cell").agg(F.sum(F.length("text")).alias("n"))
+    before = Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter((F.col("before") == 0) | (F.col("before") < chars))
+    last = chosen.groupBy("label").agg(F.max("cell").alias("last"))
+    sample = base.join(F.broadcast(last), "label").filter(F.col("cell") <= F.col("last"))
+    piece = sample.select("label", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(1, 40))
     words = piece.groupBy("label", "word").agg(F.count("*").alias("k"))
-    ranked = words.withColumn("used", F.sum(F.length("word") + 2).over(Window.partitionBy("label").orderBy(F.desc("k"), "word"))).filter(F.col("used") <= sample_chars)
+    by_use = Window.partitionBy("label").orderBy(F.desc("k"), "word")
+    ranked = words.withColumn("used", F.sum(F.length("word") + 2).over(by_use)).withColumn("rank", F.row_number().over(by_use)).filter((F.col("used") <= chars) | (F.col("rank") == 1))
     for r in ranked.orderBy("label", F.desc("k"), "word").select("label", "word").collect():
         out.setdefault(r["label"], []).append(r["word"])
     return out
@@ -193,8 +196,8 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> dict[str, list[str]]:
-    return training_words(docs.filter(~held_out(F.col(id_col))), text_col, lang_col, id_col, sample_chars, languages)
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> dict[str, list[str]]:
+    return training_words(docs.filter(~held_out(F.col(id_col))), text_col, lang_col, id_col, sample_chars, total_chars)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -133,6 +133,19 @@ def test_language_id(spark, docs, rows, empty):
     assert {r[f"{P}lang"].lang_pred for r in language_id.predict(unlabelled, language_id.train(unlabelled)).collect()} == {"und"}
 
 
+def test_language_id_learns_rare_labels(spark):
+    """More labels than full samples, in skewed counts: the rarest is learned too."""
+    rng = random.Random(3)
+    vocabulary = [["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)] for _ in range(70)]
+    rows = [(f"l{k:02}", " ".join(rng.sample(vocabulary[k], 12))) for k in range(70) for _ in range(12 if k % 2 else 20)]
+    table = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = language_id.predict(table, language_id.train(table)).collect()
+    assert len(got) == len(rows) and all(r[f"{P}lang"].lang_pred == r.lang for r in got)
+    small = language_id.train(table, total_chars=70 * 36)
+    assert len(small) == 70 and sum(len(w) + 2 for words in small.values() for w in words) <= 70 * 36
+    assert len(language_id.train(table, total_chars=1)) == 70
+
+
 def test_language_id_held_out_accuracy(spark):
     from pathlib import Path
 
