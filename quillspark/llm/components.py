@@ -9,7 +9,7 @@ from .common import forget, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (node, label): the smallest node of each node's component, for nodes that have an edge.
+    """edges (a, b) -> (node, label), stored: the smallest node of each node's component, for nodes that have an edge.
 
     Each round takes the smallest label among a node and its neighbours, then follows that label once (pointer
     jumping), so the rounds needed grow with the logarithm of a component's diameter. Minima combine map-side, so a
@@ -28,4 +28,4 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after
         if not changed:
             forget(both)
-            return after.select("node", "label")
+            return after

@@ -5,27 +5,31 @@ so each light set enumerates its subsets of every size an allowed partner can ov
 lists. B is the largest size at which enumerating costs no more than the list entries of a set, times SCAN; see
 :class:`Plan`. Sets near B take part in both, so pairs across B are met.
 
-A list's key is not a single shingle: one common passage would then put a third of all documents on a list. The
-universe of shingles is cut by hash into p classes, and a list is keyed by (class, the shingles of the set in that
-class). Linked sets differ in at most H shingles, so with p = H + 1 + E classes at least 1 + E classes agree exactly,
-and one of those is not empty unless a set has more than E empty classes, which then get a list of their own. No
-linked pair is lost, and a common passage fills a whole class only in documents that consist of it.
-
-Work inside a list never squares. Equal sets are one node from the start (one per task before the shuffle). Each node
-is first held against one centre of its lists; verified links give components; only lists that still hold several
-components are looked at again, with other centres, and in the end the untested pairs between different components,
+A large set of n shingles is on the lists of its n - ceil(tn) + 1 first shingles in one order of all shingles, rare
+ones first: two sets with a Jaccard of t or more always share one of those. The order is (level, hash); a shingle's
+level is the logarithm of its count over all documents, from a count-min sketch of half a byte a cell, 64 MiB at most. So
+common passages come last and their lists stay empty unless a set holds little else. A shingle that the sketch counts
+once is in one set only and gets no list; a set with n - ceil(tn) + 1 of those can't be linked and ends there.
+Wrong estimates change the order alone, which is the same for all sets, so no linked pair is lost.
+
+Work inside a list never squares. Equal sets are one node from the start (one per task before the shuffle). In each
+round a node is held against one centre of its lists; links give components, and only lists that still hold several
+components are looked at again, with other centres. In the end come the untested pairs between different components,
 which is the exact way for what is left: long lists are compared there block against block by sketch, and only pairs
 that may be linked leave the task. Links inside a component need no test: the result is components.
 
-Scale: texts are read three times and never shuffled. A first pass counts list keys in a count-min sketch (64 MiB at
-most), so keys that one set alone has are never dealt; candidates come back to the last scan as a bitmap of 8 MiB at
-most; (list key, id) pairs are shuffled once. A pair is first held against sizes
-and 256-byte sketches, whose differing bytes bound the difference of the sets from below, so whole sets move only for
-pairs that can be linked.
+Scale: texts are read three times and never shuffled. Counts leave a task as 2 to 3 bytes a shingle; list entries are
+what the order leaves. Nodes come back to the last scan as a bitmap of 8 MiB at most. What a list says of itself (size,
+labels, centre) is an aggregate with map-side combine, joined back from a stored table, so a list with a third of all
+sets is split. Pairs are held against sizes, positions (what can still overlap behind the shared shingle) and 256-byte
+sketches, whose differing bytes bound the difference of the sets from below, before whole sets move.
+
+Shingles are 64-bit hashes of 64-bit word hashes: within a pair of n shingles a false match has odds of n * n / 2**64.
+Equal sets are recognised by 128 bits.
 
 Defined results: null text, empty text and text without words are empty sets, linked with nothing; fewer words than
-a shingle make one shingle; repeated rows are equal sets and share a component; an empty table gives an empty result;
-extra columns are ignored.
+a shingle make one shingle; rows that repeat an id with another text are documents of their own; repeated rows are
+equal sets and share a component; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,85 +40,153 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap_of, gram_hashes, in_bitmap, mix, position, shuffles, stored, text_or_empty
+from .common import bitmap_of, forget, gram_hashes, in_bitmap, mix, position, shuffles, stored, text_or_empty
 from .components import components
-from .substring_dedup import CHUNK, MAX_CELLS, PartitionSketch, estimated_repeated, repeated_cells
+from .words import text_words
 
-SCAN = 4
-SPARE = 2
+SCAN = 10
 #: Lists with at most so many pairs a row on average are tested pair by pair at once.
 STAR = 8
 ROUNDS = 5
 PARTS = 256
 #: Lists up to SMALL are paired by a join; longer ones in blocks of CELL members.
-SMALL, CELL = 16, 512
+SMALL, CELL = 16, 2048
 BITS = 1 << 26
-BLOCK = 150
+#: Documents handled together, sets a task remembers.
+BLOCK, SEEN = 400, 100_000
+#: Cells of the count sketch: at most 2**27, half a byte each; sent in chunks.
+MAX_CELLS, CHUNK, FOLD = 1 << 27, 1 << 16, 1 << 22
 
 
 class Plan:
-    """Sizes, classes and the light-heavy boundary for Jaccard >= num / den."""
+    """Sizes and the light-heavy boundary for Jaccard >= num / den."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.light = 0
-        self._edges: list[int] = []
-        self._grow(2)
-        while self.light_cost(self.light + 1) <= SCAN * self.heavy_cost(self.light + 1):
+        self.num, self.den, self.light = num, den, 0
+        while self.light_cost(self.light + 1) <= SCAN * self.lists(self.light + 1):
             self.light += 1
-        self.heavy_from = max(1, -(-num * (self.light + 1) // den))
-        self._edges = [self.heavy_from]
-        self._grow(self.heavy_from)
-
-    def _grow(self, n: int) -> None:
-        """Size classes [edge k, edge k + 1): a set's partners lie in its own class or the next."""
-        if not self._edges:
-            self._edges = [1]
-        while self._edges[-1] <= n:
-            self._edges.append(self._edges[-1] * self.den // self.num + 1)
-
-    def size_class(self, n: int) -> int:
-        self._grow(n)
-        return int(np.searchsorted(self._edges, n, side="right")) - 1
-
-    def classes(self, k: int) -> tuple[int, int]:
-        """(p, E) of size class k; its pairs differ in at most top * (den - num) / num shingles."""
-        top = self._edges[k + 1] - 1
-        differ = top * (self.den - self.num) // self.num
-        spare = SPARE + differ // 256
-        return differ + 1 + spare, spare
-
-    def overlaps(self, n: int) -> range:
+        #: The smallest partner of a set above the boundary: sets from here on scan lists.
+        self.heavy_from = max(1, self.overlap(self.light + 1))
+
+    def overlap(self, n: int) -> int:
+        """The least overlap of a set of n with a linked set."""
+        return -(-self.num * n // self.den)
+
+    def lists(self, n: int) -> int:
+        return n - self.overlap(n) + 1
+
+    def subsets(self, n: int) -> range:
         """Sizes of the overlap of a set of n with any linked set, of those up to n."""
-        return range(max(1, -(-self.num * n // self.den)), n + 1)
+        return range(max(1, self.overlap(n)), n + 1)
 
     def light_cost(self, n: int) -> int:
-        return sum(comb(n, c) for c in self.overlaps(n))
+        return sum(comb(n, c) for c in self.subsets(n))
+
+
+# ------------------------------------------------------------------ shingles and their counts
+
+
+def shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts, text by text and with repeats, and the number of the text each belongs to."""
+    words, bounds = text_words([t.encode() for t in texts], lower=True)
+    counts = np.diff(bounds)
+    of_word = np.repeat(np.arange(len(texts)), counts)
+    h = gram_hashes(words, k, seed=4)
+    inside = of_word[: len(h)] == of_word[k - 1 :] if len(h) else np.zeros(0, bool)
+    h, owner = h[inside], of_word[: len(inside)][inside]
+    parts, owners = [h], [owner]
+    for c in range(1, k):
+        few = np.flatnonzero(counts == c)
+        if len(few):
+            parts.append(gram_hashes(words, c, seed=4)[bounds[few]])
+            owners.append(few)
+    if len(parts) > 1:
+        h, owner = np.concatenate(parts), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        h, owner = h[order], owner[order]
+    return h, owner
+
+
+def _count(k: int, cells: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """chunk, cells hit once, cells hit more, and how often (255 at most): partial counts, FOLD shingles at a time."""
+
+    def fold(parts: list[np.ndarray]) -> pd.DataFrame:
+        at = np.sort(np.concatenate(parts))
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        n, at = np.diff(np.r_[first, len(at)]), at[first]
+        chunks = at // np.uint32(CHUNK)
+        cuts = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]])
+        off, out = (at % np.uint32(CHUNK)).astype("<u2"), []
+        for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            more = n[lo:hi] > 1
+            out.append((int(chunks[lo]), off[lo:hi][~more].tobytes(), off[lo:hi][more].tobytes(), np.minimum(n[lo:hi][more], 255).astype(np.uint8).tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "once", "more", "times"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
+        for pdf in batches:
+            for lo in range(0, len(pdf), BLOCK):
+                h, _ = shingles(pdf["text"].iloc[lo : lo + BLOCK].tolist(), k)
+                if len(h):
+                    parts.append((h & np.uint64(cells - 1)).astype(np.uint32))
+                    size += len(h)
+                if size > FOLD:
+                    yield fold(parts)
+                    parts, size = [], 0
+        if parts:
+            yield fold(parts)
+
+    return run
+
+
+def _levels(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    count = np.zeros(CHUNK, np.int64)
+    for pdf in parts:
+        for once, more, times in zip(pdf["once"], pdf["more"], pdf["times"], strict=True):
+            count[np.frombuffer(once, "<u2")] += 1
+            count[np.frombuffer(more, "<u2")] += np.frombuffer(times, np.uint8)
+    if (count > 1).any():
+        level = np.minimum(15, np.ceil(np.log2(np.maximum(count, 1)))).astype(np.uint8)
+        yield pd.DataFrame({"chunk": [key[0]], "levels": [(level[::2] | level[1::2] << 4).tobytes()]})
+
+
+def count_levels(as_text: DataFrame, k: int, size: int) -> tuple[int, bytes]:
+    """Cells of the sketch, and the level of each: 0 where at most one shingle falls, else the logarithm of the count."""
+    cells = CHUNK
+    while cells < MAX_CELLS and cells < size // 6:
+        cells *= 2
+    counted = as_text.select("text").mapInPandas(_count(k, cells), "chunk long, once binary, more binary, times binary")
+    out, step = np.zeros(cells // 2, np.uint8), CHUNK // 2
+    for r in counted.groupBy("chunk").applyInPandas(_levels, "chunk long, levels binary").toLocalIterator():
+        out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(bytes(r["levels"]), np.uint8)
+    return cells, out.tobytes()
+
 
-    def heavy_cost(self, n: int) -> int:
-        k = self.size_class(n)
-        return self.classes(k)[0] + (self.classes(k - 1)[0] if k else 0)
+def level_of(h: np.ndarray, levels: np.ndarray, cells: int) -> np.ndarray:
+    at = (h & np.uint64(cells - 1)).astype(np.int64)
+    return levels[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
 
 
 # ------------------------------------------------------------------ sets and list keys
 
 
-def shingles(text: str, k: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct shingle hashes in ascending order."""
-    words = hashes.of(text.encode().lower().split())
-    if not len(words):
-        return words
-    return np.unique(gram_hashes(words, min(k, len(words)), seed=4))
+def distinct(h: np.ndarray, owner: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Mask that leaves each text's shingles once. Only those in ``repeated`` can occur twice."""
+    at = np.flatnonzero(repeated)
+    at = at[np.lexsort((h[at], owner[at]))]
+    keep = np.ones(len(h), bool)
+    keep[at[1:][(h[at[1:]] == h[at[:-1]]) & (owner[at[1:]] == owner[at[:-1]])]] = False
+    return keep
 
 
 def light_keys(s: np.ndarray, plan: Plan) -> np.ndarray:
-    """Hashes of the subsets of every size in plan.overlaps: sums over the set less what is left out."""
+    """Hashes of the subsets of every size in plan.subsets: sums over the set less what is left out."""
     m = mix(s ^ np.uint64(0x5851F42D4C957F2D))
     total, out = m.sum(dtype=np.uint64), []
-    for c in plan.overlaps(len(s)):
+    for c in plan.subsets(len(s)):
         gone = len(s) - c
         sums = np.array([[total]], np.uint64) if not gone else None
         if sums is None:
@@ -123,47 +195,18 @@ def light_keys(s: np.ndarray, plan: Plan) -> np.ndarray:
     return np.concatenate(out)
 
 
-def heavy_keys(sets: list[np.ndarray], plan: Plan, ks: list[int]) -> list[np.ndarray]:
-    """List keys of many sets at once, each in size class ks[i]."""
-    shape = [plan.classes(k) for k in ks]
-    p = np.array([x[0] for x in shape], np.int64)
-    base = np.r_[0, np.cumsum(p)]
-    lens = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), lens)
-    part = (mix(flat ^ np.uint64(0xD1342543DE82EF95)) % p[owner].astype(np.uint64)).astype(np.int64)
-    at = base[owner] + part
-    sums = np.zeros(base[-1], np.uint64)
-    np.add.at(sums, at, mix(flat))
-    filled = np.bincount(at, minlength=base[-1]) > 0
-    which = np.repeat(np.arange(len(sets)), p)
-    tag = (np.array(ks, np.uint64) << np.uint64(32))[which] + (np.arange(base[-1]) - base[which]).astype(np.uint64)
-    keys = mix(sums + mix(tag))
-    out = []
-    for i, (count, spare) in enumerate(shape):
-        lo, hi = base[i], base[i + 1]
-        own = keys[lo:hi][filled[lo:hi]]
-        if count - len(own) > spare:
-            own = np.r_[own, mix(np.array([ks[i] + (1 << 62)], np.uint64))]
-        out.append(own)
-    return out
-
-
-def list_keys(sets: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
-    out: list[list[np.ndarray]] = [[] for _ in sets]
-    for i, s in enumerate(sets):
-        if 0 < len(s) <= plan.light:
-            out[i].append(light_keys(s, plan))
-    big = [i for i, s in enumerate(sets) if len(s) >= plan.heavy_from]
-    if big:
-        own = [plan.size_class(len(sets[i])) for i in big]
-        for i, keys in zip(big, heavy_keys([sets[i] for i in big], plan, own), strict=True):
-            out[i].append(keys)
-        lower = [(i, k - 1) for i, k in zip(big, own, strict=True) if k]
-        if lower:
-            for (i, _), keys in zip(lower, heavy_keys([sets[i] for i, _ in lower], plan, [k for _, k in lower]), strict=True):
-                out[i].append(keys)
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+def list_keys(s: np.ndarray, level: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set's lists, and the place of each list's shingle in the set's order (0 for subsets)."""
+    keys, places = [], []
+    if len(s) <= plan.light:
+        keys.append(light_keys(s, plan))
+        places.append(np.zeros(len(keys[0]), np.int64))
+    if len(s) >= plan.heavy_from:
+        first = np.lexsort((s, level))[: plan.lists(len(s))]
+        place = np.flatnonzero(level[first] > 0)
+        keys.append(mix(s[first[place]] ^ np.uint64(0xD1342543DE82EF95)))
+        places.append(place)
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -182,63 +225,49 @@ def _differing(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((a != np.frombuffer(b"".join(y), np.uint8).reshape(len(y), PARTS)).sum(axis=1))
 
 
-def _new_sets(texts, k: int, hashes: WordHashes, seen: set) -> tuple[list[np.ndarray], list[tuple[int, int]], list[int]]:
-    """Shingle sets, their 128-bit marks, and which of them this task has not met before."""
-    sets = [shingles(t, k, hashes) for t in texts]
-    marks = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64))) for s in sets]
-    new = []
-    for i, m in enumerate(marks):
-        if len(sets[i]) and m not in seen:
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.add(m)
-            new.append(i)
-    return sets, marks, new
-
-
-def _sketch_keys(k: int, num: int, den: int, cells: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, hashes, seen, counts = Plan(num, den), WordHashes(), set(), PartitionSketch(cells)
-        for pdf in batches:
-            for lo in range(0, len(pdf), BLOCK):
-                sets, _, new = _new_sets(pdf["text"].iloc[lo : lo + BLOCK], k, hashes, seen)
-                for keys in list_keys([sets[i] for i in new], plan):
-                    counts.add(keys)
-        rows = list(counts.rows())
-        for lo in range(0, len(rows), 2000):
-            yield pd.DataFrame(rows[lo : lo + 2000], columns=["chunk", "once", "more"])
-
-    return run
-
-
 def _first_pass(k: int, num: int, den: int, cells: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """id, n, marks, list keys that another set may have too, sketch."""
+    """id, th, n for every text; marks for sets without a shingle of their own; keys and places of sets that may be linked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, hashes, seen, bits = Plan(num, den), WordHashes(), set(), np.frombuffer(shared.value, np.uint8)
+        plan, seen, levels = Plan(num, den), set(), np.frombuffer(shared.value, np.uint8)
         for pdf in batches:
             for lo in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[lo : lo + BLOCK]
-                sets, marks, new = _new_sets(part["text"], k, hashes, seen)
-                keys, sketches = {}, {}
-                for i, x in zip(new, list_keys([sets[i] for i in new], plan), strict=True):
-                    x = x[estimated_repeated(x, bits, cells)]
+                h, owner = shingles(part["text"].tolist(), k)
+                level = level_of(h, levels, cells)
+                keep = distinct(h, owner, level > 0)
+                h, owner, level = h[keep], owner[keep], level[keep]
+                n = np.bincount(owner, minlength=len(part))
+                alone = np.bincount(owner[level == 0], minlength=len(part))
+                bounds = np.r_[0, np.cumsum(n)]
+                s1, s2, keys, places = ([None] * len(part) for _ in range(4))
+                for i in np.flatnonzero((n > 0) & (alone < n + 1 + (-num * n) // den)).tolist():
+                    s, lv = h[bounds[i] : bounds[i + 1]], level[bounds[i] : bounds[i + 1]]
+                    if not alone[i]:
+                        s1[i] = int(mix(s).sum(dtype=np.uint64).view(np.int64))
+                        s2[i] = int(mix(s ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64).view(np.int64))
+                        if (s1[i], s2[i]) in seen:
+                            continue
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add((s1[i], s2[i]))
+                    x, at = list_keys(s, lv, plan)
                     if len(x):
-                        keys[i], sketches[i] = x.view(np.int64), sketch(sets[i])
-                s = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
-                at = range(len(sets))
-                yield pd.DataFrame({"id": part["id"], "n": [len(x) for x in sets], "s1": s[:, 0], "s2": s[:, 1], "keys": [keys.get(i) for i in at], "sketch": [sketches.get(i) for i in at]})
+                        keys[i], places[i] = x.view(np.int64), at.astype(np.int32)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "th": part["th"].to_numpy(), "n": n, "s1": pd.array(s1, "Int64"), "s2": pd.array(s2, "Int64"), "keys": keys, "places": places})
 
     return run
 
 
 def _sets(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for pdf in batches:
             for lo in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[lo : lo + BLOCK]
-                yield pd.DataFrame({"id": part["id"], "set": [shingles(t, k, hashes).view(np.int64) for t in part["text"]]})
+                h, owner = shingles(part["text"].tolist(), k)
+                cut = np.searchsorted(owner, np.arange(1, len(part)))
+                sets = [np.unique(x) for x in np.split(h, cut)]
+                yield pd.DataFrame({"id": part["id"], "th": part["th"], "set": [s.view(np.int64) for s in sets], "sketch": [sketch(s) for s in sets]})
 
     return run
 
@@ -246,46 +275,57 @@ def _sets(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
 # ------------------------------------------------------------------ the join
 
 
-def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that sizes and sketches don't rule out. sketches: node, n, sketch."""
-    one = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+def _sizes_fit(a: str, b: str, num: int, den: int) -> Column:
+    return F.least(a, b) * den >= F.greatest(a, b) * num
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that sizes and sketches don't rule out."""
+    one = sets.select(F.col("node").alias("a"), F.size("set").alias("na"), F.col("sketch").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.size("set").alias("nb"), F.col("sketch").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").filter(_sizes_fit("na", "nb", num, den))
     differ = F.pandas_udf(_differing, "long")
-    return both.filter(differ("x", "y") * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+    return both.filter(differ("x", "y") * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with den * |A n B| >= num * |A u B|."""
-    one = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    """Those of ``pairs`` (a, b, ...) with den * |A n B| >= num * |A u B|."""
+    one = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").withColumn("c", both).filter(F.col("c") * (den + num) >= num * (F.size("x") + F.size("y"))).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").withColumn("c", both).filter(F.col("c") * (den + num) >= num * (F.size("x") + F.size("y"))).select(*pairs.columns)
 
 
 def _compare(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows by (key, i, j): two blocks of one list. Gives the pairs across labels that sizes and sketches leave."""
+    """Rows by (key, i, j): two blocks of one list. Gives the pairs across labels that sizes, places and sketches leave."""
 
     def close(rows: list[tuple]) -> pd.DataFrame:
-        part = pd.DataFrame(rows, columns=["block", "i", "j", "node", "label", "n", "sketch"])
+        part = pd.DataFrame(rows, columns=["block", "i", "j", "id", "th", "label", "n", "place", "sketch"])
+        own = part["i"].iloc[0] == part["j"].iloc[0]
         sides = [part[part["block"] == b] for b in (part["i"].iloc[0], part["j"].iloc[0])]
         bits = [np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), PARTS) for x in sides]
-        n = [x["n"].to_numpy(np.int64) for x in sides]
-        names = [x["node"].to_numpy() for x in sides]
-        labels = [pd.factorize(pd.concat([sides[0]["label"], sides[1]["label"]]))[0]]
-        la, lb = labels[0][: len(n[0])], labels[0][len(n[0]) :]
-        out = []
+        n, place = ([x[c].to_numpy(np.int64) for x in sides] for c in ("n", "place"))
+        labels = pd.factorize(pd.concat([sides[0]["label"], sides[1]["label"]]))[0]
+        la, lb = labels[: len(n[0])], labels[len(n[0]) :]
+        left, right = [], []
         for x in range(len(n[0])):
-            differ = (bits[1] != bits[0][x]).sum(axis=1)
-            ok = (differ * (den + num) <= (n[1] + n[0][x]) * (den - num)) & (lb != la[x])
-            ok &= np.minimum(n[1], n[0][x]) * den >= np.maximum(n[1], n[0][x]) * num
-            out += [(names[0][x], y) for y in names[1][ok]]
-        return pd.DataFrame(out, columns=["a", "b"])
+            both = n[1] + n[0][x]
+            ok = (lb != la[x]) & (np.minimum(n[1], n[0][x]) * den >= np.maximum(n[1], n[0][x]) * num)
+            ok &= np.minimum(n[1] - place[1], n[0][x] - place[0][x]) * (den + num) >= num * both
+            if own:
+                ok[: x + 1] = False
+            at = np.flatnonzero(ok)
+            if len(at):
+                at = at[(bits[1][at] != bits[0][x]).sum(axis=1) * (den + num) <= both[at] * (den - num)]
+            left += [x] * len(at)
+            right += at.tolist()
+        one, two = sides[0].iloc[left], sides[1].iloc[right]
+        return pd.DataFrame({"a_id": one["id"].to_numpy(), "a_th": one["th"].to_numpy(), "b_id": two["id"].to_numpy(), "b_th": two["th"].to_numpy()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
         for pdf in batches:
-            for row in zip(pdf["key"].tolist(), pdf["i"].tolist(), pdf["j"].tolist(), pdf["block"].tolist(), pdf["node"], pdf["label"], pdf["n"].tolist(), pdf["sketch"], strict=True):
+            for row in zip(pdf["key"].tolist(), pdf["i"].tolist(), pdf["j"].tolist(), pdf["block"].tolist(), pdf["id"], pdf["th"].tolist(), pdf["label"], pdf["n"].tolist(), pdf["place"].tolist(), pdf["sketch"], strict=True):
                 if row[:3] != at:
                     if held:
                         yield close(held)
@@ -298,7 +338,7 @@ def _compare(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[
 
 
 def _large_lists(rows: DataFrame, kind: str, num: int, den: int, cell: int) -> DataFrame:
-    """Pairs (a, b) of long lists that may be linked. rows: key, node, label, m, n, sketch.
+    """Pairs (a, b) of long lists that may be linked. rows: key, node, label, m, n, place, sketch.
 
     A list is cut into blocks of about ``cell`` members and each pair of blocks is compared in one place, by sketch;
     only pairs that pass leave it, so what moves grows with members times blocks and not with pairs.
@@ -306,94 +346,126 @@ def _large_lists(rows: DataFrame, kind: str, num: int, den: int, cell: int) -> D
     blocks = F.ceil(F.col("m") / cell).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cells = rows.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", F.col("node").cast("string").alias("node"), F.col("label").cast("string").alias("label"), "n", "sketch")
+    label = F.concat_ws(":", F.col("label.id").cast("string"), F.col("label.th").cast("string"))
+    cells = cells.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", F.col("node.id").cast("string").alias("id"), F.col("node.th").alias("th"), label.alias("label"), "n", "place", "sketch")
     cells = cells.repartition(max(8, shuffles(rows.sparkSession)), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    out = cells.mapInPandas(_compare(num, den), "a string, b string")
-    return out.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    out = cells.mapInPandas(_compare(num, den), "a_id string, a_th long, b_id string, b_th long")
+    return out.select(*[F.struct(F.col(f"{x}_id").cast(kind).alias("id"), F.col(f"{x}_th").alias("th")).alias(x) for x in "ab"])
 
 
 def _pairs(rows: DataFrame, one: Column, two: Column) -> DataFrame:
     return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).filter("a < b").distinct()
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, small: int = SMALL, cell: int = CELL) -> DataFrame:
-    """id, n_shingles, component_id: the smallest id reachable over links of Jaccard >= num / den."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    as_text = base.withColumn("id", F.col("id").cast("string"))
-    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    cells = CHUNK
-    while cells < MAX_CELLS and cells < size // 6:
-        cells *= 2
-    counted = as_text.mapInPandas(_sketch_keys(k, num, den, cells), "chunk long, once binary, more binary")
-    shared = spark.sparkContext.broadcast(repeated_cells(counted, cells).tobytes())
-    first = as_text.mapInPandas(_first_pass(k, num, den, cells, shared), "id string, n long, s1 long, s2 long, keys array<long>, sketch binary")
-    first = stored(first.withColumn("id", F.col("id").cast(kind)), "sets")
-
-    equal = first.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"))
-    nodes = first.select("id", "n", "s1", "s2").join(equal, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("node", "id").alias("node"))
-    nodes = stored(nodes, "nodes")
-
-    on_list = Window.partitionBy("key")
-    lists = first.filter("keys is not null").select("id", F.explode("keys").alias("key"))
-    lists = lists.withColumn("m", F.count("*").over(on_list)).filter("m > 1").select("key", "id")
-    to_node = nodes.filter("n > 0").select("id", "node").distinct()
-    lists = stored(lists.join(to_node, "id").select("key", "node").distinct(), "lists")
-    shared = lists.withColumn("m", F.count("*").over(on_list)).filter("m > 1").select("key", "node")
-    left = stored(shared.groupBy("node").agg(F.collect_list("key").alias("keys")), "lists")
-
-    wanted = left.select("node")
-    # a sketch is with the first row of its set in a task, often not the one that names the node
-    sketched = first.filter("sketch is not null").select("id", "n", "sketch")
-    source = sketched.select("id").join(to_node, "id").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi")
-    sketches = sketched.join(source, "id").dropDuplicates(["id", "node"]).select("node", "n", "sketch")
-    sketches = stored(sketches, "sketches")
-    marked = in_bitmap(base, position(BITS, "id"), bitmap_of(wanted, position(BITS, "node")), "wanted")
-    sets = marked.filter("wanted").select(F.col("id").cast("string").alias("id"), "text").mapInPandas(_sets(k), "id string, set array<long>")
-    sets = stored(sets.withColumn("id", F.col("id").cast(kind)).join(wanted.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "shingles")
-
-    links, labels, tested = None, None, None
+def _nodes(rows: DataFrame, equal: DataFrame) -> DataFrame:
+    """``rows`` with node: the least row of an equal set, or the row itself. Rows without marks don't meet the join."""
+    lone = rows.filter("s1 is null").withColumn("node", F.col("row"))
+    same = rows.filter("s1 is not null").join(equal, ["s1", "s2", "n"], "left").withColumn("node", F.coalesce("first", "row"))
+    return lone.unionByName(same.select(*lone.columns))
+
+
+def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, small: int, cell: int) -> DataFrame | None:
+    """All links that components need, as (a, b). lists: key, node, n, place, stored; forgotten at the end."""
+    found: list[DataFrame] = []
+    tested: list[DataFrame] = []
+    open_ = lists.withColumn("label", F.col("node"))
     for t in range(ROUNDS + 1):
-        named = left.withColumn("label", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = named.select("node", "label", F.explode("keys").alias("key"))
-        if labels is not None:
-            open_ = open_.withColumn("lo", F.min("label").over(on_list)).withColumn("hi", F.max("label").over(on_list)).filter("lo < hi").select("node", "label", "key")
-        open_ = stored(open_, "open")
-        size = F.count("*").over(on_list)
-        cost = open_.select(((size - 1) / 2).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0.0)), F.count("*")).first()
-        if not cost[1]:
+        order = F.struct(F.xxhash64("node", F.lit(t)).alias("h") if t else F.lit(0).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
+        heads = open_.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("c"))
+        heads = stored(heads.filter("lo < hi").drop("lo", "hi"), "heads")
+        lists_left, pairs_left, rows_left = heads.agg(F.count("*"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if not lists_left:
+            forget(heads)
             break
         # links inside a component are many and need no test, so a round around centres always comes first
-        last = t == ROUNDS or (t > 0 and cost[0] <= STAR * cost[1])
+        last = t == ROUNDS or (t > 0 and pairs_left <= STAR * rows_left)
+        kept = open_.join(heads, "key")
         if not last:
-            # one centre for each node and round, the least on any of its lists in an order that changes by round: a round
-            # tests no more pairs than there are nodes
-            order = F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node").alias("node"), F.col("label").alias("label")) if t else F.struct("node", "label")
-            star = open_.withColumn("c", F.min(order).over(on_list)).filter(F.col("label") != F.col("c.label"))
-            star = star.groupBy("node").agg(F.min("c").alias("c"))
-            pairs = _pairs(star, F.col("node"), F.col("c.node"))
+            # one centre for each node and round, the least on any of its lists in an order that changes by round: a
+            # round tests no more pairs than there are nodes
+            star = kept.filter((F.col("label") != F.col("c.label")) & _sizes_fit("n", "c.n", num, den))
+            star = star.groupBy("node").agg(F.min(F.struct("c", "label")).alias("x"))
+            pairs = _pairs(star, F.col("node"), F.col("x.c.node"))
         else:
-            sized = open_.withColumn("m", size)
-            few = sized.filter(F.col("m") <= small).drop("m")
-            other = few.select("key", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            pairs = _pairs(few.join(other, "key").filter("label < label2"), F.col("node"), F.col("node2"))
-            many = _large_lists(sized.filter(F.col("m") > small).join(sketches, "node"), kind, num, den, cell)
-            pairs = pairs.union(_pairs(many, F.col("a"), F.col("b"))).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            few = kept.filter(F.col("m") <= small).select("key", "node", "n", "place", "label")
+            other = few.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("label").alias("label2"))
+            room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * (den + num) >= (F.col("n") + F.col("n2")) * num
+            pairs = _pairs(few.join(other, "key").filter((F.col("label") < F.col("label2")) & _sizes_fit("n", "n2", num, den) & room), F.col("node"), F.col("node2"))
+            many = kept.filter(F.col("m") > small).drop("c").join(sets.select("node", "sketch"), "node")
+            pairs = pairs.union(_pairs(_large_lists(many, kind, num, den, cell), F.col("a"), F.col("b"))).distinct()
+        for before in tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_verified(_possible(pairs, sketches, num, den), sets, num, den), "links")
-        more = found.limit(1).count() > 0
-        if more:
-            links = found if links is None else links.union(found)
-            labels = components(links)
+        tested.append(pairs)
+        links = stored(_verified(_possible(pairs, sets, num, den), sets, num, den), "links")
+        found.append(links)
         if last:
+            forget(heads)
             break
-        left = open_.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    out = nodes if labels is None else nodes.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("component_id"))
+        # labels of this round: components over all links so far, for the nodes on open lists alone
+        after = kept.drop("c", "m")
+        if links.limit(1).count():
+            every = found[0]
+            for x in found[1:]:
+                every = every.union(x)
+            names = components(every)
+            after = after.drop("label").join(names.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            after = stored(after.select("key", "node", "n", "place", "label"), "open")
+            forget(names)
+        else:
+            after = stored(after.select("key", "node", "n", "place", "label"), "open")
+        forget(heads, *([open_] if t else []))
+        open_ = after
+    forget(*tested, *([open_] if hasattr(open_, "_qs_path") else []))
+    out = None
+    for x in found:
+        out = x if out is None else out.union(x)
+    return out
+
+
+def ngram_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, small: int = SMALL, cell: int = CELL) -> DataFrame:
+    """row struct(id, th), n, node, label for every row, th being xxhash64 of the text. label is the least row reachable
+    over links of Jaccard >= num / den; node stands for all rows of an equal set."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    as_text = base.withColumn("id", F.col("id").cast("string"))
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cells, levels = count_levels(as_text, k, size)
+    shared = spark.sparkContext.broadcast(levels)
+    first = as_text.mapInPandas(_first_pass(k, num, den, cells, shared), "id string, th long, n long, s1 long, s2 long, keys array<long>, places array<int>")
+    first = first.select(F.struct(F.col("id").cast(kind).alias("id"), "th").alias("row"), "n", "s1", "s2", "keys", "places")
+    first = stored(first, "sets")
+
+    equal = first.filter("s1 is not null").groupBy("s1", "s2", "n").agg(F.min("row").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    equal = stored(equal, "equal")
+    rows = _nodes(first.select("row", "n", "s1", "s2"), equal).select("row", "n", "node")
+    listed = _nodes(first.filter("keys is not null"), equal)
+    listed = listed.filter("s1 is null").unionByName(listed.filter("s1 is not null").dropDuplicates(["node"]))
+    entries = listed.select("node", "n", F.explode(F.arrays_zip("keys", "places")).alias("x")).select(F.col("x.keys").alias("key"), "node", F.col("n").cast("int").alias("n"), F.col("x.places").alias("place"))
+    entries = stored(entries.distinct(), "entries")
+    shared_keys = stored(entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "keys")
+    lists = stored(entries.join(shared_keys, "key"), "lists")
+    forget(entries, shared_keys)
+
+    wanted = stored(lists.select("node").distinct(), "wanted")
+    bitmap = bitmap_of(wanted, position(BITS, "node.id", "node.th"))
+    marked = in_bitmap(base, position(BITS, "id", "th"), bitmap, "wanted").filter("wanted")
+    sets = marked.select(F.col("id").cast("string").alias("id"), "th", "text").mapInPandas(_sets(k), "id string, th long, set array<long>, sketch binary")
+    sets = sets.select(F.struct(F.col("id").cast(kind).alias("id"), "th").alias("node"), "set", "sketch")
+    sets = stored(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    forget(bitmap, wanted)
+    links = _linked(lists, sets, kind, num, den, small, cell)
+    forget(lists, sets)
+    if links is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(components(links).select("node", "label"), "node", "left").select("row", "n", "node", F.coalesce("label", "node").alias("label"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, small: int = SMALL, cell: int = CELL) -> DataFrame:
+    """id, n_shingles, component_id: the smallest id reachable over links of Jaccard >= num / den."""
+    rows = ngram_rows(docs, id_col, text_col, k, num, den, small, cell)
+    return rows.select(F.col("row.id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label.id").alias("component_id"))
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
