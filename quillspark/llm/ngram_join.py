@@ -49,8 +49,8 @@ from .words import text_words
 
 SCAN = 10
 #: Lists with at most so many pairs a row on average are tested pair by pair at once.
-STAR = 8
-ROUNDS = 5
+STAR = 64
+ROUNDS = 3
 PARTS = 256
 #: Lists up to SMALL are paired by a join; longer ones in blocks of CELL members.
 SMALL, CELL = 16, 2048
@@ -289,7 +289,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, ...) with den * |A n B| >= num * |A u B|."""
+    """Those of ``pairs`` (a, b) with den * |A n B| >= num * |A u B|."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -397,7 +397,12 @@ def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, sm
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested.append(pairs)
-        links = stored(_verified(_possible(pairs, sets, num, den), sets, num, den), "links")
+        # a first round meets most sets; later ones few, so that sets outside the pairs stay where they are
+        bitmap = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), position(BITS, "node")) if t else None
+        near = in_bitmap(sets, position(BITS, "node"), bitmap, "met").filter("met").drop("met") if t else sets
+        links = stored(_verified(_possible(pairs, near, num, den) if last else pairs, near, num, den), "links")
+        if t:
+            forget(bitmap)
         found.append(links)
         if last:
             forget(heads)

@@ -18,9 +18,9 @@ nulls first; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, stored, text_or_empty
+from .words import LOWER, join_texts, run_hashes, word_bounds
 
 LENGTH = 4096
 STEP = 32
@@ -35,7 +36,7 @@ DIMS, BITS = 4, 10
 #: Tokens in one range of the curve: what a single task packs.
 RANGE = 1 << 21
 END = 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 
 def word_bpe_path() -> str:
@@ -48,12 +49,14 @@ def word_bpe_path() -> str:
 
 
 class CachedTokenizer:
-    """Ids of whole texts through caches of whitespace-free chunks and of the words in them.
+    """Ids of many whole texts at once, through a hash table of the units they are made of.
 
     The tokenizer's pattern never matches across white space, and its special strings hold none, so a text's ids are
-    the ids of its chunks in order. A chunk of letters with ASCII punctuation behind is in turn the ids of its
-    lower-cased letters, then of the punctuation. Unknown words are encoded many at a time between a separator whose
-    single id no word has. The caches are bounded and start anew when full.
+    the ids of its chunks in order. A chunk of letters that ends in one, with ASCII punctuation behind, is in turn the
+    ids of its lower-cased letters, then of the punctuation. Any other chunk is a unit as it stands. Units are found,
+    hashed and looked up in numpy; only new ones become Python objects, and the tokenizer encodes many of them at a
+    time between a separator whose single id no unit has. Keys are 64-bit hashes: with at most ``limit`` units in the
+    table, odds of a false hit are limit / 2**64 a new unit. The table is bounded and starts anew when full.
     """
 
     SEPARATOR = " ~ "
@@ -62,60 +65,119 @@ class CachedTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tok, self._limit, self._chunks, self._words = Tokenizer.from_file(path), limit, {}, {}
+        self._tok, self._limit = Tokenizer.from_file(path), limit
         mark = self._raw("~")
         self._mark = mark[0] if len(mark) == 1 and self._raw("a ~ b") == [*self._raw("a"), mark[0], *self._raw("b")] else None
+        self._clear(1 << 12)
 
     def _raw(self, text: str) -> list[int]:
         return self._tok.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        known = self._words
-        for i in range(0, len(words), 500):
-            part = words[i : i + 500]
-            if self._mark is None:
-                known.update({w: np.array(self._raw(w.decode()), "<u4").tobytes() for w in part})
-                continue
-            ids = np.array(self._raw(self.SEPARATOR.join([w.decode() for w in part])), "<u4")
-            cuts = (np.flatnonzero(ids == self._mark) * 4).tolist()
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(part, [*cuts, len(raw)], strict=True):
-                known[w] = raw[at:cut]
-                at = cut + 4
-
-    def _add(self, chunks: list[bytes]) -> None:
-        if len(self._words) > self._limit:
-            self._words = {}
-        split, odd = {}, []
-        for c in chunks:
-            m = _LETTERS.match(c)
-            if m is None or not (m[1].isascii() or m[1].decode().isalpha()):
-                odd.append(c)
+    def _clear(self, slots: int) -> None:
+        self._keys, self._at, self._len = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+        self._ids, self._used, self._size = np.zeros(slots * 4, np.uint32), 0, 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each key, or -1."""
+        last, keys = np.int64(len(self._keys) - 1), self._keys
+        at, out, live = (h & np.uint64(last)).astype(np.int64), np.full(len(h), -1, np.int64), np.arange(len(h))
+        while len(live):
+            held = keys[at[live]]
+            hit = held == h[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit & (held != 0)]
+            at[live] = (at[live] + 1) & last
+        return out
+
+    def _insert(self, h: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Distinct keys that are not in the table."""
+        last, keys = np.int64(len(self._keys) - 1), self._keys
+        at, live = (h & np.uint64(last)).astype(np.int64), np.arange(len(h))
+        while len(live):
+            free = live[keys[at[live]] == 0]
+            keys[at[free]] = h[free]
+            live = live[keys[at[live]] != h[live]]
+            at[live] = (at[live] + 1) & last
+        self._at[at], self._len[at] = start, length
+        self._size += len(h)
+
+    def _room(self, more: int) -> None:
+        """The table at most half full: grown, or emptied once it is at its limit."""
+        slots = len(self._keys)
+        if self._size + more > self._limit:
+            self._clear(max(1 << 12, 1 << (2 * more).bit_length()))
+        elif 2 * (self._size + more) > slots:
+            full = np.flatnonzero(self._keys)
+            old, ids, used = (self._keys[full], self._at[full], self._len[full]), self._ids, self._used
+            self._clear(1 << (4 * (self._size + more)).bit_length())
+            self._ids, self._used = ids, used
+            self._insert(*old)
+
+    def _learn(self, units: list[bytes], h: np.ndarray) -> None:
+        self._room(len(units))
+        found = []
+        for lo in range(0, len(units), 500):
+            part = [u.decode() for u in units[lo : lo + 500]]
+            ids = np.array(self._raw(self.SEPARATOR.join(part)), np.uint32) if self._mark is not None and not any("~" in u for u in part) else None
+            if ids is not None and (ids == self._mark).sum() == len(part) - 1:
+                cuts = np.r_[-1, np.flatnonzero(ids == self._mark), len(ids)]
+                found.append((ids[ids != self._mark], np.diff(cuts) - 1))
             else:
-                split[c] = m[1].lower(), m[2]
-        words = self._words
-        self._learn([w for w in {p for pair in split.values() for p in pair if p} if w not in words])
-        chunk = self._chunks
-        for c, (w, tail) in split.items():
-            chunk[c] = words[w] + words[tail] if tail else words[w]
-        for c in odd:
-            chunk[c] = np.array(self._raw(c.decode()), "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode("utf-8").split() for t in texts]
-        new: set[bytes] = set()
-        for w in split:
-            new.update(w)
-        if len(self._chunks) > self._limit:
-            self._chunks = {}
-        known = self._chunks
-        self._add([w for w in new if w not in known])
-        return [b"".join([known[x] for x in w]) for w in split]
-
-
-#: Letters (any byte above ASCII for now), then ASCII punctuation without the separator.
-_LETTERS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-}]*)\Z")
+                each = [self._raw(u) for u in part]
+                found.append((np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each])))
+        new, length = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        while self._used + len(new) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros(len(self._ids), np.uint32)])
+        self._ids[self._used : self._used + len(new)] = new
+        self._insert(h, self._used + np.cumsum(length) - length, length)
+        self._used += len(new)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and bounds: those of text i are bounds[i] to bounds[i + 1]."""
+        raw, offsets = join_texts([t.encode() for t in texts])
+        low = LOWER[raw]
+        start, size = word_bounds(raw)
+        letters = np.r_[0, np.cumsum(_LETTER[raw])]
+        marks = np.r_[0, np.cumsum(_MARK[raw])]
+        stop = start + size
+        n_letters, n_marks = letters[stop] - letters[start], marks[stop] - marks[start]
+        end = raw[start + n_letters - 1]
+        latin = (raw[start + n_letters - 2] == 0xC3) & (end >= 0x80) & (end != 0x97) & (end != 0xB7)  # two-byte letters but for two signs
+        plain = (n_letters > 0) & (n_letters + n_marks == size) & (letters[start + n_letters] - letters[start] == n_letters)
+        plain &= (n_marks == 0) | (end < 0x80) | latin
+        tail = plain & (n_marks > 0)
+        count = 1 + tail
+        chunk = np.repeat(np.arange(len(start)), count)
+        first = np.cumsum(count) - count
+        at, length, whole = start[chunk], size[chunk], ~plain[chunk]
+        t = np.flatnonzero(tail)
+        length[first[t]] = n_letters[t]
+        at[first[t] + 1] += n_letters[t]
+        length[first[t] + 1] = n_marks[t]
+        h = run_hashes(low, at, length, seed=5)
+        w = np.flatnonzero(whole)
+        h[w] = run_hashes(raw, at[w], length[w], seed=6)
+        h[h == 0] = 1
+        slot = self._find(h)
+        if (slot < 0).any():
+            new, where = np.unique(h[slot < 0], return_index=True)
+            where = np.flatnonzero(slot < 0)[where]
+            if self._size + len(new) > self._limit:  # the table starts anew, with every unit of these texts
+                new, where = np.unique(h, return_index=True)
+            source = raw.tobytes()
+            self._learn([source[a : a + n] for a, n in zip(at[where].tolist(), length[where].tolist(), strict=True)], new)
+            slot = self._find(h)
+        begin, n = self._at[slot], self._len[slot]
+        stops = np.cumsum(n)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self._ids[np.repeat(begin - stops + n, n) + np.arange(total)]
+        return ids, np.r_[0, stops][np.searchsorted(at, offsets)]
+
+
+#: Letters (any byte above ASCII for now), and ASCII punctuation without the separator.
+_LETTER, _MARK = np.zeros(256, np.int64), np.zeros(256, np.int64)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = 1
+_MARK[[c for c in range(0x21, 0x7E) if not chr(c).isalnum()]] = 1
 _tokenizers: dict[str, CachedTokenizer] = {}
 
 
@@ -162,13 +224,12 @@ def projection(vocab: int, dims: int = DIMS) -> np.ndarray:
     return np.random.default_rng(20_240_601).standard_normal((vocab, dims)).astype(np.float32)
 
 
-def curve_keys(ids: list[np.ndarray], table: np.ndarray, bits: int = BITS) -> np.ndarray:
+def curve_keys(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Hilbert key of each document: the mean projection of its tokens, scaled to unit direction, on a grid."""
-    out = np.zeros((len(ids), table.shape[1]))
-    full = [i for i, x in enumerate(ids) if len(x)]
-    if full:
-        flat = np.concatenate([ids[i] for i in full]) % len(table)
-        sums = np.add.reduceat(table[flat], np.r_[0, np.cumsum([len(ids[i]) for i in full])[:-1]], axis=0)
+    out = np.zeros((len(bounds) - 1, table.shape[1]))
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        sums = np.add.reduceat(table[ids % np.uint32(len(table))], bounds[full], axis=0)
         out[full] = sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))
     grid = np.clip(((out + 1) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
     return hilbert(grid, bits)
@@ -251,9 +312,10 @@ def _measure(path: str, end: int, step: int, dims: int, bits: int) -> Callable[[
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
-                data = tok.encode(part["text"].tolist())
-                keys = curve_keys([np.frombuffer(d, "<u4") for d in data], table, bits)
-                yield pd.DataFrame({"id": part["id"], "key": keys, "n": [len(d) // 4 + 1 for d in data], "crcs": [running_crcs(d + tail, step).tobytes() for d in data]})
+                ids, bounds = tok.encode(part["text"].tolist())
+                raw = ids.astype("<u4", copy=False).tobytes()
+                crcs = [running_crcs(raw[4 * a : 4 * b] + tail, step).tobytes() for a, b in pairwise(bounds.tolist())]
+                yield pd.DataFrame({"id": part["id"], "key": curve_keys(ids, bounds, table, bits), "n": np.diff(bounds) + 1, "crcs": crcs})
 
     return run
 
@@ -308,8 +370,10 @@ def sequences(pieces: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = worker_tokenizer(path)
         for pdf in batches:
-            data = tok.encode(pdf["text"].tolist())
-            yield pd.DataFrame({"id": pdf["id"], "ids": [[*np.frombuffer(d, "<u4").tolist(), end] for d in data]})
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo : lo + 256]
+                ids, bounds = tok.encode(part["text"].tolist())
+                yield pd.DataFrame({"id": part["id"], "ids": [[*ids[a:b].tolist(), end] for a, b in pairwise(bounds.tolist())]})
 
     ids = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(encode, "id string, ids array<int>")
     cut = pieces.join(ids, pieces[id_col].cast("string").eqNullSafe(ids["id"])).select("sequence_id", "offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias(f"{P}ids"))

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from quillspark.llm.substring_dedup import sliding_min
 from quillspark.llm.suffix_array import permuted_lcp, suffix_array
 from quillspark.llm.suffix_dedup import Shard
 from quillspark.llm.topk_search import Best, Side
+from quillspark.llm.words import text_words
 
 
 def test_suffix_array_and_prefixes():
@@ -100,10 +102,29 @@ def test_piece_crcs():
 def test_cached_tokenizer_equals_tokenizer():
     from tokenizers import Tokenizer
 
-    texts = ["", " a  b\n", "Don't stop\x1cnow  x<|endoftext|>y 3Σσ é naïve", "\t\x0b", "ABC's 12,345 中文"]
+    texts = ["", " a  b\n", "Don't stop\x1cnow  x<|endoftext|>y 3Σσ é naïve", "\t\x0b", "ABC's 12,345 中文", "é, É! ²! x²!! ÷, ×! <|ENDOFTEXT|> <|endoftext|> a~b ~ ~~ — a—! …?"]
+    rng = random.Random(5)
+    letters = "abcXYZéÉàß²Σ—·…'’.,!~<|>09_- \n"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["x" * 3000 + "! " + "ab" * 700]
     plain = Tokenizer.from_file(word_bpe_path())
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(b, "<u4").tolist() for b in CachedTokenizer(word_bpe_path(), limit=3).encode(texts)] == want
+    for limit in (3, 700, 10**6):
+        tok = CachedTokenizer(word_bpe_path(), limit=limit)
+        for step in (7, len(texts)):
+            got = []
+            for lo in range(0, len(texts), step):
+                ids, bounds = tok.encode(texts[lo : lo + step])
+                got += [ids[a:b].tolist() for a, b in pairwise(bounds.tolist())]
+            assert got == want
+
+
+def test_word_hashes_follow_words():
+    texts = [b"", b" ", b"a", b"  aa a\tbb\x0b", b"x" * 2500 + b" " + b"x" * 2500, "é A".encode()]
+    h, bounds = text_words(texts, lower=True)
+    words = [t.lower().split() for t in texts]
+    assert np.diff(bounds).tolist() == [len(w) for w in words]
+    flat = [w for t in words for w in t]
+    assert all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(i))
 
 
 def test_schedule_is_longest_first():
@@ -123,7 +144,8 @@ def test_every_linked_pair_shares_a_list(num, most):
             rng.random() < 0.5 and len(y) > 1 and y.remove(rng.choice(sorted(y)))
             rng.random() < 0.5 and y.add(rng.choice(universe))
         if 100 * len(x & y) >= num * len(x | y):
-            a, b = (set(k.tolist()) for k in list_keys([np.array(sorted(s), np.uint64) for s in (x, y)], plan))
+            sets = [np.array(sorted(s), np.uint64) for s in (x, y)]
+            a, b = (set(list_keys(s, (1 + s % np.uint64(5)).astype(np.uint8), plan)[0].tolist()) for s in sets)
             assert a & b
 
 
