@@ -13,15 +13,21 @@ from pyspark.sql import functions as F
 #: Prefix of every helper column, so that extra input columns never clash with one.
 P = "__qs_"
 _runs: dict[str, str] = {}
+_local: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session; an own one only where that is unset."""
+    """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session, or the context's own. Where neither is
+    set, a temporary folder, if driver and executors are one process (as in tests); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if known.isDefined():
+            base = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quillspark-"))
+        else:
+            raise ValueError("spark.checkpoint.dir is not set: the executors need a folder that all of them share")
     app = spark.sparkContext.applicationId
     if app not in _runs:
         _runs[app] = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"

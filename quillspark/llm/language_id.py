@@ -32,6 +32,7 @@ SAMPLE_CHARS = 300_000
 TOTAL_CHARS = 64 * SAMPLE_CHARS
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
+#: Letters, and with them some number signs, which predict() takes out.
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "\n"
 
@@ -156,6 +157,12 @@ class CrossParser:
         counts: dict[str, int] = {}
         for w in found:
             counts[w] = counts.get(w, 0) + 1
+        for w in [w for w in counts if not w.isalpha()]:
+            k = counts.pop(w)
+            for part in "".join([c if c.isalpha() else " " for c in w]).split():
+                counts[part] = counts.get(part, 0) + k
+        if not counts:
+            return UNKNOWN, 0.0, 1.0
         if len(self._cache) > self._limit:
             self._cache = {}
         cache, total, chars = self._cache, [0] * len(self._names), 0

@@ -10,7 +10,7 @@ Slots are gapless in each shard without a sort of a whole shard: rows fall into
 a running sum over cell counts gives each cell's base, and a row number inside the cell gives the rest.
 
 Defined results: null text has no bytes and belongs with the empty text's group; repeated rows each get a slot of
-their own; null ids are one cell; an empty table gives an empty result; extra columns are ignored.
+their own; null ids are rows like others, first in their cell; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     at = at.withColumn("shard", F.coalesce(f"{P}s1", f"{P}s2"))
 
     cells = max(1, -(-n // (shards * cell)))
-    at = at.withColumn(f"{P}cell", F.pmod(F.xxhash64(f"{P}id"), F.lit(cells)).cast("int"))
+    at = at.withColumn(f"{P}cell", F.pmod(F.xxhash64(f"{P}id", "size", "text_crc32"), F.lit(cells)).cast("int"))
     counts = at.groupBy("shard", f"{P}cell").agg(F.count("*").alias(f"{P}n"))
     before = Window.partitionBy("shard").orderBy(f"{P}cell").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", f"{P}cell", F.coalesce(F.sum(f"{P}n").over(before), F.lit(0)).alias(f"{P}base"))

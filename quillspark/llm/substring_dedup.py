@@ -5,13 +5,15 @@ its windows (the smallest hash among a window's GRAM-word runs; equal windows ha
 mostly share one, so about 7 % as many entries as windows). Partition sketches merge by cell range; the merged cells
 that were hit by two documents or more become a bitmap. A window's count is at most its minimizer's count, which is
 at most the sketch's estimate, so windows estimated unique are unique: none is lost.
-Pass two hashes only the windows estimated repeated and groups those exactly, by minimizer and window hash (64 bits
-each). It deals windows in a row with one minimizer as one row, so one shuffle carries 8 bytes a window.
+Pass two hashes only the windows estimated repeated and groups those by minimizer and window hash, 64 bits each, from
+two independent word hashes. It deals windows in a row with one minimizer as one row, so one shuffle carries 8 bytes a
+window. A wrong removal needs two different windows with one minimizer and one window hash: among p pairs of windows
+that share a minimizer, p / 2**64 are expected.
 
 Scale: the sketch has DEPTH * cells bits, sized from the input and never above DEPTH * MAX_CELLS bits (64 MiB),
-whatever the input; a fuller sketch only lets more windows into the exact pass. Runs
-that a task has met in a smaller document are settled there, so a passage held by a third of all documents is dealt
-once per task; the exact grouping is a window and an aggregate in the JVM, which spill.
+whatever the input; a fuller sketch only lets more windows into the exact pass. A task deals each run of windows for
+the smallest of its documents alone, in whatever order they come, so a passage held by a third of all documents is
+dealt once per task; the exact grouping is a window and an aggregate in the JVM, which spill.
 
 Defined results: words are runs of non-blank bytes, unchanged; a document below WINDOW words loses nothing; null or
 empty text has no words and keeps the empty text; windows repeated only inside their own document stay; documents
@@ -28,7 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, mix, shuffles, text_or_empty
+from .common import gram_hashes, mix, shuffles, text_or_empty
+from .words import text_words
 
 WINDOW = 50
 GRAM = 25
@@ -51,10 +54,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - size : width - size + n])
 
 
-def minimizers(words: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """The minimizer of each window of ``window`` words."""
-    grams = gram_hashes(words, gram, seed=1)
-    return sliding_min(grams, window - gram + 1)
+def minimizers(words: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimizer at each place where a window could start, the text it lies in, and whether the window ends inside."""
+    low = sliding_min(gram_hashes(words, gram, seed=1), window - gram + 1) if len(words) >= window else np.zeros(0, np.uint64)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return low, text[: len(low)], text[: len(low)] == text[window - 1 :] if len(low) else np.zeros(0, bool)
 
 
 def cell(values: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -112,12 +116,15 @@ class PartitionSketch:
 
 def _sketch(window: int, gram: int, cells: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, sketch = WordHashes(), PartitionSketch(cells)
+        sketch = PartitionSketch(cells)
         for pdf in batches:
-            for t in pdf["text"]:
-                words = t.encode().split()
-                if len(words) >= window:
-                    sketch.add(np.unique(minimizers(hashes.of(words), window, gram)))
+            for lo in range(0, len(pdf), BLOCK):
+                low, text, ok = minimizers(*text_words([t.encode() for t in pdf["text"].iloc[lo : lo + BLOCK]]), window, gram)
+                if not ok.any():
+                    continue
+                at = np.flatnonzero(ok & np.r_[True, (low[1:] != low[:-1]) | (text[1:] != text[:-1]) | ~ok[:-1]])
+                at = at[np.lexsort((low[at], text[at]))]
+                sketch.add(low[at][np.r_[True, (low[at][1:] != low[at][:-1]) | (text[at][1:] != text[at][:-1])]])
         rows = list(sketch.rows())
         for lo in range(0, len(rows), 2000):
             yield pd.DataFrame(rows[lo : lo + 2000], columns=["chunk", "once", "more"])
@@ -156,45 +163,80 @@ def estimated_repeated(values: np.ndarray, bits: np.ndarray, cells: int) -> np.n
     return ok
 
 
+def cuts(lo: np.ndarray, hi: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges [lo, hi) cut into pieces of at most ``run``."""
+    n = -(-(hi - lo) // run)
+    piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(lo, n) + piece * run
+    return start, np.minimum(start + run, np.repeat(hi, n))
+
+
+class Least:
+    """Pieces of documents by content: for each content the places in the smallest document so far; the rest is covered."""
+
+    def __init__(self, most: int):
+        self._held: dict[tuple, tuple] = {}
+        self._most = most
+
+    def add(self, key: tuple, order, doc: str, pos: int, size: int) -> Iterator[tuple]:
+        """Rows (id, pos, size, g, content); content is null where a smaller document of this task has it."""
+        held = self._held.get(key)
+        if order != order:  # ids without an order among numbers are all dealt
+            yield doc, pos, size, *key
+        elif held is None:
+            if len(self._held) >= self._most:
+                yield from self.end()
+            self._held[key] = (order, doc, [pos], size)
+        elif held[0] == order:
+            held[2].append(pos)
+        elif held[0] < order:
+            yield doc, pos, size, key[0], None
+        else:
+            for p in held[2]:
+                yield held[1], p, size, key[0], None
+            self._held[key] = (order, doc, [pos], size)
+
+    def end(self) -> Iterator[tuple]:
+        held, self._held = self._held, {}
+        for (g, content), (_, doc, at, size) in held.items():
+            for p in at:
+                yield doc, p, size, g, content
+
+
 def _windows(window: int, gram: int, cells: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """id, pos, count, g, hashes: windows in a row with one minimizer g, at most RUN of them. Null hashes mark windows
     that are repeated for certain: this task has met all of them, in the same order, in a document with a smaller id."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["id", "pos", "count", "g", "hashes"])
+        out["hashes"] = [None if x is None else np.frombuffer(x, np.int64) for x in out["hashes"]]
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words_of, bits, seen = WordHashes(), np.frombuffer(shared.value, np.uint8), {}
+        bits, least = np.frombuffer(shared.value, np.uint8), Least(SEEN)
         for pdf in batches:
-            order = dict(zip(pdf["id"], pd.to_numeric(pdf["id"], errors="coerce"), strict=True))
+            number = pd.to_numeric(pdf["id"], errors="coerce").tolist()
             for lo in range(0, len(pdf), BLOCK):
-                part, out = pdf.iloc[lo : lo + BLOCK], []
-                for doc, t in zip(part["id"], part["text"], strict=True):
-                    words = t.encode().split()
-                    if len(words) < window:
-                        continue
-                    h = words_of.of(words)
-                    low = minimizers(h, window, gram)
-                    ok = estimated_repeated(low, bits, cells)
-                    if not ok.any():
-                        continue
-                    full = gram_hashes(h, window, seed=2).view(np.int64)
-                    first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1])])
-                    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(low)], strict=True):
-                        if not ok[a]:
-                            continue
-                        g = int(low[a : a + 1].view(np.int64)[0])
-                        for at in range(a, b, RUN):
-                            hashes = full[at : min(b, at + RUN)]
-                            key, mine = (g, hashes.tobytes()), order[doc]
-                            known = seen.get(key)
-                            if known is not None and known < mine:
-                                out.append((doc, at, len(hashes), g, None))
-                                continue
-                            if known is None and len(seen) >= SEEN:
-                                seen.clear()
-                            if mine == mine:
-                                seen[key] = mine
-                            out.append((doc, at, len(hashes), g, hashes))
+                ids, texts, out = pdf["id"].iloc[lo : lo + BLOCK].tolist(), [t.encode() for t in pdf["text"].iloc[lo : lo + BLOCK]], []
+                words, bounds = text_words(texts)
+                low, text, ok = minimizers(words, bounds, window, gram)
+                if not ok.any():
+                    continue
+                first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (text[1:] != text[:-1]) | (ok[1:] != ok[:-1])])
+                last = np.r_[first[1:], len(low)]
+                use = ok[first]
+                use[use] = estimated_repeated(low[first[use]], bits, cells)
+                if not use.any():
+                    continue
+                full = gram_hashes(text_words(texts, seed=1)[0], window, seed=2)
+                at, end = cuts(first[use], last[use], RUN)
+                for a, b, d, pos, g in zip(at.tolist(), end.tolist(), text[at].tolist(), (at - bounds[text[at]]).tolist(), low[at].view(np.int64).tolist(), strict=True):
+                    out += least.add((g, full[a:b].tobytes()), number[lo + d], ids[d], pos, b - a)
                 if out:
-                    yield pd.DataFrame(out, columns=["id", "pos", "count", "g", "hashes"])
+                    yield frame(out)
+        rows = list(least.end())
+        for lo in range(0, len(rows), 10_000):
+            yield frame(rows[lo : lo + 10_000])
 
     return run
 

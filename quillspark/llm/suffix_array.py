@@ -1,10 +1,12 @@
-"""Suffix arrays by induced sorting, in numpy.
-
-Suffixes are classified as smaller or larger than their right neighbour; the leftmost-smaller (LMS) positions are
-sorted by inducing from bucket ends, named, and where names repeat the reduced string is sorted in turn (by doubling
-of ranks, since its alphabet is as large as itself); from the sorted LMS suffixes the whole array is induced. Inducing
-is linear: buckets are visited in order, and each visit moves all entries of a bucket at once; an entry that lands in
-the bucket being visited forms the next wave of that visit, so a visit has as many waves as the bucket's longest run.
+"""Suffix arrays by induced sorting.
+
+Suffixes are classified as smaller or larger than their right neighbour; the leftmost-smaller (LMS) substrings are
+sorted by inducing from bucket ends and named; where names repeat, the string of names is sorted the same way,
+recursively; from the sorted LMS suffixes the whole array is induced. Inducing is linear. Over bytes it runs in numpy:
+buckets are visited in order, and each visit moves all entries of a bucket at once; an entry that lands in the bucket
+being visited forms the next wave of that visit, so a visit has as many waves as the bucket's longest run. The strings
+of names below have alphabets about as large as themselves, where a bucket holds few entries, so those levels run the
+same steps entry by entry.
 """
 
 from __future__ import annotations
@@ -109,21 +111,66 @@ def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -
     return ok
 
 
-def _sort_reduced(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of ranks, by doubling."""
-    rank, h, n = names.astype(np.int64), 1, len(names)
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.r_[0, np.cumsum(sorted_[1:] != sorted_[:-1])]
-        rank = new
-        if rank[order[-1]] == n - 1 or h >= n:
-            return order
-        h *= 2
+def _induce_entries(s: list[int], small: list[bool], sizes: list[int], lms: list[int]) -> list[int]:
+    """As :func:`_induce`, one entry at a time."""
+    n = len(s)
+    sa, heads, total = [-1] * n, [], 0
+    for x in sizes:
+        heads.append(total)
+        total += x
+    tails = [h + x for h, x in zip(heads, sizes, strict=True)]
+    ends = tails.copy()
+    for i in reversed(lms):
+        ends[s[i]] -= 1
+        sa[ends[s[i]]] = i
+    sa_at = heads.copy()
+    sa[sa_at[s[-1]]] = n - 1  # follows from the empty suffix; its bucket's LMS entries lie behind
+    sa_at[s[-1]] += 1
+    for at in range(n):
+        i = sa[at]
+        if i > 0 and not small[i - 1]:
+            c = s[i - 1]
+            sa[sa_at[c]] = i - 1
+            sa_at[c] += 1
+    ends = tails
+    for at in range(n - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and small[i - 1]:
+            c = s[i - 1]
+            ends[c] -= 1
+            sa[ends[c]] = i - 1
+    return sa
+
+
+def name_order(s: list[int], names: int) -> list[int]:
+    """Suffix array of a string over 0 .. names - 1, by the same induced sort, recursively."""
+    n = len(s)
+    if names == n:  # every name once
+        out = [0] * n
+        for i, x in enumerate(s):
+            out[x] = i
+        return out
+    small = [False] * n
+    for i in range(n - 2, -1, -1):
+        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
+    sizes = [0] * names
+    for x in s:
+        sizes[x] += 1
+    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
+    if len(lms) < 2:
+        return _induce_entries(s, small, sizes, lms)
+    number = {i: k for k, i in enumerate(lms)}
+    rough = [i for i in _induce_entries(s, small, sizes, lms) if i in number]
+    stop = [*lms[1:], n]
+    reduced, name, before = [0] * len(lms), 0, None
+    for i in rough:
+        k = number[i]
+        part = s[i : stop[k] + 1] if k + 1 < len(lms) else None  # the last one equals none
+        if before is not None and (part is None or part != before[0]):
+            name += 1
+        reduced[k] = name
+        before = (part,)
+    return _induce_entries(s, small, sizes, [lms[k] for k in name_order(reduced, name + 1)])
 
 
 def suffix_array(text: bytes | np.ndarray) -> np.ndarray:
@@ -152,7 +199,7 @@ def suffix_array(text: bytes | np.ndarray) -> np.ndarray:
     names = np.zeros(n, np.int64)
     names[in_order] = np.r_[0, np.cumsum(~equal)]
     reduced = names[lms]
-    order = in_order if reduced.max() == len(lms) - 1 else lms[_sort_reduced(reduced)]
+    order = in_order if reduced.max() == len(lms) - 1 else lms[name_order(reduced.tolist(), int(reduced.max()) + 1)]
     return _induce(t, small, starts, order)
 
 

@@ -15,8 +15,9 @@ slice), meet in one window per query. Nothing else is collected but the d x d mo
 Integer scores are exact: products go through float64 while every partial sum is below 2**53, else through int64.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; shorter vectors count
-as padded with zeros; an empty vector is the zero vector; a query with fewer candidates than k gets them all; a
-query never meets rows of its own id; repeated ids are separate candidates; extra columns are ignored.
+as padded with zeros; an empty vector is the zero vector; a query with fewer candidates than k gets them all; a query
+never meets its own row; rows that repeat an id are separate queries and candidates, told apart by a row number; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,8 +76,8 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
 class Side:
     """Vectors with their rotated head, the length of the rest, and the whole length."""
 
-    def __init__(self, ids: np.ndarray, exact: np.ndarray, turn: np.ndarray):
-        self.ids, self.exact = ids, exact
+    def __init__(self, ids: np.ndarray, exact: np.ndarray, turn: np.ndarray, rows: np.ndarray | None = None):
+        self.ids, self.exact, self.rows = ids, exact, ids if rows is None else rows
         real = exact.astype(np.float64)
         turned = real @ turn
         self.norm = np.sqrt((real * real).sum(axis=1))
@@ -86,7 +87,7 @@ class Side:
 
     def take(self, at) -> Side:
         out = object.__new__(Side)
-        for k in ("ids", "exact", "norm", "head", "rest"):
+        for k in ("ids", "rows", "exact", "norm", "head", "rest"):
             setattr(out, k, getattr(self, k)[at])
         return out
 
@@ -112,7 +113,7 @@ class Best:
         q = self.q
         bound = q.head[live] @ c.head.T + np.outer(q.rest[live], c.rest)
         room = slack * np.outer(q.norm[live], c.norm) + 1
-        keep = (bound + room >= self.floor[live][:, None]) & (q.ids[live][:, None] != c.ids[None, :])
+        keep = (bound + room >= self.floor[live][:, None]) & (q.rows[live][:, None] != c.rows[None, :])
         i, j = np.nonzero(keep)
         if len(i):
             self._merge(live[i], c, j)
@@ -152,19 +153,19 @@ class Best:
 
     def frame(self) -> pd.DataFrame:
         i, r = np.nonzero(self.filled)
-        return pd.DataFrame({"query_id": self.q.ids[i], "vec_id": self.ids[i, r], "score": self.scores[i, r]})
+        return pd.DataFrame({"row": self.q.rows[i], "query_id": self.q.ids[i], "vec_id": self.ids[i, r], "score": self.scores[i, r]})
 
 
 def _search(dim: int, k: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows come by (block, slice), queries before candidates, candidates by falling length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn, seed_ids, seed_rows = shared.value
-        seed = Side(seed_ids, seed_rows, turn)
+        turn, seed_ids, seed_exact, seed_rows = shared.value
+        seed = Side(seed_ids, seed_exact, turn, seed_rows)
         group, waiting, best, done = None, [], None, False
 
         def ready() -> Best:
-            out = Best(Side(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), turn), k)
+            out = Best(Side(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), turn, np.concatenate([w[2] for w in waiting])), k)
             if len(seed.ids):
                 out.seed(seed)
             return out
@@ -176,16 +177,16 @@ def _search(dim: int, k: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iter
                         yield best.frame()
                     group, waiting, best, done = key, [], None, False
                 for query, rows in part.groupby("query", sort=False):
-                    ids, exact = rows["id"].to_numpy(np.int64), _matrix(rows["v"], dim)
+                    ids, exact, own = rows["id"].to_numpy(np.int64), _matrix(rows["v"], dim), rows["row"].to_numpy(np.int64)
                     if query:
-                        waiting.append((ids, exact))
+                        waiting.append((ids, exact, own))
                         continue
                     if best is None:
                         best = ready()
                     for lo in range(0, len(ids), STEP):
                         if done:
                             break
-                        done = not best.offer(Side(ids[lo : lo + STEP], exact[lo : lo + STEP], turn))
+                        done = not best.offer(Side(ids[lo : lo + STEP], exact[lo : lo + STEP], turn, own[lo : lo + STEP]))
         if best is not None:
             yield best.frame()
 
@@ -197,19 +198,19 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("v is not null and id is not null")
     base = base.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    base = stored(base, "vectors")
+    base = stored(base.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, n_queries, dim = base.agg(F.count("*"), F.coalesce(F.count_if(queries), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     dim = max(1, dim)
     turn = rotation(base, dim)
-    seed = base.orderBy(F.desc("norm"), "id").limit(SEED).select("id", "v").toPandas()
-    shared = spark.sparkContext.broadcast((turn, seed["id"].to_numpy(np.int64), _matrix(seed["v"], dim)))
+    seed = base.orderBy(F.desc("norm"), "id").limit(SEED).select("id", "v", "row").toPandas()
+    shared = spark.sparkContext.broadcast((turn, seed["id"].to_numpy(np.int64), _matrix(seed["v"], dim), seed["row"].to_numpy(np.int64)))
     blocks, slices = max(1, -(-n_queries // block)), max(1, -(-n // slice_rows))
-    asked = base.filter(queries).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("query"), "id", "v", "norm")
-    given = base.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("query"), "id", "v", "norm")
+    asked = base.filter(queries).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("query"), "id", "v", "norm", "row")
+    given = base.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("query"), "id", "v", "norm", "row")
     rows = asked.unionByName(given).repartition(min(blocks * slices, 20_000), "block", "slice")
-    rows = rows.sortWithinPartitions("block", "slice", F.desc("query"), F.desc("norm"), "id").select("block", "slice", "query", "id", "v")
-    found = rows.mapInPandas(_search(dim, k, shared), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rows = rows.sortWithinPartitions("block", "slice", F.desc("query"), F.desc("norm"), "id").select("block", "slice", "query", "id", "v", "row")
+    found = rows.mapInPandas(_search(dim, k, shared), "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -219,14 +220,14 @@ def op1_topk_search(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id,
          list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -37,19 +37,29 @@ def test_suffix_array_and_prefixes():
             assert got[b] == k
 
 
-def test_large_minimizer_group_takes_classes():
+def test_large_minimizer_group_is_cut_by_further_minimizers():
     rng = random.Random(2)
-    rows = sorted({(bytes(rng.choice(b"ab") for _ in range(12)), rng.randint(0, 9)) for _ in range(60)})
-    small, large = Shard(6), Shard(6, limit=50)
 
-    def cover(shard):
-        out = set()
+    def cover(rows, window, **how):
+        shard, out = Shard(window, **how), set()
         for snip, doc in rows:
-            out.update(shard.add(1, snip, doc, f"{doc}:{snip!r}", 0))
+            out.update(shard.add(1, snip, doc, [(f"{doc}:{snip!r}", 0)]))
         out.update(shard.end())
         return {(d, i) for d, p, n in out for i in range(p, p + n)}
 
-    assert cover(small) == cover(large) != set()
+    rows = sorted({(bytes(rng.choice(b"ab") for _ in range(12)), rng.randint(0, 9)) for _ in range(60)})
+    first, want = {}, set()
+    for snip, doc in sorted(rows, key=lambda x: x[1]):
+        for i in range(7):
+            if first.setdefault(snip[i : i + 6], doc) < doc:
+                want.update((f"{doc}:{snip!r}", j) for j in range(i, i + 6))
+    assert cover(rows, 6, gram=3) == cover(rows, 6, gram=3, limit=50) == want != set()
+    # one phrase in contexts of its own, each twice: far above the limit of one array
+    phrase = b"the same phrase of thirty bytes"
+    many = sorted((bytes(rng.choice(b"abcdefgh") for _ in range(40)) + phrase + bytes(rng.choice(b"abcdefgh") for _ in range(40)), 2 * i) for i in range(3000))
+    rows = sorted(many + [(s[5:], d + 1) for s, d in many[:1500]])
+    got = cover(rows, 50, limit=1 << 14)
+    assert got == {(f"{d + 1}:{s[5:]!r}", i) for s, d in many[:1500] for i in range(len(s) - 5)}
 
 
 @pytest.mark.parametrize("width", [1, 2, 5, 26])
