@@ -2,6 +2,10 @@
 
 language ID -> exact dedup -> near dedup -> mixing to target weights -> packing.
 Every stage but the last returns the columns of ``documents``; the last returns one row per packed piece.
+
+Defined results, for every stage: a null text counts as empty, and language ID rejects it; null ids are kept and sort
+below all; repeated rows are documents of their own until exact dedup; extra columns pass through to packing; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from quillspark.llm.common import P, stored
+from quillspark.llm.common import P, bitmap_of, in_bitmap, position, stored, text_or_empty
 
 #: A text is rejected when no language needs fewer phrases than this for a character: parts shorter than two letters.
 MOST_PHRASES = 0.6
 #: Near duplicates: word shingles and Jaccard similarity in hundredths.
 SHINGLE, SIMILAR = 5, 80
+BITS = 1 << 26
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +37,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 of the five-word shingles: the one with the smallest doc_id."""
-    groups = ngram_join.ngram_components(docs, k=SHINGLE, num=SIMILAR, den=100)
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group linked by 0.8 of the five-word shingles: the one with the smallest doc_id.
+
+    Documents are told apart by doc_id and text, so rows that share an id alone are judged each by its own text; rows
+    equal in both stay or go together. A text without words is linked with nothing and stays. Only rows that a bitmap
+    of what goes (8 MiB at most) hits meet the join.
+    """
+    key = [F.col("doc_id"), F.xxhash64(text_or_empty("text"))]
+    gone = stored(ngram_join.ngram_rows(docs, k=SHINGLE, num=SIMILAR, den=100).filter("row <> label").select(F.col("row.id").alias(f"{P}id"), F.col("row.th").alias(f"{P}th")).distinct(), "near-copies")
+    marked = in_bitmap(docs.withColumn(f"{P}key", key[1]), position(BITS, *key), bitmap_of(gone, position(BITS, f"{P}id", f"{P}th")), f"{P}hit")
+    hit = marked.filter(f"{P}hit")
+    rest = hit.join(gone, hit["doc_id"].eqNullSafe(gone[f"{P}id"]) & (hit[f"{P}key"] == gone[f"{P}th"]), "left_anti")
+    return marked.filter(~F.col(f"{P}hit")).unionByName(rest).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
