@@ -4,11 +4,11 @@ Markup is stripped to lines, one per block element. Each line weighs the charact
 where an ancestor is page furniture (navigation, page header, footer, aside, form, dialog, or a class or id that says
 so) or hidden. A class or id says so by its last word (``main-sidebar``), or by its first where only words of
 layout follow (``nav-list``); ``has-sidebar`` and ``social-policy`` don't, and a form around a marked article is no
-furniture. Weights are summed over a sliding window of lines; text surges where a window's sum passes a threshold
-and dives where the sum falls to it again. The text is every line from the first surge to the last dive that is no
-furniture, however short. Where the page marks its article, the mark is a weight: a line inside
-``article`` surges by itself, short ones too, and so does one inside ``main`` or role=main that has text outside links.
-Text outside the mark is kept if it surges by itself.
+furniture. Weights are summed over a sliding window of lines; text surges where a window's sum passes SURGE, and dives
+where, going outwards, the sum falls to DIVE (nothing) or a line has no weight of its own. The text is every line from the first
+surge's stretch to the last dive that is no furniture, however short. Where the page marks its article, the mark is a
+weight: each line inside ``article`` gets SURGE + 1 on top, and so does one inside ``main`` or role=main that has text
+outside links. Windows don't reach across a mark's border, so text outside the mark is kept if it surges by itself.
 
 One pass over each page, row by row in Arrow batches: no shuffle, and memory is one batch.
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 60
+DIVE = 0
 
 # Element names of HTML by role.
 RAW = frozenset("script style title textarea noscript iframe template svg math object audio video canvas select button noembed noframes".split())
@@ -189,20 +190,24 @@ class Page:
             self._pop(name)
 
 
-def main_lines(page: Page, window: int = WINDOW, surge: int = SURGE) -> list[str]:
+def main_lines(page: Page, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> list[str]:
     lines, half = page.lines, window // 2
-    weights = [w for _, w, _, _ in lines]
+    # a mark is a weight: enough to surge for a line of an article, and for one of main that has text outside links
     marked = [allowed and article > 0 for _, _, allowed, article in lines]
-    strong = [m and (line[3] > 1 or line[1] > 0) for m, line in zip(marked, lines, strict=True)]
-    # text outside the mark has to surge by itself: its windows pass over what is marked
-    plain = [0 if m else w for m, w in zip(marked, weights, strict=True)]
-    sums = [sum(plain[max(0, i - half) : i + half + 1]) for i in range(len(lines))]
-    limit = surge if any(strong) else min(surge, max(sums, default=0) // 2)
-    sums = [limit + 1 if held else x for held, x in zip(strong, sums, strict=True)]
-    up = [i for i, x in enumerate(sums) if x > limit and (weights[i] or strong[i])]
+    lifted = [m and (article > 1 or weight > 0) for m, (_, weight, _, article) in zip(marked, lines, strict=True)]
+    weights = [weight + (surge + 1 if up else 0) for up, (_, weight, _, _) in zip(lifted, lines, strict=True)]
+    # windows don't reach across a mark's border, so that text outside has to surge by itself
+    sums = [sum(weights[j] for j in range(max(0, i - half), min(len(lines), i + half + 1)) if marked[j] == marked[i]) for i in range(len(lines))]
+    limit = surge if any(lifted) else min(surge, max(sums, default=0) // 2)
+    up = [i for i, x in enumerate(sums) if x > limit and weights[i]]
     if not up:
         return []
-    return [text for text, _, allowed, _ in lines[up[0] : up[-1] + 1] if allowed]  # first surge to last dive
+    first, last = up[0], up[-1]
+    while first and weights[first - 1] and sums[first - 1] > dive and marked[first - 1] == marked[first]:
+        first -= 1
+    while last + 1 < len(lines) and weights[last + 1] and sums[last + 1] > dive and marked[last + 1] == marked[last]:
+        last += 1
+    return [text for text, _, allowed, _ in lines[first : last + 1] if allowed]
 
 
 def main_text(source: str | None) -> str:
