@@ -7,8 +7,9 @@ ends, so a phrase never crosses a word boundary and a word's phrase counts can b
 
 Training rows are a bounded sample: per label, rows in hash order until ``sample_chars`` characters; each language
 then keeps the distinct words of that sample. ``sample_chars`` is the documented bound (300,000 characters). Every label is
-learned: ``total_chars`` (19,200,000, so 64 full samples) is shared out evenly where there are more, and bounds the
-automata together; every row is predicted, over its whole text.
+learned: ``total_chars`` (4,800,000, so 16 full samples) is shared out evenly where there are more, and bounds the
+automata together. They are built once, on the driver, one at a time, and broadcast as arrays of about 40 bytes a
+sample character; every row is predicted, over its whole text, the new words of many texts in step.
 
 Prediction never sees lang, source or id. Defined results: null text, or one without a letter: ``und``, score 0;
 no labelled row at all: every text is ``und``; ties go to the language whose sample has
@@ -22,15 +23,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import P
+from .common import P, mix
 
 SAMPLE_CHARS = 300_000
-TOTAL_CHARS = 64 * SAMPLE_CHARS
+TOTAL_CHARS = 16 * SAMPLE_CHARS
 CACHE_WORDS = 300_000
+BLOCK = 400
 UNKNOWN = "und"
 #: Letters, and with them some number signs, which predict() takes out.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -136,60 +139,144 @@ def fit(words: dict[str, list[str]]) -> dict[str, SuffixAutomaton]:
     return out
 
 
-class CrossParser:
-    """Predictions of one worker; remembers the phrase counts of words (bounded)."""
+class Compact:
+    """The transitions of a suffix automaton as an open hash table in two arrays, and parses of many words in step."""
+
+    def __init__(self, sam: SuffixAutomaton):
+        count = sum(map(len, sam.next))
+        key = np.fromiter((state << 21 | ord(c) for state, to in enumerate(sam.next) for c in to), np.uint64, count)
+        to = np.fromiter((q for step in sam.next for q in step.values()), np.int32, count)
+        slots = 1 << max(4, (2 * count).bit_length())
+        self.keys, self.to = np.full(slots, _NONE, np.uint64), np.zeros(slots, np.int32)
+        at, live = (mix(key) & np.uint64(slots - 1)).astype(np.int64), np.arange(count)
+        while len(live):
+            free = live[self.keys[at[live]] == _NONE]
+            self.keys[at[free]] = key[free]
+            live = live[self.keys[at[live]] != key[live]]
+            at[live] = (at[live] + 1) & (slots - 1)
+        self.to[at] = to
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The state each transition leads to, or -1."""
+        key = state.astype(np.uint64) << np.uint64(21) | c
+        last = len(self.keys) - 1
+        at, out, live = (mix(key) & np.uint64(last)).astype(np.int64), np.full(len(key), -1, np.int64), np.arange(len(key))
+        while len(live):
+            held = self.keys[at[live]]
+            hit = held == key[live]
+            out[live[hit]] = self.to[at[live[hit]]]
+            live = live[~hit & (held != _NONE)]
+            at[live] = (at[live] + 1) & last
+        return out
+
+    def phrases(self, words: list[str]) -> np.ndarray:
+        """:meth:`SuffixAutomaton.phrases` of each word."""
+        size = np.array([len(w) for w in words])
+        order = np.argsort(-size, kind="stable")
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        begin, size = (np.cumsum(size) - size)[order], size[order]
+        state, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for j in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -j, side="left"))  # words longer than j
+            c, at = chars[begin[:live] + j], state[:live]
+            to = self._step(at, c)
+            lost = np.flatnonzero(to < 0)
+            if len(lost):
+                count[lost] += 1
+                again = self._step(np.zeros(len(lost), np.int64), c[lost])
+                count[lost] += (again < 0) & (at[lost] != 0)
+                to[lost] = np.maximum(again, 0)
+            state[:live] = to
+        count += state != 0
+        out = np.zeros(len(words), np.int64)
+        out[order] = count
+        return out
 
-    def __init__(self, words: dict[str, list[str]], limit: int = CACHE_WORDS):
-        self._models, self._limit = fit(words), limit
-        self._names = list(self._models)
-        self._ranks = [{w: i for i, w in enumerate(words[n])} for n in self._names]
-        self._cache: dict[str, tuple[int, ...]] = {}
 
-    def word(self, w: str) -> tuple[int, ...]:
-        marked = MARK + w + MARK
-        return tuple(m.phrases(marked) for m in self._models.values())
+_NONE = np.uint64((1 << 64) - 1)
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """language, score, phrases per character of the winner."""
-        found = LETTERS.findall(text.lower()) if text else []
-        if not found or not self._names:
-            return UNKNOWN, 0.0, 1.0
-        counts: dict[str, int] = {}
-        for w in found:
-            counts[w] = counts.get(w, 0) + 1
-        for w in [w for w in counts if not w.isalpha()]:
-            k = counts.pop(w)
-            for part in "".join([c if c.isalpha() else " " for c in w]).split():
-                counts[part] = counts.get(part, 0) + k
-        if not counts:
+
+def compact(words: dict[str, list[str]]) -> list[Compact]:
+    """The automata of all languages, one built at a time."""
+    return [Compact(fit({lang: words[lang]})[lang]) for lang in sorted(words)]
+
+
+class CrossParser:
+    """Predictions of one worker; remembers the phrase counts of words (bounded)."""
+
+    def __init__(self, words: dict[str, list[str]], models: list[Compact] | None = None, limit: int = CACHE_WORDS):
+        self._models, self._limit = compact(words) if models is None else models, limit
+        self._names = sorted(words)
+        self._words, self._ranks = words, None
+        self._forget()
+
+    def _forget(self) -> None:
+        self._row: dict[str, int] = {}
+        self._cost = np.zeros((1024, len(self._names) + 1), np.int64)  # phrases in each language, then characters
+
+    def _learn(self, words: list[str]) -> None:
+        parts = [letters(w) for w in words]
+        flat = [MARK + w + MARK for p in parts for w in p]
+        each = np.zeros((len(flat), len(self._names) + 1), np.int64)
+        for lo in range(0, len(flat), 20_000):
+            for i, m in enumerate(self._models):
+                each[lo : lo + 20_000, i] = m.phrases(flat[lo : lo + 20_000])
+        each[:, -1] = [len(w) for w in flat]
+        first = len(self._row)
+        while first + len(words) > len(self._cost):
+            self._cost = np.concatenate([self._cost, np.zeros_like(self._cost)])
+        self._cost[first : first + len(words)] = 0
+        np.add.at(self._cost, first + np.repeat(np.arange(len(words)), [len(p) for p in parts]), each)
+        self._row.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """language, score, phrases per character of the winner, for each text."""
+        found = [LETTERS.findall(t.lower()) if t and self._names else [] for t in texts]
+        flat = [w for f in found for w in f]
+        if len(self._row) > self._limit:
+            self._forget()
+        known = self._row
+        new = [w for w in set(flat) if w not in known]
+        if new:
+            self._learn(new)
+        rows = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        sums = np.zeros((len(flat) + 1, len(self._names) + 1), np.int64)
+        np.cumsum(self._cost[rows], axis=0, out=sums[1:])
+        total = np.diff(sums[np.r_[0, np.cumsum([len(f) for f in found])]], axis=0)
+        return [self._decide(t[:-1], t[-1], f) for t, f in zip(total.tolist(), found, strict=True)]
+
+    def _decide(self, total: list[int], chars: int, found: list[str]) -> tuple[str, float, float]:
+        if not chars:
             return UNKNOWN, 0.0, 1.0
-        if len(self._cache) > self._limit:
-            self._cache = {}
-        cache, total, chars = self._cache, [0] * len(self._names), 0
-        for w, k in counts.items():
-            got = cache.get(w)
-            if got is None:
-                got = cache[w] = self.word(w)
-            chars += k * (len(w) + 2)
-            for i, x in enumerate(got):
-                total[i] += k * x
         order = sorted(range(len(total)), key=lambda i: total[i])
         best = total[order[0]]
-        if sum(t == best for t in total) > 1:  # a tie goes to the language in which the words are the more frequent
-            order.sort(key=lambda i: (total[i], sum(k * self._ranks[i].get(w, len(self._ranks[i])) for w, k in counts.items())))
+        if total.count(best) > 1:  # a tie goes to the language in which the words are the more frequent
+            words = [p for w in found for p in letters(w)]
+            order.sort(key=lambda i: (total[i], sum(self._rank(i, w) for w in words)))
         rival = total[order[1]] if len(order) > 1 else chars
         return self._names[order[0]], max(0.0, min(1.0, 1.0 - best / rival if rival else 0.0)), min(1.0, best / chars)
 
+    def _rank(self, i: int, word: str) -> int:
+        if self._ranks is None:
+            self._ranks = [{w: k for k, w in enumerate(self._words[n])} for n in self._names]
+        return self._ranks[i].get(word, len(self._ranks[i]))
+
+
+def letters(word: str) -> list[str]:
+    """The runs of letters in a match of LETTERS."""
+    return [word] if word.isalpha() else "".join([c if c.isalpha() else " " for c in word]).split()
+
 
 def predictor(words: dict[str, list[str]]) -> Callable[[Column], Column]:
     """A column function: text -> struct of lang_pred, score, phrase_rate. Other columns never leave the JVM."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(words)
+    shared = SparkSession.getActiveSession().sparkContext.broadcast((words, compact(words)))
 
     @F.pandas_udf("lang_pred string, score double, phrase_rate double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = CrossParser(shared.value)
+        parser = CrossParser(*shared.value)
         for texts in batches:
-            yield pd.DataFrame([parser.predict(t) for t in texts], columns=["lang_pred", "score", "phrase_rate"])
+            rows = [x for lo in range(0, len(texts), BLOCK) for x in parser.predict(texts.iloc[lo : lo + BLOCK].tolist())]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "phrase_rate"])
 
     return guess
 

@@ -3,8 +3,8 @@
 Words are summed per source, targets are filled to the weights under a cap of MOST times the source, and each
 document is taken floor(rate) times plus one more with probability frac(rate), decided by a hash of its id.
 
-The per-source table is aggregated with map-side combine (a source may hold a third of all rows) and joined back
-as a plain equi-join: the planner broadcasts it only if its measured size is small, and splits skew otherwise.
+The per-source table is aggregated with map-side combine (a source may hold a third of all rows), stored, and joined
+back: by broadcast where it was measured to be at most MOST_BYTES, and otherwise as a plain equi-join that splits skew.
 
 Defined results: null source is a source of its own, last in order; null or empty text has size 0 and takes 0;
 equal ids draw equal copies; an empty table gives an empty result; a table without any word has targets of 0;
@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, word_count
+from .common import P, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
+MOST_BYTES = 8 << 20
 
 
 def draw(id_col: Column, seed: str) -> Column:
@@ -57,7 +58,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn(f"{P}size", word_count(text_col))
     plan = source_targets(rows.select(F.col(source_col).alias(f"{P}source"), f"{P}size"), f"{P}source", f"{P}size", weights, share, most)
     plan = plan.select(f"{P}source", F.col("source_size").alias(f"{P}source_size"), F.col("target").alias(f"{P}target"))
-    rows = rows.join(plan, rows[source_col].eqNullSafe(plan[f"{P}source"])).drop(f"{P}source")
+    plan = stored(plan, "targets")
+    size = plan.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(f"{P}source").cast("string")), F.lit(0)) + 24), F.lit(0))).first()[0]
+    rows = rows.join(F.broadcast(plan) if size <= MOST_BYTES else plan, rows[source_col].eqNullSafe(plan[f"{P}source"])).drop(f"{P}source")
     rate = F.when(F.col(f"{P}source_size") > 0, F.col(f"{P}target") / F.col(f"{P}source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     return rows.withColumn(f"{P}copies", (whole + (draw(F.col(id_col), seed) < rate - whole).cast("long")).cast("long"))

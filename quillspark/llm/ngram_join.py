@@ -58,7 +58,7 @@ BITS = 1 << 26
 #: Documents handled together, sets a task remembers.
 BLOCK, SEEN = 400, 100_000
 #: Cells of the count sketch: at most 2**27, half a byte each; sent in chunks.
-MAX_CELLS, CHUNK, FOLD = 1 << 27, 1 << 16, 1 << 22
+MAX_CELLS, CHUNK, FOLD = 1 << 27, 1 << 16, 1 << 21
 
 
 class Plan:

@@ -6,8 +6,8 @@ runs) rules out strings that start in one document only. What is left is cut to
 have the same minimizer. Equal strings have equal minimizers, so snippets are dealt to shards by minimizer, and each
 shard decides its strings alone:
   - equal snippets stream past in id order; all but the first document's are covered whole;
-  - of distinct snippets of one minimizer, those that hold a string whose hash occurs again are laid end to end, their
-    suffix array is induced (see suffix_array), the permuted common prefixes mark neighbours that agree in WINDOW
+  - of distinct snippets of one minimizer, the stretches of strings whose hashes occur again are taken, equal ones
+    settled in turn, and the others laid end to end; their suffix array is induced (see suffix_array), the permuted common prefixes mark neighbours that agree in WINDOW
     bytes, and of each run of agreeing suffixes every one in a document above the run's smallest id is covered.
 Bytes decide; hashes only deal and rule out. Covered ranges return to their documents and are cut out of the whole
 text; a document without any stays where it is, out of reach of the join.
@@ -42,7 +42,8 @@ from .suffix_array import permuted_lcp, suffix_array
 
 WINDOW = 50
 GRAM = 16
-BLOCK_BYTES = 1 << 20
+#: So small that a block's arrays stay in a processor's cache.
+BLOCK_BYTES = 1 << 16
 CHUNK_BYTES = 1 << 20
 SEEN = 200_000
 RUN = 512
@@ -203,25 +204,50 @@ def _ranges(starts: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
             yield a, b + window - a
 
 
-def _again(items: list[tuple], window: int) -> list[tuple]:
-    """Those snippets that hold a string whose hash occurs elsewhere in ``items`` too."""
+def _recurring(items: list[tuple], window: int) -> list[tuple]:
+    """The stretches of the snippets whose every string has a hash that occurs elsewhere in ``items`` too."""
     lens = np.array([len(x[0]) for x in items])
-    h = string_hashes(np.frombuffer(b"".join([x[0] for x in items]), np.uint8), window)
+    bounds = np.r_[0, np.cumsum(lens)]
+    text = b"".join([x[0] for x in items])
+    h = string_hashes(np.frombuffer(text, np.uint8), window)
     owner = np.repeat(np.arange(len(items)), lens)[: len(h)]
-    at = np.flatnonzero(np.arange(len(h)) + window <= np.cumsum(lens)[owner])
+    at = np.flatnonzero(np.arange(len(h)) + window <= bounds[1:][owner])
     h = h[at]
     in_order = np.sort(h)
     twice = in_order[1:][in_order[1:] == in_order[:-1]]
     if not len(twice):
         return []
     place = np.searchsorted(twice, h)
-    hit = twice[np.minimum(place, len(twice) - 1)] == h
-    return [items[i] for i in np.unique(owner[at[hit]]).tolist()]
+    at = at[twice[np.minimum(place, len(twice) - 1)] == h]
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
+    last = np.r_[first[1:], len(at)] - 1
+    out = []
+    for lo, hi, i in zip(at[first].tolist(), at[last].tolist(), owner[at[first]].tolist(), strict=True):
+        off = lo - int(bounds[i])
+        out.append((text[lo : hi + window], items[i][1], [(doc, pos + off) for doc, pos in items[i][2]]))
+    return out
+
+
+def _distinct(items: list[tuple], out: list[tuple]) -> list[tuple]:
+    """Each content once, with its smallest id; where a larger id has it, it is covered: those rows go to ``out``."""
+    items.sort(key=lambda x: x[:2])
+    left: list[tuple] = []
+    for snip, order, where in items:
+        if not left or left[-1][0] != snip:
+            left.append((snip, order, where))
+        elif left[-1][1] == order:
+            left[-1][2].extend(where)
+        else:
+            out += [(doc, pos, len(snip)) for doc, pos in where]
+    return left
 
 
 def decide(items: list[tuple], window: int, gram: int, limit: int, seed: int = 1) -> Iterator[tuple]:
     """items: distinct (snip, smallest id, its (id text, pos) places) -> covered (id text, pos, size)."""
-    items = _again(items, window)
+    covered: list[tuple] = []
+    for _ in range(2):  # what is left of equal stretches can leave others alone
+        items = _distinct(_recurring(items, window), covered) if items else items
+    yield from covered
     if len(items) < 2:
         return
     if seed > HASHES or sum(len(x[0]) for x in items) <= limit:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -284,3 +285,120 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in near.collect()}
     assert packed.agg(F.sum("length")).first()[0] == packed.select("doc_id", "sequence_id", "doc_tokens", "start").filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+class _ArticleText(HTMLParser):
+    """Main text of the synthetic pages, whose article is known: an independent parser, block by block."""
+
+    BLOCKS = {"article", "section", "p", "h1", "h2", "h3", "div", "ul", "li", "blockquote", "nav", "footer", "aside", "header", "form", "body"}
+    OUT = {"script", "style", "nav", "footer", "aside", "form", "button", "title"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out, self.blocks = False, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        names = dict(attrs).get("class") or dict(attrs).get("id") or ""
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+        if tag == "article":
+            self.inside = True
+        if self.out and self.out[-1][0] == tag:
+            self.out[-1][1] += 1
+        elif tag in self.OUT or (tag == "div" and names in {"ad", "comments", "cookie", "notice", "sidebar"}):
+            self.out.append([tag, 1])
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+        if tag == "article":
+            self.inside = False
+        if self.out and self.out[-1][0] == tag:
+            self.out[-1][1] -= 1
+            if not self.out[-1][1]:
+                self.out.pop()
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.blocks[-1] += data
+
+
+def test_html_on_all_pages_with_and_without_marks(spark):
+    """Every page of the given table: the known article; the same where its mark is taken off, so windows alone decide."""
+    from pathlib import Path
+
+    where = Path("/root/testdata/sf0.01/pages.parquet")
+    if not where.exists():
+        pytest.skip("no tables here")
+    pages = spark.read.parquet(str(where)).select("page_id", "url", "html")
+    bare = pages.withColumn("html", F.regexp_replace("html", "<(/?)article", "<$1section"))
+    want = {}
+    for r in pages.collect():
+        p = _ArticleText()
+        p.feed(r.html)
+        want[r.page_id] = "\n".join(x for x in (" ".join(b.split()) for b in p.blocks) if x)
+    got, plain = ({r.page_id: r.text for r in html_extract.extract(t).collect()} for t in (pages, bare))
+    assert got == want and plain == want
+
+
+def test_html_long_page_ties_and_clashing_columns(spark):
+    body = "".join(f"<p>{'word ' * 30}{i % 7}</p>" for i in range(20_000))
+    df = spark.createDataFrame([("x", "t", f"<div>{body}</div>", 3, "k"), ("x", "t", f"<div>{body}</div>", 3, "k")], "url string, text string, html string, n_chars int, page_id string")
+    got = html_extract.extract(df).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].text.count("\n") == 19_999 and got[0].n_chars == len(got[0].text)
+
+
+def test_sharding_balance_and_schedule(spark):
+    """Shards differ by about one bundle; placements equal a plain longest-first schedule of the groups."""
+    rng = random.Random(5)
+    rows = [(i if i % 50 else None, rng.choice("abc") * rng.randint(0, 2000)) for i in range(3000)] + [(5000 + i, "hot" * 40) for i in range(900)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    assert len(got) == len(rows) and sorted(load) == list(range(6)) and max(load.values()) - min(load.values()) <= 0.02 * sum(load.values())
+    for trial in range(50):
+        items = [(rng.randint(1, 50), f"{trial}-{i}") for i in range(rng.randint(1, 40))]
+        loads, want = [0] * 5, {}
+        for size, key in sorted(items, key=lambda x: (-x[0], x[1])):
+            s = min(range(5), key=lambda i: (loads[i], i))
+            want[key] = s
+            loads[s] += size
+        assert sharding.schedule(items, 5) == want
+
+
+def test_mixing_comes_near_its_targets(spark):
+    """Draws are independent, so a source's sum has a spread of at most sqrt(sum of squares) / 2: within five of those."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(0, 60), f"s{rng.randint(0, 3)}") for i in range(6000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for group in by.values():
+        taken, spread = sum(r[f"{P}size"] * r[f"{P}copies"] for r in group), sum(r[f"{P}size"] ** 2 for r in group) ** 0.5 / 2
+        assert abs(taken - group[0][f"{P}target"]) <= 5 * spread
+
+
+def test_top_k_with_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [2.0]), *[(i, [float(i)]) for i in range(1, 9)]], "vec_id long, embedding array<float>")
+    got = topk_search.top_k(df, F.col("id") == 0, k=9).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got if r.score % 512 == 0 and r["rank"] == 1) and len(got) == 18
+    assert sorted(r["rank"] for r in got) == sorted([*range(1, 10)] * 2) and sum(r.vec_id == 0 for r in got) == 2
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Near copies are told apart by text where ids clash; an empty table runs through every stage."""
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, a, "en", "s", 1), (2, a + " q", "en", "s", 1), (2, b, "en", "s", 1), (None, None, None, None, None), (None, "", None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()}
+    assert got == {(1, a), (2, b), (None, None), (None, "")}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table, "").count() >= 1
+    table.limit(0).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

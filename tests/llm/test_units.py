@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm.html_extract import main_text
-from quillspark.llm.language_id import CrossParser, SuffixAutomaton, fit
+from quillspark.llm.language_id import Compact, CrossParser, SuffixAutomaton, fit
 from quillspark.llm.ngram_join import Plan, list_keys
 from quillspark.llm.packing import CachedTokenizer, PieceCrc, hilbert, running_crcs, word_bpe_path
 from quillspark.llm.sharding import schedule
@@ -84,11 +84,19 @@ def test_automaton_phrases_are_longest_matches():
         assert sam.phrases(text) == want
 
 
+def test_parses_in_step_equal_parses_one_by_one():
+    rng = random.Random(8)
+    sam = fit({"x": ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(200)]})["x"]
+    words = ["".join(rng.choice("abcéd\n") for _ in range(rng.randint(0, 14))) for _ in range(500)] + ["a" * 300]
+    assert Compact(sam).phrases(words).tolist() == [sam.phrases(w) for w in words]
+    assert Compact(sam).phrases([]).tolist() == [] and Compact(SuffixAutomaton()).phrases(["ab"]).tolist() == [2]
+
+
 def test_cross_parser_defined_results():
     p = CrossParser({"en": ["the", "thing"], "fr": ["que", "les"]})
-    assert p.predict(None)[0] == p.predict("12 %%")[0] == p.predict("")[0] == "und"
-    assert p.predict("the thing the")[0] == "en" and p.predict("LES que")[0] == "fr"
-    assert CrossParser({}).predict("the")[0] == "und" and fit({}) == {}
+    assert [x[0] for x in p.predict([None, "12 %%", "", "\u00b2", "x\u00b2", "\u2167 _"])] == ["und", "und", "und", "und", "en", "und"]
+    assert [x[0] for x in p.predict(["the thing the", "LES que", "the\u00b2thing"])] == ["en", "fr", "en"]
+    assert CrossParser({}).predict(["the"])[0][0] == "und" and fit({}) == {}
 
 
 def test_hilbert_is_a_path():
