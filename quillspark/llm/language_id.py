@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import P, mix
+from .common import P, mix, release
 
 SAMPLE_CHARS = 300_000
 TOTAL_CHARS = 16 * SAMPLE_CHARS
@@ -277,6 +277,8 @@ def predictor(words: dict[str, list[str]]) -> Callable[[Column], Column]:
         for texts in batches:
             rows = [x for lo in range(0, len(texts), BLOCK) for x in parser.predict(texts.iloc[lo : lo + BLOCK].tolist())]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "phrase_rate"])
+        del parser
+        release()
 
     return guess
 

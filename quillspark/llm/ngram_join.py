@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, forget, gram_hashes, in_bitmap, mix, position, shuffles, stored, text_or_empty
+from .common import bitmap_of, forget, gram_hashes, in_bitmap, mix, position, shuffles, stored, text_or_empty, tidy
 from .components import components
 from .words import text_words
 
@@ -139,7 +139,7 @@ def _count(k: int, cells: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
         if parts:
             yield fold(parts)
 
-    return run
+    return tidy(run)
 
 
 def _levels(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +256,7 @@ def _first_pass(k: int, num: int, den: int, cells: int, shared) -> Callable[[Ite
                         keys[i], places[i] = x.view(np.int64), at.astype(np.int32)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "th": part["th"].to_numpy(), "n": n, "s1": pd.array(s1, "Int64"), "s2": pd.array(s2, "Int64"), "keys": keys, "places": places})
 
-    return run
+    return tidy(run)
 
 
 def _sets(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -269,7 +269,7 @@ def _sets(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
                 sets = [np.unique(x) for x in np.split(h, cut)]
                 yield pd.DataFrame({"id": part["id"], "th": part["th"], "set": [s.view(np.int64) for s in sets], "sketch": [sketch(s) for s in sets]})
 
-    return run
+    return tidy(run)
 
 
 # ------------------------------------------------------------------ the join
@@ -334,7 +334,7 @@ def _compare(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[
         if held:
             yield close(held)
 
-    return run
+    return tidy(run)
 
 
 def _large_lists(rows: DataFrame, kind: str, num: int, den: int, cell: int) -> DataFrame:
@@ -407,16 +407,18 @@ def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, sm
         if last:
             forget(heads)
             break
-        # labels of this round: components over all links so far, for the nodes on open lists alone
+        # a linked node takes its centre's label, and that of the centre's centre: nodes of one label are connected, and
+        # where connected nodes keep two labels, they are only looked at again
         after = kept.drop("c", "m")
         if links.limit(1).count():
-            every = found[0]
-            for x in found[1:]:
-                every = every.union(x)
-            names = components(every)
-            after = after.drop("label").join(names.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            parent = star.select("node", F.col("x.c.node").alias("via"), F.col("x.c.label").alias("to"))
+            tree = parent.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.least("node", "via") == F.col("x")) & (F.greatest("node", "via") == F.col("y"))).select("node", "via", "to")
+            tree = stored(tree, "tree")
+            up = tree.select(F.col("node").alias("via"), F.col("to").alias("far"))
+            names = tree.join(up, "via", "left").select("node", F.coalesce("far", "to").alias("name"))
+            after = after.join(names, "node", "left").withColumn("label", F.coalesce("name", "label"))
             after = stored(after.select("key", "node", "n", "place", "label"), "open")
-            forget(names)
+            forget(tree)
         else:
             after = stored(after.select("key", "node", "n", "place", "label"), "open")
         forget(heads, *([open_] if t else []))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, stored, text_or_empty
+from .common import P, stored, text_or_empty, tidy
 from .words import LOWER, join_texts, run_hashes, word_bounds
 
 LENGTH = 4096
@@ -317,7 +317,7 @@ def _measure(path: str, end: int, step: int, dims: int, bits: int) -> Callable[[
                 crcs = [running_crcs(raw[4 * a : 4 * b] + tail, step).tobytes() for a, b in pairwise(bounds.tolist())]
                 yield pd.DataFrame({"id": part["id"], "key": curve_keys(ids, bounds, table, bits), "n": np.diff(bounds) + 1, "crcs": crcs})
 
-    return run
+    return tidy(run)
 
 
 def _pack(length: int, step: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -345,7 +345,7 @@ def _pack(length: int, step: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
                         sequence, used = sequence + 1, 0
             yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return run
+    return tidy(run)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None, end: int = END, step: int = STEP, dims: int = DIMS, bits: int = BITS, range_tokens: int = RANGE) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, shuffles, text_or_empty
+from .common import gram_hashes, mix, shuffles, text_or_empty, tidy
 from .words import text_words
 
 WINDOW = 50
@@ -129,7 +129,7 @@ def _sketch(window: int, gram: int, cells: int) -> Callable[[Iterator[pd.DataFra
         for lo in range(0, len(rows), 2000):
             yield pd.DataFrame(rows[lo : lo + 2000], columns=["chunk", "once", "more"])
 
-    return run
+    return tidy(run)
 
 
 def _merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +238,7 @@ def _windows(window: int, gram: int, cells: int, shared) -> Callable[[Iterator[p
         for lo in range(0, len(rows), 10_000):
             yield frame(rows[lo : lo + 10_000])
 
-    return run
+    return tidy(run)
 
 
 def _strip(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -261,7 +261,7 @@ def _strip(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
                     out.append((doc, n, n - len(words), b" ".join(words).decode()))
                 yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
 
-    return run
+    return tidy(run)
 
 
 def repeated_windows(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, forget, in_bitmap, mix, position, shuffles, stored, text_or_empty
+from .common import bitmap_of, forget, in_bitmap, mix, position, shuffles, stored, text_or_empty, tidy
 from .substring_dedup import CHUNK, DEPTH, MAX_CELLS, Least, PartitionSketch, cell, cuts, estimated_repeated, sliding_min
 from .suffix_array import permuted_lcp, suffix_array
 
@@ -119,7 +119,7 @@ def _sketch(window: int, gram: int, cells: int) -> Callable[[Iterator[pd.DataFra
         for lo in range(0, len(rows), 2000):
             yield pd.DataFrame(rows[lo : lo + 2000], columns=["chunk", "once", "more"])
 
-    return run
+    return tidy(run)
 
 
 def _merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +170,7 @@ def _snippets(window: int, gram: int, cells: int, shared) -> Callable[[Iterator[
         for lo in range(0, len(out), 10_000):
             yield pd.DataFrame(out[lo : lo + 10_000], columns=["id", "pos", "size", "g", "snip"])
 
-    return run
+    return tidy(run)
 
 
 def covered_starts(snips: list[bytes], owners: list, window: int) -> list[np.ndarray]:
@@ -324,7 +324,7 @@ def _shard(window: int, gram: int, numeric: bool) -> Callable[[Iterator[pd.DataF
         out += shard.end()
         yield pd.DataFrame(out, columns=["id", "pos", "size"])
 
-    return run
+    return tidy(run)
 
 
 def _cut() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -351,7 +351,7 @@ def _cut() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
                     out.append((doc, len(b), len(b) - len(body), spans, body))
                 yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return run
+    return tidy(run)
 
 
 def whole_copies(base: DataFrame, window: int) -> DataFrame:
