@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def replay_uploads(uploads: DataFrame, name: str, arrived: list[str], digest: str) -> DataFrame:
     """Uploads in order of arrival per name: equal to the one before is a duplicate, otherwise the next version.
@@ -17,23 +19,46 @@ def replay_uploads(uploads: DataFrame, name: str, arrived: list[str], digest: st
     return out.withColumn("version", F.sum((~F.col("duplicate")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def chain_roots(jobs: DataFrame, node: str = "job_id", previous: str = "previous_id", most_rounds: int = 64) -> DataFrame:
+def chain_roots(jobs: DataFrame, node: str = "job_id", previous: str = "previous_id") -> DataFrame:
     """node, root, depth: pointer doubling up the previous links, so a chain of length n takes log2(n) joins.
 
-    A missing parent ends the walk; a cycle ends after ``most_rounds`` rounds with the rows it holds unresolved.
+    A missing parent ends the walk. Each round is written to the shared folder, so plans don't grow. After log2(nodes)
+    rounds every chain has ended; what still moves then hangs on a cycle and has no root: root and depth are null.
     """
-    known = jobs.select(F.col(node).alias("p")).distinct()
-    at = jobs.select(F.col(node).alias("n"), F.col(previous).alias("p")).join(known, "p", "left_semi")
-    at = jobs.select(F.col(node).alias("n")).join(at, "n", "left").select("n", F.coalesce("p", "n").alias("up"), F.col("p").isNotNull().cast("long").alias("d"))
-    for _ in range(most_rounds):
+    jobs = stored(jobs.select(F.col(node).alias("n"), F.col(previous).alias("p")))
+    known = jobs.select(F.col("n").alias("p")).distinct()
+    at = jobs.join(known, "p", "left_semi")
+    at = stored(jobs.select("n").join(at, "n", "left").select("n", F.coalesce("p", "n").alias("up"), F.col("p").isNotNull().cast("long").alias("d")))
+    left = at.count()
+    while True:
         hop = at.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-        step = at.join(hop, "up").select("n", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved"))
-        step = step.cache()
-        moved = step.filter("moved").limit(1).count() > 0
-        at = step.drop("moved")
-        if not moved:
+        at = stored(at.join(hop, "up").select("n", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved")))
+        left //= 2
+        if not left or not at.filter("moved").limit(1).count():
+            break
+    ends = at.filter("d = 0").select(F.col("n").alias("up"), F.lit(True).alias("ends")).distinct()
+    at = at.join(ends, "up", "left")
+    return at.select(F.col("n").alias(node), F.when(F.col("ends"), F.col("up")).alias("root"), F.when(F.col("ends"), F.col("d")).alias("depth"))
+
+
+def bounded_crawl(kids: DataFrame, start: DataFrame, most_depth: int = 10, most_pages: int = 200) -> DataFrame:
+    """Breadth first from ``start`` (page) over ``kids`` (parent, page): page, depth of the first ``most_pages`` by (depth, page).
+
+    Each level is one join and one anti-join against the pages seen, written to the shared folder before the next, so
+    the plan of a level doesn't hold those before. It stops early once the cap is reached.
+    """
+    level = stored(start.select("page", F.lit(0).alias("depth")))
+    seen, count = level, level.count()
+    for depth in range(1, most_depth + 1):
+        found = level.select(F.col("page").alias("parent")).join(kids, "parent").select("page").distinct()
+        level = stored(found.join(seen, "page", "left_anti").withColumn("depth", F.lit(depth)))
+        new = level.count()
+        if not new:
+            break
+        seen, count = seen.unionByName(level), count + new
+        if count >= most_pages:
             break
-    return at.select(F.col("n").alias(node), F.col("up").alias("root"), F.col("d").alias("depth"))
+    return seen.orderBy("depth", "page").limit(most_pages)
 
 
 def page_diff(pages: DataFrame, states: DataFrame, live_jobs: DataFrame) -> DataFrame:

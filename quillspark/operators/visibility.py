@@ -17,7 +17,8 @@ def allowed_owners(users: DataFrame) -> DataFrame:
 def visible(jobs: DataFrame, users: DataFrame, viewer_id: int) -> DataFrame:
     """Jobs one viewer may see: all for an admin, otherwise own and team jobs; a null owner matches nobody else."""
     viewer = users.filter(F.col("user_id") == viewer_id)
-    owners = allowed_owners(users).filter(F.col("viewer_id") == viewer_id).select("owner_id")
+    mates = users.join(viewer.select("team_id"), "team_id", "left_semi")  # a null team has no mates
+    owners = viewer.unionByName(mates).select(F.col("user_id").alias("owner_id")).distinct()
     admin = viewer.filter("role = 'admin'").limit(1).count() > 0
     return jobs if admin else jobs.join(owners, "owner_id", "left_semi").select(*jobs.columns)
 

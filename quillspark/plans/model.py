@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "users": """
         SELECT c_custkey AS user_id, c_name AS username, CASE WHEN c_custkey % 20 = 0 THEN 'admin' ELSE 'user' END AS role,
-               CASE WHEN c_custkey % 6 = 5 THEN NULL ELSE c_custkey % 6 END AS team_id, c_acctbal > 0 AS is_active
-        FROM customer WHERE c_custkey < 60""",
+               CASE WHEN c_custkey % 6 = 5 THEN NULL ELSE CAST(floor(c_custkey / 6) AS BIGINT) END AS team_id, c_acctbal > 0 AS is_active
+        FROM customer""",
     "jobs": """
-        SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey % 60 END AS owner_id,
+        SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey END AS owner_id,
                'doc ' || CAST(o_custkey % 97 AS STRING) || CASE o_orderkey % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.eml'
                  WHEN 3 THEN '.xlsx' ELSE '.exe' END AS filename,
                CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'P' THEN 'FAILED' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'RUNNING' ELSE 'PENDING' END END AS status,
@@ -29,8 +29,8 @@ VIEWS = {
                CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' END AS grade, o_orderkey % 6 = 1 AS used_fallback,
                CASE o_orderkey % 7 WHEN 0 THEN 'vl:7' WHEN 1 THEN 'tiny' WHEN 2 THEN 'small' WHEN 3 THEN 'medium' WHEN 4 THEN 'medium_structured' END AS profile_id
         FROM orders""",
-    "job_tags": "SELECT DISTINCT l_orderkey AS job_id, l_suppkey % 12 AS tag_id FROM lineitem",
-    "tags": "SELECT n_nationkey AS tag_id, lower(n_name) AS name FROM nation WHERE n_nationkey < 12",
+    "job_tags": "SELECT DISTINCT l_orderkey AS job_id, l_suppkey % 25 AS tag_id FROM lineitem",
+    "tags": "SELECT n_nationkey AS tag_id, lower(n_name) AS name FROM nation",
     "parts": """
         SELECT l_orderkey AS mail_id, l_linenumber AS part_index, CASE WHEN l_partkey % 3 = 0 THEN 'job' WHEN l_partkey % 3 = 1 THEN 'inline' ELSE 'skipped' END AS outcome,
                CASE WHEN l_partkey % 3 = 0 THEN l_orderkey END AS job_id, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'part ' || CAST(l_partkey % 50 AS STRING) || '.pdf' END AS filename,

@@ -81,7 +81,7 @@ def agg13(t: Tables):
 def qg5(t: Tables):
     n = Q.noise(t.documents.select("doc_id", "text"))
     j = n.join(structure(t), "doc_id", "left").join(confidences(t), "doc_id", "left")
-    text = F.when(F.trim("text") != "", 1 - F.col("noise"))
+    text = F.when(F.col("text").rlike(r"\S"), 1 - F.col("noise"))
     j = j.withColumn("score", Q.gate_score(F.col("confidence"), F.col("structure"), text))
     grade, advice = Q.gate(F.col("score"))
     return j.select("doc_id", F.round("score", 4).alias("score"), grade.alias("grade"), advice.alias("recommendation"))

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh place in the shared folder of the session; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..storage import shared_folder
 
 
 def drain(spark: SparkSession, sf_dir: str, table: str, flow: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """``flow`` over all files of a table, until nothing is left; results are written once, with exactly-once files."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    at = shared_folder(spark)
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
     out = flow(source)
     if mode == "append":
