@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MICROS = 1_000_000
 
@@ -19,9 +20,10 @@ def fold(events: DataFrame, key: str, order: list[str], step: Callable[[object,
 
     ``out`` is the schema of the values, which follow the key and order columns. Null keys are one key.
     """
-    rows = events.repartition(key).sortWithinPartitions(key, *order)
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.withColumn(key, F.col(key).cast("string")).repartition(key).sortWithinPartitions(key, *order)
     names = [key, *order, *[c.split()[0] for c in out.split(",")]]
-    schema = ", ".join([f"{c} {events.schema[c].dataType.simpleString()}" for c in (key, *order)] + [out])
+    schema = ", ".join([f"{key} string", *[f"{c} {events.schema[c].dataType.simpleString()}" for c in order], out])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = object(), None
@@ -34,15 +36,15 @@ def fold(events: DataFrame, key: str, order: list[str], step: Callable[[object,
                 found.append((row[key], *[row[c] for c in order], *values))
             yield pd.DataFrame(found, columns=names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema).withColumn(key, F.col(key).cast(kind))
 
 
 def session_touch(idle_s: int = 3600, window_s: int = 7 * 86_400, cap_s: int = 30 * 86_400) -> Callable:
-    """Rows with ``at`` (microseconds): a session begins with its first request, is touched when idle for more than
+    """Rows with ``tick`` (microseconds): a session begins with its first request, is touched when idle for more than
     ``idle_s``, then expires ``window_s`` later, never beyond ``cap_s`` after its begin; a request past that begins a new one."""
 
     def step(state, row):
-        now = row["at"]
+        now = row["tick"]
         if state is None or now >= state[2]:
             state, touched = (now, now, min(now + window_s * MICROS, now + cap_s * MICROS)), True
         elif now - state[1] > idle_s * MICROS:
@@ -55,12 +57,12 @@ def session_touch(idle_s: int = 3600, window_s: int = 7 * 86_400, cap_s: int = 3
 
 
 def lockout(most: int = 10, window_s: int = 900, lock_s: int = 900) -> Callable:
-    """Rows with ``at`` and ``failed``: failures at most ``window_s`` apart add up, the ``most``-th locks for ``lock_s`` and starts
+    """Rows with ``tick`` and ``failed``: failures at most ``window_s`` apart add up, the ``most``-th locks for ``lock_s`` and starts
     the count anew, a success clears it; while locked, attempts are refused and change nothing."""
 
     def step(state, row):
         count, last, until = state or (0, None, None)
-        now = row["at"]
+        now = row["tick"]
         if until is not None and now < until:
             return (count, last, until), ("refused", count)
         if not row["failed"]:
@@ -74,10 +76,10 @@ def lockout(most: int = 10, window_s: int = 900, lock_s: int = 900) -> Callable:
 
 
 def cooldown(seconds: int = 10) -> Callable:
-    """Rows with ``at``: accepted when the last accepted one is at least ``seconds`` old."""
+    """Rows with ``tick``: accepted when the last accepted one is at least ``seconds`` old."""
 
     def step(state, row):
-        ok = state is None or row["at"] - state >= seconds * MICROS
-        return (row["at"] if ok else state), (ok,)
+        ok = state is None or row["tick"] - state >= seconds * MICROS
+        return (row["tick"] if ok else state), (ok,)
 
     return step

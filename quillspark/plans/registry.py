@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import browse, lifecycle, quality, rendering, streams  # noqa: F401
+    from . import browse, lifecycle, platform, quality, rendering, streams  # noqa: F401
