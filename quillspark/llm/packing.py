@@ -36,7 +36,7 @@ DIMS, BITS = 4, 10
 #: Tokens in one range of the curve: what a single task packs.
 RANGE = 1 << 21
 END = 2
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 def word_bpe_path() -> str:
@@ -74,8 +74,8 @@ class CachedTokenizer:
         return self._tok.encode(text, add_special_tokens=False).ids
 
     def _clear(self, slots: int) -> None:
-        self._keys, self._at, self._len = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int64)
-        self._ids, self._used, self._size = np.zeros(slots * 4, np.uint32), 0, 0
+        self._keys, self._at, self._len = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self._ids, self._used, self._size = np.zeros(slots, np.uint32), 0, 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Slot of each key, or -1."""
@@ -105,11 +105,11 @@ class CachedTokenizer:
         """The table at most half full: grown, or emptied once it is at its limit."""
         slots = len(self._keys)
         if self._size + more > self._limit:
-            self._clear(max(1 << 12, 1 << (2 * more).bit_length()))
+            self._clear(max(1 << 12, 1 << (2 * more - 1).bit_length()))
         elif 2 * (self._size + more) > slots:
             full = np.flatnonzero(self._keys)
             old, ids, used = (self._keys[full], self._at[full], self._len[full]), self._ids, self._used
-            self._clear(1 << (4 * (self._size + more)).bit_length())
+            self._clear(min(1 << (4 * (self._size + more) - 1).bit_length(), 1 << (2 * max(self._limit, self._size + more) - 1).bit_length()))
             self._ids, self._used = ids, used
             self._insert(*old)
 
@@ -167,7 +167,7 @@ class CachedTokenizer:
             source = raw.tobytes()
             self._learn([source[a : a + n] for a, n in zip(at[where].tolist(), length[where].tolist(), strict=True)], new)
             slot = self._find(h)
-        begin, n = self._at[slot], self._len[slot]
+        begin, n = self._at[slot].astype(np.int64), self._len[slot].astype(np.int64)
         stops = np.cumsum(n)
         total = int(stops[-1]) if len(stops) else 0
         ids = self._ids[np.repeat(begin - stops + n, n) + np.arange(total)]
