@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, forget, gram_hashes, in_bitmap, mix, position, shuffles, stored, text_or_empty, tidy
+from .common import bitmap_of, forget, gram_hashes, in_bitmap, mix, position, shuffles, small_batches, stored, text_or_empty, tidy
 from .components import components
 from .words import text_words
 
@@ -438,11 +438,13 @@ def ngram_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     as_text = base.withColumn("id", F.col("id").cast("string"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    cells, levels = count_levels(as_text, k, size)
+    with small_batches(spark):
+        cells, levels = count_levels(as_text, k, size)
     shared = spark.sparkContext.broadcast(levels)
     first = as_text.mapInPandas(_first_pass(k, num, den, cells, shared), "id string, th long, n long, s1 long, s2 long, keys array<long>, places array<int>")
     first = first.select(F.struct(F.col("id").cast(kind).alias("id"), "th").alias("row"), "n", "s1", "s2", "keys", "places")
-    first = stored(first, "sets")
+    with small_batches(spark):
+        first = stored(first, "sets")
 
     equal = first.filter("s1 is not null").groupBy("s1", "s2", "n").agg(F.min("row").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
     equal = stored(equal, "equal")
@@ -460,7 +462,8 @@ def ngram_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = in_bitmap(base, position(BITS, "id", "th"), bitmap, "wanted").filter("wanted")
     sets = marked.select(F.col("id").cast("string").alias("id"), "th", "text").mapInPandas(_sets(k), "id string, th long, set array<long>, sketch binary")
     sets = sets.select(F.struct(F.col("id").cast(kind).alias("id"), "th").alias("node"), "set", "sketch")
-    sets = stored(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    with small_batches(spark):
+        sets = stored(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
     forget(bitmap, wanted)
     links = _linked(lists, sets, kind, num, den, small, cell)
     forget(lists, sets)

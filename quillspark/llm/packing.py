@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, stored, text_or_empty, tidy
+from .common import P, small_batches, stored, text_or_empty, tidy
 from .words import LOWER, join_texts, run_hashes, word_bounds
 
 LENGTH = 4096
@@ -354,7 +354,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))
     narrow = rows.mapInPandas(_measure(tokenizer or word_bpe_path(), end, step, dims, bits), "id string, key long, n long, crcs binary")
-    narrow = stored(narrow.withColumn("id", F.col("id").cast(kind)), "pack-lengths")
+    with small_batches(spark):
+        narrow = stored(narrow.withColumn("id", F.col("id").cast(kind)), "pack-lengths")
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = max(1, total // range_tokens)
     ordered = narrow.repartitionByRange(ranges, "key", F.col("id").asc_nulls_first()) if ranges > 1 else narrow.repartition(1)
