@@ -359,12 +359,12 @@ RUNS = "runs AS (SELECT o_orderkey AS run_no, o_custkey % 400 AS source_id, o_or
 
 
 @query("mut7_refresh_start", f"""WITH {RUNS}, last AS (SELECT source_id, arg_max(pages, (done_at, run_no)) AS pages, max(run_no) AS any_run FROM runs WHERE state = 'F' GROUP BY source_id)
-  SELECT s.source_id, least(l.pages, 200) AS pages FROM sources s JOIN last l USING (source_id) WHERE s.enabled AND s.source_id NOT IN (SELECT source_id FROM runs WHERE state = 'P')""")
+  SELECT s.source_id, least(l.pages, 200) AS pages FROM sources s JOIN last l USING (source_id) WHERE s.enabled AND s.source_id NOT IN (SELECT source_id FROM runs WHERE state = 'P' AND run_no % 30 = 0)""")
 def mut7(t: Tables):
     """A due source repeats the scope of its last success, clamped anew, unless one of its runs is active."""
     o = t.orders.select("o_orderkey", (F.col("o_custkey") % 400).alias("source_id"), "o_orderstatus", "o_orderdate", (F.col("o_orderkey") % 700).alias("pages"))
     last = o.filter("o_orderstatus = 'F'").groupBy("source_id").agg(F.max(F.struct("o_orderdate", "o_orderkey", "pages"))["pages"].alias("pages"))
-    active = o.filter("o_orderstatus = 'P'").select("source_id").distinct()
+    active = o.filter("o_orderstatus = 'P' AND o_orderkey % 30 = 0").select("source_id").distinct()
     return t.sources.filter("enabled").select("source_id").join(last, "source_id").join(active, "source_id", "left_anti").select("source_id", F.least("pages", F.lit(200)).alias("pages"))
 
 
