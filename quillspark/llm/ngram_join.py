@@ -12,11 +12,13 @@ common passages come last and their lists stay empty unless a set holds little e
 once is in one set only and gets no list; a set with n - ceil(tn) + 1 of those can't be linked and ends there.
 Wrong estimates change the order alone, which is the same for all sets, so no linked pair is lost.
 
-Work inside a list never squares. Equal sets are one node from the start (one per task before the shuffle). In each
-round a node is held against one centre of its lists; links give components, and only lists that still hold several
-components are looked at again, with other centres. In the end come the untested pairs between different components,
-which is the exact way for what is left: long lists are compared there block against block by sketch, and only pairs
-that may be linked leave the task. Links inside a component need no test: the result is components.
+Equal sets are one node from the start (one per task before the shuffle). In the first round a node is held against
+one centre of its lists; links give components, and only lists that still hold several components are looked at again.
+Short lists are then paired off. Long ones are compared block against block by sketch, and of the pairs that may be
+linked only a spanning forest, the closest first, leaves a task: no more than the block has members, however many
+members are linked. Forests are verified and components joined, twice; in the end come the pairs between components
+that are still different, which is the exact way for what is left. Links inside a component need no test: the result
+is components.
 
 Scale: texts are read three times and never shuffled. Counts leave a task as 2 to 3 bytes a shingle; list entries are
 what the order leaves. Nodes come back to the last scan as a bitmap of 8 MiB at most. What a list says of itself (size,
@@ -296,8 +298,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "a").join(two, "b").withColumn("c", both).filter(F.col("c") * (den + num) >= num * (F.size("x") + F.size("y"))).select(*pairs.columns)
 
 
-def _compare(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows by (key, i, j): two blocks of one list. Gives the pairs across labels that sizes, places and sketches leave."""
+def forest(x: np.ndarray, y: np.ndarray, far: np.ndarray) -> list[int]:
+    """Which of the edges (x, y) a spanning forest keeps, those with the least ``far`` first."""
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (w := up.get(v, v)) != v:
+            up[v] = v = up.get(w, w)
+        return v
+
+    x, y, kept = x.tolist(), y.tolist(), []
+    for at in np.argsort(far, kind="stable").tolist():
+        a, b = root(x[at]), root(y[at])
+        if a != b:
+            up[a] = b
+            kept.append(at)
+    return kept
+
+
+def _compare(num: int, den: int, every: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows by (key, i, j): two blocks of one list. Gives the pairs across labels that sizes, places and sketches leave:
+    every one, or a spanning forest of the labels."""
 
     def close(rows: list[tuple]) -> pd.DataFrame:
         part = pd.DataFrame(rows, columns=["block", "i", "j", "id", "th", "label", "n", "place", "sketch"])
@@ -307,7 +328,7 @@ def _compare(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[
         n, place = ([x[c].to_numpy(np.int64) for x in sides] for c in ("n", "place"))
         labels = pd.factorize(pd.concat([sides[0]["label"], sides[1]["label"]]))[0]
         la, lb = labels[: len(n[0])], labels[len(n[0]) :]
-        left, right = [], []
+        left, right, far = ([np.zeros(0, np.int64)] for _ in range(3))
         for x in range(len(n[0])):
             both = n[1] + n[0][x]
             ok = (lb != la[x]) & (np.minimum(n[1], n[0][x]) * den >= np.maximum(n[1], n[0][x]) * num)
@@ -316,9 +337,15 @@ def _compare(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[
                 ok[: x + 1] = False
             at = np.flatnonzero(ok)
             if len(at):
-                at = at[(bits[1][at] != bits[0][x]).sum(axis=1) * (den + num) <= both[at] * (den - num)]
-            left += [x] * len(at)
-            right += at.tolist()
+                differ = (bits[1][at] != bits[0][x]).sum(axis=1)
+                near = differ * (den + num) <= both[at] * (den - num)
+                left.append(np.full(int(near.sum()), x))
+                right.append(at[near])
+                far.append(differ[near] / both[at[near]])
+        left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+        if not every:
+            kept = forest(la[left], lb[right], far)
+            left, right = left[kept], right[kept]
         one, two = sides[0].iloc[left], sides[1].iloc[right]
         return pd.DataFrame({"a_id": one["id"].to_numpy(), "a_th": one["th"].to_numpy(), "b_id": two["id"].to_numpy(), "b_th": two["th"].to_numpy()})
 
@@ -337,11 +364,12 @@ def _compare(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[
     return tidy(run)
 
 
-def _large_lists(rows: DataFrame, kind: str, num: int, den: int, cell: int) -> DataFrame:
-    """Pairs (a, b) of long lists that may be linked. rows: key, node, label, m, n, place, sketch.
+def _large_lists(rows: DataFrame, kind: str, num: int, den: int, cell: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of long lists that may be linked, or a spanning forest of them for each two blocks. rows: key, node,
+    label, m, n, place, sketch.
 
     A list is cut into blocks of about ``cell`` members and each pair of blocks is compared in one place, by sketch;
-    only pairs that pass leave it, so what moves grows with members times blocks and not with pairs.
+    only pairs that pass leave it, so what moves in grows with members times blocks and not with pairs.
     """
     blocks = F.ceil(F.col("m") / cell).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -349,7 +377,7 @@ def _large_lists(rows: DataFrame, kind: str, num: int, den: int, cell: int) -> D
     label = F.concat_ws(":", F.col("label.id").cast("string"), F.col("label.th").cast("string"))
     cells = cells.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", F.col("node.id").cast("string").alias("id"), F.col("node.th").alias("th"), label.alias("label"), "n", "place", "sketch")
     cells = cells.repartition(max(8, shuffles(rows.sparkSession)), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    out = cells.mapInPandas(_compare(num, den), "a_id string, a_th long, b_id string, b_th long")
+    out = cells.mapInPandas(_compare(num, den, every), "a_id string, a_th long, b_id string, b_th long")
     return out.select(*[F.struct(F.col(f"{x}_id").cast(kind).alias("id"), F.col(f"{x}_th").alias("th")).alias(x) for x in "ab"])
 
 
@@ -370,7 +398,7 @@ def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, sm
     tested: list[DataFrame] = []
     open_ = lists.withColumn("label", F.col("node"))
     for t in range(ROUNDS + 1):
-        order = F.struct(F.xxhash64("node", F.lit(t)).alias("h") if t else F.lit(0).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
+        order = F.struct(F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
         heads = open_.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("c"))
         heads = stored(heads.filter("lo < hi").drop("lo", "hi"), "heads")
         lists_left, pairs_left, rows_left = heads.agg(F.count("*"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
@@ -380,9 +408,8 @@ def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, sm
         # links inside a component are many and need no test, so a round around centres always comes first
         last = t == ROUNDS or (t > 0 and pairs_left <= STAR * rows_left)
         kept = open_.join(heads, "key")
-        if not last:
-            # one centre for each node and round, the least on any of its lists in an order that changes by round: a
-            # round tests no more pairs than there are nodes
+        if not t:
+            # one centre for each node, the least on any of its lists: no more pairs are tested than there are nodes
             star = kept.filter((F.col("label") != F.col("c.label")) & _sizes_fit("n", "c.n", num, den))
             star = star.groupBy("node").agg(F.min(F.struct("c", "label")).alias("x"))
             pairs = _pairs(star, F.col("node"), F.col("x.c.node"))
@@ -392,7 +419,7 @@ def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, sm
             room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * (den + num) >= (F.col("n") + F.col("n2")) * num
             pairs = _pairs(few.join(other, "key").filter((F.col("label") < F.col("label2")) & _sizes_fit("n", "n2", num, den) & room), F.col("node"), F.col("node2"))
             many = kept.filter(F.col("m") > small).drop("c").join(sets.select("node", "sketch"), "node")
-            pairs = pairs.union(_pairs(_large_lists(many, kind, num, den, cell), F.col("a"), F.col("b"))).distinct()
+            pairs = pairs.union(_pairs(_large_lists(many, kind, num, den, cell, last), F.col("a"), F.col("b"))).distinct()
         for before in tested:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -400,17 +427,25 @@ def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, sm
         # a first round meets most sets; later ones few, so that sets outside the pairs stay where they are
         bitmap = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), position(BITS, "node")) if t else None
         near = in_bitmap(sets, position(BITS, "node"), bitmap, "met").filter("met").drop("met") if t else sets
-        links = stored(_verified(_possible(pairs, near, num, den) if last else pairs, near, num, den), "links")
+        links = stored(_verified(_possible(pairs, near, num, den) if t else pairs, near, num, den), "links")
         if t:
             forget(bitmap)
         found.append(links)
         if last:
             forget(heads)
             break
-        # a linked node takes its centre's label, and that of the centre's centre: nodes of one label are connected, and
-        # where connected nodes keep two labels, they are only looked at again
-        after = kept.drop("c", "m")
-        if links.limit(1).count():
+        # after the first round a linked node takes its centre's label, and that of the centre's centre: nodes of one label
+        # are connected, and where connected nodes keep two labels, they are only looked at again. Later the labels that
+        # links join become one, and short lists are done with.
+        after = kept.drop("c", "m") if not t else kept.filter(F.col("m") > small).drop("c", "m")
+        if t and links.limit(1).count():
+            of = kept.select("node", "label").distinct()
+            joined = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+            names = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            after = after.join(names.select(F.col("node").alias("label"), F.col("label").alias("name")), "label", "left").withColumn("label", F.coalesce("name", "label"))
+            after = stored(after.select("key", "node", "n", "place", "label"), "open")
+            forget(names)
+        elif links.limit(1).count():
             parent = star.select("node", F.col("x.c.node").alias("via"), F.col("x.c.label").alias("to"))
             tree = parent.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.least("node", "via") == F.col("x")) & (F.greatest("node", "via") == F.col("y"))).select("node", "via", "to")
             tree = stored(tree, "tree")

@@ -201,8 +201,10 @@ def test_ngram_join(docs, rows, empty, k, num):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
-def test_ngram_join_chain_of_near_copies(spark):
-    """A hot list whose members link along a chain only: stars, later rounds and the exact rest must find every link."""
+@pytest.mark.parametrize("star", [0, 64])
+def test_ngram_join_chain_of_near_copies(spark, monkeypatch, star):
+    """A hot list whose members link along a chain only: stars, forests and the exact rest must find every link."""
+    monkeypatch.setattr(ngram_join, "STAR", star)
     words = [f"v{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(80)]
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=90, small=2, cell=8).collect()
@@ -221,8 +223,27 @@ def test_ngram_join_copies_in_descending_order(spark):
     assert got == {i: i // 100 * 100 + 2 for i, _ in rows}
 
 
-def test_ngram_join_long_list_without_links(spark):
-    """Many copies of one text, each with edits of its own: no links at 0.9, and two more that do link."""
+def test_forest_joins_all_and_no_more():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (30, 20), (60, 400)):
+        x, y, far = rng.integers(0, n, m), rng.integers(0, n, m), rng.random(m)
+        kept = ngram_join.forest(x, y, far)
+
+        def groups(at, x=x, y=y, n=n):
+            label = list(range(n))
+            for i in at:
+                label = [label[x[i]] if c == label[y[i]] else c for c in label]
+            return label
+
+        whole, tree = groups(range(m)), groups(kept)
+        assert len(kept) == n - len(set(whole))
+        assert {tuple(v == w for w in whole) for v in whole} == {tuple(v == w for w in tree) for v in tree}
+
+
+def test_ngram_join_long_list_without_links(spark, monkeypatch):
+    """Many copies of one text, each with edits of its own: no links at 0.9, and two more that do link. Forests come
+    before the exact rest."""
+    monkeypatch.setattr(ngram_join, "STAR", 0)
     rng = random.Random(9)
     base = [f"v{i}" for i in range(200)]
     rows = []
