@@ -140,9 +140,28 @@ def val3(t: Tables):
     return d.select("item_id", "found", V.compact_date_ok(*part).alias("plausible"))
 
 
-@query("val3_dates_claimed")
+def claims_sql(text: str, table: str, key: str) -> str:
+    """Dates by kind, each kind blanked before the next: CTEs k0 … k4 of (id, s, total, bad)."""
+    parts = [f"k0 AS (SELECT {key} AS id, {text} AS s, 0 AS total, 0 AS bad FROM {table})"]
+    for i, (pattern, fine) in enumerate(V.DATE_KINDS):
+        found = f"regexp_extract_all(s, '{pattern}')"
+        bad = f"len({found})" if fine is None else f"len(list_filter({found}, lambda x: NOT regexp_matches(x, '{fine}')))"
+        parts.append(f"k{i + 1} AS (SELECT id, regexp_replace(s, '{pattern}', '|', 'g') AS s, total + len({found}) AS total, bad + {bad} AS bad FROM k{i})")
+    return ", ".join(parts)
+
+
+@query("val3_dates_claimed", f"WITH {claims_sql('text', 'documents', 'doc_id')} SELECT id AS doc_id, CAST(total AS INT) AS total, CAST(bad AS INT) AS implausible FROM k4")
 def val3_all(t: Tables):
-    return t.documents.select("doc_id", V.date_counts("text").alias("d")).select("doc_id", "d.total", "d.implausible")
+    return t.documents.select("doc_id", V.date_counts(F.col("text")).alias("d")).select("doc_id", "d.total", "d.implausible")
+
+
+FORM = "p_partkey AS item_id, 'am ' || CAST(p_partkey % 35 AS STRING) || ' ' || CAST(p_partkey % 14 AS STRING) || ' 20 26 ' || p_brand || ' ' || CAST(p_size AS STRING) || ' 06/19/80, ' || CAST(p_partkey % 33 AS STRING) || '/' || CAST(p_size AS STRING) || '/1999; 3.' || CAST(p_partkey % 15 AS STRING) || '.' || CAST(1890 + p_size * 6 AS STRING) AS line"
+
+
+@query("val3_torn_dates", f"WITH f AS (SELECT {FORM} FROM part), {claims_sql('line', 'f', 'item_id')} SELECT id AS item_id, CAST(total AS INT) AS total, CAST(bad AS INT) AS implausible FROM k4")
+def val3_torn(t: Tables):
+    f = t.part.selectExpr(*FORM.split(", ", 1))
+    return f.select("item_id", V.date_counts(F.col("line")).alias("d")).select("item_id", "d.total", "d.implausible")
 
 
 @query(

@@ -57,7 +57,17 @@ def test_iban_and_dates(spark):
     df = spark.createDataFrame([("DE89370400440532013000",), ("DE88370400440532013000",), ("XX12345678901234567",)], "s string")
     assert [r.p for r in df.select(validation.iban_problem(F.col("s")).alias("p")).collect()] == [None, "checksum", "country"]
     df = spark.createDataFrame([("06 06/19/80",), ("01 07 20 26",), ("02.08.2025 und 40/40/99",), ("02.082.2025",), (None,)], "s string")
-    assert [tuple(r.d) for r in df.select(validation.date_counts("s").alias("d")).collect()] == [(1, 1), (1, 1), (2, 1), (1, 1), (0, 0)]
+    assert [tuple(r.d) for r in df.select(validation.date_counts(F.col("s")).alias("d")).collect()] == [(1, 1), (1, 1), (2, 1), (1, 1), (0, 0)]
+    df = spark.createDataFrame([("45 06/19/80",), ("99 1 2 30 40",), ("3.4.1899, 12/31/99; 31/12/1999",), ("",)], "s string")
+    assert [tuple(r.d) for r in df.select(validation.date_counts(F.col("s")).alias("d")).collect()] == [(1, 0), (1, 1), (3, 1), (0, 0)]
+
+
+def test_validation_counters(spark):
+    text = "IBAN DE88370400440532013000\nDiagnose: E10.9, U07.1\nName:\n| Ort: | __ | Tag: | 06 06/19/80 |\nhttps://x.example\n14:30\n\tCode: \t---\r\nok"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "s string").select(*validation.counters(F.col("s")))
+    got = [r.asDict() for r in df.collect()]
+    want = {"iban_total": 1, "iban_invalid": 1, "icd_total": 2, "icd_invalid": 1, "date_total": 1, "date_implausible": 1, "labelled_lines": 5, "orphan_labels": 3}
+    assert got[0] == want and got[1] == got[2] == dict.fromkeys(want, 0)
 
 
 def test_paths_and_rendering(spark):
