@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .form_latex import flatten_forms
+
 # Checkbox glyphs, label groups, pairing thresholds.
 TICKED, EMPTY = "☒☑⊠", "□☐▢"
 BOILERPLATE = ("header", "footer", "number")
@@ -36,15 +36,20 @@ def heading(cleaned: Column, level: int) -> Column:
 
 
 def block(label: Column, content: Column, page: Column) -> Column:
-    """Markdown of one block; empty where it renders nothing. Tables in HTML are left to :func:`table_rows`."""
-    c = clean(checkboxes(F.coalesce(content, F.lit(""))))
+    """Markdown of one block, form fields and tables in HTML included; empty where it renders nothing."""
     figure = F.concat(F.lit("*[Figure on page "), page.cast("string"), F.lit("]*"))
+    cleaned = clean(flatten_forms(checkboxes(F.coalesce(content, F.lit(""))))[0])
+    return F.transform(F.array(cleaned), lambda c: dispatch(label, content, c, figure))[0]  # the array: cleaned once
+
+
+def dispatch(label: Column, content: Column, c: Column, figure: Column) -> Column:
     return (
         F.when(label == "llm_markdown", F.trim(F.coalesce(content, F.lit(""))))
         .when(label.isin("figure", "image"), F.when(c == "", figure).otherwise(F.concat(figure, F.lit(" "), c)))
         .when(c == "", "")
         .when(label.isin("paragraph_title", "doc_title"), heading(c, 2))
         .when(label == "table_title", heading(c, 3))
+        .when((label == "table") & F.lower(c).contains("<table"), gfm_table(table_rows(c)))
         .when(label.isin(*QUOTED), F.concat(F.lit("> "), c))
         .otherwise(c)
     )
@@ -170,10 +175,11 @@ def table_rows(html: Column) -> Column:
 
 
 def gfm_table(rows: Column) -> Column:
-    """A table with a header line, rows padded to the widest."""
+    """A table with a header line, rows padded to the widest; empty without rows."""
     wide = F.array_max(F.transform(rows, F.size))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), wide), " | "), F.lit(" |"))
-    return F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, F.lit(2), F.size(rows)), line)), "\n")
+    table = F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, F.lit(2), F.size(rows)), line)), "\n")
+    return F.when(F.size(rows) > 0, table).otherwise("")
 
 

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import email.policy
 import mimetypes
+import re
 from collections.abc import Iterator
 from email.message import EmailMessage
 from email.parser import BytesParser
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.naming import MARKDOWN_CHARS, frontmatter
+from ..functions.wiki import markdown_of
 from .uploads import EXTENSIONS, MOST_BYTES
 
 # Declared types that say nothing, and those that fit an extension.
@@ -105,6 +108,21 @@ def manifest(message: EmailMessage) -> list[dict]:
     return out
 
 
+CID_IMAGE = re.compile(r"""<img\b[^>]*?\bsrc\s*=\s*["']?\s*cid:([^"'\s>]*)[^>]*>""", re.IGNORECASE)
+
+
+def with_names(html: str, message: EmailMessage, parts: list[dict]) -> str:
+    """Images that point into the mail become the names of the parts they show."""
+    if "cid:" not in html.lower():
+        return html
+    names = {}
+    for (part, _), row in zip(leaves(message), parts, strict=True):
+        key = (part.get("Content-ID") or "").strip(" <>")
+        if row["outcome"] == "inline" and key:
+            names[key] = ": " + re.sub(MARKDOWN_CHARS, r"\\\1", row["filename"])
+    return CID_IMAGE.sub(lambda m: f"![inline attachment{names.get(m[1].strip(' <>'), '')}]", html)
+
+
 def parse(raw: bytes) -> tuple:
     message = BytesParser(policy=email.policy.default).parsebytes(raw or b"")
     sender, body = addresses(message, "From"), message.get_body(preferencelist=("html", "plain"))
@@ -112,9 +130,12 @@ def parse(raw: bytes) -> tuple:
     if body is not None:
         content = body.get_content()
         text = content if isinstance(content, str) else content.decode("utf-8", "replace")
+    parts = manifest(message)
+    if text is not None and body.get_content_type() == "text/html":
+        text = with_names(text, message, parts)
     return (
         str(message.get("Subject") or "").strip(), sender[0] if sender else str(message.get("From") or "").strip(), addresses(message, "To"), addresses(message, "Cc"), sent_at(message),
-        str(message.get("Message-ID") or "").strip() or None, None if body is None else body.get_content_type(), text, manifest(message),
+        str(message.get("Message-ID") or "").strip() or None, None if body is None else body.get_content_type(), text, parts,
     )
 
 
@@ -134,6 +155,50 @@ def parsed(mails: DataFrame, id_col: str, raw_col: str) -> DataFrame:
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
 
 
+def rendered(mails: DataFrame) -> DataFrame:
+    """``markdown`` beside the parsed columns: HTML written as Markdown, plain text as it is, null without a body."""
+    html = F.col("body_type") == "text/html"
+    return mails.withColumn("markdown", F.when(html, markdown_of(F.when(html, F.col("body")), F.lit(""))).otherwise(F.col("body")))
+
+
+def utc(at: Column) -> Column:
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def with_envelope(mails: DataFrame, ingested_by: Column) -> DataFrame:
+    """``document``: the envelope as frontmatter, then the rendered body; null without a body."""
+    fields = [
+        ("source", F.lit("mail"), False), ("subject", F.col("subject"), False), ("from", F.col("from_address"), False), ("to", F.col("to_list"), False), ("date", utc(F.col("sent_at")), False),
+        ("message_id", F.col("message_id"), False), ("content_sha256", F.col("sha256"), False), ("ingested_by", ingested_by, False),
+    ]
+    return rendered(mails).withColumn("document", F.concat(frontmatter(fields), "markdown"))
+
+
+def manifests(mails: DataFrame, id_col: str) -> DataFrame:
+    """One row a part."""
+    return mails.select(id_col, F.explode("parts").alias("p")).select(id_col, "p.*")
+
+
+def as_documents(mails: DataFrame, id_col: str, converted: DataFrame) -> DataFrame:
+    """id, markdown, page_count: the body, then each attachment's own Markdown or why there is none, in the mail's order.
+
+    ``converted``: id_col, index, markdown, pages of the attachments; one that is missing there could not be converted.
+    Inline parts are left out. The join is on mail and part, so a mail with many parts is spread.
+    """
+    parts = manifests(mails, id_col).filter("outcome <> 'inline'")
+    found = converted.select(id_col, "index", F.col("markdown").alias("inner"), F.coalesce("pages", F.lit(0)).alias("pages"))
+    j = parts.join(found, [id_col, "index"], "left")
+    said = lambda why: F.concat(F.lit("(skipped: "), "filename", F.lit(" — "), why, F.lit(")"))
+    job = F.when(F.col("inner").isNull(), said(F.lit("conversion error"))).when(F.trim("inner") != "", F.concat(F.lit("## Attachment: "), "filename", F.lit("\n\n"), F.trim("inner")))
+    section = F.when(F.col("outcome") == "job", job).otherwise(said(F.col("skip_reason")))
+    body = rendered(mails).select(id_col, F.lit(-1).alias("index"), F.regexp_replace("markdown", r"^\s+|\s+$", "").alias("section"), F.lit(0).cast("long").alias("pages"))
+    every = body.unionByName(j.select(id_col, "index", section.alias("section"), F.when(F.col("outcome") == "job", F.coalesce("pages", F.lit(0))).otherwise(0).cast("long").alias("pages")))
+    listed = F.sort_array(F.collect_list(F.when(F.col("section") != "", F.struct("index", "section"))))
+    joined = F.array_join(F.transform(listed, lambda s: s["section"]), "\n\n---\n\n")
+    out = every.groupBy(id_col).agg(joined.alias("markdown"), F.greatest(F.lit(1).cast("long"), F.sum("pages")).alias("page_count"))
+    return out.withColumn("markdown", F.when(F.col("markdown") == "", "(empty email)").otherwise(F.col("markdown")))
+
+
 def read_mails(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(path)
     return parsed(files.filter(F.col("length") <= MOST_BYTES), "path", "content")

@@ -5,9 +5,10 @@ from email.message import EmailMessage
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import paths, quality, rendering, validation
+from quillspark.functions import form_latex, paths, quality, rendering, validation
 from quillspark.functions.confidence import confidences, harvest
-from quillspark.sources.mail import parse, parsed
+from quillspark.sources import sheets
+from quillspark.sources.mail import as_documents, parse, parsed, rendered
 from quillspark.sources.uploads import magic
 
 
@@ -83,3 +84,50 @@ def test_paths_and_rendering(spark):
     assert value(rendering.block(F.lit("figure"), F.lit(None).cast("string"), F.lit(3))) == "*[Figure on page 3]*"
     assert value(rendering.block(F.lit("text"), F.lit("☑ ja □ nein ○"), F.lit(1))) == "[x] ja [ ] nein ○"
     assert value(magic(F.lit(b"%PDF-1.7"))) == "pdf" and value(magic(F.lit(b"??"))) == "unknown"
+    table = "<table><tr><td>a</td><td>b|c</td></tr><tr><td>1</td></tr></table>"
+    assert value(rendering.block(F.lit("table"), F.lit(table), F.lit(1))) == "| a | b\\|c |\n| --- | --- |\n| 1 |  |"
+    assert value(rendering.block(F.lit("table"), F.lit("<table></table>"), F.lit(1))) == ""
+
+
+@pytest.mark.parametrize(
+    ("text", "plain", "count"),
+    [
+        (r"Name: $ \underline{\text{Mia}} $ $ \underline{\text{Mai}} $ $x^2$", "Name: Mia Mai $x^2$", 2),
+        (r"$$ \underline{01}\underline{07}_{Tag\quad Monat} $$", "01 07 Tag Monat", 1),
+        (r"$$ \begin{array}{c}\underline{0\underline{2}5}\\ Tag\end{array} $$", "0 2 5 Tag", 1),
+        (r"$ \sum \underline{Tag} $", r"$ \sum \underline{Tag} $", 0),
+        (r"$ \foo{Tag} $ $ {Tag $ $5 und $7", r"$ \foo{Tag} $ $ {Tag $ $5 und $7", 0),
+        (r"$ Tag}} \ 3 $", "Tag 3", 1),
+        ("$$", "$$", 0),
+        ("", "", 0),
+        (None, None, None),
+    ],
+)
+def test_form_latex(spark, text, plain, count):
+    df = spark.createDataFrame([(text,)], "s string")
+    flat, n = form_latex.flatten_forms(F.col("s"))
+    assert tuple(df.select(flat, n).first()) == (plain, count)
+
+
+def test_workbooks(spark):
+    from quillspark.plans.documents import workbook
+
+    df = spark.createDataFrame([(1, bytearray(workbook("x", 4))), (2, bytearray(b"no zip")), (3, None)], "n long, raw binary")
+    rows = sheets.rows_of(df, "n", "raw")
+    assert [(r.n, r.error) for r in rows.filter("error is not null").orderBy("n").collect()] == [(2, "BadZipFile"), (3, "BadZipFile")]
+    (got,) = sheets.markdown(rows, "n").collect()
+    assert (got.n, got.sheet_count, got.row_count) == (1, 2, 2) and got.markdown.startswith("## Sheet: S0\n\n| na me | col_2 | no | col_4 |\n")
+    assert sheets.markdown(sheets.rows_of(df.limit(0), "n", "raw"), "n").count() == 0
+    assert [sheets.column_of(r) for r in ("A1", "Z9", "AA1", "")] == [0, 25, 26, -1]
+
+
+def test_mail_documents(spark):
+    m = mail()
+    m.get_body(("html",)).add_related(b"png", maintype="image", subtype="png", cid="<i>", filename="p[1].png")
+    df = spark.createDataFrame([(1, bytearray(m.as_bytes())), (2, None)], "n long, raw binary")
+    mails = parsed(df, "n", "raw")
+    text = {r.n: r.markdown for r in rendered(mails).collect()}
+    assert "html body ![inline attachment" in text[1]
+    done = spark.createDataFrame([(1, 1, "# Inner", 3)], "n long, index int, markdown string, pages long")
+    got = {r.n: (r.markdown, r.page_count) for r in as_documents(mails, "n", done).collect()}
+    assert got[2] == ("(empty email)", 1) and "\n\n---\n\n(skipped: z.zip — unsupported_type)" in got[1][0]
