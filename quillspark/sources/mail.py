@@ -185,14 +185,16 @@ def as_documents(mails: DataFrame, id_col: str, converted: DataFrame) -> DataFra
     ``converted``: id_col, index, markdown, pages of the attachments; one that is missing there could not be converted.
     Inline parts are left out. The join is on mail and part, so a mail with many parts is spread.
     """
-    parts = manifests(mails, id_col).filter("outcome <> 'inline'")
-    found = converted.select(id_col, "index", F.col("markdown").alias("inner"), F.coalesce("pages", F.lit(0)).alias("pages"))
-    j = parts.join(found, [id_col, "index"], "left")
+    none = F.lit(None).cast("string")
+    own = F.struct(F.lit(-1).alias("index"), none.alias("filename"), F.lit("body").alias("outcome"), none.alias("skip_reason"), F.regexp_replace("markdown", r"^\s+|\s+$", "").alias("text"))
+    rest = F.transform("parts", lambda p: F.struct(p["index"].alias("index"), p["filename"].alias("filename"), p["outcome"].alias("outcome"), p["skip_reason"].alias("skip_reason"), none.alias("text")))
+    pieces = rendered(mails).select(id_col, F.explode(F.concat(F.array(own), rest)).alias("p")).select(id_col, "p.*").filter("outcome <> 'inline'")
+    found = converted.select(id_col, "index", F.trim("markdown").alias("inner"), F.coalesce("pages", F.lit(0)).cast("long").alias("n_pages"))
+    j = pieces.join(found, [id_col, "index"], "left")
     said = lambda why: F.concat(F.lit("(skipped: "), "filename", F.lit(" — "), why, F.lit(")"))
-    job = F.when(F.col("inner").isNull(), said(F.lit("conversion error"))).when(F.trim("inner") != "", F.concat(F.lit("## Attachment: "), "filename", F.lit("\n\n"), F.trim("inner")))
-    section = F.when(F.col("outcome") == "job", job).otherwise(said(F.col("skip_reason")))
-    body = rendered(mails).select(id_col, F.lit(-1).alias("index"), F.regexp_replace("markdown", r"^\s+|\s+$", "").alias("section"), F.lit(0).cast("long").alias("pages"))
-    every = body.unionByName(j.select(id_col, "index", section.alias("section"), F.when(F.col("outcome") == "job", F.coalesce("pages", F.lit(0))).otherwise(0).cast("long").alias("pages")))
+    job = F.when(F.col("inner").isNull(), said(F.lit("conversion error"))).when(F.col("inner") != "", F.concat(F.lit("## Attachment: "), "filename", F.lit("\n\n"), "inner"))
+    section = F.when(F.col("outcome") == "body", F.col("text")).when(F.col("outcome") == "job", job).otherwise(said(F.col("skip_reason")))
+    every = j.select(id_col, "index", section.alias("section"), F.when(F.col("outcome") == "job", F.coalesce("n_pages", F.lit(0))).otherwise(0).cast("long").alias("pages"))
     listed = F.sort_array(F.collect_list(F.when(F.col("section") != "", F.struct("index", "section"))))
     joined = F.array_join(F.transform(listed, lambda s: s["section"]), "\n\n---\n\n")
     out = every.groupBy(id_col).agg(joined.alias("markdown"), F.greatest(F.lit(1).cast("long"), F.sum("pages")).alias("page_count"))
