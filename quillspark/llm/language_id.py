@@ -24,7 +24,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -212,12 +212,12 @@ class CrossParser:
 
     def _forget(self) -> None:
         self._row: dict[str, int] = {}
-        self._cost = np.zeros((1024, len(self._names) + 1), np.int64)  # phrases in each language, then characters
+        self._cost = np.zeros((1024, len(self._names) + 1), np.int32)  # phrases in each language, then characters
 
     def _learn(self, words: list[str]) -> None:
         parts = [letters(w) for w in words]
         flat = [MARK + w + MARK for p in parts for w in p]
-        each = np.zeros((len(flat), len(self._names) + 1), np.int64)
+        each = np.zeros((len(flat), len(self._names) + 1), np.int32)
         for lo in range(0, len(flat), 20_000):
             for i, m in enumerate(self._models):
                 each[lo : lo + 20_000, i] = m.phrases(flat[lo : lo + 20_000])
@@ -267,16 +267,20 @@ def letters(word: str) -> list[str]:
     return [word] if word.isalpha() else "".join([c if c.isalpha() else " " for c in word]).split()
 
 
+PREDICTED = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("phrase_rate", pa.float64())])
+
+
 def predictor(words: dict[str, list[str]]) -> Callable[[Column], Column]:
     """A column function: text -> struct of lang_pred, score, phrase_rate. Other columns never leave the JVM."""
     shared = SparkSession.getActiveSession().sparkContext.broadcast((words, compact(words)))
 
-    @F.pandas_udf("lang_pred string, score double, phrase_rate double")
-    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, phrase_rate double")
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = CrossParser(*shared.value)
-        for texts in batches:
-            rows = [x for lo in range(0, len(texts), BLOCK) for x in parser.predict(texts.iloc[lo : lo + BLOCK].tolist())]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "phrase_rate"])
+        for texts in batches:  # only BLOCK texts at a time become Python strings
+            rows = [x for lo in range(0, len(texts), BLOCK) for x in parser.predict(texts.slice(lo, BLOCK).to_pylist())]
+            del texts
+            yield pa.array([dict(zip(PREDICTED.names, r, strict=True)) for r in rows], PREDICTED)
         del parser
         release()
 
