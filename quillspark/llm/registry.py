@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_extract import op4_html_extract
 from .language_id import op6_language_id
+from .lexical_search import OP13_SQL, op13_lexical_search
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import op10_ngram_join
 from .packing import op2_packing
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
         "op10_ngram_join": op10_ngram_join,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op5_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op5_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op13_lexical_search": OP13_SQL}

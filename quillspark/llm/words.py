@@ -37,6 +37,50 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, edge[1::2] - starts
 
 
+def byte_class(pattern: bytes) -> np.ndarray:
+    """A table of 256 flags: the bytes in ``pattern``."""
+    out = np.zeros(256, bool)
+    out[list(pattern)] = True
+    return out
+
+
+def arrow_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow string array end to end (null as empty) plus SPARE bytes, and where each text begins.
+
+    No text becomes a Python object; nothing stands between two texts, so :func:`runs` takes the offsets.
+    """
+    import pyarrow as pa
+
+    arr = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(arr.buffers()[1], np.int64, len(arr) + 1, arr.offset * 8) if len(arr) else np.zeros(1, np.int64)
+    data = np.zeros(int(offsets[-1] - offsets[0]) + SPARE, np.uint8)
+    if offsets[-1] > offsets[0]:
+        data[:-SPARE] = np.frombuffer(arr.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of every maximal run of bytes in the class ``inside`` within one text, and bounds as in :func:`text_words`."""
+    on = inside[data[: offsets[-1]]]
+    first, last = on.copy(), on.copy()
+    first[1:] &= ~on[:-1]
+    last[:-1] &= ~on[1:]
+    full = np.flatnonzero(np.diff(offsets))
+    first[offsets[full]], last[offsets[full + 1] - 1] = on[offsets[full]], on[offsets[full + 1] - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1 - starts, np.searchsorted(starts, offsets)
+
+
+def spans(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of texts, each of at most ``most`` bytes, or one text alone."""
+    out, lo = [], 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def run_hashes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of each run of bytes: eight bytes at a time through :func:`mix`, the length first."""
     base = np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & (1 << 64) - 1)
