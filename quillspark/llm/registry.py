@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .cross_tokens import op11_cross_tokens
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_extract import op4_html_extract
 from .language_id import op6_language_id
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
         "op10_ngram_join": op10_ngram_join,
+        "op11_cross_tokens": op11_cross_tokens,
         "op13_lexical_search": op13_lexical_search,
     }
 
