@@ -14,9 +14,10 @@ are then numbers that documents add up. A segment that does not give back its by
 documents that hold it (U+2581 does so for the piece tokenizer); their segments are counted off again.
 
 Scale: a block of BLOCK_BYTES of text deals one row for each distinct segment and gets one back, so neither a common
-word nor a common document makes a hot key. Segments are told apart by their text when they are tokenised, and by a
-64-bit hash when alignments go back: among n distinct segments n * n / 2**65 mix-ups are expected. The table of linked
-pairs is broadcast where it was measured to be at most MOST_BYTES, and joined otherwise.
+word nor a common document makes a hot key. Segments with at least 1 / HEAD of all occurrences, so at most HEAD of them,
+go to every worker instead, and segments of one block go straight back to it. Segments are told apart by their text; a
+block finds its answers by 64-bit hashes, with n * n / 2**65 mix-ups expected among the n segments of a block and HEAD
+others. The table of linked pairs is broadcast where it was measured to be at most MOST_BYTES, and joined otherwise.
 
 Defined results: null and empty texts, and those ruled out, have zeros and the empty string; repeated rows are
 documents each, and count each; an empty table gives an empty result; extra columns are ignored.
@@ -34,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, rows_of, texts_of
+from .blocks import blocks, packed, rows_of, texts_of, unpacked
 from .common import P, forget, small_batches, stored, tidy
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 MOST_BYTES = 64 << 20
+#: The most common segments, of at most so many bytes each, are broadcast.
+HEAD, HEAD_BYTES = 1 << 17, 64
 #: Segments tokenised at once.
 BATCH = 4000
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -139,17 +142,14 @@ def _pair(paths: tuple[str, str]) -> Pair:
 
 
 def key_of(segments) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
+    """What Spark's xxhash64 gives for each string."""
+    from xxhash import xxh64_intdigest
 
-    return np.fromiter((xxh3_64_intdigest(s) for s in segments), np.uint64, len(segments)).view(np.int64)
-
-
-def _batch(names: list[str], *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in columns], names)
+    return np.fromiter((xxh64_intdigest(s, 42) for s in segments), np.uint64, len(segments)).view(np.int64)
 
 
 def _segments(paths: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """block, h, seg, times: the distinct segments of each block."""
+    """block, seg, times: the distinct segments of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(paths)
@@ -158,15 +158,18 @@ def _segments(paths: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], It
             for t in texts:
                 if t := t.as_py():
                     times.update(pair.segments(t))
-            segs = list(times)
+            segs = sorted(times)  # in order they take less room
             for lo in range(0, len(segs), 100_000):
                 part = segs[lo : lo + 100_000]
-                yield _batch([f"{P}block", "h", "seg", "times"], np.full(len(part), block, np.int64), key_of(part), pa.array(part, pa.string()), np.array([times[s] for s in part], np.int64))
+                columns = [pa.array(np.full(len(part), block, np.int64)), pa.array(part, pa.string()), pa.array([times[s] for s in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [f"{P}block", "seg", "times"])
 
     return tidy(run)
 
 
-_ALIGNED = "h long, times long, ok boolean, n_a int, n_b int, n_groups int, groups string, la array<int>, lb array<int>"
+_NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+_ALIGNED = f"seg string, times long, in_blocks long, {P}block long, ok boolean, n_a int, n_b int, n_groups int, n_links int, groups string, la array<int>, lb array<int>"
+_CARRIED = ("seg", "times", "in_blocks", f"{P}block")
 
 
 def _align(paths: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -178,10 +181,26 @@ def _align(paths: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
             for lo in range(0, whole.num_rows, BATCH):
                 b = whole.slice(lo, BATCH)
                 ok, n_a, n_b, n_groups, groups, la, lb = zip(*align(pair, b.column("seg").to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("h"), b.column("times"), pa.array(ok), *(pa.array(x, pa.int32()) for x in (n_a, n_b, n_groups)), pa.array(groups, pa.string()), pa.array(la, ids), pa.array(lb, ids)],
-                    [x.split()[0] for x in _ALIGNED.split(", ")],
-                )
+                numbers = [pa.array(x, pa.int32()) for x in (n_a, n_b, n_groups, list(map(len, la)))]
+                yield pa.RecordBatch.from_arrays([*map(b.column, _CARRIED), pa.array(ok), *numbers, pa.array(groups, pa.string()), pa.array(la, ids), pa.array(lb, ids)], [x.split()[0] for x in _ALIGNED.split(", ")])
+
+    return tidy(run)
+
+
+def _sums(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Aligned segments with n_best and count_sum in place of their links; shared: sorted a << 32 | b, counts, whether highest for b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, count, best = shared.value
+        for b in batches:
+            at = np.searchsorted(keys, np.asarray(b.column("la").flatten(), np.int64) << 32 | np.asarray(b.column("lb").flatten(), np.int64))
+            cut = np.r_[0, np.cumsum(np.asarray(b.column("n_links"), np.int64))]
+            out = []
+            for x in (best, count):
+                total = np.r_[0, np.cumsum(x[np.minimum(at, len(x) - 1)])] if len(x) else np.zeros(len(at) + 1, np.int64)
+                out.append(pa.array(total[cut[1:]] - total[cut[:-1]], pa.int64()))
+            b = b.drop_columns(["la", "lb"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, "n_best", "count_sum"])
 
     return tidy(run)
 
@@ -193,17 +212,15 @@ def _one(table: pa.Table) -> tuple[pa.Array, pa.Array]:
 
 
 def _ruled_out(paths: tuple[str, str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """h, times of the segments of those documents of a block that hold one of the given segments."""
+    """seg, less: what the documents of a block that hold one of the given segments add to each segment's count."""
 
     def run(block: pa.Table, bad: pa.Table) -> pa.Table:
-        pair, times = _pair(paths), Counter()
-        bad_keys = set(bad.column("h").to_pylist())
-        if bad_keys:
-            for t in _one(block)[1]:
-                segs = pair.segments(t.as_py()) if len(t.as_py()) else []
-                if not bad_keys.isdisjoint(key_of(segs).tolist()):
-                    times.update(segs)
-        return pa.table({"h": key_of(list(times)), "times": np.array(list(times.values()), np.int64)})
+        pair, times, gone = _pair(paths), Counter(), set(bad.column("seg").to_pylist())
+        for t in _one(block)[1] if gone else []:
+            segs = pair.segments(t) if (t := t.as_py()) else []
+            if not gone.isdisjoint(segs):
+                times.update(segs)
+        return pa.table({"seg": pa.array(list(times), pa.string()), "less": pa.array(list(times.values()), pa.int64())})
 
     return run
 
@@ -211,14 +228,21 @@ def _ruled_out(paths: tuple[str, str]) -> Callable[[pa.Table, pa.Table], pa.Tabl
 _TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _compose(paths: tuple[str, str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _answers(table: pa.Table | None) -> tuple[list[int], np.ndarray, np.ndarray, list[str]]:
+    """Keys, whether good, the six numbers and the groups of each."""
+    if table is None:
+        return [], np.zeros(0, bool), np.zeros((0, len(_TOTALS)), np.int64), []
+    each = np.stack([np.asarray(table.column(c), np.int64) for c in _TOTALS], axis=1)
+    return table.column("h").to_pylist(), np.asarray(table.column("ok"), bool), each, table.column("groups").to_pylist()
+
+
+def _compose(paths: tuple[str, str], head) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         pair = _pair(paths)
         ids, texts = _one(block)
-        place = {h: i for i, h in enumerate(answers.column("h").to_pylist())}
-        groups = answers.column("groups").to_pylist()
-        good = np.asarray(answers.column("ok").combine_chunks(), bool) if len(answers) else np.zeros(0, bool)
-        each = np.stack([np.asarray(answers.column(c), np.int64) for c in _TOTALS], axis=1) if len(answers) else np.zeros((0, len(_TOTALS)), np.int64)
+        parts = [_answers(head.value), _answers(unpacked(answers))]
+        place = {h: i for i, h in enumerate(parts[0][0] + parts[1][0])}
+        good, each, groups = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts]), parts[0][3] + parts[1][3]
         known: dict[str, int] = {}
         totals, composed = np.zeros((len(ids), len(_TOTALS)), np.int64), []
         for d, t in enumerate(texts):
@@ -239,33 +263,63 @@ def _compose(paths: tuple[str, str]) -> Callable[[pa.Table, pa.Table], pa.Table]
 # ------------------------------------------------------------------ the operator
 
 
-def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str | None = None, piece_bpe: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def aligned_segments(base: DataFrame, asked: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """The distinct segments, stored: each aligned once, with how often documents that are not ruled out hold it."""
+    distinct = asked.groupBy("seg").agg(F.sum("times").alias("times"), F.count("*").alias("in_blocks"), F.min(f"{P}block").alias(f"{P}block"))
+    table = stored(distinct.mapInArrow(_align(paths), _ALIGNED), "aligned")
+    bad = table.filter(~F.col("ok")).select("seg")
+    if not bad.limit(1).count():
+        return table
+    where = asked.join(bad, "seg", "left_semi").select(f"{P}block", "seg")
+    some = base.join(where.select(f"{P}block").distinct(), f"{P}block", "left_semi")
+    less = some.groupBy(f"{P}block").cogroup(where.groupBy(f"{P}block")).applyInArrow(_ruled_out(paths), "seg string, less long")
+    less = less.groupBy("seg").agg(F.sum("less").alias("less"))
+    after = stored(table.join(less, "seg", "left").withColumn("times", F.col("times") - F.coalesce("less", F.lit(0))).select(table.columns), "aligned")
+    forget(table)
+    return after
+
+
+def with_sums(table: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Aligned segments, stored, with n_best and count_sum over their links in place of the links."""
+    links = table.select("seg", "times", F.explode(F.arrays_zip("la", "lb")).alias("x")).select("seg", "times", F.col("x.la").alias("a"), F.col("x.lb").alias("b"))
+    count = stored(links.groupBy("a", "b").agg(F.sum("times").alias("count")).filter("count > 0"), "pairs")
+    pairs = count.join(count.groupBy("b").agg(F.max("count").alias("most")), "b")
+    pairs = stored(pairs.select((F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("key"), "count", (F.col("count") == F.col("most")).cast("long").alias("best")), "pair-counts")
+    if pairs.count() * 24 <= most_bytes:
+        rows = pairs.orderBy("key").toArrow()
+        shared = table.sparkSession.sparkContext.broadcast(tuple(np.asarray(rows.column(c), np.int64) for c in ("key", "count", "best")))
+        kinds = ", ".join(_ALIGNED.split(", ")[:-2])
+        out = table.mapInArrow(_sums(shared), f"{kinds}, n_best long, count_sum long")
+    else:
+        keyed = links.select("seg", (F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("key"))
+        sums = keyed.join(pairs, "key").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        out = table.drop("la", "lb").join(sums, "seg", "left").fillna(0, ["n_best", "count_sum"])
+    out = stored(out, "segments-with-sums")
+    forget(count, pairs, table)
+    return out
+
+
+def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str | None = None, piece_bpe: str | None = None, block_bytes: int = BLOCK_BYTES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (``a1,a2|b1;a3|b2,b3``; empty without tokens)."""
     spark = docs.sparkSession
     paths = (byte_bpe or byte_path(), piece_bpe or piece_path())
     kind = docs.schema[id_col].dataType.simpleString()
     base = blocks(docs, id_col, text_col, block_bytes)
     with small_batches(spark, 4):
-        asked = stored(base.mapInArrow(_segments(paths), f"{P}block long, h long, seg string, times long"), "segments")
-    distinct = asked.groupBy("h", "seg").agg(F.sum("times").alias("times"))
-    table = stored(distinct.mapInArrow(_align(paths), _ALIGNED), "aligned")
-    bad = table.filter(~F.col("ok")).select("h")
-    if bad.limit(1).count():
-        where = asked.select(f"{P}block", "h").join(bad, "h", "left_semi")
-        some = base.join(where.select(f"{P}block").distinct(), f"{P}block", "left_semi")
-        less = some.groupBy(f"{P}block").cogroup(where.groupBy(f"{P}block")).applyInArrow(_ruled_out(paths), "h long, times long")
-        less = less.groupBy("h").agg(F.sum("times").alias(f"{P}less"))
-        before, table = table, stored(table.join(less, "h", "left").withColumn("times", F.col("times") - F.coalesce(f"{P}less", F.lit(0))).drop(f"{P}less"), "aligned")
-        forget(before)
-    links = table.select("h", "times", F.explode(F.arrays_zip("la", "lb")).alias("x")).select("h", "times", F.col("x.la").alias("a"), F.col("x.lb").alias("b"))
-    pairs = stored(links.groupBy("a", "b").agg(F.sum("times").alias("count")).filter("count > 0"), "pairs")
-    pairs = pairs.join(pairs.groupBy("b").agg(F.max("count").alias("most")), "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-    held = stored(pairs, "pair-counts")
-    side = F.broadcast(held) if held.count() * 24 <= MOST_BYTES else held
-    sums = links.select("h", "a", "b").join(side, ["a", "b"]).groupBy("h").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    answers = table.select("h", "ok", "n_a", "n_b", "n_groups", "groups").join(sums, "h", "left").fillna(0, ["n_links", "n_best", "count_sum"])
-    answers = asked.select(f"{P}block", "h").join(answers, "h")
-    out = base.groupBy(f"{P}block").cogroup(answers.groupBy(f"{P}block")).applyInArrow(_compose(paths), f"id {kind}, {', '.join(f'{c} long' for c in _TOTALS)}, groups string")
+        asked = stored(base.mapInArrow(_segments(paths), f"{P}block long, seg string, times long"), "segments")
+    table = with_sums(aligned_segments(base, asked, paths), most_bytes)
+    # segments of every block need no question: at most HEAD of them have so large a share of all segments
+    total = asked.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    common = (F.col("times") * HEAD >= total) & (F.octet_length("seg") <= HEAD_BYTES) & (F.col("in_blocks") > 1)
+    answer = ["ok", *_TOTALS, "groups"]
+    head = table.filter(common).select(F.xxhash64("seg").alias("h"), *answer).toArrow()
+    shared = spark.sparkContext.broadcast(head)
+    rest = table.filter(~common)
+    one = rest.filter("in_blocks = 1").select(f"{P}block", F.xxhash64("seg").alias("h"), *answer)
+    more = asked.join(F.broadcast(table.filter(common).select("seg")), "seg", "left_anti").select(F.col(f"{P}block").alias("to"), "seg").join(rest.filter("in_blocks > 1"), "seg")
+    more = more.select(F.col("to").alias(f"{P}block"), F.xxhash64("seg").alias("h"), *answer)
+    answers = packed(one).unionByName(packed(more))
+    out = base.groupBy(f"{P}block").cogroup(answers.groupBy(f"{P}block")).applyInArrow(_compose(paths, shared), f"id {kind}, {', '.join(f'{c} long' for c in _TOTALS)}, groups string")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -89,10 +89,12 @@ def rows():
     return [*out, out[8], out[8], (None, "the of"), (7, "the of")]
 
 
-@pytest.mark.parametrize("size", [8 << 20, 500])
-def test_against_whole_texts(spark, pair, rows, size):
+@pytest.mark.parametrize("size, most", [(8 << 20, 1 << 20), (500, 1 << 20), (500, 0)])
+def test_against_whole_texts(spark, pair, rows, size, most, monkeypatch):
+    if not most:
+        monkeypatch.setattr(ct, "HEAD", 1)  # no segment is common
     docs = spark.createDataFrame([(d, t, 1, "s", 2, "i") for d, t in rows], SCHEMA).repartition(3)
-    got = sorted((tuple(r) for r in ct.align_documents(docs, block_bytes=size).collect()), key=str)
+    got = sorted((tuple(r) for r in ct.align_documents(docs, block_bytes=size, most_bytes=most).collect()), key=str)
     want = brute_force(pair, rows)
     for g, w in zip(got, want, strict=True):
         assert g == w
