@@ -13,6 +13,7 @@ from .packing import op2_packing
 from .sharding import op9_sharding
 from .substring_dedup import op7_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
+from .suffix_tree import op12_lm_scoring
 from .topk_search import OP1_SQL, op1_topk_search
 
 
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_sharding": op9_sharding,
         "op10_ngram_join": op10_ngram_join,
         "op11_cross_tokens": op11_cross_tokens,
+        "op12_lm_scoring": op12_lm_scoring,
         "op13_lexical_search": op13_lexical_search,
     }
 
