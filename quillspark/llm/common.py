@@ -143,6 +143,26 @@ def word_count(col: str | Column) -> Column:
     return F.coalesce(F.regexp_count(F.col(col) if isinstance(col, str) else col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+# ---------------------------------------------------------------- the order of ids inside tasks
+
+WHOLE = ("bigint", "int", "smallint", "tinyint")
+
+
+def id_orders(ids: list[str | None], kind: str) -> list:
+    """Values in the order in which Spark sorts ids of this type, from their text; null below all. Integers stay exact.
+    Ids of other types than integers and strings have no known order: NaN."""
+    if kind in WHOLE:
+        return [-(1 << 63) - 1 if x is None else int(x) for x in ids]
+    if kind == "string":
+        return [b"" if x is None else b"+" + x.encode() for x in ids]
+    return [float("nan")] * len(ids)
+
+
+def sortable(col: str) -> Column:
+    """A column whose least value is that of the smallest id, null below all (an aggregate alone would pass nulls over)."""
+    return F.struct(F.col(col).isNotNull().alias("known"), F.col(col).alias("id"))
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 _MASK = (1 << 64) - 1

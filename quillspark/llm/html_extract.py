@@ -5,8 +5,10 @@ where an ancestor is page furniture (navigation, page header, footer, aside, for
 so) or hidden. A class or id says so by its last word (``main-sidebar``), or by its first where only words of
 layout follow (``nav-list``); ``has-sidebar`` and ``social-policy`` don't, and a form around a marked article is no
 furniture. Weights are summed over a sliding window of lines; text surges where a window's sum passes SURGE, and dives
-where, going outwards, the sum falls to DIVE (nothing) or a line has no weight of its own. The text is every line from the first
-surge's stretch to the last dive that is no furniture, however short. Where the page marks its article, the mark is a
+where, going outwards, the sum falls to DIVE (nothing) or a line has no weight of its own. Between two surges, STRETCH lines
+in a row without any weight (a list of links) are a dive and a surge of their own and go. The text is every other line from
+the first surge's stretch to the last dive that is no furniture, however short. Inside a marked article the class or id of an
+element of running text (a paragraph, heading or quotation) is too weak a sign: only words that mean nothing else count there. Where the page marks its article, the mark is a
 weight: each line inside ``article`` gets SURGE + 1 on top, and so does one inside ``main`` or role=main that has text
 outside links. Windows don't reach across a mark's border, so text outside the mark is kept if it surges by itself.
 
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 60
 DIVE = 0
+STRETCH = 2
 
 # Element names of HTML by role.
 RAW = frozenset("script style title textarea noscript iframe template svg math object audio video canvas select button noembed noframes".split())
@@ -47,6 +50,9 @@ FURNITURE_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments reply replies respond disqus form search pagination pager skip toolbar "
     "copyright disclaimer".split()
 )
+#: Of these, the words that say furniture even on a paragraph or heading of a marked article.
+PLAIN_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsored breadcrumb breadcrumbs navbar cookie cookies consent gdpr newsletter notice notices pagination pager copyright disclaimer comment comments".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd figcaption caption".split())
 #: Words of layout: after a word of furniture they leave it furniture.
 LAYOUT_WORDS = frozenset(
     "active area bar block body bottom box btn button buttons center col column container content contents count group head heading hidden icon icons "
@@ -126,7 +132,7 @@ class Page:
             if key == "role" and value.strip().lower() in FURNITURE_ROLES:
                 return True
             if key in ("class", "id"):
-                if named(value, FURNITURE_WORDS) or (not inside and named(value, PAGE_HEADER_WORDS)):
+                if named(value, PLAIN_WORDS if inside and name in RUNNING else FURNITURE_WORDS) or (not inside and named(value, PAGE_HEADER_WORDS)):
                     return True
         return False
 
@@ -207,7 +213,16 @@ def main_lines(page: Page, window: int = WINDOW, surge: int = SURGE, dive: int =
         first -= 1
     while last + 1 < len(lines) and weights[last + 1] and sums[last + 1] > dive and marked[last + 1] == marked[last]:
         last += 1
-    return [text for text, _, allowed, _ in lines[first : last + 1] if allowed]
+    light = [w == 0 for w in weights]
+    dives, at = set(), first
+    while at <= last:
+        end = at
+        while end <= last and light[end]:
+            end += 1
+        if end - at >= STRETCH:
+            dives.update(range(at, end))
+        at = end + 1
+    return [lines[i][0] for i in range(first, last + 1) if lines[i][2] and i not in dives]
 
 
 def main_text(source: str | None) -> str:

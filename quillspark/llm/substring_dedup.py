@@ -17,7 +17,7 @@ dealt once per task; the exact grouping is a window and an aggregate in the JVM,
 
 Defined results: words are runs of non-blank bytes, unchanged; a document below WINDOW words loses nothing; null or
 empty text has no words and keeps the empty text; windows repeated only inside their own document stay; documents
-that repeat an id count as one document; an empty table gives an empty result; extra columns are ignored.
+that repeat an id count as one document; a null id is smaller than every other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, shuffles, text_or_empty, tidy
+from .common import gram_hashes, id_orders, mix, shuffles, sortable, text_or_empty, tidy
 from .words import text_words
 
 WINDOW = 50
@@ -181,7 +181,7 @@ class Least:
     def add(self, key: tuple, order, doc: str, pos: int, size: int) -> Iterator[tuple]:
         """Rows (id, pos, size, g, content); content is null where a smaller document of this task has it."""
         held = self._held.get(key)
-        if order != order:  # ids without an order among numbers are all dealt
+        if order != order:  # ids without a known order are all dealt
             yield doc, pos, size, *key
         elif held is None:
             if len(self._held) >= self._most:
@@ -203,7 +203,7 @@ class Least:
                 yield doc, p, size, g, content
 
 
-def _windows(window: int, gram: int, cells: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _windows(window: int, gram: int, cells: int, shared, kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """id, pos, count, g, hashes: windows in a row with one minimizer g, at most RUN of them. Null hashes mark windows
     that are repeated for certain: this task has met all of them, in the same order, in a document with a smaller id."""
 
@@ -215,7 +215,7 @@ def _windows(window: int, gram: int, cells: int, shared) -> Callable[[Iterator[p
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, least = np.frombuffer(shared.value, np.uint8), Least(SEEN)
         for pdf in batches:
-            number = pd.to_numeric(pdf["id"], errors="coerce").tolist()
+            order = id_orders([None if x is None or x != x else x for x in pdf["id"]], kind)
             for lo in range(0, len(pdf), BLOCK):
                 ids, texts, out = pdf["id"].iloc[lo : lo + BLOCK].tolist(), [t.encode() for t in pdf["text"].iloc[lo : lo + BLOCK]], []
                 words, bounds = text_words(texts)
@@ -231,7 +231,7 @@ def _windows(window: int, gram: int, cells: int, shared) -> Callable[[Iterator[p
                 full = gram_hashes(text_words(texts, seed=1)[0], window, seed=2)
                 at, end = cuts(first[use], last[use], RUN)
                 for a, b, d, pos, g in zip(at.tolist(), end.tolist(), text[at].tolist(), (at - bounds[text[at]]).tolist(), low[at].view(np.int64).tolist(), strict=True):
-                    out += least.add((g, full[a:b].tobytes()), number[lo + d], ids[d], pos, b - a)
+                    out += least.add((g, full[a:b].tobytes()), order[lo + d], ids[d], pos, b - a)
                 if out:
                     yield frame(out)
         rows = list(least.end())
@@ -273,13 +273,13 @@ def repeated_windows(docs: DataFrame, kind: str, window: int, gram: int) -> Data
         cells *= 2
     sketches = docs.select("text").mapInPandas(_sketch(window, gram, cells), "chunk long, once binary, more binary")
     shared = spark.sparkContext.broadcast(repeated_cells(sketches, cells).tobytes())
-    rows = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_windows(window, gram, cells, shared), "id string, pos int, count int, g long, hashes array<long>")
+    rows = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_windows(window, gram, cells, shared, kind), "id string, pos int, count int, g long, hashes array<long>")
     rows = rows.withColumn("id", F.col("id").cast(kind)).withColumn("deal", F.when(F.col("hashes").isNotNull(), F.col("g")).otherwise(F.xxhash64("id", "pos")))
     # one shuffle: both groupings below include the deal column, so its partitioning serves them
     dealt = rows.repartition(max(8, shuffles(spark)), "deal")
     each = dealt.select("deal", "id", "pos", "count", F.posexplode_outer("hashes").alias("i", "h"))
-    first = F.min("id").over(Window.partitionBy("deal", "h"))
-    hit = each.withColumn("first", first).filter(F.col("h").isNull() | (F.col("id") > F.col("first")))
+    first = F.min(sortable("id")).over(Window.partitionBy("deal", "h"))
+    hit = each.withColumn("first", first).filter(F.col("h").isNull() | (sortable("id") > F.col("first")))
     bit = F.when(F.col("h").isNull(), F.expr("shiftleft(1L, count) - 1")).otherwise(F.expr("shiftleft(1L, i)"))
     masks = hit.groupBy("deal", "id", "pos").agg(F.bit_or(bit).alias("mask"))
     return masks.groupBy("id").agg(F.collect_list(F.struct("pos", "mask")).alias("x")).select("id", F.col("x.pos").alias("at"), F.col("x.mask").alias("masks"))

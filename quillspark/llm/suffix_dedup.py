@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, forget, in_bitmap, mix, position, shuffles, stored, text_or_empty, tidy
+from .common import WHOLE, bitmap_of, forget, id_orders, in_bitmap, mix, position, shuffles, sortable, stored, text_or_empty, tidy
 from .substring_dedup import CHUNK, DEPTH, MAX_CELLS, Least, PartitionSketch, cell, cuts, estimated_repeated, sliding_min
 from .suffix_array import permuted_lcp, suffix_array
 
@@ -134,16 +134,16 @@ def _merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(count > 1, bitorder="little").tobytes()], "hot": [top[count[top] >= HOT].astype("<u2").tobytes()]})
 
 
-def _snippets(window: int, gram: int, cells: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _snippets(window: int, gram: int, cells: int, shared, kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """id, pos, g, snip: strings in a row with one minimizer. A null snip marks a range that is covered for certain."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw_bits, hot = shared.value
         bits, least = np.frombuffer(raw_bits, np.uint8), Least(SEEN)
         for pdf in batches:
-            number = pd.to_numeric(pdf["id"], errors="coerce").to_numpy() if len(pdf) else []
-            order = dict(zip(pdf["id"], number, strict=True))
-            for ids, t, bounds in _blocks(pdf["id"], pdf["text"]):
+            known = [None if x is None or x != x else x for x in pdf["id"]]
+            order = dict(zip(known, id_orders(known, kind), strict=True))
+            for ids, t, bounds in _blocks(known, pdf["text"]):
                 v = byte_minimizers(t, window, gram)
                 if not len(v):
                     continue
@@ -309,15 +309,16 @@ class Shard:
         yield from self._decide()
 
 
-def _shard(window: int, gram: int, numeric: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _shard(window: int, gram: int, kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, out = Shard(window, gram), []
         for pdf in batches:
-            for g, snip, doc, pos, size in zip(pdf["g"].tolist(), pdf["snip"], pdf["id"], pdf["pos"].tolist(), pdf["size"].tolist(), strict=True):
+            orders = id_orders(pdf["id"].tolist(), kind if kind in WHOLE else "string")
+            for g, snip, doc, order, pos, size in zip(pdf["g"].tolist(), pdf["snip"], pdf["id"], orders, pdf["pos"].tolist(), pdf["size"].tolist(), strict=True):
                 if snip is None:
                     out.append((doc, pos, size))
                 else:
-                    out += shard.add(g, bytes(snip), (int(doc) if doc is not None else -(1 << 63) - 1) if numeric else doc or "", [(doc, pos)])
+                    out += shard.add(g, bytes(snip), order, [(doc, pos)])
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["id", "pos", "size"])
                 out = []
@@ -357,8 +358,8 @@ def _cut() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
 def whole_copies(base: DataFrame, window: int) -> DataFrame:
     """id and size of documents of ``window`` bytes or more whose whole text a document with a smaller id has. base: id, text."""
     keyed = base.select("id", F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("sha")).filter(F.col("size") >= window)
-    first = stored(keyed.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"), "first-copies")
-    copies = stored(keyed.join(first, "sha").filter("id > first").select("id", "size").distinct(), "whole-copies")
+    first = stored(keyed.groupBy("sha").agg(F.min(sortable("id")).alias("first"), F.max(sortable("id")).alias("last")).filter("first < last").drop("last"), "first-copies")
+    copies = stored(keyed.join(first, "sha").filter(sortable("id") > F.col("first")).select("id", "size").distinct(), "whole-copies")
     forget(first)
     return copies
 
@@ -385,11 +386,11 @@ def repeated_ranges(base: DataFrame, kind: str, window: int = WINDOW, gram: int
     marked = in_bitmap(base, position(BITS, "id"), bitmap, "copy")
     others = marked.filter("copy").drop("copy").join(copies.select("id"), "id", "left_anti")
     parts = marked.filter(~F.col("copy")).drop("copy").unionByName(others).withColumn("id", F.col("id").cast("string"))
-    snips = parts.mapInPandas(_snippets(window, gram, cells, shared), "id string, pos int, size int, g long, snip binary")
+    snips = parts.mapInPandas(_snippets(window, gram, cells, shared, kind), "id string, pos int, size int, g long, snip binary")
     number = F.col("id").cast(kind)
     dealt = snips.repartition(max(shuffles(spark), 8), F.coalesce(F.when(F.col("snip").isNotNull(), F.col("g")), F.xxhash64("id")))
     dealt = dealt.sortWithinPartitions("g", "snip", number, "pos")
-    found = dealt.mapInPandas(_shard(window, gram, kind in ("bigint", "int", "smallint", "tinyint")), "id string, pos long, size long")
+    found = dealt.mapInPandas(_shard(window, gram, kind), "id string, pos long, size long")
     packed = found.select(F.col("id").cast(kind).alias("id"), (F.shiftleft("pos", 32) + F.col("size")).alias("range"))
     out = stored(packed.unionByName(copies.select("id", F.col("size").cast("long").alias("range"))), "ranges")
     forget(copies, bitmap)

@@ -15,7 +15,8 @@ slice), meet in one window per query. Nothing else is collected but the d x d mo
 Integer scores are exact: products go through float64 while every partial sum is below 2**53, else through int64.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; shorter vectors count
-as padded with zeros; an empty vector is the zero vector; a query with fewer candidates than k gets them all; a query
+as padded with zeros; an empty vector is the zero vector; a query with fewer candidates than k gets them all; no
+query gives no rows; a query
 never meets its own row; rows that repeat an id are separate queries and candidates, told apart by a row number; extra
 columns are ignored.
 """
@@ -181,6 +182,8 @@ def _search(dim: int, k: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iter
                     if query:
                         waiting.append((ids, exact, own))
                         continue
+                    if not waiting:  # queries come first: this group has none
+                        continue
                     if best is None:
                         best = ready()
                     for lo in range(0, len(ids), STEP):

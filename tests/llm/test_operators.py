@@ -423,3 +423,41 @@ def test_pipeline_edges(spark, tmp_path):
         assert stage(spark, table, "").count() >= 1
     table.limit(0).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_dedup_orders_null_and_large_ids(spark, kind):
+    """A null id is the smallest; hashed 64-bit ids beside it keep their order."""
+    passage = " ".join(f"p{i}" for i in range(80))
+    ids = [2**60 + 2, 2**60, None, 2**60 + 1, -(2**62)]
+    texts = [f"a {passage}", f"bb {passage} b", f"c c {passage}", f"{passage} d d", f"e {passage} e e"]
+    keys = [None if i is None else i if kind == "long" else str(i) for i in ids]
+    for some in (range(5), [0, 1, 3, 4]):
+        df = spark.createDataFrame([(keys[i], texts[i]) for i in some], f"doc_id {kind}, text string")
+        least = min((i for i in some), key=lambda i: (keys[i] is not None, keys[i]))
+        for parts in (1, 3):
+            words = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df.repartition(parts)).collect()}
+            assert words == {keys[i]: 0 if i == least else 80 for i in some}
+            size = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(df.repartition(parts)).collect()}
+            assert all((size[keys[i]] == 0) if i == least else size[keys[i]] >= len(passage) for i in some)
+    whole = spark.createDataFrame([(k, passage) for k in keys], f"doc_id {kind}, text string")
+    assert sorted(r.n_removed for r in suffix_dedup.suffix_dedup(whole).collect()) == [0] + [len(passage)] * 4
+    assert {r.doc_id for r in suffix_dedup.suffix_dedup(whole).filter("n_removed = 0").collect()} == {None}
+
+
+def test_top_k_without_queries(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 20)], "vec_id long, embedding array<float>")
+    assert topk_search.top_k(df, F.col("id") % 50 == 0).count() == 0
+    assert topk_search.top_k(df, F.col("id") == 7, slice_rows=3, block=1).count() == 5
+
+
+def test_html_running_text_and_dives():
+    """A class on a paragraph of the article is a weak sign; a list of links between paragraphs is a dive."""
+    body = "This paragraph is long enough to surge by itself, as text of an article does on a page."
+    page = f'<article><p class="social">{body}</p><h2 class="alert-heading">What changed</h2><p class="related">{body} Again.</p><p class="notice">Cookies.</p></article>'
+    assert html_extract.main_text(page) == f"{body}\nWhat changed\n{body} Again."
+    links = "".join(f"<li><a href='/{i}'>A link to some other page {i}</a></li>" for i in range(5))
+    for tag in ("div", "main"):
+        assert html_extract.main_text(f"<{tag}><p>{body}</p><ul>{links}</ul><h2><a href='#x'>Part two</a></h2><p>{body} More.</p></{tag}>") == f"{body}\n{body} More."
+        assert html_extract.main_text(f"<{tag}><p>{body}</p><h2><a href='#x'>Part two</a></h2><p>{body} More.</p></{tag}>") == f"{body}\nPart two\n{body} More."
+    assert "A link" in html_extract.main_text(f"<article><p>{body}</p><ul>{links}</ul><p>{body}</p></article>")
