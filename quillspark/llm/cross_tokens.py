@@ -29,23 +29,27 @@ import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, packed, rows_of, texts_of, unpacked
-from .common import P, forget, small_batches, stored, tidy
+from .common import P, forget, release, small_batches, stored, tidy
 
 BLOCK_BYTES = 16 << 20
 MOST_BYTES = 64 << 20
 #: The most common segments, of at most so many bytes each, are broadcast.
 HEAD, HEAD_BYTES = 1 << 17, 64
-#: Segments tokenised at once.
-BATCH = 4000
+#: Segments tokenised at once, and documents composed at once.
+BATCH, DOCS = 4000, 500
 _CUT = re.compile(r"(?<=\S)(?= )")
+_DOUBLE = re.compile(r"\s ")
 SPACE = "▁"
+_NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def byte_path() -> str:
@@ -68,7 +72,7 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, with the bytes of each of their ids."""
+    """Both tokenizers, with the bytes of each of their ids. Segments are given without the space that each begins with."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -83,17 +87,27 @@ class Pair:
         pieces = [(i, self._b.id_to_piece(i)) for i in range(self._b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in pieces}
         self._blank = self._b.piece_to_id(SPACE)
-        self.a_size, self.b_size = (np.array([len(t.get(i, b"")) for i in range(max(t) + 1)]) for t in (self.a_bytes, self.b_bytes))
+        self.a, self.b = _by_id(self.a_bytes), _by_id(self.b_bytes)
         self.cut = can_cut(self.a_bytes) and can_cut(self.b_bytes)
 
     def segments(self, text: str) -> list[str]:
-        """The segments of space + text; each begins with a space."""
-        return _CUT.split(" " + text) if self.cut else [" " + text]
+        """The segments of space + text, each without its space."""
+        if not self.cut:
+            return [text]
+        if not _DOUBLE.search(" " + text):  # every space stands behind something else: a cut before each
+            return text.split(" ")
+        return [s[1:] for s in _CUT.split(" " + text)]
 
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self._a.encode_batch(segments, add_special_tokens=False)]
-        b = self._b.encode([s[1:] for s in segments], num_threads=1)  # it adds the space itself, but to the empty text
-        return a, [[self._blank] if s == " " else ids for s, ids in zip(segments, b, strict=True)]
+        a = [e.ids for e in self._a.encode_batch([" " + s for s in segments], add_special_tokens=False)]
+        b = self._b.encode(segments, num_threads=1)  # it adds the space itself, but to the empty text
+        return a, [ids if s else [self._blank] for s, ids in zip(segments, b, strict=True)]
+
+
+def _by_id(entries: dict[int, bytes]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """The bytes of each id, the id in decimal, and the number of its bytes."""
+    raw = [entries.get(i, b"") for i in range(max(entries) + 1)]
+    return pa.array(raw, pa.binary()), pa.array(list(map(str, range(len(raw)))), pa.string()), np.array(list(map(len, raw)))
 
 
 def can_cut(entries: dict[int, bytes]) -> bool:
@@ -101,33 +115,33 @@ def can_cut(entries: dict[int, bytes]) -> bool:
     return not any(_CUT.search(e.decode("utf-8", "replace")) for e in entries.values())
 
 
-def align(pair: Pair, segments: list[str]) -> Iterator[tuple]:
-    """For each segment: whether both sides give back its bytes, n_a, n_b, groups as text, linked a ids, linked b ids."""
-    a, b = pair.encode(segments)
-    ok = [b"".join(map(pair.a_bytes.__getitem__, x)) == b"".join(map(pair.b_bytes.__getitem__, y)) == s.encode() for s, x, y in zip(segments, a, b, strict=True)]
-    a, b = ([x if k else [] for x, k in zip(ids, ok, strict=True)] for ids in (a, b))
-    a_ids, b_ids = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a, b))
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values)
+
+
+def align(pair: Pair, segments: list[str]) -> dict[str, pa.Array]:
+    """For each segment: ok (both sides give back its bytes), n_a, n_b, n_groups, n_links, groups, la, lb (linked ids)."""
+    whole = pa.array([b" " + s.encode() for s in segments], pa.binary())
+    ok, ids, sizes = np.ones(len(segments), bool), [], []
+    for lists, (raw, _, _) in zip(pair.encode(segments), (pair.a, pair.b), strict=True):
+        sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ids.append(np.fromiter(chain.from_iterable(lists), np.int64, sizes[-1].sum()))
+        ok &= np.asarray(pc.equal(pc.binary_join(_lists(sizes[-1], raw.take(pa.array(ids[-1]))), b""), whole))
+    (a, b), (n_a, n_b) = ([i[np.repeat(ok, n)] for i, n in zip(ids, sizes, strict=True)], [np.where(ok, n, 0) for n in sizes])
     # all segments end to end: each ends a token on both sides
-    a_end, b_end = np.cumsum(pair.a_size[a_ids]), np.cumsum(pair.b_size[b_ids])
-    a_cut, b_cut = (np.r_[0, np.cumsum([len(x) for x in ids])] for ids in (a, b))
+    a_end, b_end = np.cumsum(pair.a[2][a]), np.cumsum(pair.b[2][b])
+    owner = np.repeat(np.arange(len(segments)), n_a)
     both = np.intersect1d(a_end, b_end, assume_unique=True)
-    a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
+    sides = []
+    for i, end, (_, text, _) in ((a, a_end, pair.a), (b, b_end, pair.b)):
+        sides.append(pc.binary_join(_lists(np.bincount(np.searchsorted(both, end), minlength=len(both)), text.take(pa.array(i))), ","))
+    n_groups = np.bincount(owner[np.searchsorted(a_end, both)], minlength=len(segments))
+    groups = pc.binary_join(_lists(n_groups, pc.binary_join_element_wise(*sides, "|")), ";")
     ends = np.union1d(a_end, b_end)  # a link for each stretch between two of these
     left, right = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-    from_a, from_b = a_ids[left].tolist(), b_ids[right].tolist()
-    link_cut = np.searchsorted(left, a_cut).tolist()
-    a_text, b_text, a_group, b_group = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist())), a_group.tolist(), b_group.tolist()
-    for i, good in enumerate(ok):
-        x, y, groups = a_cut[i], b_cut[i], []
-        while x < a_cut[i + 1]:
-            g, x0, y0 = a_group[x], x, y
-            while x < a_cut[i + 1] and a_group[x] == g:
-                x += 1
-            while y < b_cut[i + 1] and b_group[y] == g:
-                y += 1
-            groups.append(",".join(a_text[x0:x]) + "|" + ",".join(b_text[y0:y]))
-        lo, hi = link_cut[i], link_cut[i + 1]
-        yield good, len(a[i]), len(b[i]), len(groups), ";".join(groups), from_a[lo:hi], from_b[lo:hi]
+    n_links = np.bincount(owner[left], minlength=len(segments))
+    numbers = {c: pa.array(x, pa.int32()) for c, x in zip(_NUMBERS, (n_a, n_b, n_groups, n_links), strict=True)}
+    return {"ok": pa.array(ok)} | numbers | {"groups": groups, "la": _lists(n_links, pa.array(a[left], pa.int32())), "lb": _lists(n_links, pa.array(b[right], pa.int32()))}
 
 
 # ------------------------------------------------------------------ tasks
@@ -167,22 +181,18 @@ def _segments(paths: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], It
     return tidy(run)
 
 
-_NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 _ALIGNED = f"seg string, times long, in_blocks long, {P}block long, ok boolean, n_a int, n_b int, n_groups int, n_links int, groups string, la array<int>, lb array<int>"
 _CARRIED = ("seg", "times", "in_blocks", f"{P}block")
 
 
 def _align(paths: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    ids = pa.list_(pa.int32())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(paths)
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH):
                 b = whole.slice(lo, BATCH)
-                ok, n_a, n_b, n_groups, groups, la, lb = zip(*align(pair, b.column("seg").to_pylist()), strict=True)
-                numbers = [pa.array(x, pa.int32()) for x in (n_a, n_b, n_groups, list(map(len, la)))]
-                yield pa.RecordBatch.from_arrays([*map(b.column, _CARRIED), pa.array(ok), *numbers, pa.array(groups, pa.string()), pa.array(la, ids), pa.array(lb, ids)], [x.split()[0] for x in _ALIGNED.split(", ")])
+                found = align(pair, b.column("seg").to_pylist())
+                yield pa.RecordBatch.from_arrays([*map(b.column, _CARRIED), *found.values()], [*_CARRIED, *found])
 
     return tidy(run)
 
@@ -228,38 +238,48 @@ def _ruled_out(paths: tuple[str, str]) -> Callable[[pa.Table, pa.Table], pa.Tabl
 _TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _answers(table: pa.Table | None) -> tuple[list[int], np.ndarray, np.ndarray, list[str]]:
-    """Keys, whether good, the six numbers and the groups of each."""
-    if table is None:
-        return [], np.zeros(0, bool), np.zeros((0, len(_TOTALS)), np.int64), []
-    each = np.stack([np.asarray(table.column(c), np.int64) for c in _TOTALS], axis=1)
-    return table.column("h").to_pylist(), np.asarray(table.column("ok"), bool), each, table.column("groups").to_pylist()
-
-
 def _compose(paths: tuple[str, str], head) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    names = ["h", "ok", *_TOTALS, "groups"]
+
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         pair = _pair(paths)
         ids, texts = _one(block)
-        parts = [_answers(head.value), _answers(unpacked(answers))]
-        place = {h: i for i, h in enumerate(parts[0][0] + parts[1][0])}
-        good, each, groups = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts]), parts[0][3] + parts[1][3]
+        found = pa.concat_tables([t.select(names) for t in (head.value, unpacked(answers)) if t is not None]).combine_chunks().sort_by("h")
+        keys = np.asarray(found.column("h"), np.int64)
+        good, each = np.asarray(found.column("ok"), bool), [np.asarray(found.column(c), np.int64) for c in _TOTALS]
+        groups = found.column("groups").combine_chunks()
         known: dict[str, int] = {}
-        totals, composed = np.zeros((len(ids), len(_TOTALS)), np.int64), []
-        for d, t in enumerate(texts):
-            segs = pair.segments(t) if (t := t.as_py()) else []
-            new = [s for s in set(segs) if s not in known]
-            known.update(zip(new, map(place.__getitem__, key_of(new).tolist()), strict=True))
-            at = list(map(known.__getitem__, segs))
-            if at and good[at].all():
-                totals[d] = each[at].sum(axis=0)
-                composed.append(";".join([groups[i] for i in at]))
-            else:
-                composed.append("")
-        return pa.table({"id": ids} | {c: totals[:, i] for i, c in enumerate(_TOTALS)} | {"groups": pa.array(composed, pa.string())})
+        totals, composed = [], []
+        for lo in range(0, len(texts), DOCS):
+            at, sizes = [], []
+            for t in texts.slice(lo, DOCS).to_pylist():
+                segs = pair.segments(t) if t else []
+                if new := [s for s in set(segs) if s not in known]:
+                    known.update(zip(new, np.searchsorted(keys, key_of(new)).tolist(), strict=True))
+                at.extend(map(known.__getitem__, segs))
+                sizes.append(len(segs))
+            at, sizes = np.array(at, np.int64), np.array(sizes, np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            keep = (np.bincount(doc[~good[at]], minlength=len(sizes)) == 0)[doc]
+            at, doc = at[keep], doc[keep]
+            totals.append(np.stack([_sum_by(doc, x[at], len(sizes)) for x in each]))
+            composed.append(pc.binary_join(_lists(np.bincount(doc, minlength=len(sizes)), groups.take(pa.array(at))), ";"))
+        totals = np.concatenate(totals, axis=1) if totals else np.zeros((len(_TOTALS), 0), np.int64)
+        out = pa.table({"id": ids} | dict(zip(_TOTALS, map(pa.array, totals), strict=True)) | {"groups": pa.chunked_array(composed, pa.string())})
+        del known, found, groups, keys, each
+        release()
+        return out
 
     return run
 
 
+def _sum_by(owner: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """Exact integer sums of values by ascending owner."""
+    total = np.r_[0, np.cumsum(values)]
+    cut = np.searchsorted(owner, np.arange(count + 1))
+    return total[cut[1:]] - total[cut[:-1]]
+
+
 # ------------------------------------------------------------------ the operator
 
 

@@ -120,7 +120,7 @@ def test_cuts_are_verified(pair):
 def test_without_cuts_whole_texts_are_segments(pair):
     pair.cut = False
     try:
-        assert pair.segments("a b") == [" a b"]
+        assert pair.segments("a b") == ["a b"]
     finally:
         pair.cut = True
 
