@@ -6,8 +6,8 @@ low cross entropy between text and language. Matching runs over lower-cased lett
 ends, so a phrase never crosses a word boundary and a word's phrase counts can be remembered between texts.
 
 Training rows are a bounded sample: per label, rows in hash order until ``sample_chars`` characters; each language
-then keeps the distinct words of that sample. ``sample_chars`` is the documented bound (300,000 characters). Every label is
-learned: ``total_chars`` (4,800,000, so 16 full samples) is shared out evenly where there are more, and bounds the
+then keeps the distinct words of that sample, runs of more than LONGEST letters in pieces. ``sample_chars`` is the documented bound (300,000 characters). Every label is
+learned if a row of it has a letter: ``total_chars`` (4,800,000, so 16 full samples) is shared out evenly where there are more, and bounds the
 automata together. They are built once, on the driver, one at a time, and broadcast as arrays of about 40 bytes a
 sample character; every row is predicted, over its whole text, the new words of many texts in step.
 
@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import P, mix, release
+from .common import P, forget, mix, release, stored
 
 SAMPLE_CHARS = 300_000
 TOTAL_CHARS = 16 * SAMPLE_CHARS
 CACHE_WORDS = 300_000
 BLOCK = 400
+#: A longer run of letters (scripts without spaces have them) is learned in pieces of so many.
+LONGEST = 40
+RANGE, CELLS, MARGIN = 1 << 40, 4096, 4
 UNKNOWN = "und"
 #: Letters, and with them some number signs, which predict() takes out.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -101,29 +104,34 @@ class SuffixAutomaton:
 def training_words(rows: DataFrame, text: str, label: str, id_col: str, sample_chars: int, total_chars: int) -> dict[str, list[str]]:
     """Distinct words of each label's sample, collected: at most total_chars characters, but a word a label at least.
 
-    Rows are ranked by a hash of their id inside hashed cells, so no task sorts a whole label; a first look at the
-    (label, cell) lengths picks the cells that fill the sample.
+    Rows come in the order of a hash of their id. A label's size says which share of the hash's range holds MARGIN
+    times its sample, so that no more than that is looked at again whatever the input; inside that share, CELLS cells
+    tell where the sample ends. The row with the smallest hash is always in.
     """
-    cells = 4096
-    base = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(cells)).alias("cell")
+    base = rows.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text))), F.lit(RANGE)).alias("hash")
     )
-    labels = base.select("label").distinct().count()
+    sizes = stored(base.groupBy("label").agg(F.sum(F.length("text")).alias("n"), F.min("hash").alias("least")), "labels")
+    labels = sizes.count()
     out: dict[str, list[str]] = {}
     if not labels:
         return out
     chars = min(sample_chars, total_chars // labels)
-    sizes = base.groupBy("label", "cell").agg(F.sum(F.length("text")).alias("n"))
+    share = F.greatest(F.col("least"), F.least(F.lit(RANGE), F.ceil(F.lit(RANGE) * (MARGIN * chars / F.col("n"))))) + 1
+    some = base.join(sizes.select("label", "least", share.alias("share")), "label").filter(F.col("hash") < F.col("share"))
+    some = some.withColumn("cell", F.floor(F.col("hash") * CELLS / F.col("share")))
     before = Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter((F.col("before") == 0) | (F.col("before") < chars))
+    cells = some.groupBy("label", "cell").agg(F.sum(F.length("text")).alias("n"))
+    chosen = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter((F.col("before") == 0) | (F.col("before") < chars))
     last = chosen.groupBy("label").agg(F.max("cell").alias("last"))
-    sample = base.join(F.broadcast(last), "label").filter(F.col("cell") <= F.col("last"))
-    piece = sample.select("label", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(1, 40))
+    sample = some.join(last, "label").filter(F.col("cell") <= F.col("last"))
+    piece = sample.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), 0)).alias("word"))
     words = piece.groupBy("label", "word").agg(F.count("*").alias("k"))
     by_use = Window.partitionBy("label").orderBy(F.desc("k"), "word")
     ranked = words.withColumn("used", F.sum(F.length("word") + 2).over(by_use)).withColumn("rank", F.row_number().over(by_use)).filter((F.col("used") <= chars) | (F.col("rank") == 1))
     for r in ranked.orderBy("label", F.desc("k"), "word").select("label", "word").collect():
         out.setdefault(r["label"], []).append(r["word"])
+    forget(sizes)
     return out
 
 
