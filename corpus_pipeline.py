@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from quillspark.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from quillspark.llm.common import P, bitmap_of, in_bitmap, position, stored, text_or_empty
 
-#: A text is rejected when no language needs fewer phrases than this for a character: parts shorter than two letters.
-MOST_PHRASES = 0.6
+#: A text is rejected when every language needs more phrases for a letter: hardly two letters in a row are known anywhere.
+#: Scripts of many letters, learned from few lines, come near 0.8.
+MOST_PHRASES = 0.9
 #: Near duplicates: word shingles and Jaccard similarity in hundredths.
 SHINGLE, SIMILAR = 5, 80
 BITS = 1 << 26
