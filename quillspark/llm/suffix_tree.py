@@ -17,7 +17,7 @@ by key: nothing that reaches MIN is lost, and a full sketch only lets more throu
 
 Scale: MIN and PENALTY are constants, so tree and model grow with the corpus. The model is never broadcast or collected:
 blocks of documents ask it for their distinct n-grams (one row each, past a bitmap of its keys of at most 8 MiB) and are
-scored with the answers. A context with a third of all tokens is a sum with map-side combine and a join on its key.
+scored with the answers; n-grams with 1 / HEAD of all tokens, at most HEAD of each length, go to every worker instead. A context with a third of all tokens is a sum with map-side combine and a join on its key.
 N-grams are told apart by 64-bit hashes: among n distinct ones n * n / 2**65 mix-ups are expected.
 
 Defined results: a null or empty text is its end token alone; a null id has no remainder and is trained on; repeated
@@ -36,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, rows_of, texts_of
-from .common import P, bitmap_of, forget, mix, small_batches, stored, tidy
+from .blocks import blocks, packed, rows_of, texts_of, unpacked
+from .common import P, bitmap_of, forget, mix, release, small_batches, stored, tidy
 from .words import BLANK, LOWER, arrow_bytes, run_hashes, runs
 
 DEPTH, MIN, DISCOUNT, PENALTY, ADD = 3, 8, 0.75, 4.0, 0.1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: N-grams with at least 1 / HEAD of all tokens go to every worker.
+HEAD = 1 << 17
 CELLS, CHUNK = 1 << 26, 1 << 16
 MODEL_BITS = 1 << 26
 WORD = ~BLANK
@@ -167,16 +169,17 @@ def _counts(depth: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return tidy(run)
 
 
-def _questions(depth: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """block, key: the distinct n-grams of a block that the model may hold."""
+def _questions(depth: int, shared, head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """block, key: the distinct n-grams of a block that the model may hold and that not every worker knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits, known = np.frombuffer(shared.value, np.uint8), head.value.column("key").to_numpy().astype(np.int64).view(np.uint64)
         for block, _, texts, _ in rows_of(batches):
             keys, before = grams(*tokens(texts), depth)
             for order, k in enumerate(keys, 1):
                 k = k[before >= order - 1]
                 k = np.unique(k[_lit(bits, k)])
+                k = k[~np.isin(k, known, assume_unique=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(k.view(np.int64))], [f"{P}block", "key"])
 
     return tidy(run)
@@ -185,7 +188,9 @@ def _questions(depth: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Itera
 class Answers:
     """A block's share of the model, by key."""
 
-    def __init__(self, key: np.ndarray, c: np.ndarray, e: np.ndarray, gamma: np.ndarray):
+    def __init__(self, tables: list[pa.Table]):
+        key, c, e, gamma = (np.concatenate([t.column(n).to_numpy() for t in tables] or [np.zeros(0)]) for n in ("key", "c", "e", "gamma"))
+        key = key.astype(np.int64).view(np.uint64)
         order = np.argsort(key)
         self.key, self.c, self.e, self.gamma = key[order], c[order], e[order], gamma[order]
 
@@ -218,12 +223,14 @@ def score_block(texts: pa.Array, answers: Answers, depth: int, total: int, disti
     return dict(zip(("n_tokens", "n_known", "base_score", "score"), (sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]), strict=True))
 
 
-def _score(depth: int, total: int, distinct: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _score(depth: int, total: int, distinct: int, head) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = {c: block.column(c)[0] for c in ("ids", "sizes", "raw", "blob")}
         ids, texts = row["ids"].values, texts_of(row["sizes"].values, row["raw"].as_py(), row["blob"].as_py())[0]
-        held = Answers(np.asarray(answers.column("key"), np.int64).view(np.uint64), np.asarray(answers.column("c"), np.float64), np.asarray(answers.column("e"), np.float64), np.asarray(answers.column("gamma").to_pandas(), np.float64))
+        held = Answers([t for t in (head.value, unpacked(answers)) if t is not None])
         out = score_block(texts, held, depth, total, distinct)
+        del held, texts
+        release()
         return pa.table({"id": ids.field("id"), "held": ids.field("held"), **{c: pa.array(x) for c, x in out.items()}})
 
     return run
@@ -255,7 +262,7 @@ def tree(words: DataFrame, counted: DataFrame, depth: int, total: int, distinct:
 
 
 def train(base: DataFrame, depth: int = DEPTH, least: int = MIN, penalty: float = PENALTY) -> tuple[DataFrame, int, int]:
-    """The model of the blocks' training texts (key, c, e, gamma), their number of tokens and of distinct tokens."""
+    """The model of the blocks' training texts (key, n, c, e, gamma; c for words alone), their number of tokens and of distinct tokens."""
     spark = base.sparkSession
     with small_batches(spark, 2):
         words = stored(base.mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
@@ -268,14 +275,16 @@ def train(base: DataFrame, depth: int = DEPTH, least: int = MIN, penalty: float
         shared = spark.sparkContext.broadcast((pairs, longer))
         counted = base.mapInArrow(_counts(depth, shared), "ord int, key long, ctx long, suf long, n long").groupBy("ord", "key", "ctx", "suf").agg(F.sum("n").alias("n"))
         counted = stored(counted.filter(F.col("n") >= least), "counted")
-    levels = tree(words, counted, depth, total, distinct, penalty)
-    none = F.lit(None).cast("double")
-    parts = [words.select("key", F.col("n").alias("c"), none.alias("e"), none.alias("gamma"))]
+    often = words.filter(F.col("n") >= least)  # every part of an n-gram that reaches the least count does
+    levels = tree(often, counted, depth, total, distinct, penalty)
+    none, no_count = F.lit(None).cast("double"), F.lit(None).cast("long")
+    parts = [often.select("key", "n", F.col("n").alias("c"), none.alias("e"), none.alias("gamma"))]
     for level in levels:
-        parts.append(level.filter("e is not null").select("key", F.lit(None).cast("long").alias("c"), "e", none.alias("gamma")))
-        parts.append(level.filter("e is not null").groupBy("ctx").agg(F.max("gamma").alias("gamma")).select(F.col("ctx").alias("key"), F.lit(None).cast("long").alias("c"), none.alias("e"), "gamma"))
-    model = reduce(DataFrame.unionAll, parts).groupBy("key").agg(*(F.max(c).alias(c) for c in ("c", "e", "gamma")))
-    model = stored(model, "model")
+        parts.append(level.filter("e is not null").select("key", "n", no_count.alias("c"), "e", none.alias("gamma")))
+        parts.append(level.filter("e is not null").groupBy("ctx").agg(F.max("gamma").alias("gamma")).select(F.col("ctx").alias("key"), no_count.alias("n"), no_count.alias("c"), none.alias("e"), "gamma"))
+    model = reduce(DataFrame.unionAll, parts).groupBy("key").agg(*(F.max(c).alias(c) for c in ("n", "c", "e", "gamma")))
+    rare = words.filter(F.col("n") < least).select("key", "n", F.col("n").alias("c"), none.alias("e"), none.alias("gamma"))
+    model = stored(model.unionAll(rare), "model")
     forget(words, counted, *levels)
     return model, total, distinct
 
@@ -299,10 +308,15 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
     base = blocks(rows, "id", "text", block_bytes)
     model, total, distinct = train(base, depth, least, penalty)
     shared = spark.sparkContext.broadcast(model_bits(model))
+    values = ["key", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("e", F.lit(0.0)).alias("e"), F.coalesce("gamma", F.lit(float("nan"))).alias("gamma")]
+    # at most HEAD n-grams of each length have so large a share of all tokens
+    common = F.coalesce(F.col("n") * HEAD >= total, F.lit(False))
+    head = spark.sparkContext.broadcast(model.filter(common).select(*values).toArrow())
     with small_batches(spark, 2):
-        asked = stored(base.mapInArrow(_questions(depth, shared), f"{P}block long, key long"), "questions")
-    answers = asked.join(model, "key").select(f"{P}block", "key", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("e", F.lit(0.0)).alias("e"), "gamma")
-    out = base.groupBy(f"{P}block").cogroup(answers.groupBy(f"{P}block")).applyInArrow(_score(depth, total, distinct), f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
+        asked = base.mapInArrow(_questions(depth, shared, head), f"{P}block long, key long")
+        answers = packed(asked.join(model.filter(~common), "key").select(f"{P}block", *values))
+        scored = base.groupBy(f"{P}block").cogroup(answers.groupBy(f"{P}block"))
+        out = scored.applyInArrow(_score(depth, total, distinct, head), f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long")).withColumnRenamed("id", id_col)
 
 
