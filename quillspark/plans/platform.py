@@ -391,7 +391,7 @@ CLOCK = "ev AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS tick, event_ty
     SELECT e.user_id, e.event_id, e.tick, e.r, e.tick - g.held >= 600000000, CASE WHEN e.tick - g.held >= 600000000 THEN e.tick ELSE g.held END FROM go g JOIN ev e ON e.user_id = g.user_id AND e.r = g.r + 1)
   SELECT user_id, tick, event_id, accepted FROM go""")
 def mut10(t: Tables):
-    return folds.fold(_events(t), "user_id", ["tick", "event_id"], folds.cooldown(600), "accepted boolean")
+    return folds.fold(_events(t), "user_id", folds.Cooldown(600))
 
 
 @query("st7_session_touch", f"""WITH RECURSIVE {CLOCK}, go AS (SELECT user_id, event_id, tick, r, tick AS began, tick AS touched_at, least(tick + 1200000000, tick + 3600000000) AS expires, true AS touched FROM ev WHERE r = 1 UNION ALL
@@ -400,7 +400,7 @@ def mut10(t: Tables):
     FROM go g JOIN ev e ON e.user_id = g.user_id AND e.r = g.r + 1)
   SELECT user_id, tick, event_id, began, touched, expires FROM go""")
 def st7(t: Tables):
-    return folds.fold(_events(t), "user_id", ["tick", "event_id"], folds.session_touch(300, 1200, 3600), "began long, touched boolean, expires long")
+    return folds.fold(_events(t), "user_id", folds.SessionTouch(300, 1200, 3600))
 
 
 @query("st6_lockout", f"""WITH RECURSIVE {CLOCK}, go AS (SELECT user_id, event_id, tick, r, CASE WHEN failed THEN 'failed' ELSE 'ok' END AS outcome, CASE WHEN failed THEN 1 ELSE 0 END AS n, CASE WHEN failed THEN tick END AS last, CAST(NULL AS BIGINT) AS until FROM ev WHERE r = 1 UNION ALL
@@ -410,7 +410,7 @@ def st7(t: Tables):
   SELECT user_id, tick, event_id, outcome, CAST(n AS BIGINT) AS count FROM go""")
 def st6(t: Tables):
     """Failures add up while at most a window apart, the last allowed one locks, a success clears, a locked account refuses."""
-    return folds.fold(_events(t), "user_id", ["tick", "event_id"], folds.lockout(4, 2700, 900), "outcome string, count long")
+    return folds.fold(_events(t), "user_id", folds.Lockout(4, 2700, 900), flag="failed")
 
 
 # ------------------------------------------------------------------ parses

@@ -5,12 +5,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def with_event_time(stream: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -34,29 +30,3 @@ def sessions(stream: DataFrame, key: str, gap: str, ts: str = "ts", late: str =
 def first_seen(stream: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
     """One row for each key within the watermark."""
     return with_event_time(stream, ts, late).dropDuplicatesWithinWatermark(keys)
-
-
-def rate_limited(stream: DataFrame, key: str = "user_id", ts: str = "ts", width_s: int = 60, most: int = 60, late: str = "10 minutes") -> DataFrame:
-    """key, ts_us, allowed: a window opens with a key's first hit and lasts ``width_s``; hits beyond ``most`` in it are refused.
-
-    State is two numbers a key and ends when the watermark passes the window, so idle keys hold nothing.
-    """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        opened, hits = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("ts_us")
-        allowed = []
-        for at in rows["ts_us"].tolist():
-            if opened is None or at >= opened + width_s * 1_000_000:
-                opened, hits = at, 0
-            hits += 1
-            allowed.append(hits <= most)
-        state.update((opened, hits))
-        state.setTimeoutTimestamp(max(opened // 1000 + width_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]] * len(rows), "ts_us": rows["ts_us"], "allowed": allowed})
-
-    rows = with_event_time(stream, ts, late).select(F.col(key).cast("long").alias(key), ts, F.unix_micros(ts).alias("ts_us"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, ts_us long, allowed boolean", "opened long, hits long", "append", GroupStateTimeout.EventTimeTimeout)
