@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import forget, stored
 
 
 def replay_uploads(uploads: DataFrame, name: str, arrived: list[str], digest: str) -> DataFrame:
@@ -22,8 +22,9 @@ def replay_uploads(uploads: DataFrame, name: str, arrived: list[str], digest: st
 def chain_roots(jobs: DataFrame, node: str = "job_id", previous: str = "previous_id") -> DataFrame:
     """node, root, depth: pointer doubling up the previous links, so a chain of length n takes log2(n) joins.
 
-    A missing parent ends the walk. Each round is written to the shared folder, so plans don't grow. After log2(nodes)
-    rounds every chain has ended; what still moves then hangs on a cycle and has no root: root and depth are null.
+    A missing parent ends the walk. Each round is written to the shared folder, so plans don't grow, and drops the one
+    before. After log2(nodes) rounds every chain has ended; what still moves then hangs on a cycle and has no root: root
+    and depth are null.
     """
     jobs = stored(jobs.select(F.col(node).alias("n"), F.col(previous).alias("p")))
     known = jobs.select(F.col("n").alias("p")).distinct()
@@ -32,15 +33,66 @@ def chain_roots(jobs: DataFrame, node: str = "job_id", previous: str = "previous
     left = at.count()
     while True:
         hop = at.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-        at = stored(at.join(hop, "up").select("n", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved")))
+        before, at = at, stored(at.join(hop, "up").select("n", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved")))
+        forget(before)
         left //= 2
         if not left or not at.filter("moved").limit(1).count():
             break
+    forget(jobs)
     ends = at.filter("d = 0").select(F.col("n").alias("up"), F.lit(True).alias("ends")).distinct()
     at = at.join(ends, "up", "left")
     return at.select(F.col("n").alias(node), F.when(F.col("ends"), F.col("up")).alias("root"), F.when(F.col("ends"), F.col("d")).alias("depth"))
 
 
+def _siblings(links: DataFrame, parts: int) -> DataFrame:
+    """n, p and the sibling before, by n: from neighbours in one global order, so a parent with very many children is split."""
+    rows = stored(links.repartitionByRange(parts, "p", "n").sortWithinPartitions("p", "n").withColumn("at", F.monotonically_increasing_id()))
+    within = rows.select((F.col("at") + 1).alias("at"), F.col("p").alias("p2"), F.col("n").alias("prev"))
+    # the first row of a partition follows the last of the one before: one row a partition
+    ends = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("at"), F.max(F.struct("at", "p", "n")).alias("last"))
+    ends = ends.withColumn("last", F.lag("last").over(Window.orderBy("part"))).filter("last is not null")
+    before = within.unionByName(ends.select("at", F.col("last.p").alias("p2"), F.col("last.n").alias("prev")))
+    return rows.join(before, "at", "left").select("n", "p", F.when(F.col("p2") == F.col("p"), F.col("prev")).alias("prev"))
+
+
+def chain_tree(jobs: DataFrame, node: str = "job_id", previous: str = "previous_id") -> DataFrame:
+    """node, root, depth, place, size: where each version stands in its forked chain.
+
+    ``place`` counts from 0 at the root, a version before its successors and these by id, each with all that follow it
+    (preorder); ``size`` counts a version and all that descend from it. Rows that repeat a node count once, with their
+    smallest previous link; a missing parent makes a root; versions on a cycle, or that hang on one, have nulls.
+
+    An Euler tour enters and leaves every version once. Each of its 2n steps knows the step before it: entering comes
+    after leaving the sibling before or entering the parent, leaving after leaving the last child or entering itself.
+    Pointer doubling sums entries and depth up to each step in log2(2n) rounds, whatever the shape: chains of any
+    length, or one parent with a third of all versions. Steps have one predecessor each, so no join key is hot; each
+    round is written to the shared folder and drops the one before.
+    """
+    base = stored(jobs.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("n")).agg(F.min(previous).alias("p")))
+    links = base.filter("p is not null").join(base.select(F.col("n").alias("p")), "p", "left_semi")
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kin = stored(_siblings(links.select("n", "p"), parts))
+    last = kin.groupBy(F.col("p").alias("n")).agg(F.max("n").alias("child"))
+    one = F.lit(1).cast("long")
+    enter = base.select("n").join(kin, "n", "left").select("n", F.lit(False).alias("out"), F.coalesce("prev", "p").alias("pn"), F.col("prev").isNotNull().alias("pout"), one.alias("entered"), one.alias("level"))
+    leave = base.select("n").join(last, "n", "left").select("n", F.lit(True).alias("out"), F.coalesce("child", "n").alias("pn"), F.col("child").isNotNull().alias("pout"), (one - 1).alias("entered"), (-one).alias("level"))
+    at = stored(enter.unionByName(leave).withColumn("top", F.when(F.col("pn").isNull(), F.col("n"))))
+    left = at.count()
+    while left and at.filter("pn is not null").limit(1).count():
+        hop = at.select(F.col("n").alias("pn"), F.col("out").alias("pout"), F.struct(F.col("pn").alias("n"), F.col("pout").alias("out"), "entered", "level", "top").alias("b"))
+        moved = at.filter("pn is not null").join(hop, ["pn", "pout"]).select(
+            "n", "out", F.col("b.n").alias("pn"), F.col("b.out").alias("pout"), (F.col("entered") + F.col("b.entered")).alias("entered"), (F.col("level") + F.col("b.level")).alias("level"), F.col("b.top").alias("top")
+        )
+        before, at = at, stored(at.filter("pn is null").unionByName(moved))
+        forget(before)
+        left //= 2
+    forget(base, kin)
+    ends = F.col("top").isNotNull()
+    first, final = F.max(F.when(~F.col("out") & ends, F.col("entered"))), F.max(F.when(F.col("out") & ends, F.col("entered")))
+    out = at.groupBy("n").agg(F.max("top").alias("root"), (F.max(F.when(~F.col("out") & ends, F.col("level"))) - 1).alias("depth"), (first - 1).alias("place"), (final - first + 1).alias("size"))
+    return out.withColumnRenamed("n", node)
+
+
 def bounded_crawl(kids: DataFrame, start: DataFrame, most_depth: int = 10, most_pages: int = 200) -> DataFrame:
     """Breadth first from ``start`` (page) over ``kids`` (parent, page): page, depth of the first ``most_pages`` by (depth, page).
 

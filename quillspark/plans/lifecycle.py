@@ -41,6 +41,19 @@ def ver3(t: Tables):
     return R.chain_roots(t.jobs.select("job_id", F.when((j % 7 != 0) & (j > 4), j - 1 - j % 3).alias("previous_id")))
 
 
+@query(
+    "ver3_fork_tree",
+    f"""WITH RECURSIVE {CHAIN}, walk AS (SELECT job_id, [job_id] AS path FROM links WHERE previous_id IS NULL OR previous_id NOT IN (SELECT job_id FROM links)
+      UNION ALL SELECT l.job_id, list_append(w.path, l.job_id) FROM walk w JOIN links l ON l.previous_id = w.job_id),
+    sizes AS (SELECT job_id, count(*) AS size FROM (SELECT unnest(path) AS job_id FROM walk) GROUP BY job_id)
+    SELECT w.job_id, path[1] AS root, CAST(len(path) - 1 AS BIGINT) AS depth, row_number() OVER (PARTITION BY path[1] ORDER BY path) - 1 AS place, size FROM walk w JOIN sizes s ON s.job_id = w.job_id""",
+)
+def ver3_tree(t: Tables):
+    """Every version's place in its forked chain: generation, position in preorder, number of descendants and itself."""
+    j = F.col("job_id")
+    return R.chain_tree(t.jobs.select("job_id", F.when((j % 7 != 0) & (j > 4), j - 1 - j % 3).alias("previous_id")))
+
+
 @query("ver4_mail_replay", "SELECT mail_id, first_value(mail_id) OVER (PARTITION BY owner, body ORDER BY mail_id DESC) AS replay_of FROM (SELECT job_id AS mail_id, owner_id AS owner, body FROM jobs WHERE mode = 'mail_attachment' AND owner_id IS NOT NULL)")
 def ver4(t: Tables):
     m = t.jobs.filter("mode = 'mail_attachment' AND owner_id IS NOT NULL")
