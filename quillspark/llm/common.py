@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +66,13 @@ def forget(*tables: DataFrame) -> None:
         drop_table(t.sparkSession, t._qs_path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Collect garbage on the driver: Spark then deletes the shuffle files of jobs whose results are stored and whose
+    plans nothing holds any more, rather than at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ made of such pairs alone, which of those can. Both only overestimate, and what t
 by key: nothing that reaches MIN is lost, and a full sketch only lets more through. There is no limit on states.
 
 Scale: MIN and PENALTY are constants, so tree and model grow with the corpus. The model is never broadcast or collected:
-blocks of documents ask it for their distinct n-grams (one row each, past a bitmap of its keys of at most 8 MiB) and are
+blocks of documents ask it for their distinct n-grams (one row each, past the sketches' bits and a bitmap of the model's n-grams of at most 8 MiB) and are
 scored with the answers; n-grams with 1 / HEAD of all tokens, at most HEAD of each length, go to every worker instead. A context with a third of all tokens is a sum with map-side combine and a join on its key.
 N-grams are told apart by 64-bit hashes: among n distinct ones n * n / 2**65 mix-ups are expected.
 
@@ -33,11 +33,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, packed, rows_of, texts_of, unpacked
-from .common import P, bitmap_of, forget, mix, release, small_batches, stored, tidy
+from .common import P, bitmap_of, forget, mix, reclaim, release, small_batches, stored, tidy
 from .words import BLANK, LOWER, arrow_bytes, run_hashes, runs
 
 DEPTH, MIN, DISCOUNT, PENALTY, ADD = 3, 8, 0.75, 4.0, 0.1
@@ -71,10 +72,15 @@ def grams(words: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[list[np.nd
     keys = [words]
     for _ in range(depth):
         last = keys[-1]
-        keys.append(mix(np.r_[np.zeros(1, np.uint64), last[:-1]][: len(last)] * MUL + last))
+        keys.append(joined(np.r_[np.zeros(1, np.uint64), last[:-1]][: len(last)], last))
     return keys, before
 
 
+def joined(ctx: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those without their last token and without their first."""
+    return mix(ctx * MUL + suf)
+
+
 class Gate:
     """Which n-grams may reach the least count: bits of two sketches, of pairs and of longer ones."""
 
@@ -153,7 +159,7 @@ def _bits(base: DataFrame, depth: int, cells: int, least: int, shared=None) -> b
 
 
 def _counts(depth: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """ord, key, ctx (without the last token), suf (without the first), n: n-grams that pass the gate, by block."""
+    """ord, ctx (without the last token), suf (without the first), n: n-grams that pass the gate, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gate = Gate(*(np.frombuffer(b, np.uint8) for b in shared.value))
@@ -161,24 +167,33 @@ def _counts(depth: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             keys, before = grams(*tokens(_training(ids, texts)), depth)
             for order in range(2, depth + 2):
                 at = np.flatnonzero(gate.open(keys, before, order))
-                key, first, n = np.unique(keys[order - 1][at], return_index=True, return_counts=True)
+                _, first, n = np.unique(keys[order - 1][at], return_index=True, return_counts=True)
                 at = at[first]
-                cols = [np.full(len(at), order, np.int32), *(x.view(np.int64) for x in (key, keys[order - 2][at - 1], keys[order - 2][at])), n]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ord", "key", "ctx", "suf", "n"])
+                cols = [np.full(len(at), order, np.int32), *(keys[order - 2][i].view(np.int64) for i in (at - 1, at)), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ord", "ctx", "suf", "n"])
 
     return tidy(run)
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ctx, suf = (np.asarray(b.column(c), np.int64).view(np.uint64) for c in ("ctx", "suf"))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(joined(ctx, suf).view(np.int64))], [*b.schema.names, "key"])
+
+
 def _questions(depth: int, shared, head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """block, key: the distinct n-grams of a block that the model may hold and that not every worker knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = np.frombuffer(shared.value, np.uint8), head.value.column("key").to_numpy().astype(np.int64).view(np.uint64)
+        bits, *gates = (np.frombuffer(b, np.uint8) for b in shared.value)
+        gate, known = Gate(*gates), head.value.column("key").to_numpy().astype(np.int64).view(np.uint64)
         for block, _, texts, _ in rows_of(batches):
             keys, before = grams(*tokens(texts), depth)
             for order, k in enumerate(keys, 1):
-                k = k[before >= order - 1]
-                k = np.unique(k[_lit(bits, k)])
+                if order > 1:
+                    k = k[gate.open(keys, before, order)]
+                    k = k[_lit(bits, k)]
+                k = np.unique(k)
                 k = k[~np.isin(k, known, assume_unique=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(k.view(np.int64))], [f"{P}block", "key"])
 
@@ -261,8 +276,8 @@ def tree(words: DataFrame, counted: DataFrame, depth: int, total: int, distinct:
     return levels
 
 
-def train(base: DataFrame, depth: int = DEPTH, least: int = MIN, penalty: float = PENALTY) -> tuple[DataFrame, int, int]:
-    """The model of the blocks' training texts (key, n, c, e, gamma; c for words alone), their number of tokens and of distinct tokens."""
+def train(base: DataFrame, depth: int = DEPTH, least: int = MIN, penalty: float = PENALTY) -> tuple[DataFrame, int, int, Broadcast]:
+    """The model of the blocks' training texts (key, n, c, e, gamma; c for words alone), their number of tokens and of distinct tokens, and the gate's bits."""
     spark = base.sparkSession
     with small_batches(spark, 2):
         words = stored(base.mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
@@ -273,8 +288,9 @@ def train(base: DataFrame, depth: int = DEPTH, least: int = MIN, penalty: float
         pairs = _bits(base, depth, cells, least)
         longer = _bits(base, depth, cells, least, spark.sparkContext.broadcast(pairs)) if depth > 1 else pairs
         shared = spark.sparkContext.broadcast((pairs, longer))
-        counted = base.mapInArrow(_counts(depth, shared), "ord int, key long, ctx long, suf long, n long").groupBy("ord", "key", "ctx", "suf").agg(F.sum("n").alias("n"))
-        counted = stored(counted.filter(F.col("n") >= least), "counted")
+        counted = base.mapInArrow(_counts(depth, shared), "ord int, ctx long, suf long, n long").groupBy("ord", "ctx", "suf").agg(F.sum("n").alias("n"))
+        counted = stored(counted.filter(F.col("n") >= least).mapInArrow(_keyed, "ord int, ctx long, suf long, n long, key long"), "counted")
+    reclaim(spark)
     often = words.filter(F.col("n") >= least)  # every part of an n-gram that reaches the least count does
     levels = tree(often, counted, depth, total, distinct, penalty)
     none, no_count = F.lit(None).cast("double"), F.lit(None).cast("long")
@@ -286,11 +302,11 @@ def train(base: DataFrame, depth: int = DEPTH, least: int = MIN, penalty: float
     rare = words.filter(F.col("n") < least).select("key", "n", F.col("n").alias("c"), none.alias("e"), none.alias("gamma"))
     model = stored(model.unionAll(rare), "model")
     forget(words, counted, *levels)
-    return model, total, distinct
+    return model, total, distinct, shared
 
 
 def model_bits(model: DataFrame) -> bytes:
-    """Bitmap of the low bits of the model's keys: 8 MiB."""
+    """Bitmap of the low bits of keys: 8 MiB."""
     rows = bitmap_of(model, F.col("key").bitwiseAND(F.lit(MODEL_BITS - 1)) + 1)
     out = np.zeros(MODEL_BITS // 8, np.uint8)
     for r in rows.toLocalIterator():
@@ -306,8 +322,9 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held")).alias("id"), F.col(text_col).alias("text"))
     base = blocks(rows, "id", "text", block_bytes)
-    model, total, distinct = train(base, depth, least, penalty)
-    shared = spark.sparkContext.broadcast(model_bits(model))
+    model, total, distinct, gate = train(base, depth, least, penalty)
+    shared = spark.sparkContext.broadcast((model_bits(model.filter("c is null")), *gate.value))
+    reclaim(spark)
     values = ["key", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("e", F.lit(0.0)).alias("e"), F.coalesce("gamma", F.lit(float("nan"))).alias("gamma")]
     # at most HEAD n-grams of each length have so large a share of all tokens
     common = F.coalesce(F.col("n") * HEAD >= total, F.lit(False))
