@@ -49,3 +49,13 @@ def replay(spark: SparkSession, slices: Iterable[DataFrame], flow: Callable[[Dat
         out = flow(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
         late += _run(spark, out, at)
     return Replayed(spark.read.schema(out.schema).parquet(f"{at}/out"), late)
+
+
+def restarted(spark: SparkSession, source: Callable[[], DataFrame], steps: Iterable[Callable[[], None]]) -> DataFrame:
+    """What a stream over ``source()`` appends when it is started anew, from its checkpoint, after each of ``steps``."""
+    at, out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", None
+    for step in steps:
+        step()
+        out = source()
+        _run(spark, out, at)
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
