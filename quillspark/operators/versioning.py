@@ -103,7 +103,8 @@ def bounded_crawl(kids: DataFrame, start: DataFrame, most_depth: int = 10, most_
     seen, count = level, level.count()
     for depth in range(1, most_depth + 1):
         found = level.select(F.col("page").alias("parent")).join(kids, "parent").select("page").distinct()
-        level = stored(found.join(seen, "page", "left_anti").withColumn("depth", F.lit(depth)))
+        # a level is cut to what the cap leaves before it is stored
+        level = stored(found.join(seen, "page", "left_anti").orderBy("page").limit(most_pages - count).withColumn("depth", F.lit(depth)))
         new = level.count()
         if not new:
             break

@@ -16,6 +16,7 @@ from ..functions import validation as V
 from ..functions.confidence import confidences
 from ..functions.wiki import markdown_of, relink
 from ..operators import paging
+from ..operators.selection import beyond_newest
 from ..sources import mail, sheets
 from .rendering import RENDERED, raw_blocks
 from .registry import Tables, query
@@ -302,5 +303,5 @@ def st8(t: Tables):
 @query("st12_pruned_logs", "WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY worker ORDER BY created_at DESC, event_id DESC) AS nth FROM logs) SELECT event_id FROM r WHERE nth > 200")
 def st12(t: Tables):
     """What a pruning pass removes: beyond a worker's 200 newest records, whenever it runs."""
-    nth = F.row_number().over(Window.partitionBy("worker").orderBy(F.desc("created_at"), F.desc("event_id")))
-    return t.logs.select("event_id", nth.alias("nth")).filter("nth > 200").select("event_id")
+    rows = t.logs.select("event_id", "worker", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
+    return beyond_newest(rows, ["worker"], "at", "event_id", 200).select("event_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import versioning as R
 from ..operators import visibility as V
+from ..operators.crawl import budgeted_crawl
 from .browse import VISIBLE
 from .registry import Tables, query
 
@@ -108,6 +109,27 @@ def st4(t: Tables):
     return R.bounded_crawl(kids, t.spark.createDataFrame([(1,)], "page long"))
 
 
+@query(
+    "st4_crawl_budgets",
+    """WITH RECURSIVE kids AS (SELECT p_partkey AS parent, unnest([p_partkey * 3 + 1, p_partkey * 3 + 2, p_partkey * 2 + 1]) AS page, unnest([0, 1, 2]) AS position FROM part),
+    adj AS (SELECT parent, list(page ORDER BY position) AS pages FROM kids GROUP BY parent), facts AS (SELECT p_partkey AS page, p_name AS title, p_size * 1000 AS size FROM part),
+    st AS (SELECT 1 AS i, [1::BIGINT] AS q, [0] AS depths, [NULL::BIGINT] AS parents, [['Top']] AS paths, 0::BIGINT AS total, true AS open
+      UNION ALL SELECT i + 1, list_concat(q, new), list_concat(depths, list_transform(new, lambda x: depths[i] + 1)), list_concat(parents, list_transform(new, lambda x: q[i])), list_concat(paths, list_transform(new, lambda x: list_append(paths[i], title))), total + size, true
+      FROM (SELECT st.*, coalesce(f.size, 0) AS size, coalesce(f.title, '') AS title, CASE WHEN depths[i] < 5 THEN list_slice(list_filter(coalesce(a.pages, []), lambda x: NOT list_contains(q, x)), 1, 150 - len(q)) ELSE [] END AS new
+        FROM st LEFT JOIN facts f ON f.page = st.q[st.i] LEFT JOIN adj a ON a.parent = st.q[st.i] WHERE st.i <= len(st.q)) WHERE total + size <= 2000000),
+    fin AS (SELECT * FROM st ORDER BY i DESC LIMIT 1), n AS (SELECT unnest(range(1, len(q) + 1)) AS k, * FROM fin)
+    SELECT q[k] AS page, k - 1 AS place, depths[k] AS depth, parents[k] AS parent, array_to_string(paths[k], ' > ') AS path, (k - 1) // 25 AS chunk, k < i AS imported FROM n""",
+)
+def st4_budgets(t: Tables):
+    """The crawl's queue with its budgets: depth 5, 150 pages, 2 MB; order, paths and chunks as the queue gives them."""
+    p = F.col("p_partkey")
+    kids = t.part.select(p.alias("parent"), F.posexplode(F.array(p * 3 + 1, p * 3 + 2, p * 2 + 1)).alias("position", "page"))
+    facts = t.part.select(p.alias("page"), F.col("p_name").alias("title"), (F.col("p_size") * 1000).alias("size"))
+    start = t.spark.createDataFrame([(1, ["Top"])], "page long, path array<string>")
+    out = budgeted_crawl(kids, facts, start, most_depth=5, most_pages=150, most_bytes=2_000_000)
+    return out.withColumn("path", F.array_join("path", " > "))
+
+
 @query("st5_retries", """SELECT delivery_id, CASE WHEN http_status BETWEEN 200 AND 299 THEN 'delivered' WHEN (http_status = 0 OR http_status >= 500) AND attempts < 5 THEN 'retry' ELSE 'failed' END AS verdict,
   CASE greatest(attempts - 1, 0) WHEN 0 THEN 30 WHEN 1 THEN 60 WHEN 2 THEN 120 ELSE 240 END::BIGINT AS wait_s FROM deliveries""")
 def st5(t: Tables):
