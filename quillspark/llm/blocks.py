@@ -23,15 +23,16 @@ LEVEL = 9
 SCHEMA = f"{P}block long, ids array<{{}}>, sizes array<int>, raw long, blob binary"
 
 
-def _gather(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _gather(most: int, encode: Callable[[bytes, np.ndarray], bytes] | None, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 32, 0
-        held, size, codec = [], 0, pa.Codec("zstd", compression_level=LEVEL)
+        held, size, codec = [], 0, pa.Codec("zstd", compression_level=level)
 
         def block() -> pa.RecordBatch:
             ids = pa.concat_arrays([h[0] for h in held])
             sizes = np.concatenate([h[1] for h in held])
             raw = b"".join(h[2] for h in held)
+            raw = raw if encode is None else encode(raw, sizes)
             row = [pa.array([first + made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int32()))]
             row += [pa.array([len(raw)], pa.int64()), pa.array([codec.compress(raw, asbytes=True)], pa.binary())]
             return pa.RecordBatch.from_arrays(row, [f"{P}block", "ids", "sizes", "raw", "blob"])
@@ -52,11 +53,12 @@ def _gather(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return tidy(run)
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """``__qs_block``, ids, sizes (bytes of each text, -1 for null), raw, blob: at most ``most`` bytes a block, or one text."""
+def blocks(docs: DataFrame, id_col: str, text_col: str, most: int, encode: Callable[[bytes, np.ndarray], bytes] | None = None, level: int = LEVEL) -> DataFrame:
+    """``__qs_block``, ids, sizes (bytes of each text, -1 for null), raw, blob: at most ``most`` bytes a block, or one text.
+    ``encode`` makes of the texts end to end, and their sizes, what a block keeps instead of them."""
     kind = docs.schema[id_col].dataType.simpleString()
     with small_batches(docs.sparkSession, 1000):
-        return stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_gather(most), SCHEMA.format(kind)), "blocks")
+        return stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_gather(most, encode, level), SCHEMA.format(kind)), "blocks")
 
 
 def texts_of(sizes, raw: int, blob: bytes) -> tuple[pa.Array, np.ndarray]:

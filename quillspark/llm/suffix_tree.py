@@ -15,7 +15,7 @@ never above CELLS counters of a byte (64 MiB), tells which pairs can reach MIN;
 made of such pairs alone, which of those can. Both only overestimate, and what they let through is counted exactly
 by key: nothing that reaches MIN is lost, and a full sketch only lets more through. There is no limit on states.
 
-Scale: MIN and PENALTY are constants, so tree and model grow with the corpus. The model is never broadcast or collected:
+Scale: text is read once; blocks keep their tokens as numbers of their distinct words. MIN and PENALTY are constants, so tree and model grow with the corpus. The model is never broadcast or collected:
 blocks of documents ask it for their distinct n-grams (one row each, past the sketches' bits and a bitmap of the model's n-grams of at most 8 MiB) and are
 scored with the answers; n-grams with 1 / HEAD of all tokens, at most HEAD of each length, go to every worker instead. A context with a third of all tokens is a sum with map-side combine and a join on its key.
 N-grams are told apart by 64-bit hashes: among n distinct ones n * n / 2**65 mix-ups are expected.
@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, packed, rows_of, texts_of, unpacked
+from .blocks import blocks, packed, unpacked
 from .common import P, bitmap_of, forget, mix, reclaim, release, small_batches, stored, tidy
 from .words import BLANK, LOWER, arrow_bytes, run_hashes, runs
 
@@ -45,6 +45,8 @@ DEPTH, MIN, DISCOUNT, PENALTY, ADD = 3, 8, 0.75, 4.0, 0.1
 BLOCK_BYTES = 16 << 20
 #: N-grams with at least 1 / HEAD of all tokens go to every worker.
 HEAD = 1 << 17
+#: Of the compressed token numbers.
+LEVEL = 3
 CELLS, CHUNK = 1 << 26, 1 << 16
 MODEL_BITS = 1 << 26
 WORD = ~BLANK
@@ -66,6 +68,49 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds + np.arange(len(bounds))
 
 
+def encoded(raw: bytes, sizes: np.ndarray) -> bytes:
+    """What a block keeps of its texts: bounds of their tokens, the distinct hashes by falling use, and each token's number among these."""
+    offsets = np.r_[0, np.cumsum(np.maximum(sizes, 0))].astype(np.int64)
+    words, bounds = tokens(pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(raw)))
+    known, code, n = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return np.array([len(known)], np.int64).tobytes() + bounds.astype(np.int64).tobytes() + known[order].tobytes() + rank[code].tobytes()
+
+
+def decoded(count: int, raw: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bounds, distinct hashes, and the number of each token, of a block with ``count`` texts."""
+    data = pa.decompress(blob, int(raw), "zstd")
+    known = int(np.frombuffer(data, np.int64, 1)[0])
+    bounds = np.frombuffer(data, np.int64, count + 1, 8)
+    words = np.frombuffer(data, np.uint64, known, 8 * (count + 2))
+    return bounds, words, np.frombuffer(data, np.uint32, offset=8 * (count + 2 + known))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """block, ids, bounds, distinct hashes, numbers of each block row."""
+    for b in batches:
+        for i in range(b.num_rows):
+            ids = b.column("ids")[i].values
+            yield b.column(f"{P}block")[i].as_py(), ids, *decoded(len(ids), b.column("raw")[i].as_py(), b.column("blob")[i].as_py())
+
+
+def _training(ids: pa.Array, bounds: np.ndarray, words: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and bounds of the tokens of the texts that are not held out."""
+    use = ~np.asarray(ids.field("held"), bool) if len(ids) else np.zeros(0, bool)
+    size = np.diff(bounds)
+    return words[code[np.repeat(use, size)]], np.r_[0, np.cumsum(size[use])]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, by key, and how often it occurs."""
+    order = np.argsort(keys)
+    in_order = keys[order]
+    first = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return order[first], np.diff(np.r_[first, len(keys)])
+
+
 def grams(words: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
     """keys[k - 1][i]: the n-gram of k tokens that ends at i; and how many tokens of its text stand before i."""
     before = np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))
@@ -104,18 +149,15 @@ def _lit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _training(ids: pa.Array, texts: pa.Array) -> pa.Array:
-    return texts.filter(pa.array(~np.asarray(ids.field("held"), bool))) if len(ids) else texts
-
-
 # ------------------------------------------------------------------ tasks
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, n: the distinct tokens of the training texts of a block."""
-    for _, ids, texts, _ in rows_of(batches):
-        key, n = np.unique(tokens(_training(ids, texts))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+    for _, ids, bounds, words, code in _rows(batches):
+        use = np.repeat(~np.asarray(ids.field("held"), bool), np.diff(bounds)) if len(ids) else np.zeros(0, bool)
+        n = np.bincount(code[use], minlength=len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(words[n > 0].view(np.int64)), pa.array(n[n > 0], pa.int64())], ["key", "n"])
 
 
 def _sketch(depth: int, cells: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -124,11 +166,11 @@ def _sketch(depth: int, cells: int, shared) -> Callable[[Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gate = Gate(None if shared is None else np.frombuffer(shared.value, np.uint8))
         count = np.zeros(cells, np.uint8)
-        for _, ids, texts, _ in rows_of(batches):
-            keys, before = grams(*tokens(_training(ids, texts)), depth)
+        for _, *row in _rows(batches):
+            keys, before = grams(*_training(*row), depth)
             for order in [2] if shared is None else range(3, depth + 2):
                 at = keys[order - 1][gate.open(keys, before, order)] & np.uint64(cells - 1)
-                at, n = np.unique(at.astype(np.int64), return_counts=True)
+                at, n = np.unique(at.astype(np.uint32), return_counts=True)
                 count[at] = np.minimum(count[at] + n, 255)
         for i, part in enumerate(count.reshape(-1, min(CHUNK, cells))):
             if part.any():
@@ -163,11 +205,11 @@ def _counts(depth: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gate = Gate(*(np.frombuffer(b, np.uint8) for b in shared.value))
-        for _, ids, texts, _ in rows_of(batches):
-            keys, before = grams(*tokens(_training(ids, texts)), depth)
+        for _, *row in _rows(batches):
+            keys, before = grams(*_training(*row), depth)
             for order in range(2, depth + 2):
                 at = np.flatnonzero(gate.open(keys, before, order))
-                _, first, n = np.unique(keys[order - 1][at], return_index=True, return_counts=True)
+                first, n = _distinct(keys[order - 1][at])
                 at = at[first]
                 cols = [np.full(len(at), order, np.int32), *(keys[order - 2][i].view(np.int64) for i in (at - 1, at)), n]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ord", "ctx", "suf", "n"])
@@ -181,19 +223,23 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(joined(ctx, suf).view(np.int64))], [*b.schema.names, "key"])
 
 
+def may_hold(gate: Gate, bits: np.ndarray, keys: list[np.ndarray], before: np.ndarray, order: int) -> np.ndarray:
+    """Places whose n-gram of this order the model may hold: it passes the sketches and the bitmap of the model."""
+    ok = gate.open(keys, before, order)
+    ok[ok] = _lit(bits, keys[order - 1][ok])
+    return ok
+
+
 def _questions(depth: int, shared, head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """block, key: the distinct n-grams of a block that the model may hold and that not every worker knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, *gates = (np.frombuffer(b, np.uint8) for b in shared.value)
         gate, known = Gate(*gates), head.value.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        for block, _, texts, _ in rows_of(batches):
-            keys, before = grams(*tokens(texts), depth)
+        for block, _, bounds, words, code in _rows(batches):
+            keys, before = grams(words[code], bounds, depth)
             for order, k in enumerate(keys, 1):
-                if order > 1:
-                    k = k[gate.open(keys, before, order)]
-                    k = k[_lit(bits, k)]
-                k = np.unique(k)
+                k = words if order == 1 else np.unique(k[may_hold(gate, bits, keys, before, order)])
                 k = k[~np.isin(k, known, assume_unique=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(k.view(np.int64))], [f"{P}block", "key"])
 
@@ -217,34 +263,38 @@ class Answers:
         return np.where(self.key[place] == keys, place, -1)
 
 
-def score_block(texts: pa.Array, answers: Answers, depth: int, total: int, distinct: int) -> dict[str, np.ndarray]:
-    """n_tokens, n_known, base_score, score of each text."""
-    words, bounds = tokens(texts)
-    keys, before = grams(words, bounds, depth)
+def score_block(bounds: np.ndarray, words: np.ndarray, code: np.ndarray, answers: Answers, may: Callable, depth: int, total: int, distinct: int) -> dict[str, np.ndarray]:
+    """n_tokens, n_known, base_score, score of each text. may(keys, before, order): where the model may hold an n-gram."""
+    keys, before = grams(words[code], bounds, depth)
     whole = total + ADD * (distinct + 1)
-    at = answers.at(words)
-    count = np.where(at >= 0, answers.c[at], 0) if len(answers.c) else np.zeros(len(words))
+    known = answers.at(words)
+    at = known[code]
+    count = (np.where(known >= 0, answers.c[known], 0) if len(answers.c) else np.zeros(len(words)))[code]
     base = (count + ADD) / whole
     p = base.copy()
     for k in range(1, depth + 1):
         state = np.r_[-1, at[:-1]][: len(at)]  # the n-gram of k tokens before each token
-        gamma = np.where((state >= 0) & (before >= k), answers.gamma[state], np.nan) if len(answers.key) else np.full(len(words), np.nan)
-        on = np.flatnonzero(~np.isnan(gamma))
-        at = answers.at(keys[k])
+        at = np.full(len(code), -1)
+        here = np.flatnonzero(may(keys, before, k + 1))
+        at[here] = answers.at(keys[k][here])
+        on = np.flatnonzero((state >= 0) & (before >= k))
+        gamma = answers.gamma[state[on]]
+        on, gamma = on[~np.isnan(gamma)], gamma[~np.isnan(gamma)]
         if len(on):
-            here = at[on]
-            p[on] = np.where(here >= 0, answers.e[here], 0.0) + gamma[on] * p[on]
-    sums = np.add.reduceat(np.stack([np.ones(len(words)), count > 0, np.log10(base), np.log10(p)]), bounds[:-1], axis=1) if len(bounds) > 1 else np.zeros((4, 0))
+            p[on] = np.where(at[on] >= 0, answers.e[at[on]], 0.0) + gamma * p[on]
+    sums = np.add.reduceat(np.stack([np.ones(len(code)), count > 0, np.log10(base), np.log10(p)]), bounds[:-1], axis=1) if len(bounds) > 1 else np.zeros((4, 0))
     return dict(zip(("n_tokens", "n_known", "base_score", "score"), (sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]), strict=True))
 
 
-def _score(depth: int, total: int, distinct: int, head) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _score(depth: int, total: int, distinct: int, head, shared) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        row = {c: block.column(c)[0] for c in ("ids", "sizes", "raw", "blob")}
-        ids, texts = row["ids"].values, texts_of(row["sizes"].values, row["raw"].as_py(), row["blob"].as_py())[0]
+        bits, *gates = (np.frombuffer(b, np.uint8) for b in shared.value)
+        gate = Gate(*gates)
+        ids = block.column("ids")[0].values
+        row = decoded(len(ids), block.column("raw")[0].as_py(), block.column("blob")[0].as_py())
         held = Answers([t for t in (head.value, unpacked(answers)) if t is not None])
-        out = score_block(texts, held, depth, total, distinct)
-        del held, texts
+        out = score_block(*row, held, lambda keys, before, order: may_hold(gate, bits, keys, before, order), depth, total, distinct)
+        del held, row
         release()
         return pa.table({"id": ids.field("id"), "held": ids.field("held"), **{c: pa.array(x) for c, x in out.items()}})
 
@@ -321,7 +371,7 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held")).alias("id"), F.col(text_col).alias("text"))
-    base = blocks(rows, "id", "text", block_bytes)
+    base = blocks(rows, "id", "text", block_bytes, encoded, LEVEL)
     model, total, distinct, gate = train(base, depth, least, penalty)
     shared = spark.sparkContext.broadcast((model_bits(model.filter("c is null")), *gate.value))
     reclaim(spark)
@@ -333,7 +383,7 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
         asked = base.mapInArrow(_questions(depth, shared, head), f"{P}block long, key long")
         answers = packed(asked.join(model.filter(~common), "key").select(f"{P}block", *values))
         scored = base.groupBy(f"{P}block").cogroup(answers.groupBy(f"{P}block"))
-        out = scored.applyInArrow(_score(depth, total, distinct, head), f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
+        out = scored.applyInArrow(_score(depth, total, distinct, head, shared), f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long")).withColumnRenamed("id", id_col)
 
 
