@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import forget, stored
 from .form_latex import flatten_forms
 
 # Checkbox glyphs, label groups, pairing thresholds.
@@ -108,19 +108,21 @@ def pair_candidates(blocks: DataFrame) -> DataFrame:
 
 
 def claim_pairs(candidates: DataFrame) -> DataFrame:
-    """Labels in document order each take the nearest value that is still free. A page's few candidates are one group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for label, rows in pdf.sort_values(["label_seq", "gap", "value_seq"]).groupby("label_seq", sort=True):
-            for value in rows["value_seq"]:
-                if value not in used:
-                    used.add(value)
-                    out.append((pdf["doc_id"].iloc[0], pdf["page"].iloc[0], label, value))
-                    break
-        return pd.DataFrame(out, columns=["doc_id", "page", "label_seq", "value_seq"])
-
-    return candidates.groupBy("doc_id", "page").applyInPandas(one, "doc_id long, page long, label_seq int, value_seq int")
+    """doc_id, page, label_seq, value_seq: labels in document order each take the nearest value that is still free.
+
+    In rounds: a label takes its nearest value as soon as no earlier label could still want that value; what both held
+    goes, and the rest decides anew. The first label left on a page always takes its value, and most take theirs at once, so
+    rounds are few and each is joins and aggregates over all pages together; equal gaps go to the earlier value.
+    """
+    rest, won, page = stored(candidates.select("doc_id", "page", "label_seq", "value_seq", "gap")), None, ["doc_id", "page"]
+    while rest.limit(1).count():
+        nearest = rest.groupBy(*page, "label_seq").agg(F.min(F.struct("gap", "value_seq"))["value_seq"].alias("value_seq"))
+        wanted = rest.groupBy(*page, "value_seq").agg(F.min("label_seq").alias("label_seq"))
+        new = stored(nearest.join(wanted, [*page, "label_seq", "value_seq"]))
+        won = new if won is None else won.unionByName(new)
+        before, rest = rest, stored(rest.join(new, [*page, "label_seq"], "left_anti").join(new, [*page, "value_seq"], "left_anti").select(*rest.columns))
+        forget(before)
+    return (rest if won is None else won).select(*page, "label_seq", "value_seq")
 
 
 def is_navigation(markdown: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import versioning as R
 from ..operators import visibility as V
 from ..operators.crawl import budgeted_crawl
+from ..operators.temporal import as_of
 from .browse import VISIBLE
 from .registry import Tables, query
 
@@ -71,6 +72,19 @@ def ver6(t: Tables):
     return t.pushes.join(t.jobs, "job_id").select("push_id", (F.col("body").cast("string") != F.col("pushed_body")).alias("stale"))
 
 
+@query(
+    "ver6_edit_at_push",
+    """WITH e AS (SELECT l_orderkey AS job_id, l_linenumber AS version, l_shipdate - INTERVAL 20 DAY + l_linenumber * INTERVAL 1 SECOND AS edited_at, l_partkey % 4 AS body FROM lineitem WHERE l_linenumber % 2 = 1),
+    p AS (SELECT push_id, job_id, created_at, pushed_body FROM pushes)
+    SELECT push_id, e.version, sha256(CAST(e.body AS VARCHAR)) <> sha256(pushed_body) AS stale FROM p ASOF LEFT JOIN e ON p.job_id = e.job_id AND p.created_at >= e.edited_at""",
+)
+def ver6_at_push(t: Tables):
+    """The edit that was current when a job was pushed, and whether the pushed content differs from it."""
+    edits = t.lineitem.filter("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("version"), F.expr("l_shipdate - INTERVAL 20 DAY + make_interval(0, 0, 0, 0, 0, 0, l_linenumber)").alias("edited_at"), (F.col("l_partkey") % 4).alias("body"))
+    out = as_of(t.pushes.select("push_id", "job_id", "created_at", "pushed_body"), edits, ["job_id"], "created_at", "edited_at", "version")
+    return out.select("push_id", F.col("found.version").alias("version"), (F.sha2(F.col("found.body").cast("string"), 256) != F.sha2("pushed_body", 256)).alias("stale"))
+
+
 # ------------------------------------------------------------------ state and queues
 
 

@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import browse, connectors, documents, lifecycle, platform, quality, rendering, streams  # noqa: F401
+    from . import browse, connectors, documents, fetching, lifecycle, platform, quality, rendering, streams  # noqa: F401

@@ -74,7 +74,12 @@ def rnd8(t: Tables):
     return R.pair_candidates(boxes(t)).select("doc_id", "label_seq", "value_seq", "gap")
 
 
-@query("rnd8_pairs_claimed")
+@query("rnd8_pairs_claimed", f"""WITH RECURSIVE {PAIRS}, free AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM w m WHERE m.doc_id = n.doc_id AND m.is_label AND NOT (m.x0 = a AND m.y0 = b AND m.x1 = c AND m.y1 = d)
+    AND m.x0 >= c AND m.x0 < vx AND least(d, m.y1) - greatest(b, m.y0) >= 0.5 * (d - b))),
+  cand AS (SELECT doc_id, page, label_seq, list(value_seq ORDER BY gap, value_seq) AS vs, row_number() OVER (PARTITION BY doc_id, page ORDER BY label_seq) AS r FROM free GROUP BY doc_id, page, label_seq),
+  go AS (SELECT doc_id, page, r, label_seq, vs[1] AS value_seq, [vs[1]] AS used FROM cand WHERE r = 1 UNION ALL
+    SELECT doc_id, page, r, label_seq, pick, list_append(used, pick) FROM (SELECT c.doc_id, c.page, c.r, c.label_seq, g.used, list_filter(c.vs, lambda x: NOT list_contains(g.used, x))[1] AS pick FROM go g JOIN cand c ON c.doc_id = g.doc_id AND c.page = g.page AND c.r = g.r + 1))
+  SELECT doc_id, page, CAST(label_seq AS INT) AS label_seq, CAST(value_seq AS INT) AS value_seq FROM go WHERE value_seq IS NOT NULL""")
 def rnd8_claimed(t: Tables):
     return R.claim_pairs(R.pair_candidates(boxes(t)))
 

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, deque
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.crawl import budgeted_crawl
 from quillspark.operators.prefix import running
 from quillspark.operators.selection import beyond_newest, kth_largest
+from quillspark.operators.temporal import as_of
 
 
 def test_running_sums_over_one_order(spark):
@@ -92,3 +94,20 @@ def test_crawl_of_nothing(spark):
     none = spark.createDataFrame([], "page long, path array<string>")
     kids, facts = spark.createDataFrame([(1, 0, 2)], "parent long, position int, page long"), spark.createDataFrame([], "page long, title string, size long")
     assert budgeted_crawl(kids, facts, none).count() == 0
+
+
+def test_as_of_over_hot_keys_and_edges(spark):
+    rng = random.Random(6)
+    day = lambda n: None if n is None else datetime(2024, 1, 1) + timedelta(minutes=n)
+    right = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, rng.randrange(3000)]), i) for i in range(500)]
+    left = [(rng.choice(["hot", "hot", "b", "c", None]), rng.choice([None, rng.randrange(-50, 3300)]), i) for i in range(500)]
+    r = spark.createDataFrame([(k, day(t), i) for k, t, i in right], "k string, edited timestamp, version long").repartition(3)
+    lf = spark.createDataFrame([(k, day(t), i) for k, t, i in left], "k string, at timestamp, id long").repartition(4)
+    for buckets in (1, 7, 1024):
+        got = {x.id: x.found and x.found.version for x in as_of(lf, r, ["k"], "at", "edited", "version", buckets).collect()}
+        for k, t, i in left:
+            known = [(rt, v) for rk, rt, v in right if rk == k and rt is not None and t is not None and rt <= t]
+            assert got[i] == (max(known)[1] if known else None)
+    plan = as_of(lf, r, ["k"], "at", "edited", "version")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert as_of(lf, r.limit(0), ["k"], "at", "edited", "version").filter("found is not null").count() == 0
