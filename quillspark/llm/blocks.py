@@ -77,27 +77,37 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
             yield block.as_py(), b.column("ids")[i].values, *texts_of(sizes.values, raw.as_py(), blob.as_py())
 
 
-def packed(rows: DataFrame, batch: int = 1 << 16) -> DataFrame:
-    """Rows with a column ``__qs_block`` as ``__qs_block``, blob: those of one block in a batch, compressed by columns.
+def packed(rows: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """Rows with a column ``__qs_block`` as ``__qs_block``, blob: those of one block among ``most`` rows of a task, compressed by columns.
 
     What goes back to a block is many narrow rows; by columns they take about half the room in a shuffle.
     """
 
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        block = np.asarray(table.column(f"{P}block"), np.int64)
+        order = np.argsort(block, kind="stable")
+        cut = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
+        table, out = table.take(pa.array(order)).drop_columns([f"{P}block"]), []
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(block)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table.slice(lo, hi - lo).combine_chunks())
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(block[order][cut]), pa.array(out, pa.binary())], [f"{P}block", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            block = np.asarray(b.column(f"{P}block"), np.int64)
-            order = np.argsort(block, kind="stable")
-            cut = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]]) if len(block) else np.zeros(0, np.int64)
-            b = b.take(pa.array(order)).drop_columns([f"{P}block"])
-            out = []
-            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(block)], strict=True):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(b.slice(lo, hi - lo))
-                out.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(block[order][cut]), pa.array(out, pa.binary())], [f"{P}block", "blob"])
-
-    return rows.mapInArrow(run, f"{P}block long, blob binary")
+            held.append(b)
+            size += b.num_rows
+            if size >= most:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+
+    return rows.mapInArrow(tidy(run), f"{P}block long, blob binary")
 
 
 def unpacked(table: pa.Table) -> pa.Table | None:

@@ -44,7 +44,7 @@ from .words import BLANK, LOWER, arrow_bytes, run_hashes, runs
 DEPTH, MIN, DISCOUNT, PENALTY, ADD = 3, 8, 0.75, 4.0, 0.1
 BLOCK_BYTES = 16 << 20
 #: N-grams with at least 1 / HEAD of all tokens go to every worker.
-HEAD = 1 << 17
+HEAD = 1 << 19
 #: Of the compressed token numbers.
 LEVEL = 3
 CELLS, CHUNK = 1 << 26, 1 << 16
@@ -76,7 +76,8 @@ def encoded(raw: bytes, sizes: np.ndarray) -> bytes:
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    return np.array([len(known)], np.int64).tobytes() + bounds.astype(np.int64).tobytes() + known[order].tobytes() + rank[code].tobytes()
+    planes = rank[code].view(np.uint8).reshape(-1, 4).T  # by bytes, which compresses better
+    return np.array([len(known)], np.int64).tobytes() + bounds.astype(np.int64).tobytes() + known[order].tobytes() + planes.tobytes()
 
 
 def decoded(count: int, raw: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +86,8 @@ def decoded(count: int, raw: int, blob: bytes) -> tuple[np.ndarray, np.ndarray,
     known = int(np.frombuffer(data, np.int64, 1)[0])
     bounds = np.frombuffer(data, np.int64, count + 1, 8)
     words = np.frombuffer(data, np.uint64, known, 8 * (count + 2))
-    return bounds, words, np.frombuffer(data, np.uint32, offset=8 * (count + 2 + known))
+    planes = np.frombuffer(data, np.uint8, offset=8 * (count + 2 + known)).reshape(4, -1)
+    return bounds, words, np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -113,7 +115,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(words: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
     """keys[k - 1][i]: the n-gram of k tokens that ends at i; and how many tokens of its text stand before i."""
-    before = np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))
+    before = (np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.int32)
     keys = [words]
     for _ in range(depth):
         last = keys[-1]
@@ -172,6 +174,7 @@ def _sketch(depth: int, cells: int, shared) -> Callable[[Iterator[pa.RecordBatch
                 at = keys[order - 1][gate.open(keys, before, order)] & np.uint64(cells - 1)
                 at, n = np.unique(at.astype(np.uint32), return_counts=True)
                 count[at] = np.minimum(count[at] + n, 255)
+            del keys, before, row, at, n
         for i, part in enumerate(count.reshape(-1, min(CHUNK, cells))):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], ["chunk", "counts"])
@@ -213,6 +216,8 @@ def _counts(depth: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 at = at[first]
                 cols = [np.full(len(at), order, np.int32), *(keys[order - 2][i].view(np.int64) for i in (at - 1, at)), n]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ord", "ctx", "suf", "n"])
+                del at, first, n, cols
+            del keys, before, row
 
     return tidy(run)
 
@@ -339,7 +344,9 @@ def train(base: DataFrame, depth: int = DEPTH, least: int = MIN, penalty: float
         longer = _bits(base, depth, cells, least, spark.sparkContext.broadcast(pairs)) if depth > 1 else pairs
         shared = spark.sparkContext.broadcast((pairs, longer))
         counted = base.mapInArrow(_counts(depth, shared), "ord int, ctx long, suf long, n long").groupBy("ord", "ctx", "suf").agg(F.sum("n").alias("n"))
-        counted = stored(counted.filter(F.col("n") >= least).mapInArrow(_keyed, "ord int, ctx long, suf long, n long, key long"), "counted")
+        bare = stored(counted.filter(F.col("n") >= least), "counted")
+    counted = stored(bare.mapInArrow(_keyed, "ord int, ctx long, suf long, n long, key long"), "counted")
+    forget(bare)
     reclaim(spark)
     often = words.filter(F.col("n") >= least)  # every part of an n-gram that reaches the least count does
     levels = tree(often, counted, depth, total, distinct, penalty)
@@ -379,11 +386,10 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
     # at most HEAD n-grams of each length have so large a share of all tokens
     common = F.coalesce(F.col("n") * HEAD >= total, F.lit(False))
     head = spark.sparkContext.broadcast(model.filter(common).select(*values).toArrow())
-    with small_batches(spark, 2):
-        asked = base.mapInArrow(_questions(depth, shared, head), f"{P}block long, key long")
-        answers = packed(asked.join(model.filter(~common), "key").select(f"{P}block", *values))
-        scored = base.groupBy(f"{P}block").cogroup(answers.groupBy(f"{P}block"))
-        out = scored.applyInArrow(_score(depth, total, distinct, head, shared), f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
+    asked = base.mapInArrow(_questions(depth, shared, head), f"{P}block long, key long")
+    answers = packed(asked.join(model.filter(~common), "key").select(f"{P}block", *values))
+    scored = base.groupBy(f"{P}block").cogroup(answers.groupBy(f"{P}block"))
+    out = scored.applyInArrow(_score(depth, total, distinct, head, shared), f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long")).withColumnRenamed("id", id_col)
 
 
