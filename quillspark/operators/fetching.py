@@ -49,12 +49,13 @@ def checked_hops(hops: DataFrame, allowed: list[str] = [], most_redirects: int =
     for ``no address`` or one that is none, for any ``metadata`` address whatever is allowed, and for any ``blocked``
     address unless its host (and port) is in ``allowed``. ``made`` counts the hops before the first refused one; more
     than ``most_redirects`` after the first end as ``redirects``. Credentials go with the first origin only, or with its
-    upgrade from http to https on the default ports, and never come back once dropped. The hops of a request, most_redirects + 1 of
-    them at most, meet in one aggregate.
+    upgrade from http to https on the default ports, and never come back once dropped. The hops of a request, most_redirects + 2 of
+    them at most, meet in one aggregate; a hop that repeats counts once.
     """
-    o = origin(F.col("url"))
-    kinds = F.transform("addresses", lambda a: F.coalesce(address_kind(address_key(a)), F.lit("none")))
-    rows = hops.filter(F.col("hop") <= most_redirects + 1).withColumn("o", o).withColumn("kinds", F.coalesce(kinds, F.array().cast("array<string>")))
+    # one row an address, so that each is looked up once
+    each = hops.filter(F.col("hop") <= most_redirects + 1).select("request", "hop", "url", F.explode_outer("addresses").alias("address"), F.size(F.coalesce("addresses", F.array().cast("array<string>"))).alias("n"))
+    kind = F.when(F.col("n") > 0, F.coalesce(address_kind(address_key(F.col("address"))), F.lit("none")))
+    rows = each.groupBy("request", "hop", "url").agg(F.collect_set(kind).alias("kinds")).withColumn("o", origin(F.col("url")))
     refused = (
         F.when(~F.col("o.scheme").isin("http", "https"), "scheme")
         .when((F.size("kinds") == 0) | F.array_contains("kinds", "none"), "no address")
