@@ -166,13 +166,15 @@ def val3_torn(t: Tables):
 
 @query(
     "val4_orphan_labels",
-    r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
+    r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(replace(replace(text, '. ', ':' || chr(10)), ', ', ': '), chr(10)))) AS line FROM documents),
     p AS (SELECT doc_id, line, regexp_extract(line, '^([^:\n]{1,60}):', 1) AS head, trim(regexp_extract(line, '^[^:\n]{1,60}:\s*(.*)$', 1)) AS v FROM l WHERE line <> '' AND NOT starts_with(line, '|')),
     k AS (SELECT doc_id, v FROM p WHERE head <> '' AND regexp_matches(head, '\p{L}') AND NOT starts_with(v, '//'))
     SELECT doc_id, count(*) AS labelled, count(*) FILTER (v = '' OR regexp_matches(v, '^[_-]+$')) AS orphans FROM k GROUP BY doc_id""",
 )
 def val4(t: Tables):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    """Documents read as forms: sentences end as labels, and what follows their first comma is the value."""
+    form = F.expr("replace(replace(text, '. ', ':\n'), ', ', ': ')")
+    lines = t.documents.select("doc_id", F.explode(F.split(form, "\n")).alias("line")).withColumn("line", F.trim("line")).filter("line <> ''")
     label, orphan = V.label_of_line(F.col("line"))
     return lines.filter(label).groupBy("doc_id").agg(F.count("*").alias("labelled"), F.count_if(orphan).alias("orphans"))
 
