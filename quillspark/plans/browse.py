@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import visibility as V
 from ..operators.selection import kth_largest
+from ..operators.sketches import DISTINCT_ERROR, RANK_ERROR, by_day, merged, read_off
+from ..storage import stored
 from .registry import Tables, query
 
 VISIBLE = """owners AS (SELECT user_id AS viewer_id, user_id AS owner_id FROM users UNION
@@ -260,6 +262,18 @@ def agg2(t: Tables):
     return t.job_tags.join(t.tags, "tag_id").groupBy("name").agg(F.countDistinct("job_id").alias("jobs"))
 
 
+@query("agg2_sketched_days", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_close, true AS median_close FROM events GROUP BY event_type")
+def agg2_sketched(t: Tables):
+    """Stored sketches of single days, merged: distinct users within three standard errors, the median's rank within its bound."""
+    days = stored(by_day(t.events, ["event_type"], "ts", "user_id", "value"))
+    found = read_off(merged(days, ["event_type"])).select("event_type", "distinct", F.col("quantiles")[0].alias("median"))
+    exact = t.events.join(found, "event_type").groupBy("event_type", "distinct").agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.avg((F.col("value") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("upto")
+    )
+    close = F.abs(F.col("distinct") - F.col("users")) <= F.col("users") * 3 * DISTINCT_ERROR + 1
+    return exact.select("event_type", "n", "users", close.alias("users_close"), ((F.col("below") <= 0.5 + RANK_ERROR) & (F.col("upto") >= 0.5 - RANK_ERROR)).alias("median_close"))
+
+
 @query("agg3_dashboard", "SELECT count(*) FILTER (status = 'FINISHED') AS documents, CAST(sum(coalesce(page_count, structure_pages)) FILTER (status = 'FINISHED') AS BIGINT) AS pages, count(*) FILTER (status = 'FAILED') AS failed, CAST(sum(upload_size) AS BIGINT) AS bytes FROM jobs")
 def agg3(t: Tables):
     done = F.col("status") == "FINISHED"
