@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from quillspark.llm.common import P, bitmap_of, in_bitmap, position, stored, text_or_empty
+from quillspark.llm.common import P, bitmap_of, forget, in_bitmap, position, stored, text_or_empty
 
 #: A text is rejected when every language needs more phrases for a letter: hardly two letters in a row are known anywhere.
 #: Scripts of many letters, learned from few lines, come near 0.8.
@@ -76,7 +76,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        forget(*before)  # the stage before is read no more
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
