@@ -41,12 +41,15 @@ def truncated(text: Column, n: int) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """1024-ladder: whole bytes, else one decimal."""
-    x = n.cast("double")
+    """1024-ladder: whole bytes, else one decimal, exact halves to the even tenth (as C and Python print them, unlike Java)."""
+    n = n.cast("long")
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for i, unit in enumerate(("KB", "MB", "GB")):
-        step = 1024.0 ** (i + 1)
-        shown = F.concat(F.format_string("%.1f", x / step), F.lit(f" {unit}"))
+        step = F.lit(1024 ** (i + 1)).cast("long")
+        tenths = F.call_function("div", n, step) * 10 + F.call_function("div", n % step * 10, step)
+        twice = n % step * 10 % step * 2
+        tenths = tenths + ((twice > step) | (twice == step) & (tenths % 2 == 1)).cast("long")
+        shown = F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
         out = out.when(n < step * 1024, shown) if unit != "GB" else out.otherwise(shown)
     return out
 

@@ -131,3 +131,9 @@ def test_mail_documents(spark):
     done = spark.createDataFrame([(1, 1, "# Inner", 3)], "n long, index int, markdown string, pages long")
     got = {r.n: (r.markdown, r.page_count) for r in as_documents(mails, "n", done).collect()}
     assert got[2] == ("(empty email)", 1) and "\n\n---\n\n(skipped: z.zip — unsupported_type)" in got[1][0]
+
+
+def test_byte_sizes_round_exact_halves_to_even(spark):
+    rows = [(0,), (1023,), (1024,), (1024 + 256,), (1024 + 768,), (1048575,), (1050935296,), (5 * 2**30 + 2**28,), (2**63 - 1,), (None,)]
+    got = [r.s for r in spark.createDataFrame(rows, "n long").select(paths.byte_size(F.col("n")).alias("s")).collect()]
+    assert got == ["0 B", "1023 B", "1.0 KB", "1.2 KB", "1.8 KB", "1024.0 KB", "1002.2 MB", "5.2 GB", "8589934592.0 GB", None]
