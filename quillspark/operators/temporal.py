@@ -15,7 +15,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     that ``right`` covers is cut into ``buckets`` parts, which are part of the key: a key with a third of all rows is
     spread over that many tasks. Each part knows its newest row, and a window over the parts of a key, ``buckets`` rows at
     most, carries it into later parts. Null keys match null keys, a null time finds nothing and is found by none; rows
-    that repeat are kept; of equal (right_at, tie) any one is found.
+    that repeat are kept; of equal (right_at, tie) the one with the greatest other columns, in their order, is found.
     """
     lo, hi = right.agg(F.min(F.unix_micros(F.col(right_at).cast("timestamp"))), F.max(F.unix_micros(F.col(right_at).cast("timestamp")))).first()
     width = 1 if lo is None else (hi - lo) // buckets + 1
@@ -34,7 +34,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.withColumn("_carried", F.last("_newest", ignorenulls=True).over(earlier)).select(*names, "_part", "_carried")
     both = theirs.unionByName(mine, allowMissingColumns=True)
-    order = Window.partitionBy(*names, "_part").orderBy("_at", F.col("_row").isNotNull(), "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*names, "_part").orderBy("_at", F.col("_row").isNotNull(), "_tie", "_found").rowsBetween(Window.unboundedPreceding, 0)
     inside = both.withColumn("_last", F.last("_found", ignorenulls=True).over(order)).filter("_row is not null")
     c = carried.select(*[F.col(n).alias(f"c{n}") for n in [*names, "_part"]], "_carried")
     out = inside.join(c, [inside[n].eqNullSafe(c[f"c{n}"]) for n in [*names, "_part"]], "left")

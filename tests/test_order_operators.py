@@ -111,3 +111,13 @@ def test_as_of_over_hot_keys_and_edges(spark):
     plan = as_of(lf, r, ["k"], "at", "edited", "version")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert as_of(lf, r.limit(0), ["k"], "at", "edited", "version").filter("found is not null").count() == 0
+
+
+def test_as_of_finds_the_same_of_equal_rows_in_any_order(spark):
+    at = datetime(2024, 1, 1)
+    right = [(k, at, 1, body) for k in range(40) for body in (3, 1, 2)] + [(-1, at + timedelta(days=1), 1, 0)]  # one part of time holds all the equal rows
+    left = spark.createDataFrame([(k, at + timedelta(minutes=1), k) for k in range(40)], "k long, at timestamp, id long")
+    for turned in (right, right[::-1]):
+        r = spark.createDataFrame(turned, "k long, edited timestamp, version long, body long").coalesce(1)
+        for buckets in (1, 1024):
+            assert {x.found.body for x in as_of(left, r, ["k"], "at", "edited", "version", buckets).collect()} == {3}
