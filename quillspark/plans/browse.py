@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import visibility as V
+from ..operators.joins import left_known
 from ..operators.selection import kth_largest
 from ..operators.sketches import DISTINCT_ERROR, RANK_ERROR, by_day, merged, read_off
 from ..storage import stored
@@ -220,7 +221,7 @@ def prj13(t: Tables):
 
 @query("jn1_owner_names", "SELECT job_id, username FROM jobs LEFT JOIN users ON user_id = owner_id")
 def jn1(t: Tables):
-    return t.jobs.join(t.users, F.col("owner_id") == F.col("user_id"), "left").select("job_id", "username")
+    return left_known(t.jobs.select("job_id", "owner_id"), t.users.select(F.col("user_id").alias("owner_id"), "username"), "owner_id").select("job_id", "username")
 
 
 @query("jn2_tags_of_jobs", "SELECT job_id, string_agg(name, ',' ORDER BY name) AS names FROM job_tags JOIN tags USING (tag_id) GROUP BY job_id")
@@ -230,12 +231,12 @@ def jn2(t: Tables):
 
 @query("jn4_mail_part_jobs", "SELECT p.mail_id, p.part_index, j.status FROM parts p LEFT JOIN jobs j ON j.job_id = p.job_id")
 def jn4(t: Tables):
-    return t.parts.select("mail_id", "part_index", "job_id").join(t.jobs.select("job_id", "status"), "job_id", "left").select("mail_id", "part_index", "status")
+    return left_known(t.parts.select("mail_id", "part_index", "job_id"), t.jobs.select("job_id", "status"), "job_id").select("mail_id", "part_index", "status")
 
 
 @query("jn5_job_owner_team", "SELECT job_id, username, r_name AS team FROM jobs LEFT JOIN users ON user_id = owner_id LEFT JOIN region ON r_regionkey = team_id")
 def jn5(t: Tables):
-    out = t.jobs.join(t.users, F.col("owner_id") == F.col("user_id"), "left").join(t.region, F.col("team_id") == F.col("r_regionkey"), "left")
+    out = left_known(t.jobs.select("job_id", "owner_id"), t.users.select(F.col("user_id").alias("owner_id"), "username", "team_id"), "owner_id").join(t.region, F.col("team_id") == F.col("r_regionkey"), "left")
     return out.select("job_id", "username", F.col("r_name").alias("team"))
 
 
@@ -346,7 +347,7 @@ def agg17(t: Tables):
 
 @query("agg18_mail_complete", "SELECT mail_id, coalesce(bool_and(status IN ('FINISHED', 'FAILED')), true) AS complete FROM parts p LEFT JOIN jobs j ON j.job_id = p.job_id GROUP BY mail_id")
 def agg18(t: Tables):
-    j = t.parts.select("mail_id", "job_id").join(t.jobs.select("job_id", "status"), "job_id", "left")
+    j = left_known(t.parts.select("mail_id", "job_id"), t.jobs.select("job_id", "status"), "job_id")
     return j.groupBy("mail_id").agg(F.coalesce(F.bool_and(F.col("status").isin("FINISHED", "FAILED")), F.lit(True)).alias("complete"))
 
 

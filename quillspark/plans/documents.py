@@ -16,6 +16,7 @@ from ..functions import validation as V
 from ..functions.confidence import confidences
 from ..functions.wiki import markdown_of, relink
 from ..operators import paging
+from ..operators.joins import left_known
 from ..operators.selection import beyond_newest
 from ..sources import mail, sheets
 from .rendering import RENDERED, raw_blocks
@@ -290,7 +291,7 @@ def jn9(t: Tables):
     c = t.jobs.filter("owner_id IS NOT NULL").select("job_id", "status", F.lag("job_id").over(Window.partitionBy("owner_id", "filename").orderBy("job_id")).alias("previous_id"))
     parent = c.select(F.col("job_id").alias("previous_id"), F.col("status").alias("parent_status"))
     n = c.filter("previous_id IS NOT NULL").groupBy(F.col("previous_id").alias("job_id")).agg(F.count("*").alias("successors"))
-    return c.join(parent, "previous_id", "left").join(n, "job_id", "left").select("job_id", "previous_id", "parent_status", F.coalesce("successors", F.lit(0).cast("long")).alias("successors"))
+    return left_known(c, parent, "previous_id").join(n, "job_id", "left").select("job_id", "previous_id", "parent_status", F.coalesce("successors", F.lit(0).cast("long")).alias("successors"))
 
 
 @query("st8_tick_due", """SELECT source_id, greatest(3 * coalesce(interval_s, 300), 60) AS lock_s, since_s IS NULL OR since_s >= greatest(3 * coalesce(interval_s, 300), 60) AS lock_free FROM sources""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import versioning as R
 from ..operators import visibility as V
 from ..operators.crawl import budgeted_crawl
+from ..operators.joins import left_known
 from ..operators.temporal import as_of
 from .browse import VISIBLE
 from .registry import Tables, query
@@ -196,8 +197,8 @@ def lst1(t: Tables):
     """Point lookups in bulk, one a request: an admin sees all, others their own and their team's; the rest is not found."""
     viewer = t.users.select("user_id", "role", "team_id")
     owner = t.users.select(F.col("user_id").alias("owner_id"), F.col("team_id").alias("owner_team"))
-    r = t.events.select("event_id", "user_id").join(t.jobs.select(F.col("job_id").alias("event_id"), "owner_id", "filename"), "event_id", "left")
-    r = r.join(viewer, "user_id", "left").join(owner, "owner_id", "left")
+    jobs = left_known(t.jobs.select(F.col("job_id").alias("event_id"), "owner_id", "filename"), owner, "owner_id")
+    r = t.events.select("event_id", "user_id").join(jobs, "event_id", "left").join(viewer, "user_id", "left")
     seen = F.coalesce((F.col("role") == "admin") | (F.col("owner_id") == F.col("user_id")) | (F.col("owner_team") == F.col("team_id")), F.lit(False))
     return r.select("event_id", F.when(seen & F.col("filename").isNotNull(), 200).otherwise(404).alias("code"), F.when(seen, F.col("filename")).alias("filename"))
 
@@ -259,7 +260,7 @@ def mut1(t: Tables):
         .when((F.col("mode") == "import") | ((F.col("status") == "RUNNING") & (F.col("idle_s") < 600)), 409)
         .when(F.col("profile_id").isNull(), 422).otherwise(202)
     )
-    return t.jobs.join(mine, "owner_id", "left").select("job_id", code.alias("code"))
+    return left_known(t.jobs, mine, "owner_id").select("job_id", code.alias("code"))
 
 
 @query("mut3_folder_restart", "SELECT folder, count(*) FILTER (mode = 'import') AS skipped_import, count(*) FILTER (mode <> 'import' AND status IN ('PENDING', 'RUNNING')) AS skipped_active, count(*) FILTER (mode <> 'import' AND status NOT IN ('PENDING', 'RUNNING')) AS restarted FROM jobs GROUP BY folder")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import naming as N
 from ..operators import folds
 from ..operators import visibility as V
+from ..operators.joins import left_known
 from .browse import VISIBLE
 from .registry import Tables, query
 
@@ -47,7 +48,7 @@ def snk3(t: Tables):
 
 @query("snk4_mail_complete", "SELECT mail_id, bool_and(CASE WHEN outcome = 'job' THEN coalesce(j.status IN ('FINISHED', 'FAILED'), true) ELSE true END) AS complete FROM parts p LEFT JOIN jobs j ON j.job_id = p.job_id GROUP BY mail_id")
 def snk4(t: Tables):
-    p = t.parts.select("mail_id", "outcome", "job_id").join(t.jobs.select("job_id", "status"), "job_id", "left")
+    p = left_known(t.parts.select("mail_id", "outcome", "job_id"), t.jobs.select("job_id", "status"), "job_id")
     done = F.when(F.col("outcome") == "job", F.coalesce(F.col("status").isin("FINISHED", "FAILED"), F.lit(True))).otherwise(True)
     return p.groupBy("mail_id").agg(F.bool_and(done).alias("complete"))
 
@@ -317,7 +318,7 @@ def lst11(t: Tables):
 
 @query("lst12_part_status", "SELECT mail_id, part_index, CASE WHEN outcome <> 'job' THEN outcome WHEN j.job_id IS NULL THEN 'deleted' ELSE lower(j.status) END AS live FROM parts p LEFT JOIN jobs j ON j.job_id = p.job_id")
 def lst12(t: Tables):
-    p = t.parts.join(t.jobs.select("job_id", "status"), "job_id", "left")
+    p = left_known(t.parts.select("mail_id", "part_index", "outcome", "job_id"), t.jobs.select("job_id", "status"), "job_id")
     return p.select("mail_id", "part_index", F.when(F.col("outcome") != "job", F.col("outcome")).when(F.col("status").isNull(), "deleted").otherwise(F.lower("status")).alias("live"))
 
 

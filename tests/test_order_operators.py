@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.crawl import budgeted_crawl
+from quillspark.operators.joins import left_known
 from quillspark.operators.prefix import running
 from quillspark.operators.selection import beyond_newest, kth_largest
 from quillspark.operators.temporal import as_of
@@ -121,3 +122,20 @@ def test_as_of_finds_the_same_of_equal_rows_in_any_order(spark):
         r = spark.createDataFrame(turned, "k long, edited timestamp, version long, body long").coalesce(1)
         for buckets in (1, 1024):
             assert {x.found.body for x in as_of(left, r, ["k"], "at", "edited", "version", buckets).collect()} == {3}
+
+
+def test_rows_without_a_key_do_not_meet_in_a_left_join(spark):
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 100).alias("k"))
+    right = spark.createDataFrame([(i, f"s{i}") for i in range(0, 100, 2)] + [(None, "none")], "k long, s string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = left_known(left, right, "k")
+        want = left.join(right, "k", "left")
+        assert sorted(out.collect(), key=str) == sorted(want.collect(), key=str) and out.schema == want.schema
+        most = out.withColumn("part", F.spark_partition_id()).groupBy("part").count().agg(F.max("count")).first()[0]
+        assert most <= 1500  # 4,000 of the 6,000 rows have no key
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
