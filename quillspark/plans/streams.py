@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.folds import Cooldown, Lockout, RateLimit, SessionTouch
 from ..streaming import events as S
 from ..streaming.runs import Replayed, replay
-from ..streaming.state import ordered_fold
+from ..streaming.state import ordered_fold, session_changes, sessions_of
 from .registry import Tables, query
 
 LATE, SLICES = "4 days", 3
@@ -50,7 +50,8 @@ def st1_stream(t: Tables):
   SELECT user_id, make_timestamp(min(tick)) AS first, count(*) AS n FROM s GROUP BY user_id, k, final HAVING max(tick) + 172800000000 <= final""")
 def st6_stream(t: Tables):
     """Closed sessions; the watermark is that of the errors alone."""
-    out = replay(t.spark, arrivals(t), lambda s: S.sessions(s.filter("event_type = 'error'"), "user_id", "2 days", late=LATE)).rows
+    changes = replay(t.spark, arrivals(t), lambda s: session_changes(s.filter("event_type = 'error'"), "user_id", "2 days", late=LATE)).rows
+    out = sessions_of(changes, "user_id")
     return out.withColumn("first", F.col("first").cast("timestamp_ntz"))
 
 
@@ -92,5 +93,5 @@ def mut10_stream(t: Tables):
 def st7_late(t: Tables):
     """What became of all arrivals: too late, decided, or still inside the watermark's delay."""
     done = _fold(t, Cooldown(86_400))
-    late, total = F.lit(done.late).cast("long"), sum(rows.count() for rows in arrivals(t))
+    late, total = F.lit(done.late).cast("long"), t.events.filter("ts IS NOT NULL").count()
     return done.rows.agg(late.alias("late"), F.count("*").alias("decided"), (F.lit(total) - late - F.count("*")).alias("waiting"))

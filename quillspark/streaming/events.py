@@ -20,13 +20,6 @@ def aligned_counts(stream: DataFrame, key: str, width: str, ts: str = "ts", late
     return out.select(key, F.col("w.start").alias("opened"), "hits")
 
 
-def sessions(stream: DataFrame, key: str, gap: str, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Streaks of events of a key not more than ``gap`` apart."""
-    s = F.session_window(ts, gap)
-    out = with_event_time(stream, ts, late).groupBy(key, s.alias("s")).agg(F.count("*").alias("n"))
-    return out.select(key, F.col("s.start").alias("first"), "n")
-
-
 def first_seen(stream: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
     """One row for each key within the watermark."""
     return with_event_time(stream, ts, late).dropDuplicatesWithinWatermark(keys)

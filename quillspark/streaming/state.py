@@ -1,21 +1,22 @@
 """Folds on streams: a key's events in event-time order, whatever order they arrive in.
 
 Events wait in a key's state until the watermark has passed them; then none that could come before them is accepted any
-more, and a timer runs the key's fold over those that are due, in order. So the rows are those of the batch fold over the
+more, and a timeout runs the key's fold over those that are due, in order. So the rows are those of the batch fold over the
 accepted events, in append mode, and a restart from the checkpoint continues where the state stands. State is the fold's
-few numbers and the events of the last ``late`` stretch; a second timer clears a key once its state makes no difference.
+few numbers and the events of the last ``late`` stretch, as arrays; it goes once it makes no difference. States travel with
+the rows, many keys in an Arrow batch, so a key costs no calls of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import Fold
 from .events import with_event_time
@@ -25,7 +26,7 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB, which processors with several states need."""
+    """Streams started inside keep their state in RocksDB, outside the heap."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -34,67 +35,103 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
-class OrderedFold(StatefulProcessor):
-    """One key's fold. Timers are in milliseconds: the earliest waiting event, or where the state ends."""
-
-    def __init__(self, by: Fold, key: str):
-        self._by, self._key = by, key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._held = handle.getValueState("held", ", ".join(f"{c} long" for c in self._by.state))
-        self._waiting = handle.getListState("waiting", "tick long, tie long, flag boolean")
-        self._alarm = handle.getValueState("alarm", "at long")
-
-    def _set(self, at: int) -> None:
-        known = self._alarm.get()[0] if self._alarm.exists() else None
-        if known is None or at < known:
-            if known is not None:
-                self._handle.deleteTimer(known)
-            self._handle.registerTimer(at)
-            self._alarm.update((at,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for pdf in rows:
-            self._waiting.appendList(list(zip(pdf["tick"].tolist(), pdf["tie"].tolist(), pdf["flag"].tolist(), strict=True)))
-            low = int(pdf["tick"].min())
-            earliest = low if earliest is None else min(earliest, low)
-        if earliest is not None:
-            self._set(-(-earliest // 1000))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        self._alarm.clear()
-        waiting = sorted(self._waiting.get()) if self._waiting.exists() else []
-        due, rest = [r for r in waiting if r[0] <= passed], [r for r in waiting if r[0] > passed]
-        state = tuple(self._held.get()) if self._held.exists() else None
-        out = []
+def _wake(state: GroupState, at: int) -> None:
+    """Call again once the watermark has reached ``at`` (microseconds), which lies behind it."""
+    state.setTimeoutTimestamp(-(-at // 1000) - 1)  # a timeout fires when it is less than the watermark
+
+
+def _ordered(by: Fold, key: str) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """One key's fold over new rows, or over those that became due."""
+
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, *raw = state.get if state.exists else (None, b"", b"", b"")
+        parts = [[np.frombuffer(bytes(x), kind)] for x, kind in zip(raw, (np.int64, np.int64, bool), strict=True)]
+        for pdf in [] if state.hasTimedOut else frames:
+            for part, name in zip(parts, ("tick", "tie", "flag"), strict=True):
+                part.append(pdf[name].to_numpy(part[0].dtype))
+        ticks, ties, flags = (np.concatenate(p) for p in parts)
+        order = np.lexsort((flags, ties, ticks))
+        ticks, ties, flags = ticks[order], ties[order], flags[order]
+        passed = state.getCurrentWatermarkMs() * 1000
+        due = int(np.searchsorted(ticks, passed, "right"))
+        held = None if held is None else tuple(held)
         if due:
-            ticks, ties, flags = (np.array(x) for x in zip(*due, strict=True))
-            state, values = self._by.run(state, ticks, flags)
-            state = tuple(int(x) for x in state)
-            self._held.update(state)
-            out.append(pd.DataFrame({self._key: [key[0]] * len(due), "tick": ticks, "tie": ties} | values))
-            self._waiting.put(rest) if rest else self._waiting.clear()
-        if rest:
-            self._set(-(-rest[0][0] // 1000))
-        elif state is not None:
-            ends = -(-self._by.ends(state) // 1000)
-            if ends * 1000 <= passed:
-                self._held.clear()
-            else:
-                self._set(ends)
-        return iter(out)
-
-    def close(self) -> None:
-        pass
+            held, values = by.run(held, ticks[:due], flags[:due])
+            held = tuple(int(x) for x in held)
+            yield pd.DataFrame({key: [of[0]] * due, "tick": ticks[:due], "tie": ties[:due]} | values)
+        waits = ticks[due] if due < len(ticks) else None if held is None else by.ends(held)
+        if waits is None or waits <= passed:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((None if held is None else list(held), ticks[due:].tobytes(), ties[due:].tobytes(), flags[due:].tobytes()))
+            _wake(state, int(waits))
+
+    return step
 
 
 def ordered_fold(stream: DataFrame, key: str, by: Fold, tie: str = "event_id", flag: Column | None = None, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """key, tick (microseconds), tie and the fold's columns of every accepted event that the watermark has passed. tie: whole numbers."""
-    rows = with_event_time(stream, ts, late).select(F.col(key), ts, F.unix_micros(ts).alias("tick"), F.col(tie).cast("long").alias("tie"), (F.lit(False) if flag is None else flag).alias("flag"))
+    """key, tick (microseconds), tie and the fold's columns of every accepted event that the watermark has passed. tie: whole numbers;
+    a null flag is false, a null time takes no part."""
+    flag = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
+    rows = with_event_time(stream.filter(F.col(ts).isNotNull()), ts, late).select(F.col(key), ts, F.unix_micros(ts).alias("tick"), F.col(tie).cast("long").alias("tie"), flag.alias("flag"))
     kind = stream.schema[key].dataType.simpleString()
-    out = rows.groupBy(key).transformWithStateInPandas(OrderedFold(by, key), f"{key} {kind}, tick long, tie long, {by.out}", "Append", "EventTime")
+    held = "held array<bigint>, ticks binary, ties binary, flags binary"
+    out = rows.groupBy(key).applyInPandasWithState(_ordered(by, key), f"{key} {kind}, tick long, tie long, {by.out}", held, "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnRenamed("tie", tie)
+
+
+# ------------------------------------------------------------------ sessions that late events may still change
+
+
+def _told(key: str) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        gap, *raw = state.get if state.exists else (None, b"", b"", b"", b"")
+        first, last, n, told = (np.frombuffer(bytes(x), kind) for x, kind in zip(raw, (np.int64, np.int64, np.int64, bool), strict=True))
+        passed, gone = state.getCurrentWatermarkMs() * 1000, None
+        for pdf in [] if state.hasTimedOut else frames:
+            tick = pdf["tick"].to_numpy(np.int64)
+            gap = int(pdf["ends"].iloc[0] - tick[0])
+            first, last, n, told = np.r_[first, tick], np.r_[last, tick], np.r_[n, np.ones(len(tick), np.int64)], np.r_[told, np.zeros(len(tick), bool)]
+        order = np.argsort(first, kind="stable")
+        first, last, n, told = first[order], last[order], n[order], told[order]
+        # stretches that lie less than a gap apart become one; those told before and now part of a larger one are taken back
+        starts = np.flatnonzero(np.r_[True, first[1:] - np.maximum.accumulate(last)[:-1] >= gap])
+        sizes = np.diff(np.r_[starts, len(first)])
+        gone = told & (np.repeat(sizes, sizes) > 1)
+        back = (first[gone], n[gone])
+        first, last, n, told = first[starts], np.maximum.reduceat(last, starts), np.add.reduceat(n, starts), told[starts] & (sizes == 1)
+        new = ~told & (last + gap <= passed)
+        if len(back[0]) or new.any():
+            sign = np.r_[np.full(len(back[0]), -1), np.ones(int(new.sum()), np.int64)]
+            yield pd.DataFrame({key: [of[0]] * len(sign), "first": np.r_[back[0], first[new]], "n": np.r_[back[1], n[new]], "sign": sign})
+        told = told | new
+        waits = last + np.where(told, 2 * gap, gap)
+        keep = waits > passed
+        if keep.any():
+            state.update((gap, *(x[keep].tobytes() for x in (first, last, n, told))))
+            _wake(state, int(waits[keep].min()))
+        elif state.exists:
+            state.remove()
+
+    return step
+
+
+def session_changes(stream: DataFrame, key: str, gap: str, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """key, first (microseconds), n, sign: streaks of a key's events less than ``gap`` apart, told (1) when the watermark has reached their
+    last event plus ``gap``, and taken back (-1) when an event that is not yet late changes one; :func:`sessions_of` nets them.
+
+    An event is late when the watermark has reached it plus ``gap``. So one may still join a streak told before, for another
+    ``gap``; only then the streak leaves the state.
+    """
+    rows = stream.filter(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
+    rows = rows.select(key, F.unix_micros(ts).alias("tick"), (F.col(ts) + F.expr(f"INTERVAL {gap}")).alias("until"))
+    rows = rows.withColumn("ends", F.unix_micros("until")).withWatermark("until", f"{late} {gap}")  # the largest time less ``late``
+    kind = stream.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(_told(key), f"{key} {kind}, first long, n long, sign long", "gap long, first binary, last binary, n binary, told binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sessions_of(changes: DataFrame, key: str) -> DataFrame:
+    """key, first (timestamp), n of the streaks that stand."""
+    net = changes.groupBy(key, "first", "n").agg(F.sum("sign").alias("s")).filter("s > 0")
+    return net.select(key, F.timestamp_micros("first").alias("first"), "n")

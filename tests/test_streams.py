@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import folds
 from quillspark.streaming.runs import replay
-from quillspark.streaming.state import ordered_fold
+from quillspark.streaming.state import ordered_fold, session_changes, sessions_of
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
 MICROS = 1_000_000
@@ -108,3 +108,18 @@ def test_stream_equals_the_batch_over_accepted_events(spark):
         mine = sorted((e for e in accepted if e[1] == user and e[2] <= passed), key=lambda e: (e[2], e[0]))
         want |= dict(zip([e[0] for e in mine], loop(by, [(int((e[2] - START).total_seconds()) * MICROS, e[3]) for e in mine]), strict=True))
     assert got == want and len(got) > 300
+
+
+def test_an_event_in_time_joins_a_session_that_was_told_before(spark):
+    at = lambda h: START + timedelta(hours=h)
+    # after the first slice the watermark is at hour 10: both of user 1's sessions are told, then joined by an event of hour 9
+    slices = [
+        [(1, at(0)), (1, at(8)), (1, at(0.5)), (2, at(14)), (None, at(1))],
+        [(1, at(9)), (1, at(7)), (2, at(20)), (None, at(2.5)), (3, at(8))],
+        [(2, at(40)), (3, at(8))],
+    ]
+    frames = [spark.createDataFrame(s, "user_id long, ts timestamp") for s in slices]
+    changes = replay(spark, frames, lambda s: session_changes(s, "user_id", "2 hours", late="4 hours")).rows
+    got = {(r.user_id, (r.first - at(0).replace(tzinfo=None)).total_seconds() / 3600, r.n) for r in sessions_of(changes, "user_id").collect()}
+    assert got == {(1, 0, 2), (1, 8, 2), (None, 1, 1), (2, 14, 1), (2, 20, 1)}
+    assert changes.filter("sign < 0").count() == 1
