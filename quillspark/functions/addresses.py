@@ -90,6 +90,12 @@ def address_key(text: Column) -> Column:
 
 
 def address_kind(key: Column) -> Column:
-    """``metadata``, ``blocked`` or ``open``; null for a null key."""
-    table = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(kind).alias("kind")) for lo, kind in RANGES])
-    return F.when(key.isNotNull(), F.element_at(F.filter(table, lambda r: r["lo"] <= key), -1)["kind"])
+    """``metadata``, ``blocked`` or ``open``; null for a null key. The key is computed once and meets log(ranges) bounds."""
+
+    def among(k: Column, lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.lit(RANGES[lo][1])
+        mid = (lo + hi) // 2
+        return F.when(k < RANGES[mid][0], among(k, lo, mid)).otherwise(among(k, mid, hi))
+
+    return _bound(key, lambda k: F.when(k.isNotNull(), among(k, 0, len(RANGES))))

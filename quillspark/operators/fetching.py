@@ -54,13 +54,14 @@ def checked_hops(hops: DataFrame, allowed: list[str] = [], most_redirects: int =
     """
     # one row an address, so that each is looked up once
     each = hops.filter(F.col("hop") <= most_redirects + 1).select("request", "hop", "url", F.explode_outer("addresses").alias("address"), F.size(F.coalesce("addresses", F.array().cast("array<string>"))).alias("n"))
-    kind = F.when(F.col("n") > 0, F.coalesce(address_kind(address_key(F.col("address"))), F.lit("none")))
-    rows = each.groupBy("request", "hop", "url").agg(F.collect_set(kind).alias("kinds")).withColumn("o", origin(F.col("url")))
+    kind = F.coalesce(address_kind(address_key(F.col("address"))), F.lit("none"))
+    has = {k: F.coalesce(F.bool_or((F.col("n") > 0) & (F.col("kind") == k)), F.lit(False)).alias(k) for k in ("none", "metadata", "blocked")}
+    rows = each.withColumn("kind", kind).groupBy("request", "hop", "url").agg(*has.values(), F.max("n").alias("n")).withColumn("o", origin(F.col("url")))
     refused = (
         F.when(~F.col("o.scheme").isin("http", "https"), "scheme")
-        .when((F.size("kinds") == 0) | F.array_contains("kinds", "none"), "no address")
-        .when(F.array_contains("kinds", "metadata"), "metadata")
-        .when(F.array_contains("kinds", "blocked") & ~granted(F.col("o.host"), F.col("o.port"), allowed), "blocked")
+        .when((F.col("n") == 0) | F.col("none"), "no address")
+        .when(F.col("metadata"), "metadata")
+        .when(F.col("blocked") & ~granted(F.col("o.host"), F.col("o.port"), allowed), "blocked")
         .when(F.col("hop") > most_redirects, "redirects")
     )
     rows = rows.select("request", F.struct("hop", refused.alias("refused"), "o").alias("h"))

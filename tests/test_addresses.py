@@ -82,3 +82,12 @@ def test_chains(spark):
     df = spark.createDataFrame(rows, "request string, hop int, url string, addresses array<string>").repartition(4)
     got = {r.request: (r.made, r.verdict, r.credentials) for r in checked_hops(df, ["Wiki.intern", "port.intern:8443", "[bad"]).collect()}
     assert got == {name: want for name, (_, want) in CASES.items()}
+
+
+def test_an_address_is_computed_once_however_many_ranges_there_are(spark):
+    """The key's expression is not repeated for each range."""
+    df = spark.createDataFrame([("10.0.0.1",)], "a string")
+    key = addresses.address_key(F.col("a"))
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    alone, looked_up = (plan(c).count("rlike") for c in (key, addresses.address_kind(key)))
+    assert alone == looked_up > 0
