@@ -12,6 +12,8 @@ import re
 from collections.abc import Iterator
 from email.message import EmailMessage
 from email.parser import BytesParser
+from email.policy import EmailPolicy
+from functools import lru_cache
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -43,6 +45,23 @@ SCHEMA = (
 )
 
 
+class Remembered(EmailPolicy):
+    """The default policy, which parses a header at each look at it; here the parsed ones, which nothing changes, are kept."""
+
+    def header_fetch_parse(self, name: str, value: str):
+        if hasattr(value, "name") or len(value) > 1000:
+            return email.policy.default.header_fetch_parse(name, value)
+        return _header(name, value)
+
+
+@lru_cache(4096)
+def _header(name: str, value: str):
+    return email.policy.default.header_fetch_parse(name, value)
+
+
+POLICY = Remembered()
+
+
 def addresses(message: EmailMessage, name: str) -> list[str]:
     header = message.get(name)
     return [a.addr_spec for a in getattr(header, "addresses", ()) if a.addr_spec]
@@ -124,7 +143,7 @@ def with_names(html: str, message: EmailMessage, parts: list[dict]) -> str:
 
 
 def parse(raw: bytes) -> tuple:
-    message = BytesParser(policy=email.policy.default).parsebytes(raw or b"")
+    message = BytesParser(policy=POLICY).parsebytes(raw or b"")
     sender, body = addresses(message, "From"), message.get_body(preferencelist=("html", "plain"))
     text = None
     if body is not None:

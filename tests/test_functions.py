@@ -137,3 +137,31 @@ def test_byte_sizes_round_exact_halves_to_even(spark):
     rows = [(0,), (1023,), (1024,), (1024 + 256,), (1024 + 768,), (1048575,), (1050935296,), (5 * 2**30 + 2**28,), (2**63 - 1,), (None,)]
     got = [r.s for r in spark.createDataFrame(rows, "n long").select(paths.byte_size(F.col("n")).alias("s")).collect()]
     assert got == ["0 B", "1023 B", "1.0 KB", "1.2 KB", "1.8 KB", "1024.0 KB", "1002.2 MB", "5.2 GB", "8589934592.0 GB", None]
+
+
+def test_mail_headers_are_parsed_once_with_equal_results(monkeypatch):
+    import email.policy
+
+    from quillspark.sources import mail as source
+
+    odd = b"Content-Type: multipart/mixed; boundary=q\nDate: x\nTo: a@x.example,\n b@x.example\nSubject: =?utf-8?q?=C3=BC?= " + b"y" * 2000 + b"\n\n--q\nContent-Type: bad\n\nb\n--q\nContent-Type: text/plain\nContent-Type: image/png\n\nc\n--q--\n"
+    outer = EmailMessage()
+    outer.set_content("see below")
+    outer.add_attachment(mail())
+    mails = [mail().as_bytes(), outer.as_bytes(), odd, b"", b"Subject: \xff\n\n\xff", b"Content-Type: text/html; charset=nope\n\n<p>x"]
+
+    def tried(raw):
+        try:
+            return parse(raw)
+        except LookupError as e:
+            return str(e)
+
+    got = [tried(m) for m in mails * 2]
+    monkeypatch.setattr(source, "POLICY", email.policy.default)
+    assert got == [tried(m) for m in mails * 2]
+    monkeypatch.undo()
+    raw, made, factory = mail().as_bytes(), [], email.policy.default.header_factory
+    source._header.cache_clear()
+    monkeypatch.setattr(type(factory), "__call__", lambda self, name, value, call=type(factory).__call__: made.append((name, value)) or call(self, name, value))
+    parse(raw)
+    assert made and len(made) == len(set(made))  # each was parsed at every look before
