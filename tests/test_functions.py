@@ -165,3 +165,11 @@ def test_mail_headers_are_parsed_once_with_equal_results(monkeypatch):
     monkeypatch.setattr(type(factory), "__call__", lambda self, name, value, call=type(factory).__call__: made.append((name, value)) or call(self, name, value))
     parse(raw)
     assert made and len(made) == len(set(made))  # each was parsed at every look before
+
+
+def test_checks_of_a_small_table_are_dealt_to_all_tasks(spark):
+    from quillspark.plans import registry
+
+    registry.load()
+    out = registry.QUERIES["agg14_validation_counts"](spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
