@@ -16,8 +16,9 @@ made of such pairs alone, which of those can. Both only overestimate, and what t
 by key: nothing that reaches MIN is lost, and a full sketch only lets more through. There is no limit on states.
 
 Scale: text is read once; blocks keep their tokens as numbers of their distinct words. MIN and PENALTY are constants, so tree and model grow with the corpus. The model is never broadcast or collected:
-blocks of documents ask it for their distinct n-grams (one row each, past the sketches' bits and a bitmap of the model's n-grams of at most 8 MiB) and are
-scored with the answers; n-grams with 1 / HEAD of all tokens, at most HEAD of each length, go to every worker instead. A context with a third of all tokens is a sum with map-side combine and a join on its key.
+blocks of documents ask it for their distinct n-grams (past the sketches' bits and a bitmap of the model's n-grams of at most 8 MiB) and are
+scored with the answers. Both go by ranges of keys of which each holds some BUCKET n-grams of the model: a block's ascending keys of one range are one
+row out and one back, by differences and bytes, so that rows grow with blocks times ranges and a key costs about six bytes each way. N-grams with 1 / HEAD of all tokens, at most HEAD of each length, go to every worker instead. A context with a third of all tokens is a sum with map-side combine and a join on its key.
 N-grams are told apart by 64-bit hashes: among n distinct ones n * n / 2**65 mix-ups are expected.
 
 Defined results: a null or empty text is its end token alone; a null id has no remainder and is trained on; repeated
@@ -37,14 +38,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, packed, unpacked
-from .common import P, bitmap_of, forget, mix, reclaim, release, small_batches, stored, tidy
-from .words import BLANK, LOWER, arrow_bytes, run_hashes, runs
+from .blocks import blocks
+from .common import P, bitmap_of, forget, mix, reclaim, release, shuffles, small_batches, stored, tidy
+from .words import BLANK, LOWER, arrow_bytes, run_hashes, runs, spans
 
 DEPTH, MIN, DISCOUNT, PENALTY, ADD = 3, 8, 0.75, 4.0, 0.1
 BLOCK_BYTES = 16 << 20
 #: N-grams with at least 1 / HEAD of all tokens go to every worker.
 HEAD = 1 << 19
+#: N-grams of the model in a range of keys, on average at most.
+BUCKET = 1 << 17
+#: Tokens scored together: whole texts.
+PART = 1 << 19
 #: Of the compressed token numbers.
 LEVEL = 3
 CELLS, CHUNK = 1 << 26, 1 << 16
@@ -235,30 +240,63 @@ def may_hold(gate: Gate, bits: np.ndarray, keys: list[np.ndarray], before: np.nd
     return ok
 
 
-def _questions(depth: int, shared, head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """block, key: the distinct n-grams of a block that the model may hold and that not every worker knows."""
+def by_bytes(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit values, compressed byte by byte of the values."""
+    return pa.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def from_bytes(blob: bytes, count: int, columns: int) -> list[np.ndarray]:
+    """The columns of :func:`by_bytes`, as unsigned integers."""
+    planes = np.frombuffer(pa.decompress(blob, 8 * count * columns, "zstd"), np.uint8).reshape(columns, 8, count)
+    return [np.ascontiguousarray(c.T).view(np.uint64).ravel() for c in planes]
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences; their running sum gives them back."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _questions(depth: int, shared, head, bits_of_range: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """block, bucket, count, keys: the distinct n-grams of a block that the model may hold and that not every worker knows, by range of keys."""
+    shift = np.uint64(64 - bits_of_range)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, *gates = (np.frombuffer(b, np.uint8) for b in shared.value)
-        gate, known = Gate(*gates), head.value.column("key").to_numpy().astype(np.int64).view(np.uint64)
+        gate, known = Gate(*gates), Answers.of_table(head.value)
         for block, _, bounds, words, code in _rows(batches):
             keys, before = grams(words[code], bounds, depth)
+            ask = []
             for order, k in enumerate(keys, 1):
-                k = words if order == 1 else np.unique(k[may_hold(gate, bits, keys, before, order)])
-                k = k[~np.isin(k, known, assume_unique=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(k.view(np.int64))], [f"{P}block", "key"])
+                k = np.unique(words if order == 1 else k[may_hold(gate, bits, keys, before, order)])
+                ask.append(k[known.at(k) < 0])
+            del keys, before, k
+            ask = np.unique(np.concatenate(ask))
+            bucket = (ask >> shift).astype(np.int64)
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(ask) else np.zeros(0, np.int64)
+            ends = np.r_[cut[1:], len(ask)][: len(cut)]
+            blobs = [by_bytes(steps(ask[lo:hi])) for lo, hi in zip(cut.tolist(), ends.tolist(), strict=True)]
+            cols = [pa.array(np.full(len(cut), block, np.int64)), pa.array(bucket[cut]), pa.array((ends - cut).astype(np.int64)), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [f"{P}block", "bucket", "count", "keys"])
+            del ask, bucket, blobs, cols
 
     return tidy(run)
 
 
 class Answers:
-    """A block's share of the model, by key."""
+    """A share of the model, by key: occurrences, and what a retained context leaves to its parent (times its occurrences; else 0)."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        key, n, room = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.uint64, np.int64, np.float64))
+        order = np.argsort(key, kind="stable")  # parts are in order, which a stable sort makes use of
+        self.key, self.n, self.room = key[order], n[order], room[order]
+
+    @staticmethod
+    def columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return table.column("key").to_numpy().astype(np.int64).view(np.uint64), table.column("n").to_numpy().astype(np.int64), table.column("room").to_numpy().astype(np.float64)
 
-    def __init__(self, tables: list[pa.Table]):
-        key, c, e, gamma = (np.concatenate([t.column(n).to_numpy() for t in tables] or [np.zeros(0)]) for n in ("key", "c", "e", "gamma"))
-        key = key.astype(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        self.key, self.c, self.e, self.gamma = key[order], c[order], e[order], gamma[order]
+    @classmethod
+    def of_table(cls, table: pa.Table) -> Answers:
+        return cls([cls.columns(table)])
 
     def at(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
@@ -268,26 +306,52 @@ class Answers:
         return np.where(self.key[place] == keys, place, -1)
 
 
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """block, count, blob: of the keys of one range that each block asks for, those the model holds, with n and room."""
+    held, out = Answers.of_table(model), []
+    for block, count, blob in zip(*(asked.column(c).to_pylist() for c in (f"{P}block", "count", "keys")), strict=True):
+        at = held.at(np.cumsum(from_bytes(blob, count, 1)[0], dtype=np.uint64))
+        at = at[at >= 0]
+        if len(at):
+            out.append((block, len(at), by_bytes(steps(held.key[at]), held.n[at], held.room[at])))
+    release()
+    return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate([(f"{P}block", pa.int64()), ("count", pa.int64()), ("blob", pa.binary())])})
+
+
+def _answered(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What :func:`_answer` packed."""
+    out = []
+    for count, blob in zip(table.column("count").to_pylist(), table.column("blob").to_pylist(), strict=True):
+        key, n, room = from_bytes(blob, count, 3)
+        out.append((np.cumsum(key, dtype=np.uint64), n.view(np.int64), room.view(np.float64)))
+    return out
+
+
 def score_block(bounds: np.ndarray, words: np.ndarray, code: np.ndarray, answers: Answers, may: Callable, depth: int, total: int, distinct: int) -> dict[str, np.ndarray]:
-    """n_tokens, n_known, base_score, score of each text. may(keys, before, order): where the model may hold an n-gram."""
-    keys, before = grams(words[code], bounds, depth)
+    """n_tokens, n_known, base_score, score of each text, some PART tokens at a time. may(keys, before, order): where the model may hold an n-gram."""
     whole = total + ADD * (distinct + 1)
     known = answers.at(words)
-    at = known[code]
-    count = (np.where(known >= 0, answers.c[known], 0) if len(answers.c) else np.zeros(len(words)))[code]
-    base = (count + ADD) / whole
-    p = base.copy()
-    for k in range(1, depth + 1):
-        state = np.r_[-1, at[:-1]][: len(at)]  # the n-gram of k tokens before each token
-        at = np.full(len(code), -1)
-        here = np.flatnonzero(may(keys, before, k + 1))
-        at[here] = answers.at(keys[k][here])
-        on = np.flatnonzero((state >= 0) & (before >= k))
-        gamma = answers.gamma[state[on]]
-        on, gamma = on[~np.isnan(gamma)], gamma[~np.isnan(gamma)]
-        if len(on):
-            p[on] = np.where(at[on] >= 0, answers.e[at[on]], 0.0) + gamma * p[on]
-    sums = np.add.reduceat(np.stack([np.ones(len(code)), count > 0, np.log10(base), np.log10(p)]), bounds[:-1], axis=1) if len(bounds) > 1 else np.zeros((4, 0))
+    counts = np.where(known >= 0, answers.n[known], 0) if len(answers.n) else np.zeros(len(words))
+    out = [np.zeros((4, 0))]
+    for lo, hi in spans(bounds, PART):
+        part, cut = code[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
+        keys, before = grams(words[part], cut, depth)
+        at = known[part]
+        count = counts[part]
+        base = (count + ADD) / whole
+        p = base.copy()
+        for k in range(1, depth + 1):
+            state = np.r_[-1, at[:-1]][: len(at)]  # the n-gram of k tokens before each token
+            at = np.full(len(part), -1)
+            here = np.flatnonzero(may(keys, before, k + 1))
+            at[here] = answers.at(keys[k][here])
+            on = np.flatnonzero((state >= 0) & (before >= k))
+            on = on[answers.room[state[on]] > 0] if len(on) else on
+            if len(on):
+                explicit = np.where(at[on] >= 0, answers.n[at[on]] - DISCOUNT, 0.0)
+                p[on] = (explicit + answers.room[state[on]] * p[on]) / answers.n[state[on]]
+        out.append(np.add.reduceat(np.stack([np.ones(len(part)), count > 0, np.log10(base), np.log10(p)]), cut[:-1], axis=1))
+    sums = np.concatenate(out, axis=1)
     return dict(zip(("n_tokens", "n_known", "base_score", "score"), (sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]), strict=True))
 
 
@@ -297,7 +361,7 @@ def _score(depth: int, total: int, distinct: int, head, shared) -> Callable[[pa.
         gate = Gate(*gates)
         ids = block.column("ids")[0].values
         row = decoded(len(ids), block.column("raw")[0].as_py(), block.column("blob")[0].as_py())
-        held = Answers([t for t in (head.value, unpacked(answers)) if t is not None])
+        held = Answers([Answers.columns(head.value), *_answered(answers)])
         out = score_block(*row, held, lambda keys, before, order: may_hold(gate, bits, keys, before, order), depth, total, distinct)
         del held, row
         release()
@@ -310,20 +374,21 @@ def _score(depth: int, total: int, distinct: int, head, shared) -> Callable[[pa.
 
 
 def tree(words: DataFrame, counted: DataFrame, depth: int, total: int, distinct: int, penalty: float = PENALTY) -> list[DataFrame]:
-    """Levels 1 to depth, stored: key, ctx, n, e, p, gamma. e is the explicit part of the last token's probability after
-    ctx and gamma what ctx leaves to its parent, both null where ctx is not retained; p is the smoothed probability."""
+    """Levels 1 to depth, stored: key, ctx, n, c, p, room. c counts ctx; room / c is gamma, what ctx leaves to its parent,
+    and null where ctx is not retained; p is the smoothed probability of the last token after ctx."""
     contexts = words.select(F.col("key").alias("ctx"), F.col("n").alias("c"))
     parents = words.select(F.col("key").alias("suf"), ((F.col("n") + ADD) / (total + ADD * (distinct + 1))).alias("above"))
     levels = []
     for k in range(1, depth + 1):
         rows = counted.filter(F.col("ord") == k + 1).join(contexts, "ctx").join(parents, "suf").select("key", "ctx", "n", "c", "above", ((F.col("n") - DISCOUNT) / F.col("c")).alias("e"))
         rows = stored(rows, "level-rows")
-        states = rows.groupBy("ctx").agg((1 - F.sum("e")).alias("gamma"), F.count("*").alias("symbols"), (F.max("c") - F.sum("n")).alias("other"))
+        states = rows.groupBy("ctx").agg(F.max("c").alias("of"), F.count("*").alias("symbols"), (F.max("c") - F.sum("n")).alias("other"))
+        states = states.withColumn("room", F.col("other") + DISCOUNT * F.col("symbols")).withColumn("gamma", F.col("room") / F.col("of")).drop("of")
         explicit = F.sum(F.col("n") * F.log((F.col("e") + F.col("gamma") * F.col("above")) / F.col("above")))
-        gain = rows.join(states, "ctx").groupBy("ctx").agg(explicit.alias("explicit"), F.max("gamma").alias("gamma"), F.max("symbols").alias("symbols"), F.max("other").alias("other"))
-        kept = gain.filter(F.col("explicit") + F.col("other") * F.log("gamma") >= penalty * F.col("symbols")).select("ctx", "gamma")
+        gain = rows.join(states, "ctx").groupBy("ctx").agg(explicit.alias("explicit"), F.max("gamma").alias("gamma"), F.max("room").alias("room"), F.max("symbols").alias("symbols"), F.max("other").alias("other"))
+        kept = gain.filter(F.col("explicit") + F.col("other") * F.log("gamma") >= penalty * F.col("symbols")).select("ctx", "gamma", "room")
         on = F.col("gamma").isNotNull()
-        level = rows.join(kept, "ctx", "left").select("key", "ctx", "n", F.when(on, F.col("e")).alias("e"), F.when(on, F.col("e") + F.col("gamma") * F.col("above")).otherwise(F.col("above")).alias("p"), "gamma")
+        level = rows.join(kept, "ctx", "left").select("key", "ctx", "n", "c", F.when(on, F.col("e") + F.col("gamma") * F.col("above")).otherwise(F.col("above")).alias("p"), "room")
         levels.append(stored(level, f"level-{k}"))
         forget(rows)
         contexts = levels[-1].select(F.col("key").alias("ctx"), F.col("n").alias("c"))
@@ -332,7 +397,7 @@ def tree(words: DataFrame, counted: DataFrame, depth: int, total: int, distinct:
 
 
 def train(base: DataFrame, depth: int = DEPTH, least: int = MIN, penalty: float = PENALTY) -> tuple[DataFrame, int, int, Broadcast]:
-    """The model of the blocks' training texts (key, n, c, e, gamma; c for words alone), their number of tokens and of distinct tokens, and the gate's bits."""
+    """The model of the blocks' training texts (key, n, room, word), their number of tokens and of distinct tokens, and the gate's bits."""
     spark = base.sparkSession
     with small_batches(spark, 2):
         words = stored(base.mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
@@ -350,13 +415,13 @@ def train(base: DataFrame, depth: int = DEPTH, least: int = MIN, penalty: float
     reclaim(spark)
     often = words.filter(F.col("n") >= least)  # every part of an n-gram that reaches the least count does
     levels = tree(often, counted, depth, total, distinct, penalty)
-    none, no_count = F.lit(None).cast("double"), F.lit(None).cast("long")
-    parts = [often.select("key", "n", F.col("n").alias("c"), none.alias("e"), none.alias("gamma"))]
+    none, no = F.lit(None).cast("double").alias("room"), F.lit(False).alias("word")
+    parts = [often.select("key", "n", none, F.lit(True).alias("word"))]
     for level in levels:
-        parts.append(level.filter("e is not null").select("key", "n", no_count.alias("c"), "e", none.alias("gamma")))
-        parts.append(level.filter("e is not null").groupBy("ctx").agg(F.max("gamma").alias("gamma")).select(F.col("ctx").alias("key"), no_count.alias("n"), no_count.alias("c"), none.alias("e"), "gamma"))
-    model = reduce(DataFrame.unionAll, parts).groupBy("key").agg(*(F.max(c).alias(c) for c in ("n", "c", "e", "gamma")))
-    rare = words.filter(F.col("n") < least).select("key", "n", F.col("n").alias("c"), none.alias("e"), none.alias("gamma"))
+        retained = level.filter("room is not null")
+        parts += [retained.select("key", "n", none, no), retained.select(F.col("ctx").alias("key"), F.col("c").alias("n"), "room", no)]
+    model = reduce(DataFrame.unionAll, parts).groupBy("key").agg(*(F.max(c).alias(c) for c in ("n", "room", "word")))
+    rare = words.filter(F.col("n") < least).select("key", "n", none, F.lit(True).alias("word"))
     model = stored(model.unionAll(rare), "model")
     forget(words, counted, *levels)
     return model, total, distinct, shared
@@ -373,6 +438,11 @@ def model_bits(model: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def range_bits(rows: int, tasks: int) -> int:
+    """Leading bits of a key that name its range: BUCKET rows of the model a range at most, and two ranges a task at least."""
+    return max(1, max(-(-rows // BUCKET), 2 * tasks) - 1).bit_length()
+
+
 def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = MIN, penalty: float = PENALTY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, held, n_tokens, n_known, train_tokens, base_score, score; documents where ``held`` holds are not learned from."""
     spark = docs.sparkSession
@@ -380,14 +450,16 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held")).alias("id"), F.col(text_col).alias("text"))
     base = blocks(rows, "id", "text", block_bytes, encoded, LEVEL)
     model, total, distinct, gate = train(base, depth, least, penalty)
-    shared = spark.sparkContext.broadcast((model_bits(model.filter("c is null")), *gate.value))
+    shared = spark.sparkContext.broadcast((model_bits(model.filter("not word")), *gate.value))
     reclaim(spark)
-    values = ["key", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("e", F.lit(0.0)).alias("e"), F.coalesce("gamma", F.lit(float("nan"))).alias("gamma")]
+    values = model.select("key", "n", F.coalesce("room", F.lit(0.0)).alias("room"))
     # at most HEAD n-grams of each length have so large a share of all tokens
-    common = F.coalesce(F.col("n") * HEAD >= total, F.lit(False))
-    head = spark.sparkContext.broadcast(model.filter(common).select(*values).toArrow())
-    asked = base.mapInArrow(_questions(depth, shared, head), f"{P}block long, key long")
-    answers = packed(asked.join(model.filter(~common), "key").select(f"{P}block", *values))
+    common = F.col("n") * HEAD >= total
+    head = spark.sparkContext.broadcast(values.filter(common).toArrow())
+    ranges = range_bits(model.count(), shuffles(spark))
+    asked = base.mapInArrow(_questions(depth, shared, head, ranges), f"{P}block long, bucket long, count long, keys binary")
+    share = values.filter(~common).withColumn("bucket", F.shiftrightunsigned("key", 64 - ranges))
+    answers = asked.groupBy("bucket").cogroup(share.groupBy("bucket")).applyInArrow(_answer, f"{P}block long, count long, blob binary")
     scored = base.groupBy(f"{P}block").cogroup(answers.groupBy(f"{P}block"))
     out = scored.applyInArrow(_score(depth, total, distinct, head, shared), f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long")).withColumnRenamed("id", id_col)

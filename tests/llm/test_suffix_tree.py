@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,36 @@ def test_empty_and_untrained(spark):
     r = st.score_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
 
+
+def test_keys_travel_by_ranges(spark, rows):
+    """A block and the model exchange one row for each range of keys, and as many bytes as the differences need."""
+    ids = pa.array([{"id": i, "held": False} for i in range(len(rows))])
+    raw = [(t or "").encode() for _, t in rows]
+    data = st.encoded(b"".join(raw), np.array([len(r) for r in raw]))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.ListArray.from_arrays([0, len(rows)], ids), pa.array([len(data)]), pa.array([pa.compress(data, "zstd", asbytes=True)])], ["__qs_block", "ids", "raw", "blob"])
+    full = np.full(1 << 10, 255, np.uint8).tobytes()
+    shared = spark.sparkContext.broadcast((full, full, full))
+    head = spark.sparkContext.broadcast(pa.table({"key": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "room": pa.array([], pa.float64())}))
+    asked = pa.Table.from_batches(st._questions(3, shared, head, 2)(iter([batch])))
+    bounds, words, code = st.decoded(len(rows), len(data), batch.column("blob")[0].as_py())
+    keys, before = st.grams(words[code], bounds, 3)
+    want = np.unique(np.concatenate([k[before >= i] for i, k in enumerate(keys)]))
+    assert asked.num_rows == 4 and asked["bucket"].to_pylist() == [0, 1, 2, 3] and sum(asked["count"].to_pylist()) == len(want)
+    assert sum(map(len, asked["keys"].to_pylist())) < 8 * len(want)
+    model = pa.table({"key": pa.array(want[::2].view(np.int64)), "n": pa.array(np.arange(len(want[::2]))), "room": pa.array(np.arange(len(want[::2])) / 4)})
+    key, n, room = (np.concatenate(x) for x in zip(*st._answered(st._answer(asked, model)), strict=True))
+    assert key.tolist() == want[::2].tolist() and n.tolist() == list(range(len(key))) and room.tolist() == (np.arange(len(key)) / 4).tolist()
+
+
+def test_parts_of_a_block_score_alike(rows):
+    texts = [(t or "").encode() for _, t in rows]
+    data = st.encoded(b"".join(texts), np.array([len(t) for t in texts]))
+    bounds, words, code = st.decoded(len(texts), len(data), pa.compress(data, "zstd", asbytes=True))
+    keys, _ = st.grams(words[code], bounds, 3)
+    held_keys = np.unique(np.concatenate(keys))
+    answers = st.Answers([(held_keys, np.full(len(held_keys), 9), np.where(held_keys % np.uint64(3) > 0, 2.25, 0.0))])
+    outs, part = [], st.PART
+    for st.PART in (50, part):
+        outs.append(st.score_block(bounds, words, code, answers, lambda keys, before, order: before >= order - 1, 3, 1000, 40))
+    for c in outs[0]:
+        assert outs[0][c] == pytest.approx(outs[1][c], rel=1e-12)
