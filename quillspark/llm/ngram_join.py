@@ -23,8 +23,8 @@ is components.
 Scale: texts are read three times and never shuffled. Counts leave a task as 2 to 3 bytes a shingle; list entries are
 what the order leaves. Nodes come back to the last scan as a bitmap of 8 MiB at most. What a list says of itself (size,
 labels, centre) is an aggregate with map-side combine, joined back from a stored table, so a list with a third of all
-sets is split. Pairs are held against sizes, positions (what can still overlap behind the shared shingle) and 256-byte
-sketches, whose differing bytes bound the difference of the sets from below, before whole sets move.
+sets is split. Pairs are held against sizes, positions (what can still overlap behind the shared shingle) and sketches
+of a byte a shingle (256 to 2,048), whose differing bytes bound the difference of the sets from below, before whole sets move.
 
 Shingles are 64-bit hashes of 64-bit word hashes: within a pair of n shingles a false match has odds of n * n / 2**64.
 Equal sets are recognised by 128 bits.
@@ -53,7 +53,8 @@ SCAN = 10
 #: Lists with at most so many pairs a row on average are tested pair by pair at once.
 STAR = 64
 ROUNDS = 3
-PARTS = 256
+#: Bytes of a sketch: as many as the set has shingles, within these.
+PARTS, WIDE = 256, 2048
 #: Lists up to SMALL are paired by a join; longer ones in blocks of CELL members.
 SMALL, CELL = 16, 2048
 BITS = 1 << 26
@@ -212,19 +213,46 @@ def list_keys(s: np.ndarray, level: np.ndarray, plan: Plan) -> tuple[np.ndarray,
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """One byte for each of PARTS hash classes: a sum over the class's shingles. Sets whose sketches differ in d bytes
-    differ in d shingles at least, so the count of differing bytes rules pairs out and never a linked one."""
-    m = mix(s ^ np.uint64(0x2545F4914F6CDD1D))
-    out = np.zeros(PARTS, np.uint8)
-    np.add.at(out, (m % np.uint64(PARTS)).astype(np.int64), ((m >> np.uint64(32)) | np.uint64(1)).astype(np.uint8))
-    return out.tobytes()
+    """One byte for each of PARTS hash classes, or of twice as many until they are no fewer than shingles (WIDE at most): a
+    sum over the class's shingles. Sets whose sketches differ in d bytes differ in d shingles at least, so the count of
+    differing bytes rules pairs out and never a linked one; with fewer classes than shingles it would soon rule out none."""
+    m, size = mix(s ^ np.uint64(0x2545F4914F6CDD1D)), PARTS
+    while size < min(len(s), WIDE):
+        size *= 2
+    at = (m % np.uint64(size)).astype(np.int64)
+    return np.bincount(at, ((m >> np.uint64(32)) | np.uint64(1)).astype(np.uint8), size).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one width as rows of a smaller one: its classes are unions of theirs."""
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1, width).sum(axis=1, dtype=np.uint8)
 
 
 def _differing(x: pd.Series, y: pd.Series) -> pd.Series:
-    if not len(x):
-        return pd.Series([], dtype="int64")
-    a = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), PARTS)
-    return pd.Series((a != np.frombuffer(b"".join(y), np.uint8).reshape(len(y), PARTS)).sum(axis=1))
+    x, y = x.tolist(), y.tolist()
+    widths, out = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2), np.zeros(len(x), np.int64)
+    for p, q in np.unique(widths, axis=0).tolist():
+        at = np.flatnonzero((widths == (p, q)).all(axis=1)).tolist()
+        out[at] = (_folded([x[i] for i in at], min(p, q)) != _folded([y[i] for i in at], min(p, q))).sum(axis=1)
+    return pd.Series(out)
+
+
+class _Sketches:
+    """Sketches of a block's members, at each width that a comparison needs."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.width = np.array([len(b) for b in sketches], np.int64)
+        self.raw, self.at = sketches, {}
+
+    def rows(self, places: np.ndarray, width: int) -> np.ndarray:
+        """Those of ``places``, whose own width is no smaller, at ``width``."""
+        if width not in self.at:
+            full = np.zeros((len(self.raw), width), np.uint8)
+            for own in np.unique(self.width[self.width >= width]).tolist():
+                of = np.flatnonzero(self.width == own)
+                full[of] = _folded([self.raw[i] for i in of.tolist()], width)
+            self.at[width] = full
+        return self.at[width][places]
 
 
 def _first_pass(k: int, num: int, den: int, cells: int, shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -324,7 +352,7 @@ def _compare(num: int, den: int, every: bool) -> Callable[[Iterator[pd.DataFrame
         part = pd.DataFrame(rows, columns=["block", "i", "j", "id", "th", "label", "n", "place", "sketch"])
         own = part["i"].iloc[0] == part["j"].iloc[0]
         sides = [part[part["block"] == b] for b in (part["i"].iloc[0], part["j"].iloc[0])]
-        bits = [np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), PARTS) for x in sides]
+        bits = [_Sketches(x["sketch"].tolist()) for x in sides]
         n, place = ([x[c].to_numpy(np.int64) for x in sides] for c in ("n", "place"))
         labels = pd.factorize(pd.concat([sides[0]["label"], sides[1]["label"]]))[0]
         la, lb = labels[: len(n[0])], labels[len(n[0]) :]
@@ -337,7 +365,10 @@ def _compare(num: int, den: int, every: bool) -> Callable[[Iterator[pd.DataFrame
                 ok[: x + 1] = False
             at = np.flatnonzero(ok)
             if len(at):
-                differ = (bits[1][at] != bits[0][x]).sum(axis=1)
+                width, differ = np.minimum(bits[1].width[at], bits[0].width[x]), np.zeros(len(at), np.int64)
+                for w in np.unique(width).tolist():
+                    of = np.flatnonzero(width == w)
+                    differ[of] = (bits[1].rows(at[of], w) != bits[0].rows(np.array([x]), w)).sum(axis=1)
                 near = differ * (den + num) <= both[at] * (den - num)
                 left.append(np.full(int(near.sum()), x))
                 right.append(at[near])

@@ -210,3 +210,24 @@ def test_html_keeps_all_that_is_no_furniture():
     items = [f"item {i}" for i in range(12)]
     listed = "".join(f"<li>{x}" for x in items)
     assert main_text(f"<p>{text[0]}</p><ul>{listed}</ul><p>{text[1]}</p>") == "\n".join([text[0], *items, text[1]])
+
+
+def test_sketches_rule_out_large_sets():
+    """A sketch grows with its set; widths are folded to compare, and differing bytes never exceed the difference of the sets."""
+    import numpy as np
+    import pandas as pd
+
+    from quillspark.llm import ngram_join as ng
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    for n, m, shared in ((2000, 2000, 1333), (1000, 1100, 980), (300, 260, 250), (3000, 2500, 2400), (600, 500, 500), (40, 40, 0)):
+        a, b = pool[:n], pool[n - shared : n - shared + m]
+        x, y = ng.sketch(a), ng.sketch(b)
+        differ = ng._differing(pd.Series([x, x, y]), pd.Series([y, x, y])).tolist()
+        assert 0 < differ[0] <= n + m - 2 * shared and differ[1:] == [0, 0]
+        sides = ng._Sketches([x]), ng._Sketches([y, x])
+        w = min(len(x), len(y))
+        assert int((sides[0].rows(np.array([0]), w) != sides[1].rows(np.array([0]), w)).sum()) == differ[0]
+        if (n, m) == (2000, 2000):  # a Jaccard of a half, against 0.8
+            assert differ[0] * 180 > (n + m) * 20
