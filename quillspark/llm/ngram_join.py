@@ -14,9 +14,10 @@ Wrong estimates change the order alone, which is the same for all sets, so no li
 
 Equal sets are one node from the start (one per task before the shuffle). In the first round a node is held against
 one centre of its lists; links give components, and only lists that still hold several components are looked at again.
-Short lists are then paired off. Long ones are compared block against block by sketch, and of the pairs that may be
-linked only a spanning forest, the closest first, leaves a task: no more than the block has members, however many
-members are linked. Forests are verified and components joined, twice; in the end come the pairs between components
+Short lists are then paired off. Long ones that share their least component go together, as near copies share many
+lists: each member once, so a pair is met once and not on each list (see :func:`_together`). They are compared block
+against block by sketch, and of the pairs that may be linked only a spanning forest, the closest first, leaves a task:
+no more than the block has members, however many members are linked. Forests are verified and components joined, twice; in the end come the pairs between components
 that are still different, which is the exact way for what is left. Links inside a component need no test: the result
 is components.
 
@@ -395,6 +396,28 @@ def _compare(num: int, den: int, every: bool) -> Callable[[Iterator[pd.DataFrame
     return tidy(run)
 
 
+def _label(col: str) -> Column:
+    return F.concat_ws(":", F.col(f"{col}.id").cast("string"), F.col(f"{col}.th").cast("string"))
+
+
+def _together(rows: DataFrame, heads: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Long lists with one least label as one list of their distinct members, where comparing that in blocks moves no more
+    rows than the lists apart; else the lists as they are. rows: key, node, label, m, n, place, lo; heads: key, m, lo.
+    Gives key (text), node, label, m, n, place, and the table to forget after use.
+
+    A member's place is its least on these lists, so what a pair can still overlap is never put too low. Where lists stay
+    apart, they hold fewer than blocks times members, so on average a pair is met on fewer lists than there are blocks.
+    """
+    moved = lambda m: F.col(m) * F.ceil(F.col(m) / cell)
+    members = stored(rows.groupBy(_label("lo").alias("lo"), "node").agg(F.min("label").alias("label"), F.min("n").alias("n"), F.min("place").alias("place")), "members")
+    apart = heads.groupBy(_label("lo").alias("lo")).agg(F.sum(moved("m")).alias("apart"))
+    sizes = members.groupBy("lo").agg(F.count("*").alias("m")).join(apart, "lo").filter(moved("m") <= F.col("apart")).select("lo", "m")
+    out = ["key", "node", "label", "m", "n", "place"]
+    one = members.join(sizes, "lo").withColumnRenamed("lo", "key").select(*out)
+    rest = rows.withColumn("lo", _label("lo")).join(sizes.select("lo"), "lo", "left_anti").withColumn("key", F.concat(F.lit("list "), F.col("key").cast("string")))
+    return one.unionByName(rest.select(*out)), members
+
+
 def _large_lists(rows: DataFrame, kind: str, num: int, den: int, cell: int, every: bool) -> DataFrame:
     """Pairs (a, b) of long lists that may be linked, or a spanning forest of them for each two blocks. rows: key, node,
     label, m, n, place, sketch.
@@ -405,8 +428,7 @@ def _large_lists(rows: DataFrame, kind: str, num: int, den: int, cell: int, ever
     blocks = F.ceil(F.col("m") / cell).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cells = rows.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    label = F.concat_ws(":", F.col("label.id").cast("string"), F.col("label.th").cast("string"))
-    cells = cells.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", F.col("node.id").cast("string").alias("id"), F.col("node.th").alias("th"), label.alias("label"), "n", "place", "sketch")
+    cells = cells.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", F.col("node.id").cast("string").alias("id"), F.col("node.th").alias("th"), _label("label").alias("label"), "n", "place", "sketch")
     cells = cells.repartition(max(8, shuffles(rows.sparkSession)), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     out = cells.mapInPandas(_compare(num, den, every), "a_id string, a_th long, b_id string, b_th long")
     return out.select(*[F.struct(F.col(f"{x}_id").cast(kind).alias("id"), F.col(f"{x}_th").alias("th")).alias(x) for x in "ab"])
@@ -431,13 +453,14 @@ def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, sm
     for t in range(ROUNDS + 1):
         order = F.struct(F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
         heads = open_.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("c"))
-        heads = stored(heads.filter("lo < hi").drop("lo", "hi"), "heads")
+        heads = stored(heads.filter("lo < hi").drop("hi"), "heads")
         lists_left, pairs_left, rows_left = heads.agg(F.count("*"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if not lists_left:
             forget(heads)
             break
         # links inside a component are many and need no test, so a round around centres always comes first
         last = t == ROUNDS or (t > 0 and pairs_left <= STAR * rows_left)
+        members = None
         kept = open_.join(heads, "key")
         if not t:
             # one centre for each node, the least on any of its lists: no more pairs are tested than there are nodes
@@ -449,11 +472,13 @@ def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, sm
             other = few.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("label").alias("label2"))
             room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * (den + num) >= (F.col("n") + F.col("n2")) * num
             pairs = _pairs(few.join(other, "key").filter((F.col("label") < F.col("label2")) & _sizes_fit("n", "n2", num, den) & room), F.col("node"), F.col("node2"))
-            many = kept.filter(F.col("m") > small).drop("c").join(sets.select("node", "sketch"), "node")
+            many, members = _together(kept.filter(F.col("m") > small).drop("c"), heads.filter(F.col("m") > small), cell)
+            many = many.join(sets.select("node", "sketch"), "node")
             pairs = pairs.union(_pairs(_large_lists(many, kind, num, den, cell, last), F.col("a"), F.col("b"))).distinct()
         for before in tested:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
+        forget(*([members] if members is not None else []))
         tested.append(pairs)
         # a first round meets most sets; later ones few, so that sets outside the pairs stay where they are
         bitmap = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), position(BITS, "node")) if t else None
@@ -468,7 +493,7 @@ def _linked(lists: DataFrame, sets: DataFrame, kind: str, num: int, den: int, sm
         # after the first round a linked node takes its centre's label, and that of the centre's centre: nodes of one label
         # are connected, and where connected nodes keep two labels, they are only looked at again. Later the labels that
         # links join become one, and short lists are done with.
-        after = kept.drop("c", "m") if not t else kept.filter(F.col("m") > small).drop("c", "m")
+        after = kept.drop("c", "m", "lo") if not t else kept.filter(F.col("m") > small).drop("c", "m", "lo")
         if t and links.limit(1).count():
             of = kept.select("node", "label").distinct()
             joined = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")

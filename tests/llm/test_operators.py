@@ -240,6 +240,33 @@ def test_forest_joins_all_and_no_more():
         assert {tuple(v == w for w in whole) for v in whole} == {tuple(v == w for w in tree) for v in tree}
 
 
+@pytest.mark.parametrize("cell", [4, 2048])
+def test_ngram_join_lists_of_the_same_members_meet_a_pair_once(spark, monkeypatch, cell):
+    """Copies just short of a link share dozens of long lists: a pair leaves the comparison once, not for each list."""
+    rng, made, real = random.Random(3), [], ngram_join._large_lists
+
+    def counted(*args):
+        made.append(real(*args).localCheckpoint())
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "_large_lists", counted)
+    rows = []
+    for i in range(48):
+        w = [f"g{i % 2}v{p}" for p in range(200)]
+        for p in rng.sample(range(200), 11 + i % 3):
+            w[p] = f"x{i}_{p}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), k=1, num=80, den=100, cell=cell).collect()
+    met = sum(d.count() for d in made)
+    assert 0 < met <= 2 * sum(d.distinct().count() for d in made)
+    sets, label = {i: set(t.split()) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label = {i: min(label[a], label[b]) if c in (label[a], label[b]) else c for i, c in label.items()}
+    assert {r.doc_id: r.component_id for r in got} == label
+
+
 def test_ngram_join_long_list_without_links(spark, monkeypatch):
     """Many copies of one text, each with edits of its own: no links at 0.9, and two more that do link. Forests come
     before the exact rest."""
