@@ -18,7 +18,8 @@ by key: nothing that reaches MIN is lost, and a full sketch only lets more throu
 Scale: text is read once; blocks keep their tokens as numbers of their distinct words. MIN and PENALTY are constants, so tree and model grow with the corpus. The model is never broadcast or collected:
 blocks of documents ask it for their distinct n-grams (past the sketches' bits and a bitmap of the model's n-grams of at most 8 MiB) and are
 scored with the answers. Both go by ranges of keys of which each holds some BUCKET n-grams of the model: a block's ascending keys of one range are one
-row out and one back, by differences and bytes, so that rows grow with blocks times ranges and a key costs about six bytes each way. N-grams with 1 / HEAD of all tokens, at most HEAD of each length, go to every worker instead. A context with a third of all tokens is a sum with map-side combine and a join on its key.
+row out and one back, by differences and bytes, so that rows grow with blocks times ranges and a key costs about six bytes each way. N-grams with 1 / HEAD of all tokens, at most HEAD of each length, go to every worker instead. An n-gram moves three times while the tree grows: when it is counted, to its suffix, to its context. A context's
+next symbols that occur MIN times meet in one task, which spills them if need be; its occurrences are a sum with map-side combine.
 N-grams are told apart by 64-bit hashes: among n distinct ones n * n / 2**65 mix-ups are expected.
 
 Defined results: a null or empty text is its end token alone; a null id has no remainder and is trained on; repeated
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocks
@@ -378,19 +379,18 @@ def tree(words: DataFrame, counted: DataFrame, depth: int, total: int, distinct:
     and null where ctx is not retained; p is the smoothed probability of the last token after ctx."""
     contexts = words.select(F.col("key").alias("ctx"), F.col("n").alias("c"))
     parents = words.select(F.col("key").alias("suf"), ((F.col("n") + ADD) / (total + ADD * (distinct + 1))).alias("above"))
-    levels = []
+    # the joins on ctx have dealt the rows by it, so that what a context says of itself needs no shuffle of its own
+    levels, of = [], Window.partitionBy("ctx")
     for k in range(1, depth + 1):
-        rows = counted.filter(F.col("ord") == k + 1).join(contexts, "ctx").join(parents, "suf").select("key", "ctx", "n", "c", "above", ((F.col("n") - DISCOUNT) / F.col("c")).alias("e"))
-        rows = stored(rows, "level-rows")
-        states = rows.groupBy("ctx").agg(F.max("c").alias("of"), F.count("*").alias("symbols"), (F.max("c") - F.sum("n")).alias("other"))
-        states = states.withColumn("room", F.col("other") + DISCOUNT * F.col("symbols")).withColumn("gamma", F.col("room") / F.col("of")).drop("of")
-        explicit = F.sum(F.col("n") * F.log((F.col("e") + F.col("gamma") * F.col("above")) / F.col("above")))
-        gain = rows.join(states, "ctx").groupBy("ctx").agg(explicit.alias("explicit"), F.max("gamma").alias("gamma"), F.max("room").alias("room"), F.max("symbols").alias("symbols"), F.max("other").alias("other"))
-        kept = gain.filter(F.col("explicit") + F.col("other") * F.log("gamma") >= penalty * F.col("symbols")).select("ctx", "gamma", "room")
-        on = F.col("gamma").isNotNull()
-        level = rows.join(kept, "ctx", "left").select("key", "ctx", "n", "c", F.when(on, F.col("e") + F.col("gamma") * F.col("above")).otherwise(F.col("above")).alias("p"), "room")
+        rows = counted.filter(F.col("ord") == k + 1).select("key", "ctx", "suf", "n").join(parents, "suf").drop("suf").join(contexts, "ctx")
+        rows = rows.withColumn("e", (F.col("n") - DISCOUNT) / F.col("c")).withColumn("symbols", F.count("*").over(of)).withColumn("other", F.col("c") - F.sum("n").over(of))
+        rows = rows.withColumn("room", F.col("other") + DISCOUNT * F.col("symbols")).withColumn("gamma", F.col("room") / F.col("c"))
+        rows = rows.withColumn("q", F.col("e") + F.col("gamma") * F.col("above"))
+        gain = F.sum(F.col("n") * F.log(F.col("q") / F.col("above"))).over(of) + F.col("other") * F.log("gamma")
+        rows = rows.withColumn("on", gain >= penalty * F.col("symbols"))
+        level = rows.select("key", "ctx", "n", "c", F.when(F.col("on"), F.col("q")).otherwise(F.col("above")).alias("p"), F.when(F.col("on"), F.col("room")).alias("room"))
         levels.append(stored(level, f"level-{k}"))
-        forget(rows)
+        reclaim(words.sparkSession)
         contexts = levels[-1].select(F.col("key").alias("ctx"), F.col("n").alias("c"))
         parents = levels[-1].select(F.col("key").alias("suf"), F.col("p").alias("above"))
     return levels

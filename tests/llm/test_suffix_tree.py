@@ -167,3 +167,24 @@ def test_parts_of_a_block_score_alike(rows):
         outs.append(st.score_block(bounds, words, code, answers, lambda keys, before, order: before >= order - 1, 3, 1000, 40))
     for c in outs[0]:
         assert outs[0][c] == pytest.approx(outs[1][c], rel=1e-12)
+
+
+def test_ngrams_move_to_their_suffix_and_their_context_alone(spark, monkeypatch):
+    """A level of the tree is two joins: what a context says of itself is found where its n-grams lie."""
+    real, dealt = st.stored, []
+
+    def counted(df, name):
+        dealt.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return real(df, name)
+
+    monkeypatch.setattr(st, "stored", counted)
+    words = spark.createDataFrame([(1, 20), (2, 16)], "key long, n long")
+    grams_ = spark.createDataFrame([(2, 1, 2, 12, 3), (2, 2, 1, 9, 4), (3, 3, 4, 8, 5)], "ord int, ctx long, suf long, n long, key long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        levels = st.tree(words, grams_, 2, 36, 2, 0.0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(dealt) <= 4 * 2
+    assert [{(r.key, r.ctx, r.n, r.c) for r in level.collect()} for level in levels] == [{(3, 1, 12, 20), (4, 2, 9, 16)}, {(5, 3, 8, 12)}]
